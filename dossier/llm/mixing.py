@@ -18,8 +18,8 @@ from .common import ceil_div, cut, partitions
 
 #: Weights of the sources in code point order, repeated; the share of all words that is taken; the most times a document is taken.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Documents that fly together in a block.
-BLOCK = 4096
+#: Documents that fly together in a block, and those of a source that wait for the landing.
+BLOCK, LANDING = 4096, 12
 #: What a document's size is: runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-12
@@ -97,26 +97,30 @@ def flight(p: np.ndarray, size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return np.asarray(p)
 
 
-def landing(p: np.ndarray, size: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """The last open documents of a source: the choice nearest to the expected words, then to the expected number."""
+def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The last open documents of a source, LANDING + 2 at most: of all choices the one nearest to the expected words and
+    number of documents, a document counting as the mean size."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    want, count, best = (p[open_] * size[open_]).sum(), p[open_].sum(), None
-    for bits in range(1 << len(open_)):
-        take = np.array([bits >> j & 1 for j in range(len(open_))], float)
-        far = (abs((take * size[open_]).sum() - want), abs(take.sum() - count), bits)
-        if best is None or far < best[0]:
-            best = far, take
     out = p.copy()
-    out[open_] = best[1] if best else []
+    if len(open_):
+        take = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        far = np.abs(take @ size[open_] - p[open_] @ size[open_]) + 0.1 * max(1.0, size[open_].mean()) * np.abs(take.sum(axis=1) - p[open_].sum())
+        out[open_] = take[far.argmin()]
     return out
 
 
 def _flown(group: pd.DataFrame) -> pd.DataFrame:
-    """A block in flight; where it is all of its source that is open, the landing follows."""
+    """A block in flight; where it is all of its source that is open, some documents of all sizes wait for the landing."""
     group = group.sort_values(["size", "draw", "row"], ascending=[False, True, True], kind="stable")
-    p = flight(group["p"].to_numpy(float), group["size"].to_numpy(np.int64), group["draw"].to_numpy(float))
-    if group["blocks"].iloc[0] <= 1:
-        p = landing(p, group["size"].to_numpy(float), group["draw"].to_numpy(float))
+    p, size = group["p"].to_numpy(float), group["size"].to_numpy(np.int64)
+    last = group["blocks"].iloc[0] <= 1
+    wait = np.zeros(len(p), bool)
+    if last:
+        wait[np.linspace(0, len(p) - 1, min(LANDING, len(p))).astype(int)] = True
+        wait &= (p > EPS) & (p < 1 - EPS)
+    p[~wait] = flight(p[~wait], size[~wait], group["draw"].to_numpy(float)[~wait])
+    if last:
+        p = landing(p, size.astype(float))
     return group.assign(p=p)
 
 
