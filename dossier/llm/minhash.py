@@ -18,9 +18,6 @@ from .common import among, components, cut, fmix32, fmix64
 
 #: Signature length, and rows in a band. At a Jaccard of 0.85 a pair misses all 32 bands with probability 6e-11, at 0.8 with 5e-8.
 COORDINATES, ROWS = 128, 4
-#: One bit of each coordinate makes a sketch; its agreement estimates (1 + J) / 2. Pairs this many bits apart or more lie
-#: over six standard deviations below the threshold for 0.8 (J = 0.8 expects 12.8 bits with a deviation of 3.4).
-SKETCH_BITS_APART = 34
 #: Odd multipliers of the word and shingle hashes.
 WORD_MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -115,36 +112,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     null doc_id gets a null component_id and is never linked, nor kept is null. Other columns are ignored.
 
     Copies collapse to one representative per distinct set (a partial aggregation), so a group of thousands
-    of copies costs one member. Representatives that share a band are compared in two rounds: with the
-    bucket's smallest id first (linear in the bucket), then only between components that still differ,
-    after a test on 128-bit sketches inside the join; every survivor is verified on the full sets.
+    of copies costs one member. Representatives that share a band are compared in two rounds. First each with its
+    bucket's centre, the member whose bands are the most shared: linear in the bucket, and exact. Then only pairs whose
+    components still differ, after two tests inside the join: 128-bit sketches, and a bound on the intersection
+    from the exact comparison of both with their centre. Every link is verified on the full sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch0 long, sketch1 long"
     signed = cut(docs.mapInArrow(lambda b: _signed(b, k), schema), "signed")
     reps = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch0", "sketch1", "bands")).alias("r")).select("digest", "r.*")
     reps = cut(reps, "reps")
-    member = reps.select("doc_id", "n_shingles", "sketch0", "sketch1", F.posexplode("bands").alias("band", "value"))
-    bucket = member.groupBy("band", "value").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("bn"), F.col("sketch0").alias("b0"), F.col("sketch1").alias("b1"), F.posexplode("bands").alias("band", "value"))
+    shared = member.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     # members of buckets with company; everything below works on these alone
-    member = cut(member.join(bucket, ["band", "value"]).select("band", "value", "first", "doc_id", "n_shingles", "sketch0", "sketch1"), "members")
-    head = member.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("an"), F.col("sketch0").alias("a0"), F.col("sketch1").alias("a1"))
-    near = lambda x, y: f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and bit_count({x}0 ^ {y}0) + bit_count({x}1 ^ {y}1) < {SKETCH_BITS_APART}"
-    star = member.where("doc_id <> first").groupBy(F.col("first").alias("a"), F.col("doc_id").alias("b")).agg(F.first("n_shingles").alias("bn"), F.first("sketch0").alias("b0"), F.first("sketch1").alias("b1"))
-    star = star.join(head.dropDuplicates(["a"]), "a").where(near("a", "b")).select("a", "b")
-    linked = _verified(docs, star, k, percent)
+    member = cut(member.join(shared, ["band", "value"]), "members")
+    member = member.join(member.groupBy("b").agg(F.sum("n").alias("known")), "b")
+    centre = member.groupBy("band", "value").agg(F.max(F.struct("known", (-F.col("b")).alias("id"), "bn", "b0", "b1")).alias("c"))
+    centre = centre.select("band", "value", (-F.col("c.id")).alias("a"), F.col("c.bn").alias("an"), F.col("c.b0").alias("a0"), F.col("c.b1").alias("a1"))
+    member = cut(member.drop("n", "known").join(centre, ["band", "value"]), "centred")
+    apart = _bits_apart(percent)
+    near = F.expr(f"100 * least(an, bn) >= {percent} * greatest(an, bn) and bit_count(a0 ^ b0) + bit_count(a1 ^ b1) < {apart}")
+    star = _compared(docs, member.where("a <> b").where(near).select("a", "b").distinct(), k)
+    linked = star.where(_enough("common", "an", "bn", percent)).select("a", "b")
     parts = components(linked, "a", "b")
 
     # second round: buckets that still hold several components
-    placed = member.join(parts, member.doc_id == parts.node, "left").select("band", "value", "doc_id", "n_shingles", "sketch0", "sketch1", F.coalesce("component", "doc_id").alias("component"))
+    placed = member.select("band", "value", "a", "b", "bn", "b0", "b1").join(parts, member.b == parts.node, "left").withColumn("bc", F.coalesce("component", "b")).drop("node", "component")
     placed = cut(placed, "placed")
-    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "value")
-    placed = placed.join(mixed, ["band", "value"], "left_semi")
-    side = lambda s: placed.select("band", "value", F.col("doc_id").alias(s), F.col("n_shingles").alias(f"{s}n"), F.col("sketch0").alias(f"{s}0"), F.col("sketch1").alias(f"{s}1"), F.col("component").alias(f"{s}c"))
+    mixed = placed.groupBy("band", "value").agg(F.min("bc").alias("lo"), F.max("bc").alias("hi")).where("lo < hi").select("band", "value")
+    placed = placed.join(mixed, ["band", "value"], "left_semi").join(star.select("a", "b", "bits", (F.col("bn") - F.col("common")).alias("rest")), ["a", "b"], "left")
+    placed = cut(placed, "mixed")
+    side = lambda s: placed.select("band", "value", *[F.col(f"b{c}").alias(f"{s}{c}") for c in ("", "n", "0", "1", "c")], F.col("bits").alias(f"{s}bits"), F.col("rest").alias(f"{s}rest"), (F.col("a") == F.col("b")).alias(f"{s}centre"))
+    # within the centre's set the intersection is counted, and outside it can't exceed the smaller rest
+    inside = F.expr("aggregate(zip_with(abits, bbits, (p, q) -> bit_count(p & q)), 0, (t, n) -> t + n) + least(arest, brest)")
+    bound = F.when(F.col("acentre") | F.col("bcentre"), F.coalesce("abits", "bbits").isNull()).when(F.col("abits").isNull() | F.col("bbits").isNull(), True).otherwise(_enough(inside, "an", "bn", percent))
     x, y = side("a"), side("b")
-    cross = x.join(y, (x.band == y.band) & (x.value == y.value) & (x.a < y.b) & (x.ac != y.bc) & F.expr(near("a", "b"))).select("a", "b")
-    cross = cross.distinct().join(star, ["a", "b"], "left_anti")
-    linked = linked.unionAll(_verified(docs, cross, k, percent))
+    cross = x.join(y, (x.band == y.band) & (x.value == y.value) & (x.a < y.b) & (x.ac != y.bc) & near & bound).select("a", "b").distinct()
+    found = _compared(docs, cross, k)
+    linked = linked.unionAll(found.where(_enough("common", "an", "bn", percent)).select("a", "b"))
     parts = components(linked, "a", "b")
 
     group = reps.select("digest", F.col("doc_id").alias("rep"))
@@ -153,13 +158,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
+def _bits_apart(percent: int) -> int:
+    """One bit of each coordinate makes a sketch; bits differ with probability (1 - J) / 2. Pairs of this many different
+    bits or more lie over six standard deviations from the threshold."""
+    p = (1 - percent / 100) / 2
+    return int(COORDINATES * p + 6 * (COORDINATES * p * (1 - p)) ** 0.5) + 1
+
+
+def _enough(common, n, m, percent: int) -> F.Column:
+    """100 * intersection >= percent * union."""
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    return (100 + percent) * col(common) >= percent * (col(n) + col(m))
+
+
+def _against(batches: Iterator):
+    """Intersections of the sets y with x, and which of x's shingles they are, as a bit map in words."""
+    import pyarrow as pa
+
+    for batch in batches:
+        xs, ys = batch.column("x"), batch.column("y")
+        x, y = (c.flatten().to_numpy().view(np.uint64) for c in (xs, ys))
+        xe, ye = (np.r_[0, np.cumsum(c.value_lengths().to_numpy())] for c in (xs, ys))
+        common, bits = [], []
+        for i in range(batch.num_rows):
+            p, q = x[xe[i] : xe[i + 1]], y[ye[i] : ye[i + 1]]
+            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+            same = q[at] == p
+            common.append(int(same.sum()))
+            bits.append(np.packbits(np.r_[same, np.zeros(-len(same) % 64, bool)]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.diff(xe), pa.int64()), pa.array(np.diff(ye), pa.int64()), pa.array(common, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["a", "b", "an", "bn", "common", "bits"])
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) with an, bn, common (exact sizes of the full shingle sets and of their intersection) and bits."""
     pairs = cut(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = among(docs, ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda b: _sets(b, k), "doc_id long, shingles array<long>")
     sets = cut(sets, "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return cut(both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b"), "links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return cut(both.mapInArrow(_against, "a long, b long, an long, bn long, common long, bits array<long>"), "compared")
