@@ -140,11 +140,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = member.select("band", "value", "a", "b", "bn", "b0", "b1").join(parts, member.b == parts.node, "left").withColumn("bc", F.coalesce("component", "b")).drop("node", "component")
     placed = cut(placed, "placed")
     mixed = placed.groupBy("band", "value").agg(F.min("bc").alias("lo"), F.max("bc").alias("hi")).where("lo < hi").select("band", "value")
-    placed = placed.join(mixed, ["band", "value"], "left_semi").join(star.select("a", "b", "bits", (F.col("bn") - F.col("common")).alias("rest")), ["a", "b"], "left")
+    placed = placed.join(mixed, ["band", "value"], "left_semi").join(star.select("a", "b", "bits", "more", (F.col("bn") - F.col("common")).alias("rest")), ["a", "b"], "left")
     placed = cut(placed, "mixed")
-    side = lambda s: placed.select("band", "value", *[F.col(f"b{c}").alias(f"{s}{c}") for c in ("", "n", "0", "1", "c")], F.col("bits").alias(f"{s}bits"), F.col("rest").alias(f"{s}rest"), (F.col("a") == F.col("b")).alias(f"{s}centre"))
-    # within the centre's set the intersection is counted, and outside it can't exceed the smaller rest
-    inside = F.expr("aggregate(zip_with(abits, bbits, (p, q) -> bit_count(p & q)), 0, (t, n) -> t + n) + least(arest, brest)")
+    side = lambda s: placed.select("band", "value", *[F.col(f"b{c}").alias(f"{s}{c}") for c in ("", "n", "0", "1", "c")], F.col("bits").alias(f"{s}bits"), F.col("more").alias(f"{s}more"), F.col("rest").alias(f"{s}rest"), (F.col("a") == F.col("b")).alias(f"{s}centre"))
+    # within the centre's set the intersection is counted; outside it, each bit that one side alone has is a shingle the other lacks
+    lacks = lambda p, q: f"aggregate(zip_with({p}more, {q}more, (p, q) -> bit_count(p & ~q)), 0, (t, n) -> t + n)"
+    inside = F.expr(f"aggregate(zip_with(abits, bbits, (p, q) -> bit_count(p & q)), 0, (t, n) -> t + n) + least(arest - {lacks('a', 'b')}, brest - {lacks('b', 'a')})")
     bound = F.when(F.col("acentre") | F.col("bcentre"), F.coalesce("abits", "bbits").isNull()).when(F.col("abits").isNull() | F.col("bbits").isNull(), True).otherwise(_enough(inside, "an", "bn", percent))
     x, y = side("a"), side("b")
     cross = x.join(y, (x.band == y.band) & (x.value == y.value) & (x.a < y.b) & (x.ac != y.bc) & near & bound).select("a", "b").distinct()
@@ -172,25 +173,30 @@ def _enough(common, n, m, percent: int) -> F.Column:
 
 
 def _against(batches: Iterator):
-    """Intersections of the sets y with x, and which of x's shingles they are, as a bit map in words."""
+    """Intersections of the sets y with x, which of x's shingles they are as a bit map in words, and a hashed bit map of y's rest."""
     import pyarrow as pa
 
     for batch in batches:
         xs, ys = batch.column("x"), batch.column("y")
         x, y = (c.flatten().to_numpy().view(np.uint64) for c in (xs, ys))
         xe, ye = (np.r_[0, np.cumsum(c.value_lengths().to_numpy())] for c in (xs, ys))
-        common, bits = [], []
+        common, bits, more = [], [], []
         for i in range(batch.num_rows):
             p, q = x[xe[i] : xe[i + 1]], y[ye[i] : ye[i + 1]]
             at = np.minimum(np.searchsorted(q, p), len(q) - 1)
             same = q[at] == p
             common.append(int(same.sum()))
             bits.append(np.packbits(np.r_[same, np.zeros(-len(same) % 64, bool)]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.diff(xe), pa.int64()), pa.array(np.diff(ye), pa.int64()), pa.array(common, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["a", "b", "an", "bn", "common", "bits"])
+            other = np.ones(len(q), bool)
+            other[at[same]] = False
+            flags = np.zeros(len(bits[-1]) * 128, bool)
+            flags[(fmix64(q[other]) % np.uint64(len(flags))).astype(np.int64)] = True
+            more.append(np.packbits(flags).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.diff(xe), pa.int64()), pa.array(np.diff(ye), pa.int64()), pa.array(common, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], names=["a", "b", "an", "bn", "common", "bits", "more"])
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) with an, bn, common (exact sizes of the full shingle sets and of their intersection) and bits."""
+    """The pairs (a, b) with an, bn, common (exact sizes of the full shingle sets and of their intersection), bits and more."""
     pairs = cut(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = among(docs, ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(lambda b: _sets(b, k), "doc_id long, shingles array<long>")
@@ -198,4 +204,4 @@ def _compared(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(_against, "a long, b long, an long, bn long, common long, bits array<long>"), "compared")
+    return cut(both.mapInArrow(_against, "a long, b long, an long, bn long, common long, bits array<long>, more array<long>"), "compared")
