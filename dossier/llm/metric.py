@@ -139,7 +139,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     dims = reps.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     count = min(MOST_PIVOTS, ceil_div(math.isqrt(max(1, n // PIVOT_SHARE)), 1))
     picked = [r.v for r in reps.where(F.size("v") == dims.dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).select("v").collect()] if dims else []
-    pivots = np.asarray(picked, np.float64).reshape(len(picked), -1)
+    pivots = np.asarray(picked, np.float64).reshape(len(picked), dims.dim if dims else 0)
     if pivots.size:
         pivots = pivots / np.abs(pivots).max(axis=1, keepdims=True)
         pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
