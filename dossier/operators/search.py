@@ -80,7 +80,7 @@ def ranked_sources(sources: DataFrame, now: str, decay: float = 365.0) -> DataFr
 
 def boosted(results: DataFrame, mentions: DataFrame, boost: float = 0.05) -> DataFrame:
     """results(query_id, doc_id, text, score) raised by boost for each of the query's entities (query_id, entity) that the text contains."""
-    hits = results.join(mentions, "query_id").where(F.col("text").ilike(F.concat(F.lit("%"), "entity", F.lit("%")))).groupBy("query_id", "doc_id").agg(F.countDistinct("entity").alias("n"))
+    hits = results.join(mentions, "query_id").where(F.lower("text").contains(F.lower("entity"))).groupBy("query_id", "doc_id").agg(F.countDistinct("entity").alias("n"))
     return results.join(hits, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("score").cast("double") + boost * F.coalesce("n", F.lit(0)), 6).alias("score"))
 
 
