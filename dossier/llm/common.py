@@ -92,10 +92,16 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of a base modulo 2**64, kept between calls and not to be written to."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(0, n - 1).bit_length(), np.uint64(base), dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def utf8(texts) -> list[bytes]:
