@@ -130,7 +130,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     size counts words (null text: 0). taken = copies * size. Documents of a source have the same expected
     copies, target / source_size, so copies is its floor or that plus one, never above most. A source without words has
     target 0 and takes nothing. Null is a source, the last one. Repeated rows are sampled each by itself; rows with a
-    null id too. Reruns agree: blocks and draws hang on ids and sizes alone. An empty table gives no rows.
+    null id too. Reruns over the same files and split sizes agree: draws hang on ids and sizes, blocks on the row's place in its
+    file too. An empty table gives no rows.
     """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
