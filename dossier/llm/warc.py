@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import pieces, shared_dir
 
 #: Payloads of fewer bytes are stored with each record; they are never revisits.
 LEAST_BYTES = 100
@@ -36,11 +37,36 @@ def _header() -> F.Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), http)
 
 
+def _deflated(batches: Iterator):
+    """payload_digest and stored: each payload as zlib data, so that shuffles and the store hold fewer bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in pieces(batch, column="payload"):
+            yield pa.RecordBatch.from_arrays([part.column("payload_digest"), pa.array([zlib.compress(x.as_py()) for x in part.column("payload")], pa.binary())], names=["payload_digest", "stored"])
+
+
+def _inflated(batches: Iterator):
+    """The records with payload in place of stored, the last column; null where there is none or it is broken."""
+    import pyarrow as pa
+
+    def payload(stored: bytes | None) -> bytes | None:
+        try:
+            return None if stored is None else zlib.decompress(stored)
+        except zlib.error:
+            return None
+
+    for batch in batches:
+        for part in pieces(batch, 1 << 20, "stored"):
+            names = part.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([payload(x.as_py()) for x in part.column("stored")], pa.binary())], names=[*names, "payload"])
+
+
 def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """Write the archive of pages(page_id, url, html, ...) below path: tables headers and payloads.
 
     headers has a row per row of pages: page_id, record_type, refers_to, payload_digest, payload_bytes, header (exact).
-    payloads has each distinct payload once: payload_digest, payload. Of the records with equal payloads of at
+    payloads has each distinct payload once: payload_digest, stored (zlib data). Of the records with equal payloads of at
     least least bytes, that with the smallest page_id is the response (all of them, if rows repeat it), the others are
     revisits of it. Null html is an empty payload. A row without an id is a revisit if a row with an id has its payload.
     """
@@ -54,7 +80,8 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None
     typed = typed.withColumn("record_type", F.when(F.col("again"), "revisit").otherwise("response")).withColumn("refers_to", F.when(F.col("again"), F.col("first")))
     typed.select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # the payloads' partial aggregation drops the copies of a task before the shuffle
-    rows.groupBy("payload_digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    small = rows.select("payload_digest", "payload").mapInArrow(_deflated, "payload_digest string, stored binary")
+    small.groupBy("payload_digest").agg(F.first("stored").alias("stored")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -63,11 +90,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     A payload whose SHA-256 isn't its address, or that is missing or of another length, raises an error.
     """
     headers, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    sound = store.withColumn("sound", F.sha2("payload", 256) == F.col("payload_digest"))
-    joined = headers.join(sound, "payload_digest", "left")
+    joined = headers.join(store, "payload_digest", "left").select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "header", "stored")
+    records = joined.mapInArrow(_inflated, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, header string, payload binary")
+    ok = F.coalesce((F.sha2("payload", 256) == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes")), F.lit(False))
     broken = F.raise_error(F.concat(F.lit("payload doesn't match its address "), "payload_digest"))
-    ok = F.coalesce(F.col("sound") & (F.octet_length("payload") == F.col("payload_bytes")), F.lit(False))
-    return joined.select("page_id", "record_type", "refers_to", "payload_digest", F.when(ok, F.octet_length("payload").cast("long")).otherwise(broken.cast("long")).alias("payload_bytes"), "header", "payload")
+    return records.withColumn("payload_bytes", F.when(ok, F.octet_length("payload").cast("long")).otherwise(broken.cast("long")))
 
 
 def warc_records(archive: DataFrame) -> DataFrame:
