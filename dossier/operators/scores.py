@@ -78,3 +78,14 @@ def agreed(fields: DataFrame, least: float = 0.7) -> DataFrame:
 def risk(cases: DataFrame) -> DataFrame:
     """cases(conflicts, duplicates, ...) with risk: .15 and .05 each, 1 at most."""
     return cases.withColumn("risk", F.round(F.least(F.lit(1.0), 0.15 * F.col("conflicts") + 0.05 * F.col("duplicates")), 4))
+
+
+def duplicate_label(cosine) -> Column:
+    """EXACT from .98, LIKELY from .90, else POSSIBLE; null for a null cosine."""
+    return F.when(cosine >= 0.98, "EXACT").when(cosine >= 0.9, "LIKELY").when(cosine.isNotNull(), "POSSIBLE")
+
+
+def consents(records: DataFrame) -> DataFrame:
+    """user_id, type, granted from records(user_id, type, action, decided, record_id): the last record of a user's type decides, ties to the larger record_id. An aggregate, so no history is held."""
+    last = records.groupBy("user_id", "type").agg(F.max_by("action", F.struct("decided", "record_id")).alias("last"))
+    return last.select("user_id", "type", F.coalesce(F.col("last") == "grant", F.lit(False)).alias("granted"))

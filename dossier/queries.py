@@ -46,6 +46,9 @@ PASSAGES = "SELECT * FROM (VALUES (1, 0, 'The fee is 20'), (1, 1, 'Signed by ANN
 NAMES = "SELECT * FROM (VALUES ('License'), ('copyright'), ('secret'), ('Password')) AS t(name)"
 VALUES = "SELECT * FROM (VALUES (1, 'Anna Lee'), (1, '20'), (2, 'absent')) AS t(doc_id, value)"
 
+CONSENTS = "SELECT * FROM (VALUES (1, 'a', 'share', 'grant', 10), (2, 'a', 'share', 'revoke', 20), (3, 'a', 'store', 'grant', 5), (4, 'b', 'share', 'revoke', 7), (5, 'b', 'share', 'grant', 7), (6, 'c', 'store', CAST(NULL AS STRING), 1)) AS t(record_id, user_id, type, action, decided)"
+COSINES = "SELECT * FROM (VALUES (1, 0.7499), (2, 0.75), (3, 0.8999), (4, 0.90), (5, 0.9799), (6, 0.98), (7, CAST(NULL AS DOUBLE))) AS t(id, cosine)"
+
 
 def _lit(sql: str) -> str:
     return sql.replace("STRING", "VARCHAR")
@@ -463,3 +466,13 @@ def sequence_numbers(t, spark):
     if not spark.sparkContext.getCheckpointDir():
         graph._kept(spark.range(1))
     return windows.numbered(t("orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey").select("o_orderkey", "number")
+
+
+@query(f"SELECT id, CASE WHEN cosine >= 0.98 THEN 'EXACT' WHEN cosine >= 0.90 THEN 'LIKELY' WHEN cosine IS NOT NULL THEN 'POSSIBLE' END AS label FROM ({_lit(COSINES)})")
+def duplicate_labels(t, spark):
+    return spark.sql(COSINES).select("id", scores.duplicate_label(F.col("cosine")).alias("label"))
+
+
+@query(f"SELECT user_id, type, coalesce(action = 'grant', false) AS granted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY decided DESC, record_id DESC) AS r FROM ({_lit(CONSENTS)})) WHERE r = 1")
+def consent_ledger(t, spark):
+    return scores.consents(spark.sql(CONSENTS))
