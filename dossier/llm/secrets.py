@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import functools
 import hashlib
 import lzma
 import re
@@ -50,6 +51,10 @@ class _Layer:
             return self.starts, self.ends
         return min(self.starts[a:b]), max(self.ends[a:b])
 
+    def key(self) -> tuple:
+        """The text and where in the document it comes from."""
+        return self.text, *((tuple(x) if isinstance(x, list) else x) for x in (self.starts, self.ends))
+
 
 def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with every escape of a pattern decoded, character by character."""
@@ -135,13 +140,14 @@ def _decoded(token: str) -> str | None:
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of a text, each by start, then kind, then end.
 
-    Layers wait in a worklist until none is new: a layer whose text was seen is not entered again, so quines and loops
-    end. What is found in a layer is mapped to the span of the document that it was decoded from; a base64 or compressed
+    Layers wait in a worklist until none is new: a layer whose text was seen at the same place of the document is not
+    entered again, so quines and loops end, and a token that stands twice is found twice. What is found in a layer is mapped to the span of the document that it was decoded from; a base64 or compressed
     layer maps to its whole token. Base spans stay; a span found twice counts once.
     """
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    found, seen, work = set(base), {text}, [_Layer(text, None, None)]
+    found, seen, work = set(base), {_Layer(text, None, None).key()}, [_Layer(text, None, None)]
+    plain = functools.cache(base_spans)
     while work:
         layer = work.pop()
         inner = []
@@ -153,9 +159,9 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
             if (got := _decoded(m[0])) is not None:
                 inner.append(_Layer(got, *layer.span(*m.span())))
         for new in inner:
-            if new is not None and new.text not in seen:
-                seen.add(new.text)
-                found.update((k, *new.span(a, b)) for k, a, b in base_spans(new.text))
+            if new is not None and (key := new.key()) not in seen:
+                seen.add(key)
+                found.update((k, *new.span(a, b)) for k, a, b in plain(new.text))
                 work.append(new)
     return base, sorted(found, key=order)
 
