@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
+import bisect
 import bz2
 import functools
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -23,8 +24,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_SPACE = b"\t\n\r"
+_LETTER = "[A-Za-z0-9+/_-]"
+_BASE64 = re.compile(_LETTER + r"{16,}={0,2}")
+_BREAK = re.compile(rf"(?<={_LETTER})[ \t]*\r?\n[ \t]*(?={_LETTER})")
+_RUN = re.compile(_LETTER + "+={0,2}")
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_AFTER = re.compile("(?<=[+/_-])(?=[A-Za-z0-9+/_-]{16})")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+# bytes without any of these hold neither a secret nor a further layer: most words of prose end here
+_HINT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9xX][0-9A-Fa-f]{0,6};|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]|" + _MAGIC.pattern)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -80,11 +89,17 @@ def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(text), starts, ends)
 
 
-def _percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _text(data: bytes) -> str:
+    """Bytes as text; those that aren't UTF-8 stay as surrogates, so _bytes gives the same bytes again."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
+
+
+def _percent(m: re.Match) -> str:
+    return _text(bytes.fromhex(m[0].replace("%", "")))
 
 
 def _character(m: re.Match) -> str | None:
@@ -92,62 +107,140 @@ def _character(m: re.Match) -> str | None:
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """The content of gzip, zlib, bzip2 or xz data."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data)
-        if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj(15).decompress(data)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
+def _decompressor(data: bytes):
+    """What inflates gzip, zlib, bzip2 or xz data; None for other data."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _content(data: bytes) -> str | None:
-    """Text in decoded bytes, below any layers of compression; None if it isn't text."""
-    seen = set()
-    while (inner := _inflated(data)) is not None:
-        if (key := hashlib.sha256(inner).digest()) in seen:
-            return None
-        seen.add(key)
-        data = inner
+_BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
+
+
+def _inflated(data: bytes) -> tuple[bytes, int]:
+    """The content of all members of compressed data, one after another, and how many bytes they take; what comes before a
+    broken place counts."""
+    out, at = [], 0
+    while (d := _decompressor(data[at : at + 6])) is not None:
+        try:
+            out.append(d.decompress(data[at:]))
+        except _BROKEN:
+            d = _decompressor(data[at : at + 6])
+            try:
+                for i in range(at, len(data), 32):
+                    out.append(d.decompress(data[i : i + 32]))
+            except _BROKEN:
+                pass
+            return b"".join(out), len(data)
+        if not d.eof:
+            return b"".join(out), len(data)
+        at = len(data) - len(d.unused_data)
+    return b"".join(out), at
+
+
+def _streams(layer: _Layer) -> Iterator[_Layer]:
+    """The contents of compressed data anywhere in a layer, each mapped to the place of its data."""
+    data, at = _bytes(layer.text), 0
+    while (m := _MAGIC.search(data, at)) is not None:
+        inner, n = _inflated(data[m.start() :])
+        if _HINT.search(inner):
+            a = len(_text(data[: m.start()]))
+            yield _Layer(_text(inner), *layer.span(a, max(a + 1, min(len(layer.text), a + len(_text(data[m.start() : m.start() + n]))))))
+        # broken or cut data may be a chance likeness with a true stream behind it
+        at = m.start() + n if inner and n < len(data) - m.start() else m.start() + 1
+
+
+def _phases(run: str) -> list[tuple[int, bytes]]:
+    """(characters left out, bytes) of a base64 run read from each of its first four characters, where the bytes hold something."""
+    body, out = run.rstrip("=").encode().translate(_STANDARD), []
+    for p in range(min(4, len(body))):
+        part = body[p:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+        if _HINT.search(data):
+            out.append((p, data))
+    return out
+
+
+def _plain(data: bytes) -> bool:
+    """Whether bytes are text, or compressed data from their start."""
+    if _decompressor(data[:6]) is not None:
+        return bool(_inflated(data)[0])
     try:
-        text = data.decode()
+        return all(c >= " " or c in "\t\n\r" for c in data.decode())
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) else None
+        return False
 
 
-def _decoded(token: str) -> str | None:
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    # most words of prose end here: their bytes are no text
-    if data[0] < 32 and data[:1] not in (b"\t", b"\n", b"\r", b"\x1f"):
-        return None
-    return _content(data)
+def _tokens(run: str) -> list[tuple[int, str]]:
+    """(start, text) of the layers of a base64 run. What is glued before a token by / _ - or + is left out where the rest is
+    text or compressed data; else a layer stands for the whole run."""
+    out = []
+    for p, data in _phases(run):
+        for a in [0] * (p == 0) + [x.start() for x in _AFTER.finditer(run) if x.start() % 4 == p]:
+            rest = data[(a - p) // 4 * 3 :]
+            if _plain(rest):
+                out.append((a, _text(rest)))
+                if p or a:
+                    out.append((0, _text(data[: (a - p) // 4 * 3])))
+                break
+        else:
+            out.append((0, _text(data)))
+    return [(a, t) for a, t in out if t]
+
+
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """(start, end) of the lines of each base64 block that goes over line ends."""
+    lines: list[tuple[int, int]] = []
+    for m in _BREAK.finditer(text):
+        if not lines or lines[-1][1] != m.start():
+            if len(lines) > 1:
+                yield lines
+            a = m.start()
+            while a and text[a - 1] in _LETTERS:
+                a -= 1
+            lines = [(a, m.start())]
+        lines.append(_RUN.match(text, m.end()).span())
+    if len(lines) > 1:
+        yield lines
+
+
+def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
+    """The layers of base64 blocks whose tokens go over line ends: characters map to the lines they come from."""
+    for lines in _wrapped(layer.text):
+        if sum(b - a for a, b in lines) < 16:
+            continue
+        spans = [layer.span(*x) for x in lines]
+        ends = list(itertools.accumulate(b - a for a, b in lines))
+        for p, data in _phases("".join(layer.text[a:b] for a, b in lines)):
+            text, at, first, last = _text(data), 0, [], []
+            for c in text:
+                n = len(_bytes(c))
+                first.append(spans[bisect.bisect_right(ends, min(p + at * 4 // 3, ends[-1] - 1))][0])
+                last.append(spans[bisect.bisect_right(ends, min(p + (8 * (at + n) - 1) // 6, ends[-1] - 1))][1])
+                at += n
+            yield _Layer(text, first, last)
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans of a text, each by start, then kind, then end.
 
     Layers wait in a worklist until none is new: a layer whose text was seen at the same place of the document is not
-    entered again, so quines and loops end, and a token that stands twice is found twice. What is found in a layer is mapped to the span of the document that it was decoded from; a base64 or compressed
-    layer maps to its whole token. Base spans stay; a span found twice counts once.
+    entered again, so quines and loops end, and a token that stands twice is found twice. What is found in a layer is mapped
+    to the span of the document that it was decoded from; a base64 or compressed layer maps to its whole token, a base64
+    block over several lines to the lines that hold the secret. Base64 is read at all four alignments; bytes that aren't
+    text stay in their layer as they are. Base spans stay; a span found twice counts once.
     """
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
     found, seen, work = set(base), {_Layer(text, None, None).key()}, [_Layer(text, None, None)]
-    plain = functools.cache(base_spans)
+    tokens, plain = functools.cache(_tokens), functools.cache(base_spans)
     while work:
         layer = work.pop()
         inner = []
@@ -156,8 +249,11 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
         if "\\" in layer.text or "&#" in layer.text:
             inner.append(_escaped(layer, _UNICODE, _character))
         for m in _BASE64.finditer(layer.text):
-            if (got := _decoded(m[0])) is not None:
-                inner.append(_Layer(got, *layer.span(*m.span())))
+            inner += [_Layer(got, *layer.span(m.start() + a, m.end())) for a, got in tokens(m[0])]
+        if "\n" in layer.text:
+            inner += _unwrapped(layer)
+        if layer.starts is not None:
+            inner += _streams(layer)
         for new in inner:
             if new is not None and (key := new.key()) not in seen:
                 seen.add(key)

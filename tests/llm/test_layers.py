@@ -30,3 +30,47 @@ def test_repeated_tokens(spark):
         at += len(c) + 5
     assert found == want
     assert secrets.redact(rows).first().text == " and ".join(["[secret:assign]"] * 4)
+
+
+def wrapped(text, width, end="\n"):
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+FILL = "".join(chr(97 + i * i * 7 % 26) + " " * (i % 5 == 0) for i in range(90))
+SECRET = (FILL + f"token={KEY}").encode()
+LAYERS = {
+    "slash": "path/" + b64(PLAIN),
+    "underscore": "id_" + b64(PLAIN),
+    "dash": "x-" + b64(PLAIN),
+    "plus": "ab+" + b64(PLAIN),
+    "letters": "abc" + b64(PLAIN),
+    "end": b64(PLAIN).rstrip("=") + "/rest/of",
+    "glued gzip": "x-" + b64(gzip.compress(SECRET, mtime=0)),
+    "wrapped": wrapped(b64(SECRET), 64),
+    "wrapped at 7": wrapped(b64(SECRET), 7, "\r\n"),
+    "wrapped gzip": wrapped(b64(gzip.compress(SECRET, mtime=0)), 20),
+    "gzip members": b64(gzip.compress(FILL.encode(), mtime=0) + gzip.compress(SECRET, mtime=0)),
+    "bzip2 members": b64(bz2.compress(FILL.encode()) + bz2.compress(SECRET)),
+    "xz members": b64(lzma.compress(FILL.encode()) + lzma.compress(SECRET)),
+    "control bytes": b64(b"\x00\x01 token=" + KEY.encode() + b"\xff end"),
+    "percent": "%ff" + "".join(f"%{c:02x}" for c in f"token={KEY}".encode()),
+    "percent gzip": quote(gzip.compress(SECRET, mtime=0), safe=""),
+}
+
+
+@pytest.mark.parametrize("name", LAYERS)
+def test_layer(name):
+    token = LAYERS[name]
+    found = secrets.spans(f"é start {token} end")[1]
+    assert {k for k, *_ in found} == {"access", "assign"}
+    assert all(8 <= a < b <= 8 + len(token) for _, a, b in found)
+    # nothing is left to find, and what is glued before a token stays
+    left = secrets.mask(f"é start {token} end")
+    assert secrets.spans(left.replace("[secret:assign]", " ").replace("[secret:access]", " "))[1] == [] and left.startswith("é start ") and left.endswith(" end")
+    if name in ("slash", "underscore", "dash", "plus", "glued gzip"):
+        assert left == f"é start {token[: token.find(next(c for c in '/_-+' if c in token[:5])) + 1]}[secret:assign] end"
+
+
+def test_other_words_stay():
+    text = "path/internationalization_and-localization\nconsiderations\nregarding %e4%f6 " + b64(bytes(range(256)) * 40)
+    assert secrets.spans(text) == ([], []) and secrets.mask(text) == text
