@@ -18,12 +18,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def hamming_pairs(hashes: DataFrame, most: int = 8) -> DataFrame:
     """a, b, distance of 64-bit hashes(id, hash) that differ in most bits at most.
 
-    Of most + 1 bands of the bits one must be equal, so the bands block the pairs without loss. Equal hashes meet once,
+    Of most + 1 bands of the bits (most is under 64) one must be equal, so the bands block the pairs without loss. Equal hashes meet once,
     as their smallest ids; a copy pairs with its group's smallest id.
     """
     groups = hashes.where("id is not null and hash is not null").groupBy("hash").agg(F.min("id").alias("id"))
-    width = -(-64 // (most + 1))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", i * width).bitwiseAND((1 << width) - 1).alias("value")) for i in range(most + 1) if i * width < 64])
+    cuts = [i * 64 // (most + 1) for i in range(most + 2)]
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("hash", 64 - b), 64 - b + a).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
     cut = groups.select("id", "hash", F.inline(bands))
     x, y = cut.toDF("a", "ha", "band", "value"), cut.toDF("b", "hb", "band", "value")
     near = x.join(y, ["band", "value"]).where("a < b").select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("distance")).where(F.col("distance") <= most).distinct()
