@@ -234,6 +234,11 @@ def ring_buffer(t, spark):
     return windows.newest(t("events"), "ts", "event_id", 1000).select("event_id", "user_id")
 
 
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10000")
+def ring_buffer_10000(t, spark):
+    return windows.newest(t("events"), "ts", "event_id").select("event_id", "user_id")
+
+
 @query("SELECT conv_id, count(*) AS n_used, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s <= 3000 GROUP BY 1")
 def context_build(t, spark):
     return windows.context(t("conversations"), "conv_id", "turn")
@@ -308,6 +313,76 @@ def link_suggestions(t, spark):
     return graph.suggestions(spark.sql(LINKS).withColumn("confidence", F.col("confidence").cast("double")))
 
 
+def _all_edges(t):
+    return t("lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+
+
+_ALL_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
+
+
+# recursion over the whole table is too slow in SQL, so these two have none
+@query()
+def connected_components_all(t, spark):
+    return graph.components(_all_edges(t))
+
+
+@query()
+def clusters_all(t, spark):
+    return graph.clusters(_all_edges(t))
+
+
+@query(f"""
+WITH {_ALL_EDGES}, {_BOTH}, c AS (SELECT DISTINCT src AS id FROM edges), h AS (
+  SELECT id AS centre, id AS node, 0 AS hops FROM c UNION ALL SELECT id, dst, 1 FROM c JOIN both_ ON src = id
+  UNION ALL SELECT id, y.dst, 2 FROM c JOIN both_ x ON x.src = id JOIN both_ y ON y.src = x.dst)
+SELECT centre, node, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY 1, 2""")
+def subgraph_2hop_all(t, spark):
+    return graph.neighbourhood(_all_edges(t), _all_edges(t).select(F.col("src").alias("id")).distinct(), 2)
+
+
+@query(f"""
+WITH {_ALL_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)
+SELECT id, degree, round(degree / ((SELECT count(*) FROM d) - 1), 6) AS centrality FROM d""")
+def degree_centrality_all(t, spark):
+    return graph.centrality(_all_edges(t))
+
+
+def _orders_graph(t):
+    """Orders placed by customers, customers in nations, nations in regions."""
+    parts = (("orders", "o", "o_orderkey", "c", "o_custkey", "placed_by", 0.9), ("customer", "c", "c_custkey", "n", "c_nationkey", "in", 0.8), ("nation", "n", "n_nationkey", "r", "n_regionkey", "in", 1.0))
+    links = [t(table).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit(kind).alias("type"), F.lit(c).alias("confidence")) for table, a, x, b, y, kind, c in parts]
+    return links[0].unionAll(links[1]).unionAll(links[2])
+
+
+_ORDERS_GRAPH = """l AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'placed_by' AS type, 0.9::DOUBLE AS c FROM orders
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'in', 0.8 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'in', 1.0 FROM nation)"""
+
+
+@query(f"""
+WITH {_ORDERS_GRAPH}
+SELECT src AS "start", dst AS "end", src || '>' || dst AS path, 1 AS hops FROM l
+UNION ALL SELECT x.src, y.dst, x.src || '>' || y.src || '>' || y.dst, 2 FROM l x JOIN l y ON x.dst = y.src
+UNION ALL SELECT x.src, z.dst, x.src || '>' || y.src || '>' || z.src || '>' || z.dst, 3 FROM l x JOIN l y ON x.dst = y.src JOIN l z ON y.dst = z.src""")
+def paths_3hop_orders(t, spark):
+    links = _orders_graph(t)
+    return graph.simple_paths(links, links.select(F.col("src").alias("id")).distinct())
+
+
+@query(f"""
+WITH {_ORDERS_GRAPH}
+SELECT x.src, y.dst, 'in' AS type, round(x.c * y.c * 0.9, 6) AS confidence FROM l x JOIN l y ON x.dst = y.src WHERE x.type = 'in' AND y.type = 'in'
+UNION ALL SELECT dst, src, 'placed', round(c * 0.95, 6) FROM l WHERE type = 'placed_by'""")
+def transitive_inference_orders(t, spark):
+    return graph.inferred(_orders_graph(t), "in", {"placed_by": "placed"})
+
+
+@query(f"""
+WITH {_ORDERS_GRAPH}
+SELECT x.src, y.dst, round(max(x.c * y.c), 6) AS score FROM l x JOIN l y ON x.dst = y.src GROUP BY ALL""")
+def link_suggestions_orders(t, spark):
+    return graph.suggestions(_orders_graph(t))
+
+
 @query("SELECT lower(event_type) AS key, CAST(user_id AS VARCHAR) AS type, count(*) AS freq, max(value) AS confidence, max_by(props, (ts, props)) AS metadata FROM events GROUP BY 1, 2")
 def entity_upsert(t, spark):
     return graph.upsert(t("events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("type"), F.col("value").alias("confidence"), F.col("props").alias("metadata"), F.col("ts").alias("at")))

@@ -2,7 +2,9 @@
 
 import random
 
+from dossier import queries as _  # noqa: F401
 from dossier.operators import joins
+from dossier.registry import QUERIES
 
 
 def test_hamming_bit_in_each_byte(spark):
@@ -15,3 +17,30 @@ def test_hamming_bit_in_each_byte(spark):
         got = {(r.a, r.b): r.distance for r in joins.hamming_pairs(table, most).collect()}
         want = {(i, j): ((hashes[i] ^ hashes[j]) % 2**64).bit_count() for i in range(10) for j in range(i + 1, 10)}
         assert got == {k: n for k, n in want.items() if n <= most}
+
+
+def test_graph_of_all_lineitems(spark, tmp_path):
+    rng = random.Random(4)
+    items = [(rng.randrange(25), rng.randrange(40), float(q % 50 + 1), q % 11 / 100) for q in range(40)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(f"s{s}", f"p{p}") for s, p, *_ in items}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+
+    def within(node, steps):
+        seen = {node: 0}
+        for h in range(1, steps + 1):
+            for x in [x for n, at in seen.items() if at == h - 1 for x in near[n]]:
+                seen.setdefault(x, h)
+        return seen
+
+    run = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    smallest = {n: min(within(n, len(near))) for n in near}
+    assert run("connected_components_all") == sorted(smallest.items())
+    groups = {c: [n for n in near if smallest[n] == c] for c in set(smallest.values())}
+    assert len(groups) > 2
+    counts = [(c, len(g), sum(smallest[a] == c for a, _ in edges)) for c, g in groups.items() if len(g) >= 3]
+    assert run("clusters_all") == sorted((c, n, e, round(e / (n * (n - 1)), 6)) for c, n, e in counts)
+    assert run("subgraph_2hop_all") == sorted((a, n, h) for a in {a for a, _ in edges} for n, h in within(a, 2).items())
+    assert run("degree_centrality_all") == sorted((n, len(x), round(len(x) / (len(near) - 1), 6)) for n, x in near.items())
