@@ -14,7 +14,8 @@ INTENTS = (("deadline", "deadline|due date|last date|expir"), ("amount", "amount
 NUMERIC_DATE = r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\b[0-9]{10}\b"
-AMOUNT = r"(?:Rs\.?|INR|USD|\$)\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
+AMOUNT = r"(?:Rs\.?|INR|₹|USD|\$)\s?([0-9][0-9,]*(?:\.[0-9]+)?)"
+HONORIFIC = r"Mr\.|Mrs\.|Ms\.|Shri|Smt|Dr\."
 REFERENCE = r"\b(?:Case|FIR|Ref)\.?\s*No\.?\s*:?\s*([A-Z0-9/-]+)"
 
 

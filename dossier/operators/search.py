@@ -96,9 +96,13 @@ def keyword_classes(docs: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def key_sentences(docs: DataFrame, keywords: list[str], k: int = 10) -> DataFrame:
-    """doc_id, sentence, score, rank: sentences of 20 to 300 characters; .15 per keyword, .1 for a date, an amount, the first place; .15 at least."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("place", "sentence")).where(F.length("sentence").between(20, 300))
+    """doc_id, sentence, score, rank: sentences of 20 to 300 characters; .15 per keyword, .1 for a date, an amount, a place among
+    the first three or last two of all sentences, .05 for an honorific; .15 at least, 1 at most."""
+    parts = docs.select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("all")).select("doc_id", F.size("all").alias("of"), F.posexplode("all").alias("place", "sentence"))
+    parts = parts.withColumn("sentence", F.regexp_replace("sentence", r"^\s+|\s+$", "")).where(F.length("sentence").between(20, 300))
     low = F.lower("sentence")
     score = sum((F.when(low.contains(w), 0.15).otherwise(0.0) for w in keywords), F.lit(0.0))
-    score = score + F.when(F.col("sentence").rlike(text.NUMERIC_DATE), 0.1).otherwise(0.0) + F.when(F.col("sentence").rlike(text.AMOUNT), 0.1).otherwise(0.0) + F.when(F.col("place") == 0, 0.1).otherwise(0.0)
-    return top(parts.withColumn("score", F.round(score, 4)).where("score >= 0.15"), "doc_id", [F.desc("score"), F.col("place")], k).drop("place")
+    edge = (F.col("place") < 3) | (F.col("place") >= F.col("of") - 2)
+    for hit, worth in ((F.col("sentence").rlike(text.NUMERIC_DATE), 0.1), (F.col("sentence").rlike(text.AMOUNT), 0.1), (F.col("sentence").rlike(text.HONORIFIC), 0.05), (edge, 0.1)):
+        score = score + F.when(hit, worth).otherwise(0.0)
+    return top(parts.withColumn("score", F.round(F.least(score, F.lit(1.0)), 4)).where("score >= 0.15"), "doc_id", [F.desc("score"), F.col("place")], k).drop("place", "of")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chunks, text
-from .operators import filters, graph, joins, scores, search, windows
+from .operators import extracts, filters, graph, joins, scores, search, windows
 from .registry import ORACLE_SQL, QUERIES
 
 
@@ -30,6 +30,7 @@ def query(sql: str | None = None):
 LISTS = "SELECT * FROM (VALUES (1, 's', 'alpha', 0.9), (1, 's', 'beta', 0.6), (1, 's', 'gamma', 0.3), (1, 'w', 'beta', 4.0), (1, 'w', 'delta', 8.0), (2, 'w', 'alpha', 1.5), (2, 's', 'omega', 0.2)) AS t(query_id, side, text, score)"
 SOURCES = "SELECT * FROM (VALUES (1, 0.9, 0.5, '2025-12-01', true), (2, 0.4, 1.0, '01/06/2024', false), (3, 0.7, 0.2, 'unknown', true), (4, 0.7, 0.2, '2026-01-01', false)) AS t(source_id, similarity, authority, dated, verified)"
 RULES = "SELECT * FROM (VALUES ('invoice', 0, 'amount'), ('invoice', 0, 'due'), ('invoice', 0, 'tax'), ('licence', 1, 'driver'), ('licence', 1, 'vehicle'), ('record', 2, 'birth'), ('record', 2, 'tax')) AS t(category, place, keyword)"
+NOTICES = "SELECT * FROM (VALUES (-1, 'Case No. AB/12/2024: the fee of Rs. 1,500 is due by March 5, 2024 or 2024-04-01.'), (-2, 'FIR No: 77/2023, heard on 7 May 2023; Ref No. XY-1234.')) AS t(doc_id, text)"
 LETTERS = "SELECT * FROM (VALUES (1, 'The AMOUNT is due with tax'), (2, 'A driver of a vehicle'), (3, 'Only tax here'), (4, 'nothing fits'), (5, ''), (6, CAST(NULL AS STRING)), (7, 'Vehicle and birth')) AS t(doc_id, text)"
 STEPS = "SELECT * FROM (VALUES ('a', 'PASSED', 0.9), ('a', 'PASSED', 1.0), ('b', 'PASSED', 0.8), ('b', 'WARNING', 0.6), ('b', 'SKIPPED', 0.0), ('c', 'FAILED', 0.2), ('c', 'PASSED', 0.9), ('d', 'SKIPPED', 0.5), ('e', 'PASSED', 0.0), ('e', 'PASSED', 0.001)) AS t(document_id, status, confidence)"
 ISSUES = "SELECT * FROM (VALUES (1, 'high'), (1, 'LOW'), (2, 'medium'), (2, 'medium'), (3, 'low'), (4, 'none'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high')) AS t(case_id, severity)"
@@ -490,6 +491,11 @@ def contact_extract(t, spark):
     return t("documents").select("doc_id", F.size(text.found(d, text.NUMERIC_DATE)).cast("long").alias("n_dates"), F.array_join(text.found(d, text.EMAIL), " ").alias("emails"), F.size(text.found(d, text.PHONE)).cast("long").alias("n_phones"))
 
 
+@query()
+def extracted_items(t, spark):
+    return extracts.extracted(t("documents").select("doc_id", "text").unionAll(spark.sql(NOTICES)))
+
+
 @query(f"SELECT doc_id, len({TOKENS}) AS n_words, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE round(length(regexp_replace(text, '[^A-Za-z ]', '', 'g')) / length(text), 6) END::DOUBLE AS letter_share FROM documents")
 def text_quality(t, spark):
     return t("documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), F.round(text.letter_share(F.col("text")), 6).alias("letter_share"))

@@ -3,7 +3,7 @@
 import random
 
 from dossier import queries as _  # noqa: F401
-from dossier.operators import joins
+from dossier.operators import joins, search
 from dossier.registry import QUERIES
 
 
@@ -44,3 +44,19 @@ def test_graph_of_all_lineitems(spark, tmp_path):
     assert run("clusters_all") == sorted((c, n, e, round(e / (n * (n - 1)), 6)) for c, n, e in counts)
     assert run("subgraph_2hop_all") == sorted((a, n, h) for a in {a for a, _ in edges} for n, h in within(a, 2).items())
     assert run("degree_centrality_all") == sorted((n, len(x), round(len(x) / (len(near) - 1), 6)) for n, x in near.items())
+
+
+def test_key_sentence_places_and_honorifics(spark):
+    middle = "Nothing of any weight stands here."
+    parts = ["It was sent on 01/02/2024 to all of us.", "It was read on 02/02/2024 by nobody.", "It was lost on 03/02/2024 once more.", "It was found on 04/02/2024 in a box.", middle, "The word key was told to Shri No there.", "The word key was told to no one there.", middle, "It was sold on 05/02/2024 for little.", "It was over on 06/02/2024 at last."]
+    rows = spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")
+    got = [(r.sentence, r.score) for r in search.key_sentences(rows, ["key"]).orderBy("rank").collect()]
+    assert got == [(parts[i], s) for i, s in [(0, 0.2), (1, 0.2), (2, 0.2), (5, 0.2), (8, 0.2), (9, 0.2), (6, 0.15)]]
+
+
+def test_extracted_items(spark):
+    from dossier.operators import extracts
+
+    text = "Read on 1.2.2024 and 3/4/24. " + "x " * 50 + "Pay before May 5, 2025, or 6 June 2025; not after 2025-07-08. Fee: ₹2,500 or 300 rupees. FIR No. 12/2024, Case No: AB/77, Ref Number ZZ-1234, Civil Suit No. 9/2020."
+    got = {(r.category, r.value, r.confidence) for r in extracts.extracted(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
+    assert got == {("date", "1.2.2024", 0.9), ("date", "3/4/24", 0.7), ("deadline", "May 5, 2025", 1.0), ("deadline", "6 June 2025", 1.0), ("deadline", "2025-07-08", 1.0), ("amount", "2500", 0.9), ("amount", "300", 0.85), ("fir_number", "12/2024", 0.95), ("case_number", "AB/77", 0.85), ("reference_number", "ZZ-1234", 0.8), ("case_number", "Civil Suit No. 9/2020", 0.9)}
