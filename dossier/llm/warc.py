@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -108,6 +109,21 @@ def write_warc(archive: DataFrame, path: str, per_file: int = 10_000) -> None:
     warc_records(archive).select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
 
 
+def _parsed(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """The record that starts at a place, by its own bytes, and where its block ends."""
+    end = data.index(b"\r\n\r\n", at)
+    version, *lines = data[at:end].decode().split("\r\n")
+    if version != "WARC/1.1":
+        raise ValueError(f"no WARC record at byte {at}")
+    fields = dict(x.split(": ", 1) for x in lines)
+    to = end + 4 + int(fields["Content-Length"])
+    if to > len(data):
+        raise ValueError(f"record {fields['WARC-Record-ID']} is shorter than its Content-Length")
+    http, payload = data[end + 4 : to].split(b"\r\n\r\n", 1)
+    size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
+    return {"record_id": fields["WARC-Record-ID"], "record_type": fields["WARC-Type"], "refers_to": fields.get("WARC-Refers-To"), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": size, "payload": payload}, to
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files: record_id, record_type, refers_to, payload_digest, payload (bytes)."""
 
@@ -118,18 +134,47 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column("content"):
                 data, at, rows = content.as_buffer().to_pybytes(), 0, []
                 while at < len(data):
-                    end = data.index(b"\r\n\r\n", at)
-                    fields = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-                    size = int(fields["Content-Length"])
-                    block = data[end + 4 : end + 4 + size]
-                    rows.append({"record_id": fields["WARC-Record-ID"], "record_type": fields["WARC-Type"], "refers_to": fields.get("WARC-Refers-To"), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "payload": block[block.index(b"\r\n\r\n") + 4 :]})
-                    at = end + 4 + size + 4
+                    row, at = _parsed(data, at)
+                    rows.append(row)
+                    at += 4
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, "record_id string, record_type string, refers_to string, payload_digest string, payload binary")
 
 
+def rebuilt(archive: DataFrame) -> DataFrame:
+    """page_id, record_type, refers_to, payload_digest, payload_bytes, each read from the bytes of the rebuilt record.
+
+    A record that doesn't end with its Content-Length, a response whose payload hasn't the digest and length it names, and
+    a revisit with a payload or without a reference raise an error.
+    """
+
+    def page(name: str | None) -> int | None:
+        number = None if name is None else name.removeprefix("<urn:page:").removesuffix(">")
+        return None if number in (None, "null") else int(number)
+
+    def read(batches: Iterator):
+        import pyarrow as pa
+
+        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
+        for batch in batches:
+            rows = []
+            for record in batch.column("record"):
+                data = record.as_py()
+                r, to = _parsed(data)
+                held = r.pop("payload")
+                whole = hashlib.sha256(held).hexdigest() == r["payload_digest"] and len(held) == r["payload_bytes"]
+                if to != len(data) or not (whole if r["record_type"] == "response" else not held and r["refers_to"]):
+                    raise ValueError(f"record {r['record_id']} doesn't match its header")
+                rows.append(r | {"page_id": page(r.pop("record_id")), "refers_to": page(r["refers_to"])})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    # the filter keeps read_archive's check of the payload, also for revisits
+    records = warc_records(archive.where("payload_bytes >= 0")).select(F.encode("record", "UTF-8").alias("record"))
+    return records.mapInArrow(read, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
+
+
 def archived(pages: DataFrame) -> DataFrame:
     """Write an archive of pages into the shared folder and read it back."""
     path = f"{shared_dir(pages.sparkSession)}/dossier-archive-{uuid.uuid4().hex}"

@@ -74,3 +74,21 @@ def test_layer(name):
 def test_other_words_stay():
     text = "path/internationalization_and-localization\nconsiderations\nregarding %e4%f6 " + b64(bytes(range(256)) * 40)
     assert secrets.spans(text) == ([], []) and secrets.mask(text) == text
+
+
+def test_warc_query_reads_record_bytes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from dossier.llm import warc
+    from dossier.llm.queries import QUERIES
+
+    long = "<p>é" + "y" * 200
+    rows = [(3, "u3", long), (1, "u1", long), (2, "u2", None), (4, "u\r\n4", "short"), (None, None, "q" * 100)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op8_warc"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 205, "response", None), (3, 205, "revisit", 1), (2, 0, "response", None), (4, 5, "response", None), (None, 100, "response", None)}
+    header = warc._header()
+    for wrong in (("WARC-Payload-Digest: sha256:.", "WARC-Payload-Digest: sha256:x"), ("msgtype=response\r\nContent-Length: ", "msgtype=response\r\nContent-Length: 1")):
+        monkeypatch.setattr(warc, "_header", lambda w=wrong: F.regexp_replace(header, *w))
+        with pytest.raises(Exception, match="Content-Length|match its header"):
+            QUERIES["op8_warc"](spark, str(tmp_path)).collect()
