@@ -35,16 +35,22 @@ def fuzzy_pairs(names: DataFrame, threshold: float = 80.0) -> DataFrame:
     """a, b, score of distinct names with an indel similarity of threshold or more.
 
     Exact blocking: similar names share most of their characters, so in a fixed order of characters their prefixes share one
-    (counted characters, each with its number). The similarity itself is computed on candidates alone.
+    (counted characters, each with its number). Rare ones come first, so that prefixes hold few names in common, and a key's
+    names meet by length: each is dealt to all lengths that it can be similar to. The similarity itself is computed on
+    candidates alone.
     """
     plain = names.select(F.col("name")).where("name is not null").distinct().withColumn("n", F.length("name"))
-    counted = plain.where("n > 0").withColumn("chars", F.array_sort(F.split("name", ""))).withColumn("chars", F.filter("chars", lambda c: c != ""))
+    chars = plain.where("n > 0").select("name", "n", F.explode(F.filter(F.split("name", ""), lambda c: c != "")).alias("c")).groupBy("name", "n", "c").agg(F.count("*").alias("times"))
+    keyed = chars.select("name", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: F.concat("c", F.lit("#"), i.cast("string")))).alias("key"))
+    ranked = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("names")), "key").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("names", "key"))).alias("keys"))
     need = F.ceil(F.col("n") * threshold / (200 - threshold) - F.lit(1e-9))
-    keyed = counted.withColumn("keys", F.transform("chars", lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position("chars", c) + 1).cast("string"))))
-    prefix = keyed.select("name", "n", F.explode(F.slice("keys", 1, (F.col("n") - need + 1).cast("int"))).alias("key"))
-    x, y = prefix.toDF("a", "na", "key"), prefix.toDF("b", "nb", "key")
-    fits = F.expr(f"200 * least(na, nb) >= {threshold} * (na + nb) and a < b")
-    return x.join(y, "key").where(fits).select("a", "b").distinct().withColumn("score", fuzzy.indel_ratio("a", "b")).where(F.col("score") >= threshold)
+    prefix = ranked.select("name", "n", F.explode(F.slice("keys.key", 1, (F.col("n") - need + 1).cast("int"))).alias("key"))
+    # the shorter of two names goes to the lengths up to the longest that fits it
+    longest = F.floor(F.col("n") * (200 - threshold) / threshold + F.lit(1e-9))
+    x = prefix.select(F.col("name").alias("s"), F.col("n").alias("ns"), "key", F.explode(F.sequence(F.col("n").cast("long"), longest)).alias("length"))
+    y = prefix.select(F.col("name").alias("l"), F.col("n").cast("long").alias("length"), "key")
+    pairs = x.join(y, ["key", "length"]).where("ns < length or s < l").select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
+    return pairs.distinct().withColumn("score", fuzzy.indel_ratio("a", "b")).where(F.col("score") >= threshold)
 
 
 def shared_values(fields: DataFrame) -> DataFrame:

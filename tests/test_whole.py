@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from dossier import queries as _  # noqa: F401
 from dossier.operators import joins, search
 from dossier.registry import QUERIES
@@ -60,3 +62,17 @@ def test_extracted_items(spark):
     text = "Read on 1.2.2024 and 3/4/24. " + "x " * 50 + "Pay before May 5, 2025, or 6 June 2025; not after 2025-07-08. Fee: ₹2,500 or 300 rupees. FIR No. 12/2024, Case No: AB/77, Ref Number ZZ-1234, Civil Suit No. 9/2020."
     got = {(r.category, r.value, r.confidence) for r in extracts.extracted(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
     assert got == {("date", "1.2.2024", 0.9), ("date", "3/4/24", 0.7), ("deadline", "May 5, 2025", 1.0), ("deadline", "6 June 2025", 1.0), ("deadline", "2025-07-08", 1.0), ("amount", "2500", 0.9), ("amount", "300", 0.85), ("fir_number", "12/2024", 0.95), ("case_number", "AB/77", 0.85), ("reference_number", "ZZ-1234", 0.8), ("case_number", "Civil Suit No. 9/2020", 0.9)}
+
+
+def test_fuzzy_prefixes_hold_rare_characters(spark, monkeypatch):
+    from dossier.functions import fuzzy
+
+    rng = random.Random(5)
+    names = sorted({" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 7))) for _ in range(3)) for _ in range(150)})
+    names += [n.replace("a", "e", 1) + "x" for n in names[:20]]
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    want = {(a, b) for a in set(names) for b in set(names) if a < b and fuzzy.ratio(a, b) >= 80}
+    assert {(r.a, r.b) for r in joins.fuzzy_pairs(table).collect()} == want != set()
+    # the space, which all names hold, makes no candidates: nearly all pairs would meet
+    monkeypatch.setattr(fuzzy, "indel_ratio", lambda a, b: F.lit(100.0))
+    assert joins.fuzzy_pairs(table).count() < len(names) * (len(names) - 1) / 2 * 0.8
