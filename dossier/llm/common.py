@@ -15,19 +15,39 @@ HELD_OUT_REMAINDER = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a machine-local one is used only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share. Where none is set, one of its own in local mode (tests); machines don't share theirs."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="dossier-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Bytes of an Arrow batch between Spark and Python. Spark's default of 64 MB lets long texts fill both sides.
+BATCH_BYTES = 2 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH_BYTES at most; every operator calls it, as it runs on whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that cut has written, once nothing reads them any more."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, lost executors don't matter."""
-    spark = df.sparkSession
+    spark = lean(df.sparkSession)
     path = f"{shared_dir(spark)}/dossier-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,9 +77,11 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
         lower = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("low"))
         to = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
         jumped = lower.join(to, lower.low == to["at"]).select("node", F.least("low", "further").alias("component"), (F.least("low", "further") < F.col("component")).alias("moved"))
-        jumped = cut(jumped, "labels")
+        before, jumped = labels, cut(jumped, "labels")
         labels = jumped.select("node", "component")
-        if jumped.where("moved").isEmpty():
+        done = jumped.where("moved").isEmpty()
+        dropped(before, *[both] * done)
+        if done:
             return labels
 
 
@@ -111,13 +133,14 @@ def utf8(texts) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.large_binary()).to_pylist()]
 
 
-def pieces(batch, size: int = 1 << 22, column: str = "text"):
-    """Slices of an Arrow batch that hold about size bytes of text each, so that temporary arrays stay small."""
+def pieces(batch, size: int = 1 << 20, column: str = "text", sizes=None):
+    """Slices of an Arrow batch that hold about size bytes of text each (or of what sizes says), so that temporary arrays stay small."""
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    sizes = pc.binary_length(batch.column(column)) if sizes is None else sizes
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0

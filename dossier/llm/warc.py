@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, shared_dir
 
-#: Payloads of fewer bytes are stored with each record; they are never revisits.
+#: Records of payloads of fewer bytes are never revisits; the store holds these payloads once too.
 LEAST_BYTES = 100
 DATE = "2026-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -39,35 +39,44 @@ def _header() -> F.Column:
 
 
 def _deflated(batches: Iterator):
-    """payload_digest and stored: each payload as zlib data, so that shuffles and the store hold fewer bytes."""
+    """payload_digest, stored_bytes and stored: each payload as zlib data, so that shuffles and the store hold fewer bytes."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
         for part in pieces(batch, column="payload"):
-            yield pa.RecordBatch.from_arrays([part.column("payload_digest"), pa.array([zlib.compress(x.as_py()) for x in part.column("payload")], pa.binary())], names=["payload_digest", "stored"])
+            sizes = pc.binary_length(part.column("payload")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("payload_digest"), sizes, pa.array([zlib.compress(x.as_py()) for x in part.column("payload")], pa.binary())], names=["payload_digest", "stored_bytes", "stored"])
 
 
-def _inflated(batches: Iterator):
-    """The records with payload in place of stored, the last column; null where there is none or it is broken."""
-    import pyarrow as pa
+def _inflated(stored: bytes | None, size: int | None) -> bytes | None:
+    """A stored payload; null where there is none, where it is broken, or where it isn't of the stored size. Never more than one byte too many."""
+    if stored is None or size is None:
+        return None
+    data = zlib.decompressobj()
+    try:
+        payload = data.decompress(stored, size + 1)
+        # the checksum at the end is read with the last bytes
+        return payload if len(payload) == size and (data.eof or not data.decompress(data.unconsumed_tail, 1) and data.eof) else None
+    except zlib.error:
+        return None
+
 
-    def payload(stored: bytes | None) -> bytes | None:
-        try:
-            return None if stored is None else zlib.decompress(stored)
-        except zlib.error:
-            return None
+def _payloads(batches: Iterator):
+    """The records with payload in place of stored_bytes and stored, the last columns, in slices of bounded payload size."""
+    import pyarrow as pa
 
     for batch in batches:
-        for part in pieces(batch, 1 << 20, "stored"):
-            names = part.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([payload(x.as_py()) for x in part.column("stored")], pa.binary())], names=[*names, "payload"])
+        for part in pieces(batch, sizes=batch.column("stored_bytes")):
+            payload = [_inflated(x.as_py(), n.as_py()) for x, n in zip(part.column("stored"), part.column("stored_bytes"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(payload, pa.binary())], names=[*part.schema.names[:-2], "payload"])
 
 
 def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """Write the archive of pages(page_id, url, html, ...) below path: tables headers and payloads.
 
     headers has a row per row of pages: page_id, record_type, refers_to, payload_digest, payload_bytes, header (exact).
-    payloads has each distinct payload once: payload_digest, stored (zlib data). Of the records with equal payloads of at
+    payloads has each distinct payload once: payload_digest, stored_bytes (its length), stored (zlib data). Of the records with equal payloads of at
     least least bytes, that with the smallest page_id is the response (all of them, if rows repeat it), the others are
     revisits of it. Null html is an empty payload. A row without an id is a revisit if a row with an id has its payload.
     """
@@ -81,8 +90,8 @@ def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None
     typed = typed.withColumn("record_type", F.when(F.col("again"), "revisit").otherwise("response")).withColumn("refers_to", F.when(F.col("again"), F.col("first")))
     typed.select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", _header().alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # the payloads' partial aggregation drops the copies of a task before the shuffle
-    small = rows.select("payload_digest", "payload").mapInArrow(_deflated, "payload_digest string, stored binary")
-    small.groupBy("payload_digest").agg(F.first("stored").alias("stored")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    small = rows.select("payload_digest", "payload").mapInArrow(_deflated, "payload_digest string, stored_bytes long, stored binary")
+    small.groupBy("payload_digest").agg(F.first("stored_bytes").alias("stored_bytes"), F.first("stored").alias("stored")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -91,8 +100,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     A payload whose SHA-256 isn't its address, or that is missing or of another length, raises an error.
     """
     headers, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    joined = headers.join(store, "payload_digest", "left").select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "header", "stored")
-    records = joined.mapInArrow(_inflated, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, header string, payload binary")
+    joined = headers.join(store, "payload_digest", "left").select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "header", "stored_bytes", "stored")
+    records = joined.mapInArrow(_payloads, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, header string, payload binary")
     ok = F.coalesce((F.sha2("payload", 256) == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes")), F.lit(False))
     broken = F.raise_error(F.concat(F.lit("payload doesn't match its address "), "payload_digest"))
     return records.withColumn("payload_bytes", F.when(ok, F.octet_length("payload").cast("long")).otherwise(broken.cast("long")))
@@ -143,12 +152,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, "record_id string, record_type string, refers_to string, payload_digest string, payload binary")
 
 
-def rebuilt(archive: DataFrame) -> DataFrame:
-    """page_id, record_type, refers_to, payload_digest, payload_bytes, each read from the bytes of the rebuilt record.
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record_type, refers_to, payload_digest, payload_bytes of an archive's records, each read from the bytes of the
+    original record: the header joined with its payload where it is a response.
 
+    Only responses meet their payloads, of which each of LEAST_BYTES or more has one; a revisit meets the stored length alone.
     A record that doesn't end with its Content-Length, a response whose payload hasn't the digest and length it names, and
-    a revisit with a payload or without a reference raise an error.
+    a revisit with a payload, without a reference or of a payload that isn't stored raise an error.
     """
+    headers, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    first = headers.where("record_type = 'response'").join(store, "payload_digest", "left").select("header", "stored_bytes", "stored")
+    again = headers.where("record_type <> 'response'").join(store.drop("stored"), "payload_digest", "left").select("header", "stored_bytes", F.lit(None).cast("binary").alias("stored"))
 
     def page(name: str | None) -> int | None:
         number = None if name is None else name.removeprefix("<urn:page:").removesuffix(">")
@@ -160,23 +174,21 @@ def rebuilt(archive: DataFrame) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
         for batch in batches:
             rows = []
-            for record in batch.column("record"):
-                data = record.as_py()
+            for header, size, stored in zip(*(batch.column(c) for c in ("header", "stored_bytes", "stored")), strict=True):
+                data = header.as_py().encode() + (_inflated(stored.as_py(), size.as_py()) or b"")
                 r, to = _parsed(data)
                 held = r.pop("payload")
                 whole = hashlib.sha256(held).hexdigest() == r["payload_digest"] and len(held) == r["payload_bytes"]
-                if to != len(data) or not (whole if r["record_type"] == "response" else not held and r["refers_to"]):
+                if to != len(data) or size.as_py() != r["payload_bytes"] or not (whole if r["record_type"] == "response" else not held and r["refers_to"]):
                     raise ValueError(f"record {r['record_id']} doesn't match its header")
                 rows.append(r | {"page_id": page(r.pop("record_id")), "refers_to": page(r["refers_to"])})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    # the filter keeps read_archive's check of the payload, also for revisits
-    records = warc_records(archive.where("payload_bytes >= 0")).select(F.encode("record", "UTF-8").alias("record"))
-    return records.mapInArrow(read, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
+    return first.unionAll(again).mapInArrow(read, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long")
 
 
-def archived(pages: DataFrame) -> DataFrame:
-    """Write an archive of pages into the shared folder and read it back."""
+def archived(pages: DataFrame) -> str:
+    """Write an archive of pages into the shared folder; its path."""
     path = f"{shared_dir(pages.sparkSession)}/dossier-archive-{uuid.uuid4().hex}"
     write_archive(pages, path)
-    return read_archive(pages.sparkSession, path)
+    return path
