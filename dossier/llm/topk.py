@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by a three-phase uniform threshold over slices of the dimensions.
 
 The nodes of the threshold algorithm are SLICES groups of dimensions; a node's list holds a vector's inner
-product within its slice. Phase 1 takes each node's k best and their totals; the k-th best total t is a safe
-bound. Phase 2 broadcasts the cutoff t / SLICES to the nodes: a vector whose total reaches t has a slice
-score of at least that, so the entries over the cutoff suffice. Phase 3 resolves what is left exactly.
-Vectors travel in packed blocks, and each block of queries meets each block of vectors once in a phase.
+product within its slice. Phase 1 gathers the k best of each node's local list and their totals, over the heads
+alone: the HEAD longest vectors of every part of the table; the k-th best total t is a safe bound, as any k totals
+give one. Phase 2 broadcasts the cutoff t / SLICES to the nodes: a vector whose total reaches t has a slice
+score of at least that, so the entries over the cutoff suffice. Phase 3 resolves what is left exactly, for these
+entries alone. Vectors travel in packed blocks, and each block of queries meets each block of vectors once in phase 2.
 """
 
 from __future__ import annotations
@@ -16,28 +17,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ceil_div, cut, partitions
+from .common import ceil_div, cut, lean, partitions
 
-#: Nodes (slices of the dimensions); rows of a packed vector block and of a packed query block.
-SLICES, ROWS, QUERIES = 4, 4096, 512
+#: Nodes (slices of the dimensions); rows of a packed vector block, of the first block of a part, and of a packed query block.
+SLICES, ROWS, HEAD, QUERIES = 4, 4096, 512, 512
 #: Query rows that are scored at a time within a pair of blocks.
 STEP = 128
 
 
-def _packed(batches: Iterator[pd.DataFrame], width: int, rows: int):
-    held_ids, held = [], []
+def _packed(batches: Iterator[pd.DataFrame], width: int, rows: int, head: int | None = None):
+    """Blocks of a partition's vectors in their order: the first of head rows, the others of rows."""
+    held_ids, held, first = [], [], head is not None
 
     def out():
-        return pd.DataFrame({"ids": [np.asarray(held_ids, np.int64).tobytes()], "matrix": [np.stack(held).tobytes()]})
+        return pd.DataFrame({"ids": [np.asarray(held_ids, np.int64).tobytes()], "matrix": [np.stack(held).tobytes()], "head": [first]})
 
     for batch in batches:
         for i, v in zip(batch["vec_id"], batch["v"], strict=True):
             row = np.zeros(width, np.int64)
             row[: len(v)] = v
             held_ids.append(i), held.append(row)
-            if len(held) == rows:
+            if len(held) == (head if first else rows):
                 yield out()
-                held_ids, held = [], []
+                held_ids, held, first = [], [], False
     if held:
         yield out()
 
@@ -59,7 +61,7 @@ def _slices(width: int) -> list[slice]:
 
 
 def _floors(batches: Iterator[pd.DataFrame], width: int, k: int, exact: tuple[bool, bool]):
-    """Phase 1: for each query block the k best totals among the vectors that lead some node's list."""
+    """Phase 1: for each query block the k best totals among the vectors of the heads that lead some node's list."""
     best: dict[bytes, np.ndarray] = {}
     for batch in batches:
         for q_ids, q, v_ids, v in zip(batch["q_ids"], batch["q_matrix"], batch["ids"], batch["matrix"], strict=True):
@@ -128,7 +130,7 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     vectors score 0 with all. Scores must fit into 64-bit integers. Fewer than k candidates: all of them. An
     empty table gives no rows.
     """
-    spark = vectors.sparkSession
+    spark = lean(vectors.sparkSession)
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     good = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.cast("array<long>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -141,12 +143,13 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     bound = width * float(largest) ** 2
     exact = (bound < 2**24, bound < 2**53)
     tasks = min(partitions(spark), ceil_div(n, ROWS))
-    packed = "ids binary, matrix binary"
-    blocks = good.repartition(ceil_div(n, ROWS), "vec_id").mapInPandas(lambda b: _packed(b, width, ROWS), packed)
+    packed = "ids binary, matrix binary, head boolean"
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    blocks = good.repartition(ceil_div(n, ROWS + HEAD), "vec_id").sortWithinPartitions(length.desc(), "vec_id").mapInPandas(lambda b: _packed(b, width, ROWS, HEAD), packed)
     blocks = cut(blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(tasks))), "blocks")
     queries = good.where(F.col("vec_id") % every == 0).repartition(ceil_div(ceil_div(n, every), QUERIES), "vec_id").mapInPandas(lambda b: _packed(b, width, QUERIES), packed)
-    queries = cut(queries.toDF("q_ids", "q_matrix").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))), "queries")
-    pairs = queries.join(blocks, "part")
+    queries = cut(queries.drop("head").toDF("q_ids", "q_matrix").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))), "queries")
+    pairs = queries.join(blocks.where("head"), "part")
     floors = pairs.select("q_ids", "q_matrix", "ids", "matrix").mapInPandas(lambda b: _floors(b, width, k, exact), "q_ids binary, totals binary")
     floors = cut(floors.groupBy("q_ids").applyInPandas(lambda key, g: _cutoffs(key, g, k), "q_ids binary, floor binary"), "floors")
     found = queries.join(floors, "q_ids").join(blocks, "part").select("q_ids", "q_matrix", "floor", "ids", "matrix").mapInPandas(lambda b: _resolved(b, width, k, exact), "query_id long, vec_id long, score long")
