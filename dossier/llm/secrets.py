@@ -11,11 +11,14 @@ import itertools
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, pieces
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _WORDS = re.compile(r"(?ai)passw|secret|token|api_?key")
@@ -24,6 +27,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: Escapes of an escape's own sign, more than once: %25..., &#38;#38;... and \\x5cx5c... are peeled at once, not level by level.
+_NESTED = re.compile(r"%(?:25){2,}(?=[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;){2,}(?=#)|\\(?:x5[cC]|u005[cC]){2,}(?=[xu])")
+#: Bytes of decompressed data that are read at a time, and of the part before that are read again with them.
+WINDOW, OVERLAP = 1 << 20, 1 << 16
 _LETTER = "[A-Za-z0-9+/_-]"
 _BASE64 = re.compile(_LETTER + r"{16,}={0,2}")
 _BREAK = re.compile(rf"(?<={_LETTER})[ \t]*\r?\n[ \t]*(?={_LETTER})")
@@ -60,14 +67,17 @@ class _Layer:
             return self.starts, self.ends
         return min(self.starts[a:b]), max(self.ends[a:b])
 
-    def key(self) -> tuple:
-        """The text and where in the document it comes from."""
-        return self.text, *((tuple(x) if isinstance(x, list) else x) for x in (self.starts, self.ends))
+    def key(self) -> bytes:
+        """A digest of the text and of where in the document it comes from."""
+        whole = hashlib.blake2b(_bytes(self.text), digest_size=20)
+        for x in (self.starts, self.ends):
+            whole.update(x.tobytes() if isinstance(x, array) else repr(x).encode())
+        return whole.digest()
 
 
 def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with every escape of a pattern decoded, character by character."""
-    text, starts, ends, at = [], [], [], 0
+    text, starts, ends, at = [], array("q"), array("q"), 0
     for m in pattern.finditer(layer.text):
         got = decode(m)
         if got is None:
@@ -77,8 +87,8 @@ def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
             a, b = layer.span(i, i + 1)
             starts.append(a), ends.append(b)
         a, b = layer.span(*m.span())
-        starts += [a] * len(got)
-        ends += [b] * len(got)
+        starts.extend([a] * len(got))
+        ends.extend([b] * len(got))
         at = m.end()
     if not at:
         return None
@@ -123,37 +133,70 @@ def _decompressor(data: bytes):
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
 
 
-def _inflated(data: bytes) -> tuple[bytes, int]:
-    """The content of all members of compressed data, one after another, and how many bytes they take; what comes before a
-    broken place counts."""
-    out, at = [], 0
+def _inflated(data: bytes, step: int = 0) -> Iterator[tuple[bytes, int]]:
+    """(content, bytes read) of the members of compressed data, one after another, WINDOW of content at a time; what comes before a
+    broken place counts: data that breaks is read again, a few bytes at a time."""
+    at, done = 0, 0
+    window = max(WINDOW, 2 * len(data))  # so a compressed stream inside lies in one window
     while (d := _decompressor(data[at : at + 6])) is not None:
-        try:
-            out.append(d.decompress(data[at:]))
-        except _BROKEN:
-            d = _decompressor(data[at : at + 6])
+        told = 0
+        for step in (0, 32):
+            d, skip = _decompressor(data[at : at + 6]), told
             try:
-                for i in range(at, len(data), 32):
-                    out.append(d.decompress(data[i : i + 32]))
+                for got in _fed(d, data[at:], window, step):
+                    new = got[skip:]
+                    skip = max(0, skip - len(got))
+                    told += len(new)
+                    if new:
+                        yield new, len(data)
+                break
             except _BROKEN:
-                pass
-            return b"".join(out), len(data)
+                if step:
+                    return
+        done += told
         if not d.eof:
-            return b"".join(out), len(data)
+            return
         at = len(data) - len(d.unused_data)
-    return b"".join(out), at
+        yield b"", at
+
+
+def _fed(d, data: bytes, window: int, step: int) -> Iterator[bytes]:
+    """The content that a decompressor gives for data, window bytes at a time; data is given in steps, or at once."""
+    for i in range(0, len(data), step or len(data)):
+        part = data[i : i + step] if step else data
+        yield d.decompress(part, window)
+        while not d.eof and (d.unconsumed_tail if hasattr(d, "unconsumed_tail") else not d.needs_input):
+            yield d.decompress(d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b"", window)
+        if d.eof:
+            return
 
 
 def _streams(layer: _Layer) -> Iterator[_Layer]:
-    """The contents of compressed data anywhere in a layer, each mapped to the place of its data."""
+    """The contents of compressed data anywhere in a layer, each mapped to the place of its data; long ones as windows that overlap."""
     data, at = _bytes(layer.text), 0
     while (m := _MAGIC.search(data, at)) is not None:
-        inner, n = _inflated(data[m.start() :])
-        if _HINT.search(inner):
-            a = len(_text(data[: m.start()]))
-            yield _Layer(_text(inner), *layer.span(a, max(a + 1, min(len(layer.text), a + len(_text(data[m.start() : m.start() + n]))))))
+        before, some, n, held = b"", False, 0, []
+        a = len(_text(data[: m.start()]))
+        for got, n in _inflated(data[m.start() :]):
+            some = some or bool(got)
+            inner = before + got
+            if got and len(inner) < WINDOW:
+                before = inner
+                continue
+            if inner and _HINT.search(inner):
+                held.append(inner)
+            if len(held) > 4:
+                # the end isn't known yet; what is read so far needn't wait for it
+                yield _Layer(_text(held.pop(0)), *layer.span(a, len(layer.text)))
+            before = inner[-OVERLAP:] if len(inner) > OVERLAP else inner
+        if before and (not held or before != held[-1][-OVERLAP:]) and _HINT.search(before):
+            held.append(before)
+        if held:
+            span = layer.span(a, max(a + 1, min(len(layer.text), a + len(_text(data[m.start() : m.start() + n])))))
+            for inner in held:
+                yield _Layer(_text(inner), *span)
         # broken or cut data may be a chance likeness with a true stream behind it
-        at = m.start() + n if inner and n < len(data) - m.start() else m.start() + 1
+        at = m.start() + n if some and n < len(data) - m.start() else m.start() + 1
 
 
 def _phases(run: str) -> list[tuple[int, bytes]]:
@@ -171,7 +214,7 @@ def _phases(run: str) -> list[tuple[int, bytes]]:
 def _plain(data: bytes) -> bool:
     """Whether bytes are text, or compressed data from their start."""
     if _decompressor(data[:6]) is not None:
-        return bool(_inflated(data)[0])
+        return any(got for got, _ in _inflated(data))
     try:
         return all(c >= " " or c in "\t\n\r" for c in data.decode())
     except UnicodeDecodeError:
@@ -219,7 +262,7 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
         spans = [layer.span(*x) for x in lines]
         ends = list(itertools.accumulate(b - a for a, b in lines))
         for p, data in _phases("".join(layer.text[a:b] for a, b in lines)):
-            text, at, first, last = _text(data), 0, [], []
+            text, at, first, last = _text(data), 0, array("q"), array("q")
             for c in text:
                 n = len(_bytes(c))
                 first.append(spans[bisect.bisect_right(ends, min(p + at * 4 // 3, ends[-1] - 1))][0])
@@ -244,10 +287,13 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     while work:
         layer = work.pop()
         inner = []
-        if "%" in layer.text:
-            inner.append(_escaped(layer, _URL, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            inner.append(_escaped(layer, _UNICODE, _character))
+        if (peeled := _escaped(layer, _NESTED, lambda m: m[0][0])) is not None:
+            inner.append(peeled)
+        else:
+            if "%" in layer.text:
+                inner.append(_escaped(layer, _URL, _percent))
+            if "\\" in layer.text or "&#" in layer.text:
+                inner.append(_escaped(layer, _UNICODE, _character))
         for m in _BASE64.finditer(layer.text):
             inner += [_Layer(got, *layer.span(m.start() + a, m.end())) for a, got in tokens(m[0])]
         if "\n" in layer.text:
@@ -269,15 +315,16 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 def _scanned(batches: Iterator):
     import pyarrow as pa
 
-    for batch in batches:
-        rows = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-        for text in batch.column("text"):
-            base, every = spans(text.as_py() or "")
-            for k in KINDS:
-                rows[f"n_{k}"].append(sum(s[0] == k for s in base))
-            rows["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
-            rows["spans"].append(joined(every))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in rows.items()})
+    for whole in batches:
+        for batch in pieces(whole):
+            rows = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
+            for text in batch.column("text"):
+                base, every = spans(text.as_py() or "")
+                for k in KINDS:
+                    rows[f"n_{k}"].append(sum(s[0] == k for s in base))
+                rows["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
+                rows["spans"].append(joined(every))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.string() if k in ("base_sha256", "spans") else pa.int64()) for k, v in rows.items()})
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -286,6 +333,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null texts count as empty (no spans, the digest of the empty string). Repeated rows keep one row each; null ids stay
     null. Other columns are ignored. Offsets are code points, ends exclusive.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -312,9 +360,11 @@ def redact(docs: DataFrame) -> DataFrame:
     def masked(batches: Iterator):
         import pyarrow as pa
 
-        for batch in batches:
-            text = pa.array([mask(x.as_py()) for x in batch.column("text")], pa.string())
-            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+        for whole in batches:
+            for batch in pieces(whole):
+                text = pa.array([mask(x.as_py()) for x in batch.column("text")], pa.string())
+                yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
+    lean(docs.sparkSession)
     out = docs.mapInArrow(masked, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
