@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ceil_div, cut, partitions
+from .common import ceil_div, cut, lean, partitions
 
 #: Weights of the sources in code point order, repeated; the share of all words that is taken; the most times a document is taken.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -48,15 +48,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = cut(ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "weights")
     total = share * float(ranked.agg(F.sum("source_size")).first()[0] or 0)
-    rate = None
+    rate, capped = None, -1
     while True:
-        # a source once above stays capped: the rate only rises
+        # a source once above stays capped, as the rate only rises: the same number is the same sources
         full = F.lit(False) if rate is None else F.col("weight") * rate > F.col("cap")
-        spent, left = ranked.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
-        new = (total - (spent or 0.0)) / left if left else rate
-        if rate == new or not left or not total:
+        spent, left, above = ranked.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if above == capped or not left or not total:
             break
-        rate = new
+        rate, capped = (total - (spent or 0.0)) / left, above
     target = F.least(F.col("weight") * (rate or 0.0), F.col("cap")) if total else F.lit(0.0)
     return ranked.select("source", "n", "source_size", target.cast("double").alias("target"))
 
@@ -125,7 +124,7 @@ def _flown(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
-    """One row per row of docs(doc_id, source, text, ...): doc_id, size, source_size, target, taken, copies, row (internal).
+    """One row per row of docs(doc_id, source, text, ...): doc_id, size, source_size, target, taken, copies, row, key (both internal).
 
     size counts words (null text: 0). taken = copies * size. Documents of a source have the same expected
     copies, target / source_size, so copies is its floor or that plus one, never above most. A source without words has
@@ -133,8 +132,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     null id too. Reruns over the same files and split sizes agree: draws hang on ids and sizes, blocks on the row's place in its
     file too. An empty table gives no rows.
     """
+    lean(docs.sparkSession)
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _key(docs).alias("key"))
     sized = cut(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     per = cut(targets(sized, weights, share, most), "targets")
     few = per.count() <= 100_000
@@ -162,16 +162,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         taken = taken.unionAll(more.select("row", "p"))
     out = base.join(taken.withColumnRenamed("p", "more"), "row")
     copies = (F.col("whole") + F.round("more")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "row")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "row", "key")
+
+
+def _key(docs: DataFrame) -> F.Column:
+    """A hash of a row's id, source and text: equal for rows that are interchangeable in the plan."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["source"].cast("string"), docs["text"].cast("string"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs."""
-    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    # rows of one id and size are interchangeable in the plan, so they are told apart by a number
-    nth = lambda order: F.row_number().over(Window.partitionBy("id_", "size_").orderBy(order))
-    plan = mix(docs, **options).select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), "copies").withColumn("nth_", nth("copies"))
-    rows = docs.withColumns({"id_": F.col("doc_id").cast("long"), "size_": size}).withColumn("nth_", nth(F.xxhash64("text")))
-    same = rows["id_"].eqNullSafe(plan["id_"]) & (rows["size_"] == plan["size_"]) & (rows["nth_"] == plan["nth_"])
-    both = rows.join(plan.where("copies > 0"), same)
-    return both.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), plan["copies"])).alias("copy_")).drop("copy_")
+    """The mix itself: the rows of docs, each as often as it is taken, with the columns of docs.
+
+    Rows meet the plan by a hash of id, source and text, and copies of a row by a number among them, so other columns keep their values
+    whatever their names are.
+    """
+    nth = lambda order: F.row_number().over(Window.partitionBy("key").orderBy(order))
+    plan = mix(docs, **options).select("key", "copies").withColumn("nth", nth("copies"))
+    whole = F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc")
+    rows = docs.select(whole, _key(docs).alias("key")).withColumn("nth", nth("key"))
+    both = rows.join(plan.where("copies > 0"), ["key", "nth"])
+    return both.select("doc", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("doc.*")
