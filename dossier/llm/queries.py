@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import metric, minhash, mixing, packing, quality, secrets, suffix, topk, toxicity, warc
 
@@ -48,7 +49,9 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=400, keep=False).drop("kept")
+    kept = suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    # a cut may part the bytes of a character
+    return kept.withColumn("has_repeat", F.col("n_removed") > 0).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

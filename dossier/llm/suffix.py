@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, among, ceil_div, cut, fmix64, powers
+from .common import BASE, INVERSE, among, ceil_div, cut, fmix64, lean, powers
 
 #: Bytes of the strings that count, of an anchor, and of windows in a block.
 LENGTH, GRAM, SPAN = 400, 48, 64
@@ -273,6 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, span
     """
     if not gram <= length - span + 1 or span > 64:
         raise ValueError("gram must fit into the core, and span into 64 bits")
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = repeated_blocks(docs.where("doc_id is not null"), length, gram, span)
     runs = cut(runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lo", "mask")).alias("runs")), "runs")
