@@ -7,32 +7,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm import minhash, mixing, packing, secrets, toxicity
-from dossier.llm.common import among, shared_dir
+from dossier.llm.common import among, dropped, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject, as they are. Null and empty texts are scored as texts without words; rows without an id
+    and repeated rows are judged each by its text; columns besides doc_id and text don't matter. An empty table gives no rows."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id."""
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id. Rows that repeat a doc_id are one
+    document and stay together; texts without words and rows without an id stay. An empty table gives no rows."""
     found = minhash.near_duplicates(docs, k=5, percent=80)
     return among(docs, found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked and n_chars counted again. Null and empty texts stay as they are, repeated rows too."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as they are taken."""
+    """The mix: documents as often as they are taken, twice at most. Null is a source of its own; texts without words weigh nothing and are
+    not taken; repeated rows and rows without an id are sampled each by itself. An empty table gives no rows."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of permitted lengths."""
+    """Pieces of documents in sequences of permitted lengths: a row per piece. Texts without words have none; repeated rows are packed each."""
     return packing.pack(docs)
 
 
@@ -43,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between them the rows lie as Parquet in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; between them the rows lie as Parquet in the shared folder, until the next stage's are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/dossier-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            dropped(before)
+        docs = before = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

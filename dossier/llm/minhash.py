@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, components, cut, fmix32, fmix64
+from .common import among, components, cut, fmix32, fmix64, lean
 
 #: Signature length, and rows in a band. At a Jaccard of 0.85 a pair misses all 32 bands with probability 6e-11, at 0.8 with 5e-8.
 COORDINATES, ROWS = 128, 4
@@ -42,7 +42,7 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         if not words:
             yield np.zeros(0, np.uint64)
             continue
-        if len(known) > 200_000:
+        if len(known) > 50_000:
             known.clear()
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(words) - k + 1)
@@ -114,9 +114,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Copies collapse to one representative per distinct set (a partial aggregation), so a group of thousands
     of copies costs one member. Representatives that share a band are compared in two rounds. First each with its
     bucket's centre, the member whose bands are the most shared: linear in the bucket, and exact. Then only pairs whose
-    components still differ, after two tests inside the join: 128-bit sketches, and a bound on the intersection
-    from the exact comparison of both with their centre. Every link is verified on the full sets.
+    components still differ: of such a pair one isn't in the centre's component, so those few meet the bucket, after two
+    tests inside the join: 128-bit sketches, and a bound on the intersection from the exact comparison of both with their
+    centre. Every link is verified on the full sets.
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch0 long, sketch1 long"
     signed = cut(docs.mapInArrow(lambda b: _signed(b, k), schema), "signed")
@@ -138,17 +140,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     # second round: buckets that still hold several components
     placed = member.select("band", "value", "a", "b", "bn", "b0", "b1").join(parts, member.b == parts.node, "left").withColumn("bc", F.coalesce("component", "b")).drop("node", "component")
+    placed = placed.join(parts.toDF("centre_", "ac"), F.col("a") == F.col("centre_"), "left").withColumn("apart", F.coalesce("ac", "a") != F.col("bc")).drop("centre_", "ac")
     placed = cut(placed, "placed")
     mixed = placed.groupBy("band", "value").agg(F.min("bc").alias("lo"), F.max("bc").alias("hi")).where("lo < hi").select("band", "value")
     placed = placed.join(mixed, ["band", "value"], "left_semi").join(star.select("a", "b", "bits", "more", (F.col("bn") - F.col("common")).alias("rest")), ["a", "b"], "left")
     placed = cut(placed, "mixed")
-    side = lambda s: placed.select("band", "value", *[F.col(f"b{c}").alias(f"{s}{c}") for c in ("", "n", "0", "1", "c")], F.col("bits").alias(f"{s}bits"), F.col("more").alias(f"{s}more"), F.col("rest").alias(f"{s}rest"), (F.col("a") == F.col("b")).alias(f"{s}centre"))
+    side = lambda s: placed.select("band", "value", *[F.col(f"b{c}").alias(f"{s}{c}") for c in ("", "n", "0", "1", "c")], F.col("bits").alias(f"{s}bits"), F.col("more").alias(f"{s}more"), F.col("rest").alias(f"{s}rest"), (F.col("a") == F.col("b")).alias(f"{s}centre"), F.col("apart").alias(f"{s}apart"))
     # within the centre's set the intersection is counted; outside it, each bit that one side alone has is a shingle the other lacks
     lacks = lambda p, q: f"aggregate(zip_with({p}more, {q}more, (p, q) -> bit_count(p & ~q)), 0, (t, n) -> t + n)"
     inside = F.expr(f"aggregate(zip_with(abits, bbits, (p, q) -> bit_count(p & q)), 0, (t, n) -> t + n) + least(arest - {lacks('a', 'b')}, brest - {lacks('b', 'a')})")
     bound = F.when(F.col("acentre") | F.col("bcentre"), F.coalesce("abits", "bbits").isNull()).when(F.col("abits").isNull() | F.col("bbits").isNull(), True).otherwise(_enough(inside, "an", "bn", percent))
-    x, y = side("a"), side("b")
-    cross = x.join(y, (x.band == y.band) & (x.value == y.value) & (x.a < y.b) & (x.ac != y.bc) & near & bound).select("a", "b").distinct()
+    # pairs of two members that are both apart from the centre's component come once, by their ids
+    x, y = side("a").where("aapart"), side("b")
+    cross = x.join(y, (x.band == y.band) & (x.value == y.value) & (~y.bapart | (x.a < y.b)) & (x.ac != y.bc) & near & bound)
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = _compared(docs, cross, k)
     linked = linked.unionAll(found.where(_enough("common", "an", "bn", percent)).select("a", "b"))
     parts = components(linked, "a", "b")

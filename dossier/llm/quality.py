@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, lean
 from .sample import BYTES, DOCUMENTS, labelled
 
 #: Filters and their width in bytes; half of a chunk (chunks overlap by half).
@@ -130,6 +130,7 @@ def score_texts(docs: DataFrame, net: ConvNet, threshold: float) -> DataFrame:
             for part in pieces(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([net.score(t, pairs) for t in utf8(part.column("text"))], pa.float64())], names=["doc_id", "held_out", "score"])
 
+    lean(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(scored, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

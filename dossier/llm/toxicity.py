@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, lean
 from .sample import DOCUMENTS, labelled
 
 #: Common insults in the corpus's languages; words that the labelled sample shows to be toxic are added.
@@ -184,6 +184,7 @@ def score_texts(docs: DataFrame, model: Boosted, threshold: float) -> DataFrame:
                 x = np.array([features(t.as_py() or "", model.lexicon, model.learned) for t in part.column("text")])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.score(x), pa.float64())], names=["doc_id", "held_out", "score"])
 
+    lean(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(scored, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -207,9 +208,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, do
     def kept(batches: Iterator):
         import pyarrow as pa
 
+        from .common import pieces
+
         for batch in batches:
-            if batch.num_rows:
-                x = np.array([features(t.as_py() or "", model.lexicon, model.learned) for t in batch.column("text")])
-                yield batch.filter(pa.array(model.score(x) < threshold))
+            for part in pieces(batch):
+                x = np.array([features(t.as_py() or "", model.lexicon, model.learned) for t in part.column("text")])
+                yield part.filter(pa.array(model.score(x) < threshold))
 
+    lean(docs.sparkSession)
     return docs.mapInArrow(kept, schema)
