@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 # fixed values
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy")
-FIELD_ALIASES = {"full_name": "name", "applicant_name": "name", "dob": "date_of_birth", "birth_date": "date_of_birth", "mobile": "phone", "phone_number": "phone", "residential_address": "address", "email_id": "email"}
-FIELD_TYPES = (("date", ("date", "dob", "expiry")), ("email", ("email",)), ("phone", ("phone", "mobile")), ("amount", ("amount", "fee", "price")), ("number", ("number", "no", "id")))
-INTENTS = (("deadline", "deadline|due date|last date|expir"), ("amount", "amount|fee|cost|how much"), ("people", r"who\b|people|person|officer"), ("location", r"where\b|location|address"), ("summary", "summar|about|overview"))
+SHORT_DATE_FORMATS = ("dd/MM/yy", "dd-MM-yy", "MMMM d yyyy")
+FIELD_DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d MMMM yyyy")
+FIELD_ALIASES = {"name": "full_name", "applicant_name": "full_name", "holder_name": "full_name", "deponent_name": "full_name", "dob": "date_of_birth", "birth_date": "date_of_birth", "phone": "contact_number", "mobile": "contact_number"}
+FIELD_TYPES = (("date", ("date", "dob", "birth", "issue", "expiry", "valid")), ("number", ("amount", "fee", "price", "cost", "salary", "income")), ("email", ("email",)), ("phone", ("phone", "mobile", "contact", "tel")))
+INTENTS = (
+    ("about", r"what\s+(?:is|does)\s+this\s+document\s+(?:about|contain|say)|summary|summarize|summarise|overview|describe|what\s+(?:is|are)\s+the\s+(?:content|subject|topic)"),
+    ("department", r"which\s+department|issued\s+by|issuing\s+(?:authority|body|office)|who\s+issued|department|authority|ministry|office"),
+    ("verified", r"is\s+(?:it|this|the\s+document)\s+verified|verification\s+status|trust\s+(?:badge|level|score)|authentic|genuine|valid|legitimate"),
+    ("deadline", r"deadline|due\s+date|last\s+date|expir|when\s+(?:does|will)\s+(?:it|this)\s+expire|valid\s+(?:until|till|upto)"),
+    ("ongoing_case", r"ongoing\s+case|active\s+case|pending\s+case|is\s+there\s+(?:a|an|any)\s+(?:ongoing|active|pending)\s+case|case\s+status|fir|complaint"),
+    ("person", r"who\s+(?:is|are)|person|people|name|citizen|officer|applicant|petitioner|respondent|accused|complainant"),
+    ("date", r"(?:what|when)\s+(?:is|are)\s+the\s+(?:important|key)?\s*date|date\s+of\s+(?:issue|birth|filing|hearing)"),
+    ("amount", r"(?:what|how\s+much)\s+(?:is|are)\s+the\s+(?:amount|fee|fine|cost)|(?:Rs|rupee|INR|amount|sum|total|fee|fine|penalty)"),
+    ("location", r"where|location|address|place|district|state|city|jurisdiction|area|region"),
+)
 NUMERIC_DATE = r"\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\b[0-9]{10}\b"
@@ -45,19 +57,28 @@ def letter_share(text) -> Column:
 
 
 def normal_name(name) -> Column:
-    """Titles go, spaces are squeezed, words are capitalised."""
-    bare = F.regexp_replace(F.trim(name), r"(?i)^(mr|mrs|ms|dr|shri|smt)\.? +", "")
-    return F.initcap(F.regexp_replace(bare, SPACE, " "))
+    """Titles go wherever they stand, spaces are squeezed, words are capitalised."""
+    bare = F.regexp_replace(name, r"(?i)\b(Mr|Mrs|Ms|Dr|Prof|Sir|Madam)\.?\b", "")
+    return F.initcap(F.trim(F.regexp_replace(bare, SPACE, " ")))
+
+
+def normal_date(text) -> Column:
+    """The first yyyy-MM-dd, dd/MM/yyyy or dd-MM-yyyy in a text, in that order, as yyyy-MM-dd; null without one. Days aren't checked."""
+    out = F.lit(None).cast("string")
+    for p in ("([0-9]{2})-([0-9]{2})-([0-9]{4})", "([0-9]{2})/([0-9]{2})/([0-9]{4})"):
+        g = [F.regexp_extract(text, p, i) for i in (3, 2, 1)]
+        out = F.when(text.rlike(p), F.concat_ws("-", *g)).otherwise(out)
+    return F.when(text.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.regexp_extract(text, "[0-9]{4}-[0-9]{2}-[0-9]{2}", 0)).otherwise(out)
 
 
 def normal_phone(phone) -> Column:
-    """The last ten digits."""
+    """The last ten digits, after a leading 91 of more than ten."""
     digits = F.regexp_replace(phone, "[^0-9]", "")
     return F.when(F.length(digits) > 10, F.substring(digits, -10, 10)).otherwise(digits)
 
 
 def normal_address(address) -> Column:
-    return F.regexp_replace(F.lower(F.trim(address)), SPACE, " ")
+    return F.trim(F.regexp_replace(F.lower(address), SPACE, " "))
 
 
 def parsed_date(text, formats=DATE_FORMATS) -> Column:
@@ -73,18 +94,18 @@ def alias(field, aliases=None) -> Column:
 
 
 def field_type(field, rules=FIELD_TYPES) -> Column:
-    """The first type with a keyword in the field's name, else text."""
-    out = F.lit("text")
+    """The first type with a keyword in the field's name, else string."""
+    out = F.lit("string")
     for kind, words in reversed(rules):
         out = F.when(F.lower(field).rlike("|".join(words)), kind).otherwise(out)
     return out
 
 
 def intent(question, rules=INTENTS) -> Column:
-    """The first intent whose pattern occurs in the question, else general."""
+    """The first intent whose pattern occurs in the question in lower case, else general. Capitals in a pattern never match."""
     out = F.lit("general")
     for name, pattern in reversed(rules):
-        out = F.when(F.lower(question).rlike(pattern), name).otherwise(out)
+        out = F.when(F.lower(F.trim(question)).rlike(pattern), name).otherwise(out)
     return out
 
 
