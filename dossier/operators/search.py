@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import blocks, text
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -15,47 +18,99 @@ def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents with a score over 0 for each of queries(query_id, query).
 
     Okapi weights with k1 1.5 and b 0.75; a negative inverse frequency becomes a quarter of the mean over all terms. Counts
-    cover all documents. Terms are dealt by term, and only the queries' terms meet the lists, so nothing of
-    the corpus is gathered. Query words count as often as they occur. Null texts are empty.
+    cover all documents. Query words count as often as they occur. Null texts are empty. doc_id and query_id are integers.
+
+    Documents are scored where they lie: a task holds the weights of a block of queries (most queries at a time, a bounded
+    number of rows) and leaves k documents per query, so a frequent word meets no posting list and the only shuffle is that of
+    k rows per query and task. More queries take more passes.
     """
     words = docs.select("doc_id", text.tokens(F.col("text")).alias("words"))
-    size = words.select("doc_id", F.size("words").alias("dl"))
-    total = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = words.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    raw = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total), F.lit(True)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), F.lit(True)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(idf, "term").join(tf, "term").join(size, "doc_id").join(F.broadcast(total), F.lit(True))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    n, mean_length = words.agg(F.count("*"), F.avg(F.size("words"))).first()
+    frequency = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = frequency.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    passes = max(1, -(-asked.select("query_id").distinct().count() // most))
+    floor = FLOOR * F.lit(raw.agg(F.avg("raw")).first()[0])
+    weighed = asked.join(raw, "term").select("query_id", "term", (F.col("times") * F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")) * (K1 + 1)).alias("weight"))
+    weighed = weighed.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    scored = None
+    for i in range(passes):
+        rows = weighed.where(F.col("pass") == i).select("query_id", "term", "weight").collect()
+        if rows:
+            part = slim.mapInArrow(_scorer(rows, mean_length, k), "query_id long, doc_id long, score double")
+            scored = part if scored is None else scored.unionAll(part)
+    if scored is None:
+        scored = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     return top(scored, "query_id", [F.desc("score"), F.col("doc_id")], k)
 
 
-def vector_scores(vectors_: DataFrame, every: int, score) -> DataFrame:
-    """query_id, vec_id, label, score of the rows whose vec_id is divisible by every against all others. The queries are the
-    small side: they are joined as a nested loop over the vectors, each partition of which stays where it is."""
-    q = vectors_.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    v = vectors_.select("vec_id", F.col("embedding").alias("v"), "label")
-    return v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "query_label", "vec_id", "label", score(F.col("q"), F.col("v")).alias("score"))
+def _scorer(rows: list, mean_length: float, k: int, most_pairs: int = 2_000_000):
+    """The function that scores a partition's documents for a block of queries and keeps k of each."""
+    ids = sorted({r.query_id for r in rows})
+    place = {q: i for i, q in enumerate(ids)}
+    terms: dict[bytes, int] = {}
+    rows = sorted(((terms.setdefault(r.term.encode(), len(terms)), place[r.query_id], r.weight) for r in rows), key=lambda r: r[:2])
+    of, at, weight = (np.array(c) for c in zip(*rows, strict=True))
+    start = np.searchsorted(of, np.arange(len(terms) + 1))
+
+    def better(query, doc, score):
+        """The k best of each query, ties to the smaller document."""
+        order = np.lexsort((doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        return tuple(x[nth < k] for x in (query, doc, score))
+
+    def scores(docs, lengths, doc, term, tf):
+        part = tf / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+        count = start[term + 1] - start[term]
+        take = np.repeat(start[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        total = np.bincount(np.repeat(doc, count) * len(ids) + at[take], np.repeat(part, count) * weight[take], len(docs) * len(ids))
+        total = np.round(total, 6)
+        hit = np.flatnonzero(total > 0)
+        return hit % len(ids), docs[hit // len(ids)], total[hit]
+
+    def scored(batches):
+        import pyarrow as pa
+
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            pending, pairs, first = [], 0, 0
+            for i, t in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                words = t.split()
+                counts = Counter(w for w in words if w in terms)
+                pending.append((len(words), [(terms[w], c) for w, c in counts.items()]))
+                pairs += sum(start[x + 1] - start[x] for x, _ in pending[-1][1])
+                if pairs > most_pairs or i == len(docs) - 1:
+                    hits = np.array([(d, x, c) for d, (_, found) in enumerate(pending) for x, c in found], np.int64).reshape(-1, 3)
+                    new = scores(docs[first : i + 1], np.array([n for n, _ in pending], float), *hits.T)
+                    held = better(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+                    pending, pairs, first = [], 0, i + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "doc_id", "score"])
+
+    return scored
 
 
 def cosine_top_k(vectors_: DataFrame, k: int = 5, every: int = 100, same_label: bool = False) -> DataFrame:
-    """Best by cosine; the filter on labels, if any, comes before the ranking."""
-    scores = vector_scores(vectors_, every, vectors.cosine)
-    scores = scores.where("label = query_label") if same_label else scores
-    return top(scores.select("query_id", "vec_id", F.round("score", 6).alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], k)
+    """query_id, vec_id, score, rank of the rows whose vec_id is divisible by every against all others, best by cosine; the filter on
+    labels, if any, comes before the ranking. Blocks of queries meet blocks of vectors, and each leaves k rows of a query."""
+    found = blocks.best(vectors_.where(F.col("vec_id") % every == 0), vectors_, blocks.cosines, k, "label" if same_label else None)
+    return top(found.select("query_id", "vec_id", F.round("score", 6).alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], k)
 
 
 def l2_top_k(vectors_: DataFrame, k: int = 5, every: int = 100, same_label: bool = True) -> DataFrame:
     """Best by 1 / (1 + squared distance); the filter comes after the ranking, so fewer than k may be left."""
-    scores = vector_scores(vectors_, every, lambda a, b: F.round(1 / (1 + vectors.squared_distance(a, b)), 6))
-    best = top(scores, "query_id", [F.desc("score"), F.col("vec_id")], k)
-    return (best.where("label = query_label") if same_label else best).select("query_id", "vec_id", "score", "rank")
+    found = blocks.best(vectors_.where(F.col("vec_id") % every == 0), vectors_, blocks.closeness, k)
+    best = top(found.select("query_id", "vec_id", F.round("score", 6).alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], k)
+    if same_label:
+        of = vectors_.select("vec_id", "label")
+        best = best.join(of, "vec_id").join(of.toDF("query_id", "query_label"), "query_id").where("label = query_label")
+    return best.select("query_id", "vec_id", "score", "rank")
 
 
 def fused(semantic: DataFrame, keyword: DataFrame, weights: tuple[float, float] = (0.7, 0.3), k: int = 5) -> DataFrame:
