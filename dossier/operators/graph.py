@@ -7,12 +7,34 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: colours of node types, and what fields of a document say about it
+COLOURS = {"Person": "#818cf8", "Organization": "#f472b6", "Location": "#34d399", "Date": "#fbbf24", "Identifier": "#60a5fa", "Concept": "#60a5fa", "Attribute": "#94a3b8", "Document": "#475569", "Other": "#6b7280"}
+FIELD_VERTICES = {
+    "full_name": ("Person", "HAS_PERSON"), "applicant_name": ("Person", "HAS_APPLICANT"), "holder_name": ("Person", "HAS_HOLDER"), "deponent_name": ("Person", "HAS_DEPONENT"),
+    "father_name": ("Person", "HAS_FATHER"), "mother_name": ("Person", "HAS_MOTHER"), "judge_name": ("Person", "HAS_JUDGE"), "advocate_name": ("Person", "HAS_ADVOCATE"),
+    "party_a_name": ("Person", "HAS_PARTY_A"), "party_b_name": ("Person", "HAS_PARTY_B"), "issuing_authority": ("Organization", "ISSUED_BY"), "court_name": ("Organization", "FILED_IN"),
+    "department": ("Organization", "SUBMITTED_TO"), "address": ("Address", "HAS_ADDRESS"), "applicant_address": ("Address", "HAS_ADDRESS"), "date_of_birth": ("Date", "HAS_DATE"),
+    "issue_date": ("Date", "ISSUED_ON"), "date_filed": ("Date", "FILED_ON"), "statement_date": ("Date", "DATED"), "document_number": ("ID", "HAS_ID"),
+    "application_number": ("ID", "HAS_APPLICATION_ID"), "case_number": ("ID", "HAS_CASE_ID"), "certificate_number": ("ID", "HAS_CERTIFICATE_ID"),
+}
+TIMES = ("issue_date", "date_of_birth", "effective_date", "upload_timestamp", "created_at", "filing_date")
+INGESTED = {"officer": "handled_by", "department": "issued_by"}
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a folder of this machine only where none is set."""
-    context = df.sparkSession.sparkContext
+
+def checkpoint_dir(spark) -> str:
+    """The folder of spark.checkpoint.dir, or the one that is set; one of its own only in local mode, as machines don't share theirs."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dossier-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="dossier-"))
+    return context.getCheckpointDir()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -37,9 +59,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def clusters(edges: DataFrame, least: int = 3) -> DataFrame:
-    """component, n_nodes, n_edges, density (of a directed graph) of components with at least least nodes."""
+def fraud_clusters(vertices: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
+    """component, n_nodes, density, risk, indicators of components of least nodes or more with a risk over .1: one citizen with five documents
+    or more .3, three cases .2, three departments .1, a density over .5 .2. vertices(id, type)."""
     parts = components(edges)
+    n = lambda t: F.count_if(F.col("type") == t).alias(t)
+    kinds = parts.join(vertices, parts.node == vertices.id, "left").groupBy("component").agg(n("citizen"), n("document"), n("case"), n("department"))
+    both = clusters(edges, least, parts).join(kinds, "component")
+    marks = [((F.col("citizen") == 1) & (F.col("document") >= 5), 0.3, "Single citizen with many documents"), (F.col("case") >= 3, 0.2, "Multiple cases in cluster"), (F.col("department") >= 3, 0.1, "Cross-department connections"), (F.col("density") > 0.5, 0.2, "Dense cluster")]
+    risk = sum((F.when(c, w).otherwise(0.0) for c, w, _ in marks), F.lit(0.0))
+    found = both.select("component", "n_nodes", "density", F.round(risk, 3).alias("risk"), F.concat_ws("; ", *[F.when(c, text) for c, _, text in marks]).alias("indicators"))
+    return found.where("risk > 0.1")
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """id, degree, triangles, coefficient of each node of the undirected graph.
+
+    Each link points to its end of higher degree, so a hub's links come in and not out: the pairs of out-links that are tried number at most
+    the links to the power 1.5.
+    """
+    both = _kept(undirected(edges))
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    ranked = both.join(degree.toDF("src", "ds"), "src").join(degree.toDF("dst", "dd"), "dst").where("struct(ds, src) < struct(dd, dst)").select("src", "dst", "dd")
+    x, y = ranked.toDF("apex", "b", "db"), ranked.toDF("apex", "c", "dc")
+    wedges = x.join(y, "apex").where("struct(db, b) < struct(dc, c)").select("apex", "b", "c")
+    closed = wedges.join(ranked.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
+    counts = closed.select(F.explode(F.array("apex", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
+    out = degree.join(counts, "id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    return out.withColumn("coefficient", F.round(F.coalesce(F.try_divide(2.0 * F.col("triangles"), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0)), 6))
+
+
+def clusters(edges: DataFrame, least: int = 3, parts: DataFrame | None = None) -> DataFrame:
+    """component, n_nodes, n_edges, density (of a directed graph) of components with at least least nodes; parts, if they are known."""
+    parts = components(edges) if parts is None else parts
     ends = edges.where("src <> dst").select("src", "dst").distinct()
     inside = ends.join(parts, ends.src == parts.node).groupBy("component").agg(F.count("*").alias("n_edges"))
     size = parts.groupBy("component").agg(F.count("*").alias("n_nodes")).where(F.col("n_nodes") >= least)
@@ -114,3 +166,158 @@ def suggestions(edges: DataFrame) -> DataFrame:
     x, y = edges.alias("x"), edges.alias("y")
     two = x.join(y, F.col("x.dst") == F.col("y.src")).where("x.src <> y.dst").select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), (F.col("x.confidence") * F.col("y.confidence")).alias("score"))
     return two.groupBy("src", "dst").agg(F.round(F.least(F.max("score"), F.lit(1.0)), 6).alias("score")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def type_counts(rows: DataFrame) -> DataFrame:
+    """type, n: how many vertices or edges there are of each type."""
+    return rows.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def top_by_degree(edges: DataFrame, n: int) -> DataFrame:
+    """id, degree, centrality of the n nodes with the most links, ties to the smaller id."""
+    return centrality(edges).orderBy(F.desc("degree"), "id").limit(n)
+
+
+def key_entities(vertices: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+    """id, name, importance of the n best of vertices(id, name, freq, confidence): .6 of the degree over the highest, .3 of the frequency over 5
+    (1 at most), .1 of the confidence."""
+    degrees = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    most = degrees.agg(F.max("degree").alias("most"))
+    both = vertices.join(degrees, "id", "left").join(F.broadcast(most), F.lit(True))
+    score = 0.6 * F.coalesce(F.col("degree") / F.col("most"), F.lit(0.0)) + 0.3 * F.least(F.lit(1.0), F.col("freq") / 5) + 0.1 * F.col("confidence")
+    return both.select("id", "name", F.round(score, 6).alias("importance")).orderBy(F.desc("importance"), "id").limit(n)
+
+
+def search(vertices: DataFrame, query: str, type_: str | None = None, least: float = 0.0, limit: int = 10) -> DataFrame:
+    """Of vertices(id, name, type, confidence, freq, metadata map) those whose name or metadata contain the query in any case, the surest and
+    most frequent first."""
+    low = query.lower()
+    hit = F.contains(F.lower("name"), F.lit(low)) | F.exists(F.map_values("metadata"), lambda v: F.coalesce(F.contains(F.lower(v), F.lit(low)), F.lit(False)))
+    rows = vertices.where(F.coalesce(hit, F.contains(F.lower("name"), F.lit(low)))).where(F.col("confidence") >= least)
+    rows = rows.where(F.col("type") == type_) if type_ else rows
+    return rows.orderBy(F.desc("confidence"), F.desc("freq"), "id").limit(limit)
+
+
+def lookup(vertices: DataFrame, names: DataFrame) -> DataFrame:
+    """asked, id, name for names(asked): the vertex of that lower-case name, else the shortest that contains it, ties to the smaller id; names
+    without one give no row. Exact names meet by equality; only what is left is looked for inside names."""
+    low = names.select("asked", F.lower(F.trim("asked")).alias("low")).distinct()
+    exact = low.join(vertices.select("id", "name", F.lower("name").alias("low")), "low").groupBy("asked").agg(F.min(F.struct(F.length("name").alias("n"), "id", "name")).alias("v"))
+    rest = low.join(exact.select("asked"), "asked", "left_anti")
+    part = vertices.join(rest, F.contains(F.lower("name"), F.col("low"))).groupBy("asked").agg(F.min(F.struct(F.length("name").alias("n"), "id", "name")).alias("v"))
+    return exact.unionAll(part).select("asked", "v.id", "v.name")
+
+
+def connections(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, type, direction, n, names: a node's neighbours by relation and direction, names in order."""
+    named = vertices.select(F.col("id").alias("other"), "name")
+    out = edges.select(F.col("src").alias("id"), "type", F.lit("outgoing").alias("direction"), F.col("dst").alias("other"))
+    into = edges.select(F.col("dst").alias("id"), "type", F.lit("incoming").alias("direction"), F.col("src").alias("other"))
+    return out.unionAll(into).join(named, "other", "left").groupBy("id", "type", "direction").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(F.coalesce("name", "other"))), "; ").alias("names"))
+
+
+def with_ends(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """vertices(id, name, type) and an entity 'Unknown-<id>' for each end of an edge that isn't among them."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(vertices.select("id"), "id", "left_anti")
+    return vertices.select("id", "name", "type").unionByName(ends.select("id", F.concat(F.lit("Unknown-"), "id").alias("name"), F.lit("Unknown").alias("type")))
+
+
+def last_written(nodes: DataFrame) -> DataFrame:
+    """A store of nodes(id, type, properties, at): the last write of an id counts."""
+    return nodes.groupBy("id").agg(F.max_by(F.struct("type", "properties"), F.struct("at", "type")).alias("r")).select("id", "r.*")
+
+
+def coloured(vertices: DataFrame, edges: DataFrame, colours: dict[str, str] | None = None) -> DataFrame:
+    """id, name, type, colour, size for a drawing: the type's colour (Other's for others), 5 and one for each link, 15 at most."""
+    colours = COLOURS if colours is None else colours
+    known = F.create_map(*[F.lit(x) for kv in colours.items() for x in kv])
+    degrees = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    size = 5 + F.least(F.lit(10), F.coalesce("degree", F.lit(0)))
+    return vertices.join(degrees, "id", "left").select("id", "name", "type", F.coalesce(F.try_element_at(known, F.col("type")), F.lit(colours["Other"])).alias("colour"), size.cast("int").alias("size"))
+
+
+def labelled(edges: DataFrame) -> DataFrame:
+    """source, target, type, label: edges for a drawing, types with spaces."""
+    return edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "type", F.replace("type", F.lit("_"), F.lit(" ")).alias("label"))
+
+
+def populated(fields: DataFrame, least: float = 0.5) -> DataFrame:
+    """src, dst, type, entity_type, confidence: edges from a document to the entities that fields(document_id, field, value, confidence) name;
+    those under least, empty ones and fields without a meaning here give none. An entity's id is its type and value."""
+    kinds = F.create_map(*[x for f, (t, r) in FIELD_VERTICES.items() for x in (F.lit(f), F.struct(F.lit(t).alias("t"), F.lit(r).alias("r")))])
+    rows = fields.where(F.col("confidence") >= least).where("value <> ''").withColumn("k", F.try_element_at(kinds, F.col("field"))).where("k is not null")
+    entity = F.replace(F.concat(F.col("k.t"), F.lit("_"), F.col("value")), F.lit(" "), F.lit("_"))
+    return rows.select(F.col("document_id").alias("src"), entity.alias("dst"), F.col("k.r").alias("type"), F.col("k.t").alias("entity_type"), F.col("confidence").cast("double").alias("confidence"))
+
+
+def ingested(docs: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vertices(id, name, type) and edges(src, dst, type) of docs(document_id, name, owner) and profiles(document_id, type, name): an owner owns the
+    document, officers handle it, departments issue it; citizens, courts and institutions stand alone, courts as institutions."""
+    key = lambda t, n: F.concat_ws(":", t, F.lower(n))
+    kind = F.when(F.col("type") == "court", "institution").otherwise(F.col("type"))
+    owners = docs.where("owner <> ''")
+    people = profiles.where("name <> ''").select("document_id", kind.alias("type"), "name")
+    vertices = docs.select(F.concat_ws(":", F.lit("document"), F.col("document_id").cast("string")).alias("id"), "name", F.lit("document").alias("type"))
+    vertices = vertices.unionByName(owners.select(key(F.lit("citizen"), F.col("owner")).alias("id"), F.col("owner").alias("name"), F.lit("citizen").alias("type"))).unionByName(people.select(key(F.col("type"), F.col("name")).alias("id"), "name", "type"))
+    vertices = vertices.groupBy("id", "type").agg(F.min("name").alias("name")).select("id", "name", "type")
+    document = F.concat_ws(":", F.lit("document"), F.col("document_id").cast("string"))
+    relation = F.try_element_at(F.create_map(*[F.lit(x) for kv in INGESTED.items() for x in kv]), F.col("type"))
+    edges = owners.select(key(F.lit("citizen"), F.col("owner")).alias("src"), document.alias("dst"), F.lit("owns").alias("type"))
+    edges = edges.unionByName(people.where(relation.isNotNull()).select(document.alias("src"), key(F.col("type"), F.col("name")).alias("dst"), relation.alias("type"))).distinct()
+    return vertices, edges
+
+
+def metadata_timeline(vertices: DataFrame) -> DataFrame:
+    """date, id, event_type: a row for each time in the metadata map of vertices(id, metadata), to be sorted as text."""
+    rows = vertices.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("k"), F.try_element_at("metadata", F.lit(t)).alias("date")) for t in TIMES])).alias("x"))
+    return rows.where("x.date <> ''").select("x.date", "id", F.initcap(F.replace("x.k", F.lit("_"), F.lit(" "))).alias("event_type"))
+
+
+def departments(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, officers, documents, cases of the departments: officers that belong to them, documents that they issued, cases that they point to."""
+    typed = vertices.select("id", "type")
+    into = edges.join(typed.toDF("src", "of"), "src").select(F.col("dst").alias("id"), ((F.col("of") == "officer") & (F.col("type") == "belongs_to")).cast("int").alias("o"), ((F.col("of") == "document") & (F.col("type") == "issued_by")).cast("int").alias("d"), F.lit(0).alias("c"))
+    out = edges.join(typed.toDF("dst", "of"), "dst").select(F.col("src").alias("id"), F.lit(0).alias("o"), F.lit(0).alias("d"), (F.col("of") == "case").cast("int").alias("c"))
+    sums = into.unionAll(out).groupBy("id").agg(F.sum("o").alias("o"), F.sum("d").alias("d"), F.sum("c").alias("c"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return vertices.where("type = 'department'").select("id").join(sums, "id", "left").select("id", zero("o", "officers"), zero("d", "documents"), zero("c", "cases"))
+
+
+def merged_concepts(concepts: DataFrame, n: int = 15) -> DataFrame:
+    """id, name, score, documents of the n best concepts over concepts(document_id, id, name, score): the highest score of each."""
+    best = concepts.groupBy("id").agg(F.max_by("name", F.struct("score", "name")).alias("name"), F.max("score").alias("score"), F.countDistinct("document_id").alias("documents"))
+    return best.orderBy(F.desc("score"), "id").limit(n)
+
+
+def shared_entities(mentions: DataFrame) -> DataFrame:
+    """name, documents: names of mentions(name, source) in more than one source."""
+    return mentions.where("source <> ''").groupBy("name").agg(F.countDistinct("source").alias("documents")).where("documents > 1")
+
+
+def key_relations(concepts: DataFrame, edges: DataFrame, n: int = 15) -> DataFrame:
+    """a, b, type, confidence, hops for pairs a < b by rank of concepts(id, rank): the shortest way of two edges at most from a to b, its first edge's
+    type and confidence; the surest, then the shortest. concepts are few: the best of a document."""
+    ranked = concepts.select("id", "rank")
+    one = edges.select("src", "dst", "type", "confidence", F.lit(1).alias("hops"))
+    x, y = edges.alias("x"), edges.alias("y")
+    two = x.join(y, F.col("x.dst") == F.col("y.src")).where("x.src <> y.dst").select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.col("x.type").alias("type"), F.col("x.confidence").alias("confidence"), F.lit(2).alias("hops"))
+    ways = one.unionAll(two).join(ranked.toDF("src", "ra"), "src", "left_semi").join(ranked.toDF("dst", "rb"), "dst", "left_semi")
+    both = ways.join(ranked.toDF("src", "ra"), "src").join(ranked.toDF("dst", "rb"), "dst").where("ra < rb")
+    best = both.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(F.struct("hops", (-F.col("confidence")).alias("c"), "type")).alias("w"))
+    return best.select("a", "b", "w.type", (-F.col("w.c")).alias("confidence"), "w.hops").orderBy(F.desc("confidence"), "hops", "a", "b").limit(n)
+
+
+def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, name, n: numbers of vertices and edges, in all and by type, in long form."""
+    of = lambda df, kind: df.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    total = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit("all").alias("name"), "n")
+    return total(vertices, "vertices").unionAll(of(vertices, "vertices")).unionAll(total(edges, "edges")).unionAll(of(edges, "edges"))
+
+
+def density(edges: DataFrame) -> DataFrame:
+    """nodes, links, density, components of the directed graph of distinct links."""
+    ends = edges.where("src <> dst").select("src", "dst").distinct()
+    n = ends.select(F.explode(F.array("src", "dst")).alias("id")).agg(F.countDistinct("id").alias("nodes"))
+    m = ends.agg(F.count("*").alias("links"))
+    c = components(edges).agg(F.countDistinct("component").alias("components"))
+    return n.join(m, F.lit(True)).join(c, F.lit(True)).select("nodes", "links", F.round(F.coalesce(F.try_divide(F.col("links"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0)), 6).alias("density"), "components")

@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chunks, text
 from .operators import extracts, filters, graph, joins, scores, search, windows
-from .registry import ORACLE_SQL, QUERIES
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a function (t, spark) -> DataFrame under its name; t reads a table by name."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: _table(spark, sf_dir, name), spark)
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from .plans import comparison, extraction, graphs, records, retrieval, verification  # noqa: F401  register their queries
+from .registry import duck as _lit
+from .registry import query
 
 
 #: Literal rows, as both engines read them.
@@ -33,13 +18,13 @@ RULES = "SELECT * FROM (VALUES ('invoice', 0, 'amount'), ('invoice', 0, 'due'),
 NOTICES = "SELECT * FROM (VALUES (-1, 'Case No. AB/12/2024: the fee of Rs. 1,500 is due by March 5, 2024 or 2024-04-01.'), (-2, 'FIR No: 77/2023, heard on 7 May 2023; Ref No. XY-1234.')) AS t(doc_id, text)"
 LETTERS = "SELECT * FROM (VALUES (1, 'The AMOUNT is due with tax'), (2, 'A driver of a vehicle'), (3, 'Only tax here'), (4, 'nothing fits'), (5, ''), (6, CAST(NULL AS STRING)), (7, 'Vehicle and birth')) AS t(doc_id, text)"
 STEPS = "SELECT * FROM (VALUES ('a', 'PASSED', 0.9), ('a', 'PASSED', 1.0), ('b', 'PASSED', 0.8), ('b', 'WARNING', 0.6), ('b', 'SKIPPED', 0.0), ('c', 'FAILED', 0.2), ('c', 'PASSED', 0.9), ('d', 'SKIPPED', 0.5), ('e', 'PASSED', 0.0), ('e', 'PASSED', 0.001)) AS t(document_id, status, confidence)"
-ISSUES = "SELECT * FROM (VALUES (1, 'high'), (1, 'LOW'), (2, 'medium'), (2, 'medium'), (3, 'low'), (4, 'none'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high'), (5, 'high')) AS t(case_id, severity)"
+ISSUES = "SELECT * FROM (VALUES (1, 'MAJOR'), (1, 'minor'), (2, 'MODERATE'), (2, 'MODERATE'), (3, 'MINOR'), (4, 'odd'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR')) AS t(case_id, severity)"
 ITEMS = "SELECT * FROM (VALUES (1, 0.6999, '2026-01-02'), (2, 0.7, '2026-01-01'), (3, 0.8999, '2026-01-03'), (4, 0.9, '2026-01-01'), (5, 1.0, '2026-01-01'), (6, 0.1, '2026-01-01')) AS t(item_id, confidence, created_at)"
 LINKS = "SELECT * FROM (VALUES ('a', 'b', 'is_a', 0.9), ('b', 'c', 'is_a', 0.8), ('c', 'd', 'is_a', 1.0), ('a', 'c', 'part_of', 0.5), ('d', 'a', 'uses', 0.4), ('e', 'e', 'is_a', 1.0), ('b', 'd', 'is_a', 0.7)) AS t(src, dst, type, confidence)"
 VERSIONS = "SELECT * FROM (VALUES (1, 'name', 'Ann'), (1, 'city', 'Ulm'), (1, 'zip', CAST(NULL AS STRING)), (2, 'name', 'Anne'), (2, 'zip', CAST(NULL AS STRING)), (2, 'phone', '12')) AS t(version, field, value)"
 PEOPLE = "SELECT * FROM (VALUES (1, '  dr. anna   lee', '+49 (170) 123-45678', ' Main  STREET 5 ', '31/12/2024', 'DOB'), (2, 'Mr Bo Chan', '12345', 'x', '2024-02-30', 'Mobile'), (3, 'eva', '0049 170 1234567', 'A b', '2024-02-29', 'Fee paid'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), '5.1.2024', 'Full Name')) AS t(id, name, phone, address, dated, field)"
-QUESTIONS = "SELECT * FROM (VALUES (1, 'When is the deadline?'), (2, 'How much is the fee?'), (3, 'Who signed it?'), (4, 'Where is the office?'), (5, 'Give me a summary'), (6, 'Hello'), (7, 'What is the due date of the fee?')) AS t(id, question)"
-INPUTS = "SELECT * FROM (VALUES (1, '1 UNION  SELECT x'), (2, 'plain words'), (3, '<SCRIPT>alert'), (4, '../../etc'), (5, CAST(NULL AS STRING)), (6, 'a or 1 = 1'), (7, 'javascript:run')) AS t(id, value)"
+QUESTIONS = "SELECT * FROM (VALUES (1, 'When is the deadline?'), (2, 'How much is the fee?'), (3, 'Who are the witnesses?'), (4, 'Where was it?'), (5, 'Give me a summary'), (6, 'Hello'), (7, 'What is the due date of the fee?'), (8, 'Is it genuine?'), (9, 'Which department?'), (10, 'Any pending case?'), (11, 'The date of birth?')) AS t(id, question)"
+INPUTS = "SELECT * FROM (VALUES (1, '1 UNION  SELECT x from y'), (2, 'plain words'), (3, '<SCRIPT>alert'), (4, '%2E%2e/etc'), (5, CAST(NULL AS STRING)), (6, 'selected from'), (7, 'javascript:run'), (8, 'onFocus =x'), (9, '<embed x'), (10, 'drop the table')) AS t(id, value)"
 USERS = "SELECT * FROM (VALUES (1, 'clerk', 'read'), (2, 'clerk', 'delete'), (3, 'admin', 'delete'), (4, 'guest', 'read')) AS t(user_id, role, permission)"
 GRANTS = "SELECT * FROM (VALUES ('clerk', 'read'), ('admin', 'read'), ('admin', 'delete'), ('admin', 'delete')) AS t(role, permission)"
 HASHES = "SELECT * FROM (VALUES (1, 0), (2, 255), (3, 511), (4, 4294967295), (5, 0), (6, -1), (7, -256), (8, 281474976710656), (9, 4294967280)) AS t(id, hash)"
@@ -51,10 +36,6 @@ CONSENTS = "SELECT * FROM (VALUES (1, 'a', 'share', 'grant', 10), (2, 'a', 'shar
 COSINES = "SELECT * FROM (VALUES (1, 0.7499), (2, 0.75), (3, 0.8999), (4, 0.90), (5, 0.9799), (6, 0.98), (7, CAST(NULL AS DOUBLE))) AS t(id, cosine)"
 
 
-def _lit(sql: str) -> str:
-    return sql.replace("STRING", "VARCHAR")
-
-
 TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
@@ -212,7 +193,12 @@ def novelty(t, spark):
     return windows.novelty(t("events"), "event_type")
 
 
-@query("SELECT user_id, count(*) AS n_rows, count(*) FILTER (event_id % 97 = 0) AS n_broken FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) GROUP BY 1")
+@query("""
+WITH c AS (SELECT *, sha256(event_id || '|' || user_id || '|' || event_type) AS h FROM events),
+k AS (SELECT *, lag(h, 1, '') OVER w AS prev FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'altered' ELSE event_type END AS now FROM k),
+v AS (SELECT user_id, sha256(event_id || '|' || user_id || '|' || now) = h AND lag(h, 1, '') OVER (PARTITION BY user_id ORDER BY ts, event_id) = prev AS whole FROM d)
+SELECT user_id, count(*) AS n_rows, count(*) FILTER (NOT whole) AS n_broken FROM v GROUP BY 1""")
 def hash_chain_verify(t, spark):
     rows = windows.chained(t("events"), "user_id", ["ts", "event_id"], ["event_id", "user_id", "event_type"])
     # tampered rows: another type than the one that was hashed
@@ -399,14 +385,14 @@ def verification_score(t, spark):
 
 
 @query(f"""
-WITH i AS ({ISSUES}) SELECT case_id, 100.0::DOUBLE - least(100, sum(CASE lower(severity) WHEN 'low' THEN 3 WHEN 'medium' THEN 8 WHEN 'high' THEN 15 ELSE 0 END))::DOUBLE AS consistency FROM i GROUP BY 1""")
+WITH i AS ({ISSUES}) SELECT case_id, 100.0::DOUBLE - least(100, sum(CASE upper(severity) WHEN 'MINOR' THEN 3 WHEN 'MAJOR' THEN 15 ELSE 8 END))::DOUBLE AS consistency FROM i GROUP BY 1""")
 def consistency_score(t, spark):
     return scores.consistency(spark.sql(ISSUES))
 
 
 @query(f"""
-WITH c AS (SELECT case_id, count(*) FILTER (lower(severity) = 'high') AS high, count(*) FILTER (lower(severity) = 'medium') AS medium, count(*) FILTER (lower(severity) = 'low') AS low FROM ({ISSUES}) GROUP BY 1)
-SELECT *, CASE WHEN high > 0 THEN 'CRITICAL' WHEN medium > 0 THEN 'REVIEW' WHEN low > 0 THEN 'MINOR' ELSE 'CLEAR' END AS status FROM c""")
+WITH c AS (SELECT case_id, count(*) FILTER (upper(severity) = 'MAJOR') AS major, count(*) FILTER (upper(severity) = 'MODERATE') AS moderate, count(*) FILTER (upper(severity) = 'MINOR') AS minor FROM ({ISSUES}) GROUP BY 1)
+SELECT *, CASE WHEN major > 0 THEN 'MAJOR_ISSUES' WHEN moderate > 0 THEN 'REVIEW_REQUIRED' WHEN minor > 0 THEN 'MINOR_VARIATIONS' ELSE 'CONSISTENT' END AS status FROM c""")
 def severity_report(t, spark):
     return scores.severity_report(spark.sql(ISSUES))
 
@@ -414,7 +400,7 @@ def severity_report(t, spark):
 @query("""
 WITH c AS (SELECT source AS case_id, 100.0 * count(l.doc_id) / count(*) AS completeness, 100.0 * avg(coalesce(1 - l.toxic, 1)) AS consistency, 100.0 * avg(coalesce(l.quality, 0)) AS confidence FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1),
 r AS (SELECT case_id, round(0.4 * completeness + 0.3 * consistency + 0.3 * confidence, 1) AS readiness FROM c)
-SELECT case_id, readiness, CASE WHEN readiness >= 90 THEN 'READY' WHEN readiness >= 75 THEN 'NEARLY_READY' WHEN readiness >= 60 THEN 'NEEDS_WORK' WHEN readiness >= 40 THEN 'INCOMPLETE' ELSE 'NOT_READY' END AS level FROM r""")
+SELECT case_id, readiness, CASE WHEN readiness >= 90 THEN 'READY_FOR_REVIEW' WHEN readiness >= 75 THEN 'MOSTLY_READY' WHEN readiness >= 60 THEN 'NEEDS_ATTENTION' WHEN readiness >= 40 THEN 'SIGNIFICANT_ISSUES' ELSE 'NOT_READY' END AS level FROM r""")
 def readiness_score(t, spark):
     both = t("documents").select("doc_id", "source").join(t("labels").withColumn("has", F.lit(1)), "doc_id", "left")
     cases = both.groupBy(F.col("source").alias("case_id")).agg((100.0 * F.count("has") / F.count("*")).alias("completeness"), (100.0 * F.avg(F.coalesce(1 - F.col("toxic"), F.lit(1)))).alias("consistency"), (100.0 * F.avg(F.coalesce("quality", F.lit(0)))).alias("confidence"))
@@ -453,12 +439,12 @@ def doc_list(t, spark):
     return filters.listed(t("documents"), {"lang": "de", "source": None}, limit=50, offset=10).select("doc_id")
 
 
-_HOSTILE = "(?is)" + "|".join(filters.HOSTILE)
+_HOSTILE = "(?i)" + "|".join(filters.HOSTILE)
 
 
 @query(f"""
-WITH i AS ({_lit(INPUTS)}) SELECT 'input' AS kind, CAST(id AS BIGINT) AS id, coalesce(regexp_matches(value, '{_HOSTILE.replace('(?is)', '(?i)')}'), false) AS hostile FROM i
-UNION ALL SELECT 'page', page_id, coalesce(regexp_matches(html, '{_HOSTILE.replace('(?is)', '(?i)')}'), false) FROM pages""")
+WITH i AS ({_lit(INPUTS)}) SELECT 'input' AS kind, CAST(id AS BIGINT) AS id, coalesce(regexp_matches(value, '{_HOSTILE}'), false) AS hostile FROM i
+UNION ALL SELECT 'page', page_id, coalesce(regexp_matches(html, '{_HOSTILE}'), false) FROM pages""")
 def malicious_input(t, spark):
     rows = spark.sql(INPUTS).select(F.lit("input").alias("kind"), F.col("id").cast("long").alias("id"), "value").unionAll(t("pages").select(F.lit("page").alias("kind"), "page_id", "html"))
     return rows.select("kind", "id", filters.hostile(F.col("value")).alias("hostile"))
@@ -501,17 +487,25 @@ def text_quality(t, spark):
     return t("documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), F.round(text.letter_share(F.col("text")), 6).alias("letter_share"))
 
 
-@query(f"""
-SELECT id, CASE WHEN regexp_matches(lower(question), 'deadline|due date|last date|expir') THEN 'deadline' WHEN regexp_matches(lower(question), 'amount|fee|cost|how much') THEN 'amount' WHEN regexp_matches(lower(question), 'who\\b|people|person|officer') THEN 'people'
-  WHEN regexp_matches(lower(question), 'where\\b|location|address') THEN 'location' WHEN regexp_matches(lower(question), 'summar|about|overview') THEN 'summary' ELSE 'general' END AS intent FROM ({QUESTIONS})""")
+_INTENTS = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(question)), '{p}') THEN '{n}'" for n, p in text.INTENTS) + " ELSE 'general' END"
+
+
+@query(f"SELECT 'question' AS kind, CAST(id AS BIGINT) AS id, {_INTENTS} AS intent FROM ({QUESTIONS}) UNION ALL SELECT role, conv_id * 1000 + turn, {_INTENTS} FROM (SELECT *, text AS question FROM conversations)")
 def intent_class(t, spark):
-    return spark.sql(QUESTIONS).select("id", text.intent(F.col("question")).alias("intent"))
+    turns = t("conversations").select(F.col("role").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
+    rows = spark.sql(QUESTIONS).select(F.lit("question").alias("kind"), F.col("id").cast("long").alias("id"), "question").unionAll(turns)
+    return rows.select("kind", "id", text.intent(F.col("question")).alias("intent"))
 
 
-@query(f"""
-SELECT id, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone, regexp_replace(lower(trim(address)), ' +', ' ', 'g') AS address, CAST(coalesce(try_strptime(dated, '%Y-%m-%d'), try_strptime(dated, '%d/%m/%Y')) AS DATE) AS dated,
-  CASE field WHEN 'DOB' THEN 'date_of_birth' WHEN 'Mobile' THEN 'phone' WHEN 'Full Name' THEN 'name' ELSE 'fee_paid' END AS field, CASE field WHEN 'DOB' THEN 'date' WHEN 'Mobile' THEN 'phone' WHEN 'Fee paid' THEN 'amount' ELSE 'text' END AS type,
-  CASE id WHEN 1 THEN 'Anna Lee' WHEN 2 THEN 'Bo Chan' WHEN 3 THEN 'Eva' END AS name FROM ({_lit(PEOPLE)})""")
+_TITLE = r"(?i)\b(Mr|Mrs|Ms|Dr|Prof|Sir|Madam)\.?\b"
+_ALIASES = "CASE f " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.FIELD_ALIASES.items()) + " ELSE f END"
+_TYPES = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(field), '{w}')" for w in words) + f" THEN '{name}'" for name, words in text.FIELD_TYPES) + " ELSE 'string' END"
+
+
+@query(rf"""
+WITH p AS (SELECT *, regexp_replace(lower(trim(field)), ' +', '_', 'g') AS f, trim(regexp_replace(regexp_replace(name, '{_TITLE}', '', 'g'), ' +', ' ', 'g')) AS bare FROM ({_lit(PEOPLE)}))
+SELECT id, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone, trim(regexp_replace(lower(address), ' +', ' ', 'g')) AS address, CAST(coalesce(try_strptime(dated, '%Y-%m-%d'), try_strptime(dated, '%d/%m/%Y')) AS DATE) AS dated,
+  {_ALIASES} AS field, {_TYPES} AS type, array_to_string(list_transform(string_split(bare, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM p""")
 def normalisers(t, spark):
     c = F.col
     return spark.sql(PEOPLE).select("id", text.normal_phone(c("phone")).alias("phone"), text.normal_address(c("address")).alias("address"), text.parsed_date(c("dated")).alias("dated"), text.alias(c("field")).alias("field"), text.field_type(c("field")).alias("type"), text.normal_name(c("name")).alias("name"))
@@ -544,8 +538,7 @@ def chunk_strategy(t, spark):
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS number FROM orders")
 def sequence_numbers(t, spark):
-    if not spark.sparkContext.getCheckpointDir():
-        graph._kept(spark.range(1))
+    graph.checkpoint_dir(spark)
     return windows.numbered(t("orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", "o_orderkey").select("o_orderkey", "number")
 
 
