@@ -89,14 +89,14 @@ MOST = 4000
 
 
 def cleaned(value) -> Column:
-    """A hit with its spaces squeezed, without commas and points at its end; null if one character or none is left."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(value, r"\s+", " ")), "[,.]+$", ""))
-    return F.when(F.length(bare) > 1, bare)
+    """A hit with its spaces squeezed, without commas and points at its end."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(value, r"\s+", " ")), "[,.]+$", ""))
 
 
 def first_hit(text, patterns: tuple[str, ...]) -> Column:
-    """The cleaned hit of the first pattern that has one, any case, line by line; null where none has."""
-    return F.coalesce(*[cleaned(F.regexp_extract(text, f"(?im){p}", 1)) for p in patterns])
+    """The cleaned hit of the first pattern that has one of two characters or more, any case, line by line; null where none has."""
+    hits = F.transform(F.array(*[F.regexp_extract(text, f"(?im){p}", 1) for p in patterns]), lambda h: cleaned(h))
+    return F.try_element_at(F.filter(hits, lambda h: F.length(h) > 1), F.lit(1))
 
 
 def schema_fields(docs: DataFrame, schemas: DataFrame, patterns: dict[str, tuple[str, ...]] | None = None, most_rules: int = 10_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
@@ -13,18 +13,21 @@ def _micros(ts) -> F.Column:
 
 
 def failures_in_window(events: DataFrame, failed: str, success: str, seconds: int = 300, least: int = 5) -> DataFrame:
-    """event_id, user_id, failures: failures with at least least of a user's in the last seconds (strictly less), none before the last success."""
+    """event_id, user_id, failures: failures with at least least of a user's in the last seconds (strictly less), none before the last success;
+    of equal times the smaller event_id comes first."""
     mine = events.where(F.col("event_type").isin(failed, success)).withColumn("us", _micros("ts"))
     so_far = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = mine.withColumn("run", F.count_if(F.col("event_type") == success).over(so_far)).where(F.col("event_type") == failed)
     near = Window.partitionBy("user_id", "run").orderBy("us").rangeBetween(-(seconds * MICRO - 1), 0)
-    return run.withColumn("failures", F.count("*").over(near)).where(F.col("failures") >= least).select("event_id", "user_id", "failures")
+    later = Window.partitionBy("user_id", "run", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    return run.withColumn("failures", F.count("*").over(near) - F.count("*").over(later)).where(F.col("failures") >= least).select("event_id", "user_id", "failures")
 
 
 def access_rate(events: DataFrame, seconds: int = 60, most: int = 30, early: int = 8, late: int = 20) -> DataFrame:
     """event_id, recent, score, action: over most accesses in seconds .4, hours before early or after late (UTC) .15; under .3 allow, under .6 monitor, else block."""
     near = Window.partitionBy("user_id").orderBy("us").rangeBetween(-(seconds * MICRO - 1), 0)
-    counted = events.withColumn("us", _micros("ts")).withColumn("recent", F.count("*").over(near))
+    later = Window.partitionBy("user_id", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    counted = events.withColumn("us", _micros("ts")).withColumn("recent", F.count("*").over(near) - F.count("*").over(later))
     hour = F.hour(F.col("ts"))
     score = F.when(F.col("recent") > most, 0.4).otherwise(0.0) + F.when((hour < early) | (hour > late), 0.15).otherwise(0.0)
     scored = counted.withColumn("score", F.round(score, 2))
@@ -86,3 +89,35 @@ def context(turns: DataFrame, by: str, order: str, most: int = 3000) -> DataFram
     fit = turns.withColumn("sum_", so_far).where(F.col("sum_") <= most)
     held = fit.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("t"))
     return held.select(by, F.size("t").cast("long").alias("n_used"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("context"))
+
+
+def novel_networks(logins: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """event_id, user_id, kind for each kind in columns (device, address, network and the like, as expressions): logins with a value of that kind
+    that the user hasn't had before, but for the first that has any. Firsts are aggregates."""
+    out = None
+    for kind, value in columns.items():
+        rows = logins.withColumn("value_", value).where("value_ <> ''")
+        found = novelty(rows, "value_").withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def staged(events: DataFrame, put: str, get: str, seconds: int = 1800) -> DataFrame:
+    """event_id, user_id, found of each get: whether a put of the same user before it is at most seconds old."""
+    mine = events.where(F.col("event_type").isin(put, get)).withColumn("us", _micros("ts"))
+    so_far = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(F.col("event_type") == put, F.col("us"))).over(so_far)
+    rows = mine.withColumn("last", last).where(F.col("event_type") == get)
+    return rows.select("event_id", "user_id", F.coalesce(F.col("us") - F.col("last") <= seconds * MICRO, F.lit(False)).alias("found"))
+
+
+def session_spans(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """user_id, start, end, n: a user's events without a pause of gap between them; a session ends gap after its last event."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def first_values(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group by order, as an aggregate: of values that several patterns find, the first pattern's counts."""
+    best = rows.groupBy(*by).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in by]), F.struct(*order)).alias("r"))
+    return best.select(*by, "r.*")

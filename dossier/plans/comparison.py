@@ -9,7 +9,7 @@ from ..operators import compare, joins
 from ..registry import duck, query
 
 FIELDS = """SELECT * FROM (VALUES ('c1', 'd1', 'dob', '01/02/1990'), ('c1', 'd2', 'DOB', '01/02/1991'), ('c1', 'd1', 'Phone no', '12345'), ('c1', 'd3', 'mobile', '12345'), ('c1', 'd2', 'email_address', 'a@b.org'), ('c1', 'd1', 'address', 'a@c.org'),
-('c1', 'd1', 'full_name', 'Asha Rao'), ('c1', 'd2', 'full_name', 'asha rao'), ('c1', 'd3', 'full_name', 'Asha Raoo'), ('c1', 'd4', 'name', 'Bo Chan'), ('c2', 'd5', 'full_name', 'Eva'), ('c2', 'd6', 'full_name', ' '), ('c2', 'd6', 'colour', 'red'), ('c2', 'd5', 'colour', 'blue'), ('c2', 'd7', 'colour', 'Not found'), ('c2', 'd7', 'email', CAST(NULL AS STRING))) AS t(case_id, document_id, field, value)"""
+('c1', 'd1', 'full_name', 'Asha Rao'), ('c1', 'd2', 'full_name', 'asha rao'), ('c1', 'd3', 'full_name', 'Asha Raoo'), ('c1', 'd4', 'name', 'Bo Chan'), ('c2', 'd5', 'full_name', 'Eva'), ('c2', 'd7', 'full_name', 'Otto Lindberg'), ('c2', 'd6', 'full_name', ' '), ('c2', 'd6', 'colour', 'red'), ('c2', 'd5', 'colour', 'blue'), ('c2', 'd7', 'colour', 'Not found'), ('c2', 'd7', 'email', CAST(NULL AS STRING))) AS t(case_id, document_id, field, value)"""
 OLD = "SELECT * FROM (VALUES (1, 'Full Name', 'Asha Rao'), (1, 'City', 'Ulm'), (1, 'Fee', '100'), (1, 'Note', 'N/A'), (2, 'a', 'same'), (2, 'b', 'same')) AS t(pair_id, field, value)"
 NEW = "SELECT * FROM (VALUES (1, 'full_name', 'Asha Raos'), (1, 'fee', '100'), (1, 'zip', '12'), (2, 'A', 'SAME'), (2, 'b', 'same')) AS t(pair_id, field, value)"
 PEOPLE = "SELECT * FROM (VALUES ('d1', 'Mira Sen'), ('d1', 'Otto Lind'), ('d2', 'mira sen'), ('d2', 'Otto Lindt'), ('d3', 'Mira Senn'), ('d4', 'Hari Lal'), ('d5', 'Hari Lal'), ('d5', CAST(NULL AS STRING))) AS t(document_id, name)"

@@ -172,20 +172,50 @@ def parent_children(t, spark):
 @query("""
 WITH e AS (SELECT * FROM events WHERE event_type IN ('error', 'signup')),
 r AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
-f AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id, run ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS failures FROM r WHERE event_type = 'error')
+f AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id, run ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, run, ts ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS failures FROM r WHERE event_type = 'error')
 SELECT * FROM f WHERE failures >= 2""")
 def brute_force(t, spark):
     return windows.failures_in_window(t("events"), "error", "signup", seconds=86_400, least=2)
 
 
 @query("""
-WITH c AS (SELECT event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS recent FROM events),
+WITH c AS (SELECT event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, ts ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS recent FROM events),
 s AS (SELECT event_id, recent, round(CASE WHEN recent > 4 THEN 0.4 ELSE 0 END + CASE WHEN hour(ts) < 8 OR hour(ts) > 20 THEN 0.15 ELSE 0 END, 2)::DOUBLE AS score FROM c)
 SELECT *, CASE WHEN score < 0.3 THEN 'allow' WHEN score < 0.6 THEN 'monitor' ELSE 'block' END AS action FROM s""")
 def access_rate(t, spark):
     return windows.access_rate(t("events"), seconds=86_400, most=4)
 
 
+@query("""
+WITH l AS (SELECT event_id, user_id, ts, k.kind, CASE k.kind WHEN 'device' THEN event_type WHEN 'address' THEN '10.' || (user_id % 3) || '.' || (event_id % 2) || '.' || (event_id % 5) ELSE '10.' || (event_id % 2) END AS v FROM events, (SELECT unnest(['device', 'address', 'network']) AS kind) k),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, user_id, v ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY kind, user_id ORDER BY ts, event_id) AS m FROM l) SELECT event_id, user_id, kind FROM r WHERE n = 1 AND m > 1""")
+def novel_networks(t, spark):
+    number = lambda c, n: (F.col(c) % n).cast("string")
+    address = F.concat_ws(".", F.lit("10"), number("user_id", 3), number("event_id", 2), number("event_id", 5))
+    other = F.concat_ws(".", F.lit("10"), number("event_id", 2), F.lit("7"), F.lit("9"))
+    return windows.novel_networks(t("events"), {"device": F.col("event_type"), "address": address, "network": text.subnet(other, 2)})
+
+
+@query("""
+WITH e AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last FROM events WHERE event_type IN ('signup', 'view'))
+SELECT event_id, user_id, coalesce(ts - last <= INTERVAL 2 DAY, false) AS found FROM e WHERE event_type = 'view'""")
+def staged_hits(t, spark):
+    return windows.staged(t("events"), "signup", "view", 2 * 86_400)
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_spans(t, spark):
+    spans = windows.session_spans(t("events"), "12 hours")
+    return spans.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def first_values(t, spark):
+    return windows.first_values(t("events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
 @query("""
 WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM events)
 SELECT event_id, user_id FROM r WHERE n = 1 AND m > 1""")
