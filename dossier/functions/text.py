@@ -128,3 +128,12 @@ def slices(text, size: int) -> Column:
     """Fixed slices of size characters, the last one shorter; none for empty or null text."""
     n = F.ceil(F.length(text) / size).cast("int")
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size))))
+
+
+def hmac(message, key: bytes) -> Column:
+    """HMAC-SHA256 of a string in lower-case hex, from sha2 alone."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in block))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))), 256)

@@ -74,6 +74,15 @@ FIELD_EVENTS = {
 }
 DAY = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}"
 TOLD = (rf"(?:on|dated)\s+(?P<day>{DAY})\s*[,;]?\s*(?P<what>.{{10,80}})", rf"(?P<what>.{{10,60}})\s+(?:on|dated)\s+(?P<day>{DAY})")
+# fixed values: names that a text's form shows, phrases of a field, and sentences that state a relation
+SUBJECT, OBJECT, LOW = r"([A-Z][a-z]+(?:\s+[A-Za-z]+)*)", r"([A-Za-z]+(?:\s+[A-Za-z]+)*)", r"([a-z]+(?:\s+[a-z]+)*)"
+FORMS = (("URL", r"https?://[^\s]+"), ("Email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), ("FilePath", r"(?:/[^/]+)+\.[a-zA-Z0-9]+"), ("Version", r"\b[0-9]+\.[0-9]+(?:\.[0-9]+)?(?:-[a-zA-Z0-9]+)?\b"))
+PHRASES = {"Technology": ("ai", "artificial intelligence", "machine learning", "deep learning", "neural network", "nlp", "natural language processing"), "Concept": ("rag", "retrieval augmented generation", "knowledge graph", "vector database", "embeddings")}
+STATED = (
+    ("is_a", rf"{SUBJECT} is (?:a|an) {LOW}"), ("is_a", rf"{SUBJECT} are {LOW}"), ("part_of", rf"{SUBJECT} is part of {OBJECT}"), ("part_of", rf"{SUBJECT} belongs to {OBJECT}"),
+    ("has_property", rf"{SUBJECT} has {LOW}"), ("has_property", rf"{SUBJECT} contains {LOW}"), ("creates", rf"{SUBJECT} creates {OBJECT}"), ("creates", rf"{SUBJECT} produces {OBJECT}"),
+    ("creates", rf"{SUBJECT} generates {OBJECT}"), ("uses", rf"{SUBJECT} uses {OBJECT}"), ("uses", rf"{SUBJECT} utilizes {OBJECT}"), ("uses", rf"{SUBJECT} leverages {OBJECT}"),
+)
 _PEOPLE = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Z][a-zA-Z.\s]{{2,40}}?)(?:\s*[,\n\r]|\s+(?:S/o|D/o|W/o|son|daughter|age|aged|resident))", re.IGNORECASE) for label in PERSON_LABELS)
 _PLACES = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Za-z][A-Za-z\s,.-]{{2,60}}?)(?:\s*[;\n\r]|,\s*(?:Pin|PIN|Dist|State|Ph))", re.IGNORECASE) for label in PLACE_LABELS)
 _PIN = re.compile(r"\b([0-9]{6})\b")
@@ -238,3 +247,46 @@ def summaries(found: DataFrame) -> DataFrame:
     held = found.groupBy("doc_id").agg(F.count("*").alias("items"), F.round(F.avg("confidence"), 3).alias("confidence"), *[of(c, n) for c, (_, n) in most.items()])
     lines = [F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, ", "), F.lit("."))) for c, (label, _) in most.items()]
     return held.select("doc_id", "items", "confidence", F.concat_ws("\n", *lines).alias("summary"))
+
+
+def formal_entities(docs: DataFrame) -> DataFrame:
+    """doc_id, name, type, confidence: addresses, paths and versions by their form (.8), and phrases of technology and concepts in any case (.7); each
+    name of a type once per document. A language model's entities aren't part of it."""
+    text = F.coalesce("text", F.lit(""))
+
+    def of(kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type"), F.lit(0.8).alias("confidence")))
+
+    shown = [of(t, p) for t, p in FORMS]
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" "))
+    told = F.filter(F.array(*[F.struct(F.lit(p).alias("name"), F.lit(t).alias("type"), F.lit(0.7).alias("confidence")) for t, ps in PHRASES.items() for p in ps]), lambda x: words.contains(F.concat(F.lit(" "), x["name"], F.lit(" "))))
+    return docs.select("doc_id", F.inline(F.concat(*[F.array_distinct(s) for s in shown], told)))
+
+
+def stated_relations(docs: DataFrame) -> DataFrame:
+    """doc_id, src, type, dst, confidence: what sentences of STATED's forms say (.7), each once per document in any case."""
+    text = F.coalesce("text", F.lit(""))
+
+    def of(kind: str, pattern: str):
+        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("o"))
+        return F.transform(both, lambda x: F.struct(x["s"].alias("src"), F.lit(kind).alias("type"), x["o"].alias("dst")))
+
+    rows = docs.select("doc_id", F.inline(F.concat(*[of(t, p) for t, p in STATED])))
+    once = rows.groupBy("doc_id", F.lower("src").alias("s"), "type", F.lower("dst").alias("d")).agg(F.min("src").alias("src"), F.min("dst").alias("dst"))
+    return once.select("doc_id", "src", "type", "dst", F.lit(0.7).alias("confidence"))
+
+
+def entity_relevance(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """doc_id, name, occurrences, position, relevance of vertices(name) that a text contains: .5 of the occurrences per hundred characters, .3 of how early
+    the first is, .2 of the share of the name's first word among the text's words; 1 at most."""
+    from . import joins
+
+    texts = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    both = joins.mentions(docs, vertices).join(texts, "doc_id").withColumn("low", F.lower("name"))
+    n = (F.length("t") - F.length(F.replace("t", "low"))) / F.length("low")
+    first = F.expr("locate(low, t)") - 1
+    words = F.regexp_extract_all("t", F.lit(r"[\pL\pN_]+"), F.lit(0))
+    head = F.element_at(F.split("low", r"\s+"), 1)
+    share = F.when(F.length(head) > 2, F.size(F.filter(words, lambda w: w == head)) / F.greatest(F.size(words), F.lit(1))).otherwise(0.0)
+    score = F.least(F.lit(1.0), n / F.greatest(F.length("t") / 100, F.lit(1.0)) * 0.5 + (1 - first / F.greatest(F.length("t"), F.lit(1))) * 0.3 + share * 0.2)
+    return both.select("doc_id", "name", n.cast("long").alias("occurrences"), first.alias("position"), F.round(score, 6).alias("relevance"))

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import joins
+
 # fixed values: colours of node types, and what fields of a document say about it
 COLOURS = {"Person": "#818cf8", "Organization": "#f472b6", "Location": "#34d399", "Date": "#fbbf24", "Identifier": "#60a5fa", "Concept": "#60a5fa", "Attribute": "#94a3b8", "Document": "#475569", "Other": "#6b7280"}
 FIELD_VERTICES = {
@@ -200,11 +202,14 @@ def search(vertices: DataFrame, query: str, type_: str | None = None, least: flo
 
 def lookup(vertices: DataFrame, names: DataFrame) -> DataFrame:
     """asked, id, name for names(asked): the vertex of that lower-case name, else the shortest that contains it, ties to the smaller id; names
-    without one give no row. Exact names meet by equality; only what is left is looked for inside names."""
+    without one give no row. Exact names meet by equality; only what is left is looked for inside names. Of more than joins.FEW such, ids are
+    integers."""
     low = names.select("asked", F.lower(F.trim("asked")).alias("low")).distinct()
     exact = low.join(vertices.select("id", "name", F.lower("name").alias("low")), "low").groupBy("asked").agg(F.min(F.struct(F.length("name").alias("n"), "id", "name")).alias("v"))
     rest = low.join(exact.select("asked"), "asked", "left_anti")
-    part = vertices.join(rest, F.contains(F.lower("name"), F.col("low"))).groupBy("asked").agg(F.min(F.struct(F.length("name").alias("n"), "id", "name")).alias("v"))
+    # what isn't a name is looked for inside all names: the names are the texts and what is asked the dictionary
+    inside = joins.mentions(vertices.select(F.col("id").alias("doc_id"), F.col("name").alias("text")), rest.select(F.col("low").alias("name")))
+    part = inside.toDF("id", "low").join(rest, "low").join(vertices.select("id", "name"), "id").groupBy("asked").agg(F.min(F.struct(F.length("name").alias("n"), "id", "name")).alias("v"))
     return exact.unionAll(part).select("asked", "v.id", "v.name")
 
 

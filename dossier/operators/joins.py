@@ -88,9 +88,64 @@ def evidence(values: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.withColumn("hit", at).withColumn("nth", F.row_number().over(order)).where("nth = 1").select("doc_id", "value", "chunk", F.when(F.col("hit"), 1.0).otherwise(0.5).alias("confidence"))
 
 
-def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, name: names of a small dictionary that a text contains, in any case."""
-    return docs.join(names, F.lower("text").contains(F.lower("name"))).select("doc_id", "name").distinct()
+#: A dictionary of up to so many names is an expression; a larger one is held in automata of so many names at a time.
+FEW, MANY = 1000, 100_000
+
+
+def mentions(docs: DataFrame, names: DataFrame, few: int = FEW, many: int = MANY) -> DataFrame:
+    """doc_id, name: names of a dictionary that a text contains, in any case, each once per document. Null texts contain none.
+
+    Texts are read where they lie: a small dictionary is a filtered array in the plan; of a larger one each task holds an automaton of many
+    names at most, and the texts are read once for each such part.
+    """
+    known = names.select("name").where("name <> ''").distinct()
+    low = F.lower(F.col("text"))
+    first = known.limit(few + 1).collect()
+    if len(first) <= few:
+        if not first:
+            return docs.select("doc_id", F.lit("").alias("name")).limit(0)
+        held = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lower(F.lit(r.name)).alias("low")) for r in first])
+        return docs.select("doc_id", F.explode(F.filter(held, lambda n: low.contains(n["low"]))).alias("n")).select("doc_id", "n.name").distinct()
+    parts = -(-known.count() // many)
+    dealt = known.withColumn("low", F.lower("name")).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    slim, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")), None
+    for i in range(parts):
+        part = slim.mapInArrow(_spotter([(r.low, r.name) for r in dealt.where(F.col("part") == i).select("low", "name").collect()]), "doc_id long, name string")
+        out = part if out is None else out.unionAll(part)
+    return out.distinct()
+
+
+def _spotter(names: list[tuple[str, str]]):
+    """The function that finds names in the texts of a partition."""
+
+    def spotted(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        words = ahocorasick.Automaton()
+        for low, name in names:
+            words.add_word(low, [*words.get(low, []), name])
+        words.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hits = sorted({n for _, held in words.iter(t) for n in held})
+                ids += [i] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "name"])
+
+    return spotted
+
+
+def named_in(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """query_id, id of names(id, name) that a short text of queries(query_id, query) contains, in any case. All parts of the queries up to the
+    longest name meet the names by equality, so the dictionary may have any size."""
+    known = names.where("name <> ''").select("id", F.lower("name").alias("low"))
+    longest = known.agg(F.max(F.length("low"))).first()[0] or 0
+    low = F.lower(F.coalesce("query", F.lit("")))
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max(1, longest)), F.greatest(F.length(low) - i + 1, F.lit(1)))), lambda n: F.substring(low, i, n)))
+    parts = queries.select("query_id", F.explode(F.array_distinct(F.flatten(ends))).alias("low"))
+    return parts.join(known, "low").select("query_id", "id").distinct()
 
 
 def children(parents: DataFrame, rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import filters, search
+from . import filters, joins, search
 from .search import top
 
 # fixed values: phrases and patterns by which replies and questions are judged
@@ -56,7 +56,7 @@ def expanded(queries: DataFrame, vertices: DataFrame, edges: DataFrame, most: in
     """query_id, expanded: the query and the names of up to most neighbours of the vertices(id, name) that it mentions, over edges(src, dst,
     confidence) surer than least: by confidence, or by length; names of three characters or more that the query doesn't hold."""
     low = F.lower("query")
-    named = queries.join(vertices, low.contains(F.lower("name"))).select("query_id", "query", "id")
+    named = queries.join(joins.named_in(queries, vertices), "query_id").select("query_id", "query", "id")
     both = edges.where(F.col("confidence") > least).select("src", "dst", "confidence")
     step = both.unionAll(both.select("dst", "src", "confidence"))
     near = named.join(step, named.id == step.src).join(vertices.select(F.col("id").alias("dst"), F.col("name").alias("term")), "dst")

@@ -139,17 +139,77 @@ def boosted(results: DataFrame, mentions: DataFrame, boost: float = 0.05) -> Dat
     return results.join(hits, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("score").cast("double") + boost * F.coalesce("n", F.lit(0)), 6).alias("score"))
 
 
-def keyword_classes(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """doc_id, category, confidence. rules(category, place, keyword): the share of a category's keywords in the text, doubled, 1 at most;
-    ties to the smaller place; no hit gives other at 0.1, empty text other at 0."""
-    total = rules.groupBy("category", "place").agg(F.count("*").alias("of"))
-    hits = docs.join(F.broadcast(rules), F.lower("text").contains(F.col("keyword"))).groupBy("doc_id", "category", "place").agg(F.count("*").alias("n"))
-    share = hits.join(F.broadcast(total), ["category", "place"]).withColumn("share", F.col("n") / F.col("of"))
-    best = share.groupBy("doc_id").agg(F.max_by(F.struct("category", "share"), F.struct("share", -F.col("place"))).alias("b"))
+def keyword_classes(docs: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """doc_id, category, confidence. rules(category, place, keyword), most at most: the share of a category's keywords in the text, doubled, 1 at
+    most; ties to the smaller place; no hit gives other at 0.1, empty text other at 0."""
+    held = rules.select("category", "place", F.lower("keyword").alias("keyword")).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} rules")
+    of = Counter((r.category, r.place) for r in held)
+    known = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.place).alias("place"), F.lit(1.0 / of[r.category, r.place]).alias("share"), F.lit(r.keyword).alias("keyword")) for r in held])
+    low = F.lower(F.coalesce("text", F.lit("")))
+    hits = docs.select("doc_id", F.inline(F.filter(known, lambda k: low.contains(k["keyword"])))).groupBy("doc_id", "category", "place").agg(F.sum("share").alias("share"))
+    best = hits.groupBy("doc_id").agg(F.max_by(F.struct("category", "share"), F.struct(F.round("share", 9).alias("s"), -F.col("place"))).alias("b"))
     empty = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
     return docs.join(best, "doc_id", "left").select("doc_id", F.coalesce("b.category", F.lit("other")).alias("category"), F.when(empty, 0.0).otherwise(F.coalesce(F.least(F.round(2 * F.col("b.share"), 6), F.lit(1.0)), F.lit(0.1))).alias("confidence"))
 
 
+def ivf_top_k(vectors_: DataFrame, k: int = 5, every: int = 100, cells: int = 100, recall: float = 0.95, sample: int = 1000, trials: int = 64) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine, approximately: an inverted file of cells whose centres are fitted to sample vectors by a hash
+    of the id (a documented bound); every vector is indexed. Vectors of one length, the sample's most common, take part.
+
+    How many cells a query looks into is the least number that finds recall of the nearest neighbours among the sample for trials of its
+    vectors. Queries meet the blocks of their cells alone.
+    """
+    slim = vectors_.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    drawn = slim.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    if not drawn:
+        return vectors_.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    dim = Counter(len(r.embedding) for r in drawn).most_common(1)[0][0]
+    x = np.array([r.embedding for r in drawn if len(r.embedding) == dim])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    centres = _centres(x, min(cells, len(x)))
+    probes = _probes(x, centres, k, recall, trials)
+
+    def celled(batches, most: int):
+        import pandas as pd
+
+        for batch in batches:
+            some = batch[batch["embedding"].map(len) == dim]
+            if len(some):
+                near = np.argsort(-(np.stack(some["embedding"].to_numpy()) @ centres.T), axis=1, kind="stable")[:, :most]
+                yield pd.DataFrame({"vec_id": np.repeat(some["vec_id"].to_numpy(), near.shape[1]), "embedding": some["embedding"].to_numpy().repeat(near.shape[1]), "cell": near.ravel()})
+
+    schema = "vec_id long, embedding array<double>, cell int"
+    index = slim.mapInPandas(lambda b: celled(b, 1), schema)
+    asked = slim.where(F.col("vec_id") % every == 0).mapInPandas(lambda b: celled(b, probes), schema)
+    found = blocks.best(asked, index, blocks.cosines, k, "cell")
+    return top(found.groupBy("query_id", "vec_id").agg(F.round(F.max("score"), 6).alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], k)
+
+
+def _centres(x: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres by spherical k-means, from the first rows on."""
+    centres = x[:cells].copy()
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def _probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, trials: int) -> int:
+    """The least number of cells in which that share of the k nearest rows lies, over some rows of the sample."""
+    ask = x[:trials]
+    score = ask @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = np.argsort(-score, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(ask @ centres.T), axis=1), axis=1)
+    at = np.sort(np.take_along_axis(place, (x @ centres.T).argmax(axis=1)[best], axis=1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+
+
 def key_sentences(docs: DataFrame, keywords: list[str], k: int = 10) -> DataFrame:
     """doc_id, sentence, score, rank: sentences of 20 to 300 characters; .15 per keyword, .1 for a date, an amount, a place among
     the first three or last two of all sentences, .05 for an honorific; .15 at least, 1 at most."""

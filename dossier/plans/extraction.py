@@ -155,3 +155,38 @@ def adaptive_chunks(t, spark):
 @query()
 def section_titles(t, spark):
     return chunks.sections(t("documents"))
+
+
+CLAIMS = "SELECT * FROM (VALUES (-21, 'Spark is a compute engine. The Engine uses Arrow and is part of the Stack; see https://example.org/x or /opt/lib/a.so, version 4.1.2-rc1'), (-22, 'Deep learning and NLP. Models are large'), (-23, CAST(NULL AS STRING))) AS t(doc_id, text)"
+_CLAIMED = f"c AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t FROM ({duck(CLAIMS)}) UNION ALL SELECT doc_id, coalesce(text, '') FROM documents)"
+_PHRASES = " UNION ALL ".join(f"SELECT doc_id, '{p}' AS name, '{k}' AS type, 0.7::DOUBLE AS confidence FROM c WHERE contains(' ' || array_to_string(regexp_extract_all(lower(t), '[a-z0-9]+'), ' ') || ' ', ' {p} ')" for k, ps in extracts.PHRASES.items() for p in ps)
+
+
+def _claims(t, spark):
+    return spark.sql(CLAIMS).selectExpr("cast(doc_id as long) as doc_id", "text").unionAll(t("documents").select("doc_id", "text"))
+
+
+@query(f"WITH {_CLAIMED} SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(t, '{p}')) AS name, '{k}' AS type, 0.8::DOUBLE AS confidence FROM c" for k, p in extracts.FORMS) + f" UNION ALL {_PHRASES})")
+def formal_entities(t, spark):
+    return extracts.formal_entities(_claims(t, spark))
+
+
+@query(f"WITH {_CLAIMED}, f AS (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(t, '{p}', 1)) AS src, '{k}' AS type, unnest(regexp_extract_all(t, '{p}', 2)) AS dst FROM c" for k, p in extracts.STATED) + ") SELECT doc_id, min(src) AS src, type, min(dst) AS dst, 0.7::DOUBLE AS confidence FROM f GROUP BY doc_id, lower(src), type, lower(dst)")
+def stated_relations(t, spark):
+    return extracts.stated_relations(_claims(t, spark))
+
+
+TERMS = "SELECT * FROM (VALUES ('license'), ('The'), ('all rights'), ('es')) AS t(name)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), b AS (SELECT doc_id, name, lower(name) AS low, t, (length(t) - length(replace(t, lower(name), ''))) / length(name) AS n, strpos(t, lower(name)) - 1 AS pos, regexp_extract_all(t, '[\\pL\\pN_]+') AS w FROM d JOIN ({TERMS}) ON contains(t, lower(name)))
+SELECT doc_id, name, CAST(n AS BIGINT) AS occurrences, CAST(pos AS INTEGER) AS position, round(least(1, n / greatest(length(t) / 100, 1) * 0.5 + (1 - pos / greatest(length(t), 1)) * 0.3 + CASE WHEN length(split_part(low, ' ', 1)) > 2 THEN len(list_filter(w, lambda x: x = split_part(low, ' ', 1))) / greatest(len(w), 1) ELSE 0 END * 0.2), 6)::DOUBLE AS relevance FROM b""")
+def entity_relevance(t, spark):
+    return extracts.entity_relevance(t("documents"), spark.sql(TERMS))
+
+
+@query()
+def keyed_digests(t, spark):
+    from ..functions import text
+
+    return t("documents").select("doc_id", text.hmac(F.coalesce("text", F.lit("")), b"key").alias("digest"))

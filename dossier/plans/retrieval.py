@@ -186,3 +186,11 @@ def rule_answers(t, spark):
     items = extracts.everything(notes)
     documents = notes.select("doc_id", "text", F.when(F.col("doc_id") == -12, "Rural Works").alias("department"), F.when(F.col("doc_id") == -14, "verified").alias("status"))
     return retrieval.rule_answers(spark.sql(QUESTIONS), items, documents)
+
+
+# approximate: a test measures its recall
+@query()
+def vector_ivf_topk(t, spark):
+    from ..operators import search
+
+    return search.ivf_top_k(t("embeddings"))

@@ -189,3 +189,46 @@ def test_context_stops_before_the_limit(spark):
     rows = [(1, 1, "a" * 1000, "s", "1"), (1, 2, "b" * 2500, None, None), (1, 3, "c", "s", "2")]
     got = retrieval.numbered_context(spark.createDataFrame(rows, "query_id int, rank int, text string, source string, page string")).first()
     assert got.used == 1 and got.context == "[Document 1 - Source: s, Page: 1]\n" + "a" * 1000 + "\n"
+
+
+def test_keyed_digest(spark):
+    import hashlib
+    import hmac
+
+    from dossier.functions import text
+
+    rows = spark.createDataFrame([("",), ("é words",)], "t string")
+    for key in (b"k", b"long" * 40):
+        got = {r.t: r.h for r in rows.select("t", text.hmac(F.col("t"), key).alias("h")).collect()}
+        assert got == {t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest() for t in got}
+
+
+def test_mentions_by_automaton_and_expression(spark):
+    from dossier.operators import joins
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(("Alpha", "beta", "gam", "ma")) for _ in range(5)) if i else None) for i in range(20)]
+    names = ["alpha b", "GAMMA", "ma", "beta", "zz", "Beta"]
+    want = {(i, n) for i, t in docs if t for n in names if n.lower() in t.lower()}
+    d, n = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in names], "name string")
+    assert {tuple(r) for r in joins.mentions(d, n).collect()} == {tuple(r) for r in joins.mentions(d, n, 2, 3).collect()} == want
+    held = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "id long, name string")
+    asked = d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    assert {(r.query_id, names[r.id]) for r in joins.named_in(asked, held).collect()} == want
+
+
+def test_index_recall(spark):
+    """The approximate index against brute force, on random and on clustered vectors."""
+    import numpy as np
+
+    from dossier.operators import search
+
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(1500, 16)), rng.normal(size=(30, 16))[rng.integers(0, 30, 1500)] + rng.normal(scale=0.3, size=(1500, 16))):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = {}
+        for r in search.ivf_top_k(table, k=5, every=50, cells=40, sample=500).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len(got[q] & {i for i in np.argsort(-(u @ u[q])) if i != q and True} & set([i for i in np.argsort(-(u @ u[q])) if i != q][:5])) for q in range(0, 1500, 50))
+        assert hits / (5 * 30) >= 0.9
