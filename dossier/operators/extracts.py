@@ -83,6 +83,9 @@ STATED = (
     ("has_property", rf"{SUBJECT} has {LOW}"), ("has_property", rf"{SUBJECT} contains {LOW}"), ("creates", rf"{SUBJECT} creates {OBJECT}"), ("creates", rf"{SUBJECT} produces {OBJECT}"),
     ("creates", rf"{SUBJECT} generates {OBJECT}"), ("uses", rf"{SUBJECT} uses {OBJECT}"), ("uses", rf"{SUBJECT} utilizes {OBJECT}"), ("uses", rf"{SUBJECT} leverages {OBJECT}"),
 )
+_FORMS = tuple((kind, re.compile(p)) for kind, p in FORMS)
+_STATED = tuple((kind, re.compile(p), re.compile(p.removeprefix(SUBJECT).removesuffix(LOW).removesuffix(OBJECT))) for kind, p in STATED)
+_LETTERS, _CAPITAL = re.compile(r"[A-Za-z\s]+"), re.compile("[A-Z][a-z]")
 _PEOPLE = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Z][a-zA-Z.\s]{{2,40}}?)(?:\s*[,\n\r]|\s+(?:S/o|D/o|W/o|son|daughter|age|aged|resident))", re.IGNORECASE) for label in PERSON_LABELS)
 _PLACES = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Za-z][A-Za-z\s,.-]{{2,60}}?)(?:\s*[;\n\r]|,\s*(?:Pin|PIN|Dist|State|Ph))", re.IGNORECASE) for label in PLACE_LABELS)
 _PIN = re.compile(r"\b([0-9]{6})\b")
@@ -249,31 +252,38 @@ def summaries(found: DataFrame) -> DataFrame:
     return held.select("doc_id", "items", "confidence", F.concat_ws("\n", *lines).alias("summary"))
 
 
-def formal_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, name, type, confidence: addresses, paths and versions by their form (.8), and phrases of technology and concepts in any case (.7); each
-    name of a type once per document. A language model's entities aren't part of it."""
-    text = F.coalesce("text", F.lit(""))
+def formal(text: str) -> list[tuple[str, str, float]]:
+    """(name, type, confidence): addresses, paths and versions by their form (.8), phrases of technology and concepts in any case (.7); each name of a
+    type once."""
+    words = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
+    shown = [(m, kind, 0.8) for kind, p in _FORMS for m in p.findall(text)]
+    return list(dict.fromkeys(shown + [(p, kind, 0.7) for kind, ps in PHRASES.items() for p in ps if f" {p} " in words]))
 
-    def of(kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type"), F.lit(0.8).alias("confidence")))
 
-    shown = [of(t, p) for t, p in FORMS]
-    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " "), F.lit(" "))
-    told = F.filter(F.array(*[F.struct(F.lit(p).alias("name"), F.lit(t).alias("type"), F.lit(0.7).alias("confidence")) for t, ps in PHRASES.items() for p in ps]), lambda x: words.contains(F.concat(F.lit(" "), x["name"], F.lit(" "))))
-    return docs.select("doc_id", F.inline(F.concat(*[F.array_distinct(s) for s in shown], told)))
+def stated(text: str) -> list[tuple[str, str, str, float]]:
+    """(subject, relation, object, confidence) that sentences of STATED's forms say, each once in any case.
 
+    A sentence's words lie in one run of letters and spaces, so runs without a verb are passed over, and so is what follows a run's last one.
+    """
+    found = {}
+    for run in _LETTERS.findall(text):
+        for kind, pattern, verb in _STATED:
+            at, last = 0, max((m.start() for m in verb.finditer(run)), default=-1)
+            while at <= last and _CAPITAL.search(run, at, last) and (m := pattern.search(run, at)):
+                key = (m[1].lower(), kind, m[2].lower())
+                found[key] = min(found.get(key, (m[1], kind, m[2])), (m[1], kind, m[2]))
+                at = m.end()
+    return [(*x, 0.7) for x in found.values()]
 
-def stated_relations(docs: DataFrame) -> DataFrame:
-    """doc_id, src, type, dst, confidence: what sentences of STATED's forms say (.7), each once per document in any case."""
-    text = F.coalesce("text", F.lit(""))
 
-    def of(kind: str, pattern: str):
-        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("o"))
-        return F.transform(both, lambda x: F.struct(x["s"].alias("src"), F.lit(kind).alias("type"), x["o"].alias("dst")))
+def formal_entities(docs: DataFrame) -> DataFrame:
+    """doc_id, name, type, confidence of formal(text). A language model's entities aren't part of it."""
+    return _rows(docs, formal, "doc_id long, name string, type string, confidence double")
+
 
-    rows = docs.select("doc_id", F.inline(F.concat(*[of(t, p) for t, p in STATED])))
-    once = rows.groupBy("doc_id", F.lower("src").alias("s"), "type", F.lower("dst").alias("d")).agg(F.min("src").alias("src"), F.min("dst").alias("dst"))
-    return once.select("doc_id", "src", "type", "dst", F.lit(0.7).alias("confidence"))
+def stated_relations(docs: DataFrame) -> DataFrame:
+    """doc_id, src, type, dst, confidence of stated(text)."""
+    return _rows(docs, stated, "doc_id long, src string, type string, dst string, confidence double")
 
 
 def entity_relevance(docs: DataFrame, vertices: DataFrame) -> DataFrame:
