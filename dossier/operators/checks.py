@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scores
-
 DAY = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}"
 # fixed values: words and patterns of the general steps
 MARKERS = ("government of india", "भारत सरकार", "republic of india", "state government", "hereby certif", "authorized signatory", "official seal", "emblem", "notarized")
@@ -109,18 +107,18 @@ def _step(place: int, name: str, status: Column, confidence: Column) -> Column:
     return F.when(status.isNotNull(), F.struct(F.lit(place).alias("step_order"), F.lit(name).alias("step_name"), status.alias("status"), confidence.cast("double").alias("confidence")))
 
 
-def department(document_type, text) -> Column:
-    """The department by the document's type, else by the first of the ordered words in the text, else general."""
-    low, out = F.lower(text), F.lit("general")
+def department(document_type, low) -> Column:
+    """The department by the document's type, else by the first of the ordered words in the text (in lower case), else general."""
+    out = F.lit("general")
     for name, words in reversed(WORDS.items()):
         out = F.when(_any(low, words), name).otherwise(out)
     known = F.create_map(*[F.lit(x) for kv in DEPARTMENTS.items() for x in kv])
     return F.coalesce(F.try_element_at(known, F.lower(document_type)), out)
 
 
-def registry_steps(text, rules: tuple[Rule, ...]) -> list[Column]:
-    """The steps of one registry, all at place 8; a rule without an outcome gives null."""
-    low, out = F.lower(text), []
+def registry_steps(text, low, rules: tuple[Rule, ...]) -> list[Column]:
+    """The steps of one registry, all at place 8, of a text and its lower case; a rule without an outcome gives null."""
+    out = []
     for r in rules:
         hit = text.rlike(r.pattern) if r.pattern else _any(low, r.words)
         status, confidence = F.when(hit, "PASSED"), F.when(hit, r.passed)
@@ -141,38 +139,44 @@ def verification_steps(docs: DataFrame) -> DataFrame:
     Null texts count as empty, a null class_confidence as .5. All rules are expressions, so documents are checked where they lie.
     The duplicate step passes whenever a hash is given; exact_duplicates compares hashes.
     """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    low, held = F.lower(t), F.col("class_confidence")
-    words = F.size(F.array_remove(F.split(t, r"\s+"), ""))
-    share = F.length(F.regexp_replace(t, r"[^\p{L}\s]", "")) / F.greatest(F.length(t), F.lit(1))
+    plain = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    # the lower-case text is a column of its own, so that it is made once and not in each rule
+    docs = docs.select("document_id", "class_confidence", *map(plain, ("text", "document_type", "serial_number", "qr_data", "file_hash"))).withColumn("low", F.lower("text"))
+    t, low, held = F.col("text"), F.col("low"), F.col("class_confidence")
+    # what several rules ask for is a column too
+    docs = docs.select(
+        "*",
+        F.size(F.array_remove(F.split(t, r"\s+"), "")).alias("words"),
+        (F.length(F.regexp_replace(t, r"[^\p{L}\s]", "")) / F.greatest(F.length(t), F.lit(1))).alias("share"),
+        F.least(_count(low, MARKERS) * 0.15 + F.when(t.rlike(DAY), 0.2).otherwise(0.0) + F.when(_any(low, SIGNATURES), 0.2).otherwise(0.0), F.lit(1.0)).alias("template"),
+        _count(low, AUTHORITIES).alias("heads"),
+        _any(low, CASES).alias("case_"),
+        F.when((F.col("serial_number") != "") & F.contains(t, F.col("serial_number")), 2).when(t.rlike(SERIAL), 1).otherwise(0).alias("serial"),
+        department(F.col("document_type"), low).alias("department"),
+    )
+    words, share, template, found, case, serial = map(F.col, ("words", "share", "template", "heads", "case_", "serial"))
     content = F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) > 20
     good = (words >= 10) & (share > 0.6)
-    typed = (F.coalesce("document_type", F.lit("")) != "") & (F.col("document_type") != "other")
-    serial = F.coalesce("serial_number", F.lit(""))
-    here = (serial != "") & F.contains(t, serial)
-    qr = F.coalesce("qr_data", F.lit(""))
+    typed = ~F.col("document_type").isin("", "other")
+    qr = F.col("qr_data")
     readable = F.lower(qr).contains("http") | qr.rlike("[a-f0-9-]{36}")
-    marks = _count(low, MARKERS)
-    template = F.least(marks * 0.15 + F.when(t.rlike(DAY), 0.2).otherwise(0.0) + F.when(_any(low, SIGNATURES), 0.2).otherwise(0.0), F.lit(1.0))
-    found = _count(low, AUTHORITIES)
-    case = _any(low, CASES)
-    hashed = F.coalesce("file_hash", F.lit("")) != ""
+    hashed = F.col("file_hash") != ""
     general = [
         _step(1, "Document Upload Validation", F.when(content, "PASSED").otherwise("FAILED"), F.when(content, 0.95).otherwise(0.1)),
         _step(2, "OCR Quality Assessment", F.when(good, "PASSED").when(words >= 5, "WARNING").otherwise("FAILED"), F.when(good, F.least(share, F.lit(0.95))).when(words >= 5, share * 0.7).otherwise(0.1)),
         _step(3, "AI Classification Verification", F.when(typed, "PASSED").otherwise("WARNING"), F.when(typed, F.greatest(F.coalesce(held, F.lit(0.5)), F.lit(0.7))).otherwise(0.3)),
-        _step(4, "Serial Number Verification", F.when(here, "PASSED").when(t.rlike(SERIAL), "WARNING").otherwise("SKIPPED"), F.when(here, 0.9).when(t.rlike(SERIAL), 0.6).otherwise(0.0)),
+        _step(4, "Serial Number Verification", F.when(serial == 2, "PASSED").when(serial == 1, "WARNING").otherwise("SKIPPED"), F.when(serial == 2, 0.9).when(serial == 1, 0.6).otherwise(0.0)),
         _step(5, "QR Code Verification", F.when(qr == "", "SKIPPED").when(readable, "PASSED").otherwise("WARNING"), F.when(qr == "", 0.0).when(readable, 0.85).otherwise(0.5)),
         _step(6, "Template Structure Verification", F.when(template >= 0.5, "PASSED").when(template >= 0.2, "WARNING").otherwise("FAILED"), template),
         _step(7, "Issuing Authority Verification", F.when(found > 0, "PASSED").otherwise("WARNING"), F.when(found > 0, F.least(0.5 + found * 0.1, F.lit(0.95))).otherwise(0.2)),
         _step(9, "Ongoing Case Check", F.when(case, "WARNING").otherwise("PASSED"), F.when(case, 0.6).otherwise(0.8)),
         _step(10, "Duplicate Document Check", F.when(hashed, "PASSED").otherwise("SKIPPED"), F.when(hashed, 0.9).otherwise(0.0)),
     ]
-    registry = F.array(*registry_steps(t, REGISTRIES[OTHER]))
+    registry = F.array(*registry_steps(t, low, REGISTRIES[OTHER]))
     for name, rules in REGISTRIES.items():
         if name != OTHER:
-            registry = F.when(F.col("department") == name, F.array(*registry_steps(t, rules))).otherwise(registry)
-    asked = docs.withColumn("department", department(F.coalesce("document_type", F.lit("")), t))
+            registry = F.when(F.col("department") == name, F.array(*registry_steps(t, low, rules))).otherwise(registry)
+    asked = docs.withColumn("department", department(F.col("document_type"), low))
     every = F.filter(F.concat(F.array(*general), registry), lambda s: s.isNotNull())
     return asked.select("document_id", "department", F.inline(every))
 
@@ -180,16 +184,18 @@ def verification_steps(docs: DataFrame) -> DataFrame:
 def verified(steps: DataFrame, green: float = 0.2, yellow: float = 0.5) -> DataFrame:
     """document_id, fraud_score, badge, confidence, passed, failed, warnings, skipped, needs_review of verification_steps' rows:
     the score over steps 1 to 10, then step 11 (its grade) and 12 (always passed) counted with them."""
-    base = scores.verification(steps).select("document_id", "fraud_score")
-    skipped = steps.groupBy("document_id").agg(F.count_if(F.col("status") == "SKIPPED").alias("skipped"))
-    grade = F.when(F.col("fraud_score") < green, "PASSED").when(F.col("fraud_score") < yellow, "WARNING").otherwise("FAILED")
-    own = base.select("document_id", F.inline(F.array(F.struct(grade.alias("status"), (1 - F.col("fraud_score")).alias("confidence")))))
-    last = base.select("document_id", F.lit("PASSED").alias("status"), F.lit(1.0).alias("confidence"))
-    every = steps.select("document_id", "status", "confidence").unionByName(own)
-    tally = scores.verification(every.unionByName(last)).select("document_id", "confidence", "passed", "failed", "warnings")
-    joined = base.join(tally, "document_id").join(skipped, "document_id")
-    badge = F.when((F.col("failed") > 0) | (F.col("fraud_score") > yellow), "RED").when((F.col("warnings") > 0) | (F.col("fraud_score") > green), "YELLOW").otherwise("GREEN")
-    return joined.select("document_id", "fraud_score", badge.alias("badge"), "confidence", "passed", "failed", "warnings", "skipped", (badge == "YELLOW").alias("needs_review"))
+    done, status = F.col("status") != "SKIPPED", F.col("status")
+    n = lambda name: F.count_if(status == name)
+    sums = steps.groupBy("document_id").agg(F.count_if(done).alias("n"), n("PASSED").alias("p"), n("FAILED").alias("f"), n("WARNING").alias("w"), n("SKIPPED").alias("skipped"), F.coalesce(F.sum(F.when(done, F.col("confidence"))), F.lit(0.0)).alias("sure"))
+    raw = (0.6 * F.col("f") + 0.2 * F.col("w")) / F.col("n") + 0.2 * (1 - F.col("sure") / F.col("n"))
+    scored = sums.withColumn("fraud_score", F.when(F.col("n") == 0, 0.5).otherwise(F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4)))
+    fraud = F.col("fraud_score")
+    graded = scored.select(
+        "document_id", "fraud_score", F.round((F.col("sure") + 1 - fraud + 1) / (F.col("n") + 2), 4).alias("confidence"), (F.col("p") + 1 + (fraud < green).cast("long")).alias("passed"),
+        (F.col("f") + (fraud >= yellow).cast("long")).alias("failed"), (F.col("w") + ((fraud >= green) & (fraud < yellow)).cast("long")).alias("warnings"), "skipped",
+    )
+    badge = F.when((F.col("failed") > 0) | (fraud > yellow), "RED").when((F.col("warnings") > 0) | (fraud > green), "YELLOW").otherwise("GREEN")
+    return graded.withColumn("badge", badge).withColumn("needs_review", F.col("badge") == "YELLOW")
 
 
 def review_reasons(steps: DataFrame) -> DataFrame:

@@ -88,6 +88,11 @@ _STATED = tuple((kind, re.compile(p), re.compile(p.removeprefix(SUBJECT).removes
 _LETTERS, _CAPITAL = re.compile(r"[A-Za-z\s]+"), re.compile("[A-Z][a-z]")
 _PEOPLE = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Z][a-zA-Z.\s]{{2,40}}?)(?:\s*[,\n\r]|\s+(?:S/o|D/o|W/o|son|daughter|age|aged|resident))", re.IGNORECASE) for label in PERSON_LABELS)
 _PLACES = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Za-z][A-Za-z\s,.-]{{2,60}}?)(?:\s*[;\n\r]|,\s*(?:Pin|PIN|Dist|State|Ph))", re.IGNORECASE) for label in PLACE_LABELS)
+# what a text must hold for the patterns above to find anything: most texts are passed over by these alone
+_LABEL = re.compile(rf"(?:{'|'.join(PERSON_LABELS + PLACE_LABELS)})\s*[:-]", re.IGNORECASE)
+_RELATIVES = ("S/o", "D/o", "W/o", "son of", "daughter of", "wife of")
+_HEADS = re.compile("Ministry|Department|Directorate|Bureau|Commission|Authority|Board|Council|Office|Secretariat|Division|Court|Tribunal|Police|Thana|Municipal|Nagar|Gram|Zilla|University|Institute|College|School|Academy")
+_DIGIT = re.compile(r"[0-9]|(?:case|complaint|appeal|ref|reference)\s*(?:no|number)", re.IGNORECASE)
 _PIN = re.compile(r"\b([0-9]{6})\b")
 _ORGANISATIONS = tuple((re.compile(p), c) for p, c in ORGANISATIONS)
 DEADLINE = re.compile("deadline|due date|last date|expiry|expires|valid (?:until|till|up to)|before|not later than|by|within")
@@ -100,6 +105,8 @@ def items(text: str) -> list[tuple[str, str, float, str, int]]:
     A date is a deadline, and .05 surer, if a word for one stands in the 80 characters before it. Commas go from amounts.
     """
     out = []
+    if not _DIGIT.search(text):
+        return out
     for kind, around in zip(_KINDS, (50, 40, 40)):
         seen = set()
         for category, pattern, confidence in kind:
@@ -126,17 +133,18 @@ def named(text: str) -> list[tuple[str, str, float, str, int]]:
             out.append((category, value, confidence, evidence.strip(), at))
 
     near = lambda m, n: text[max(0, m.start() - n) : m.end() + n]
-    for p in _PEOPLE:
+    labelled = _LABEL.search(text) is not None
+    for p in _PEOPLE if labelled else ():
         for m in p.finditer(text):
             add("person", m[1].strip().rstrip(".,;:"), 0.80, near(m, 20), m.start(), 3)
-    for m in re.finditer(RELATED, text):
+    for m in re.finditer(RELATED, text) if any(w in text for w in _RELATIVES) else ():
         for g in (1, 2):
             add("person", m[g].strip().rstrip(".,;:"), 0.75, m[0][:100], m.start(), 3)
-    for p, confidence in _ORGANISATIONS:
+    for p, confidence in _ORGANISATIONS if _HEADS.search(text) else ():
         for m in p.finditer(text):
             value = m[1].strip().rstrip(".,;:")
             add("organization", value, confidence, near(m, 30), m.start(), 5, value.lower())
-    for p in _PLACES:
+    for p in _PLACES if labelled else ():
         for m in p.finditer(text):
             value = m[1].strip().rstrip(".,;:")
             add("location", value, 0.75, near(m, 20), m.start(), 3, value.lower())

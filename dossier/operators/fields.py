@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,6 +71,8 @@ UNIVERSAL: dict[str, str] = {
     "court": r"(?:in\s+the\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Court|Tribunal|Commission|Board))",
     "organization": r"\b([A-Z][A-Za-z\s&]+(?:Ltd|Limited|Pvt|Corporation|Corp|Inc|LLP|Authority|Board|Council)\.?)\b",
 }
+#: Of the patterns that try long runs of words, what a text must hold at all for them to hit.
+NEEDED = {"court": r"(?i)court|tribunal|commission|board", "organization": r"(?i)(?:Ltd|Limited|Pvt|Corporation|Corp|Inc|LLP|Authority|Board|Council)(?![A-Za-z])"}
 LABEL_LINE = r"(?m)^([A-Za-z][A-Za-z0-9 _/]{1,40}?)\s*[:-]\s*(.{2,120}?)(?:\s*$)"
 NOISE = ("the", "and", "or", "of", "to", "in", "a", "an", "is", "it", "this", "that", "for", "on", "at", "by", "with", "from")
 #: What the locker and the graph look for.
@@ -136,7 +138,9 @@ def label_fields(docs: DataFrame) -> DataFrame:
     pairs = F.transform(lines, lambda p: F.struct(key(p["k"]).alias("field"), F.regexp_replace(F.trim(p["v"]), "[.,;]+$", "").alias("value")))
     good = F.filter(pairs, lambda p: (F.length("" if p is None else p["value"]) >= 2) & (F.length(p["field"]) > 0))
     last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["field"] == p["field"]))
-    rest = [F.struct(F.lit(name).alias("field"), F.trim(F.regexp_extract("t", f"(?i){p}", 1)).alias("value")) for name, p in UNIVERSAL.items()]
+    hit = lambda name, p: F.trim(F.regexp_extract("t", f"(?i){p}", 1))
+    some = lambda name, p: F.when(F.col("t").rlike(NEEDED[name]), hit(name, p)).otherwise("") if name in NEEDED else hit(name, p)
+    rest = [F.struct(F.lit(name).alias("field"), some(name, p).alias("value")) for name, p in UNIVERSAL.items()]
     rest.append(F.struct(F.lit("document_title").alias("field"), F.coalesce(title(F.col("t")), F.lit("")).alias("value")))
     both = read.select("doc_id", last.alias("lines"), F.array(*rest).alias("rest"))
     names = F.transform("lines", lambda p: p["field"])
@@ -148,10 +152,10 @@ def label_fields(docs: DataFrame) -> DataFrame:
 def extracted_fields(docs: DataFrame, schemas: DataFrame) -> DataFrame:
     """doc_id, field, value, confidence, type, required: the schema's fields, and from label_fields those that it didn't find
     (.85, with a guessed type, not required)."""
-    mine = schema_fields(docs, schemas)
-    held = mine.where("value is not null").select("doc_id", "field")
-    more = label_fields(docs).join(held, ["doc_id", "field"], "left_anti")
-    return mine.unionByName(more.select("doc_id", "field", "value", F.lit(0.85).alias("confidence"), T.field_type(F.col("field")).alias("type"), F.lit(False).alias("required")))
+    labelled = label_fields(docs).select("doc_id", "field", "value", F.lit(0.85).alias("confidence"), T.field_type(F.col("field")).alias("type"), F.lit(False).alias("required"), F.lit(False).alias("own"))
+    both = schema_fields(docs, schemas).withColumn("own", F.lit(True)).unionByName(labelled)
+    found = F.max(F.col("own") & F.col("value").isNotNull()).over(Window.partitionBy("doc_id", "field"))
+    return both.withColumn("found", found).where("own or not found").drop("own", "found")
 
 
 def locker_metadata(text) -> Column:

@@ -102,7 +102,7 @@ def review_reasons(t, spark):
 
 @query(f"WITH {_STEPS} SELECT department, count(*) AS n FROM d GROUP BY 1")
 def department_detection(t, spark):
-    rows = _requests(t, spark).select(checks.department(F.coalesce("document_type", F.lit("")), F.coalesce("text", F.lit(""))).alias("department"))
+    rows = _requests(t, spark).select(checks.department(F.coalesce("document_type", F.lit("")), F.lower(F.coalesce("text", F.lit("")))).alias("department"))
     return rows.groupBy("department").agg(F.count("*").alias("n"))
 
 
