@@ -89,7 +89,7 @@ _LETTERS, _CAPITAL = re.compile(r"[A-Za-z\s]+"), re.compile("[A-Z][a-z]")
 _PEOPLE = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Z][a-zA-Z.\s]{{2,40}}?)(?:\s*[,\n\r]|\s+(?:S/o|D/o|W/o|son|daughter|age|aged|resident))", re.IGNORECASE) for label in PERSON_LABELS)
 _PLACES = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Za-z][A-Za-z\s,.-]{{2,60}}?)(?:\s*[;\n\r]|,\s*(?:Pin|PIN|Dist|State|Ph))", re.IGNORECASE) for label in PLACE_LABELS)
 # what a text must hold for the patterns above to find anything: most texts are passed over by these alone
-_LABEL = re.compile(rf"(?:{'|'.join(PERSON_LABELS + PLACE_LABELS)})\s*[:-]", re.IGNORECASE)
+_LABELS = (*PERSON_LABELS, *PLACE_LABELS)
 _RELATIVES = ("S/o", "D/o", "W/o", "son of", "daughter of", "wife of")
 _HEADS = re.compile("Ministry|Department|Directorate|Bureau|Commission|Authority|Board|Council|Office|Secretariat|Division|Court|Tribunal|Police|Thana|Municipal|Nagar|Gram|Zilla|University|Institute|College|School|Academy")
 _DIGIT = re.compile(r"[0-9]|(?:case|complaint|appeal|ref|reference)\s*(?:no|number)", re.IGNORECASE)
@@ -133,7 +133,7 @@ def named(text: str) -> list[tuple[str, str, float, str, int]]:
             out.append((category, value, confidence, evidence.strip(), at))
 
     near = lambda m, n: text[max(0, m.start() - n) : m.end() + n]
-    labelled = _LABEL.search(text) is not None
+    labelled = any(text[max(0, m.start() - 40) : m.start()].rstrip().lower().endswith(_LABELS) for m in re.finditer("[:-]", text))
     for p in _PEOPLE if labelled else ():
         for m in p.finditer(text):
             add("person", m[1].strip().rstrip(".,;:"), 0.80, near(m, 20), m.start(), 3)
