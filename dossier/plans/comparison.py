@@ -85,7 +85,9 @@ def comparison_verdicts(t, spark):
 CHANGES = "SELECT * FROM (VALUES (1, 'name', 'Ann'), (1, 'city', 'Ulm'), (1, 'zip', '1'), (2, 'name', 'Anne'), (2, 'phone', '12'), (2, 'fax', '3')) AS t(version, field, value)"
 
 
-@query("SELECT 2::BIGINT AS added, 2::BIGINT AS removed, 1::BIGINT AS modified, '2 field(s) added, 2 field(s) removed, 1 field(s) modified' AS summary")
+@query(f"""WITH v AS ({CHANGES}), d AS (SELECT a.field AS x, b.field AS y, a.value AS old, b.value AS new FROM (SELECT * FROM v WHERE version = 1) a FULL JOIN (SELECT * FROM v WHERE version = 2) b ON a.field = b.field),
+n AS (SELECT count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed, count(*) FILTER (x = y AND old <> new) AS modified FROM d)
+SELECT *, coalesce(nullif(concat_ws(', ', CASE WHEN added > 0 THEN added || ' field(s) added' END, CASE WHEN removed > 0 THEN removed || ' field(s) removed' END, CASE WHEN modified > 0 THEN modified || ' field(s) modified' END), ''), 'No changes detected') AS summary FROM n""")
 def change_summary(t, spark):
     rows = spark.sql(CHANGES)
     return compare.change_summary(joins.field_diff(rows.where("version = 1"), rows.where("version = 2")))

@@ -87,8 +87,13 @@ def stage_eta(t, spark):
 NOTIFIED = "SELECT * FROM (VALUES ('a1', 'u1', 'submitted', 'Permit', ''), ('a2', 'u2', 'issuing_authority', 'Deed', ''), ('a3', 'u1', 'rejected', 'Pass', 'blurred'), ('a4', 'u3', 'on_hold', 'x', ''), ('a5', '', 'delivered', 'x', ''), ('a6', 'u4', 'generated', CAST(NULL AS STRING), '')) AS t(application_id, user_id, stage, document, reason)"
 
 
-@query(f"""SELECT * FROM (VALUES ('a1', 'u1', 'upload_successful', 'Upload Successful', 'Your document ''Permit'' has been uploaded successfully.'), ('a2', 'u2', 'status_update', 'Status Update', 'Status update for ''Deed'': Issuing Authority.'),
-('a3', 'u1', 'document_rejected', 'Document Rejected', 'Your document ''Pass'' has been rejected. Reason: blurred.'), ('a6', 'u4', 'generated', 'Generated', 'Your official document '''' has been generated and is ready.')) AS t(application_id, user_id, type, title, message)""")
+_NOTICE = "CASE stage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in records.STAGE_NOTICE.items()) + " END"
+_SAYS = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'".replace("'%1$s'", "''%1$s''") for k, v in records.NOTICES.items()) + " END"
+_TITLED = "array_to_string(list_transform(string_split(replace({0}, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+@query(f"""WITH n AS (SELECT *, {_NOTICE} AS type FROM ({duck(NOTIFIED)}) WHERE coalesce(user_id, '') <> ''), m AS (SELECT *, {_SAYS} AS says FROM n WHERE type IS NOT NULL)
+SELECT application_id, user_id, type, {_TITLED.format('type')} AS title, replace(replace(replace(says, '%1$s', coalesce(document, '')), '%2$s', coalesce(reason, '')), '%3$s', {_TITLED.format('stage')}) AS message FROM m""")
 def stage_notices(t, spark):
     return records.notices(spark.sql(NOTIFIED))
 
@@ -172,7 +177,10 @@ def document_numbers(t, spark):
 NAMED = "SELECT user, map_filter(map('full_name', f, 'given_names', g, 'surname', s, 'child_name', c, 'owner_name', o), (k, v) -> v IS NOT NULL) AS values, years FROM (VALUES ('u1', 'Asha Rao', 'x', 'y', CAST(NULL AS STRING), CAST(NULL AS STRING), 10), ('u2', '', 'Bo', 'Chan', 'z', 'w', 0), ('u3', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'Kid', 'w', CAST(NULL AS INT)), ('u4', CAST(NULL AS STRING), ' ', CAST(NULL AS STRING), CAST(NULL AS STRING), 'Own', 1), ('u5', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 5)) AS t(user, f, g, s, c, o, years)"
 
 
-@query("SELECT * FROM (VALUES ('u1', 'Asha Rao', DATE '2033-12-29'), ('u2', 'Bo Chan', NULL), ('u3', 'Kid', NULL), ('u4', 'Own', DATE '2024-12-31'), ('u5', 'u5', DATE '2028-12-30')) AS t(\"user\", name, until)")
+D_NAMED = duck(NAMED[NAMED.index("FROM (VALUES") :])
+
+
+@query(f"SELECT \"user\", coalesce(nullif(f, ''), nullif(trim(coalesce(g, '') || ' ' || coalesce(s, '')), ''), nullif(c, ''), nullif(o, ''), \"user\") AS name, CASE WHEN years > 0 THEN DATE '2024-01-01' + CAST(years * 365 AS INTEGER) END AS until {D_NAMED.replace('(user,', '(\"user\",')}")
 def applicant_names(t, spark):
     return spark.sql(NAMED).select("user", records.applicant_name(F.col("values"), F.col("user")).alias("name"), records.valid_until(F.lit("2024-01-01").cast("date"), F.col("years")).alias("until"))
 

@@ -261,12 +261,14 @@ def context_build(t, spark):
     return windows.context(t("conversations"), "conv_id", "turn")
 
 
-_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.08)"
+_EDGES = "edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"
 
 
 def _edges(t):
-    picked = t("lineitem").where("l_quantity = 50 and l_discount >= 0.08")
-    return picked.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    """Customers and suppliers in their nations, all of them."""
+    ends = (("customer", "c", "c_custkey", "c_nationkey"), ("supplier", "s", "s_suppkey", "s_nationkey"))
+    a, b = (t(table).select(F.concat(F.lit(kind), key).alias("src"), F.concat(F.lit("n"), nation).alias("dst")) for table, kind, key, nation in ends)
+    return a.unionAll(b).distinct()
 
 
 _BOTH = "both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
@@ -288,12 +290,12 @@ def clusters(t, spark):
 
 
 @query(f"""
-WITH {_EDGES}, {_BOTH}, c AS (SELECT DISTINCT src AS id FROM edges), h AS (
+WITH {_EDGES}, {_BOTH}, c AS (SELECT 's' || s_suppkey AS id FROM supplier), h AS (
   SELECT id AS centre, id AS node, 0 AS hops FROM c UNION ALL SELECT id, dst, 1 FROM c JOIN both_ ON src = id
   UNION ALL SELECT id, y.dst, 2 FROM c JOIN both_ x ON x.src = id JOIN both_ y ON y.src = x.dst)
 SELECT centre, node, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY 1, 2""")
 def subgraph_2hop(t, spark):
-    return graph.neighbourhood(_edges(t), _edges(t).select(F.col("src").alias("id")).distinct(), 2)
+    return graph.neighbourhood(_edges(t), t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")), 2)
 
 
 @query(f"""
