@@ -236,6 +236,7 @@ def rule_answers(questions: DataFrame, items: DataFrame, documents: DataFrame) -
     expiring = F.filter("dates", lambda d: F.lower(d["evidence"]).contains("expir") | F.lower(d["evidence"]).contains("valid"))
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     about = F.concat_ws(" ", F.lit("This document holds what follows."), F.when(some("people"), say("It mentions: ", values("people", 3), ".")), F.when(some("organizations"), say("Organizations involved: ", values("organizations", 3), ".")), F.when(some("dates"), say("Key dates: ", values("dates", 3), ".")), F.when(some("cases"), say("Case references: ", values("cases", 3), ".")))
+    # fixed values: the sentences of the answers and how sure they are
     rules = {
         "about": (about, F.lit(0.80)),
         "department": (F.when(dept != "", say("This document was issued by: ", dept, ".")).when(some("organizations"), say("The issuing authority appears to be: ", first("organizations", "value"), ".")).otherwise("The issuing department could not be determined from the document."), F.when(dept != "", 0.90).when(some("organizations"), first("organizations", "confidence")).otherwise(0.2)),

@@ -75,6 +75,7 @@ def metadata_confidence(fields: DataFrame) -> DataFrame:
 
 def recommendation(cases: DataFrame) -> DataFrame:
     """case_id, recommendation of cases(case_id, readiness, completeness, consistency, confidence, missing, major): what the score allows, and what to do."""
+    # fixed values: the sentences
     status = F.when(F.col("readiness") >= 90, "Ready for human/authorized review").when(F.col("readiness") >= 75, "Minor issues to address before review").when(F.col("readiness") >= 60, "Several issues need attention").otherwise("Significant work required before submission")
     todo = F.concat_ws(
         " ",
