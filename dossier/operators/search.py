@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import blocks, text
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Terms of all queries together that the driver may hold.
+TERMS = 200_000
 
 
 def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
@@ -34,8 +36,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> D
     raw = frequency.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     passes = max(1, -(-asked.select("query_id").distinct().count() // most))
-    floor = FLOOR * F.lit(raw.agg(F.avg("raw")).first()[0])
-    weighed = asked.join(raw, "term").select("query_id", "term", (F.col("times") * F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")) * (K1 + 1)).alias("weight"))
+    # one look at the vocabulary gives the mean over all terms and the asked ones' weights: a bounded number of queries has bounded terms
+    terms = asked.select("term").distinct()
+    if terms.count() <= TERMS:
+        own = F.collect_list(F.when(F.col("mine"), F.struct("term", "raw")))
+        found = raw.join(F.broadcast(terms.withColumn("mine", F.lit(True))), "term", "left").agg(F.avg("raw").alias("mean"), own.alias("own")).first()
+        mean, held = found.mean, docs.sparkSession.createDataFrame([(r.term, r.raw) for r in found.own], "term string, raw double")
+    else:
+        mean, held = raw.agg(F.avg("raw")).first()[0], raw
+    idf = F.when(F.col("raw") < 0, FLOOR * F.lit(mean)).otherwise(F.col("raw"))
+    weighed = asked.join(held, "term").select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
     weighed = weighed.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     scored = None
