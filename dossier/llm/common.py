@@ -89,8 +89,8 @@ def components(edges: DataFrame, left: str = "src", right: str = "dst") -> DataF
 BROADCAST_IDS = 1_000_000
 
 
-def among(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """The rows of df whose key is among ids, a column of that name (left_anti: is not); wide rows stay in place while ids are few."""
+def among(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is among ids, which has the key's columns (left_anti: is not); wide rows stay in place while ids are few."""
     ids = cut(ids, "ids")
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 

@@ -29,6 +29,9 @@ LENGTH, GRAM, SPAN = 400, 48, 64
 SLICE = 1 << 18
 #: Blocks in a batch of the index, and blocks that one task's family is planned for.
 BATCH, FAMILY = 256, 4096
+#: What names a row: its id (or a hash of its text) and another hash of its text. Rows that share both are copies, and have the same places.
+ROW = ["row_id", "row_text"]
+ROW_TYPES = "row_id long, row_text long"
 
 
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -87,13 +90,13 @@ def _listed(batches: Iterator, length: int, gram: int, span: int):
 
     for batch in batches:
         for part in pieces(batch, 1 << 21):
-            ids, rows = part.column("doc_id"), []
+            ids, rows = [part.column(c) for c in ROW], []
             for i, text in enumerate(utf8(part.column("text"))):
                 first, count, core, h = blocks(text, length, gram, span)
                 rows.append((np.full(len(first), i), first, count, core, h))
             if rows:
                 i, first, count, core, h = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i, pa.int64())), pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(core.astype(np.int64)), pa.array(h.view(np.int64))], names=["doc_id", "first", "count", "core", "hash"])
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(i, pa.int64())) for c in ids] + [pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(core.astype(np.int64)), pa.array(h.view(np.int64))], names=[*ROW, "first", "count", "core", "hash"])
 
 
 def _lists(column) -> tuple[np.ndarray, object]:
@@ -118,8 +121,8 @@ def _cut_out(batches: Iterator, length: int, span: int):
             for c in core[ends[i] : ends[i + 1]].tolist():
                 strings.append(padded[c : c + side] + hashlib.blake2b(text[c : c + size], digest_size=16).digest() + padded[c + side + size : c + 2 * side + size])
         lo = (first - (core - side)).astype(np.int32)
-        doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(texts)), np.diff(ends))))
-        yield pa.RecordBatch.from_arrays([doc, pa.array(first), pa.array(strings, pa.binary()), pa.array(lo), pa.array(lo + count.astype(np.int32))], names=["doc_id", "first", "block", "lo", "hi"])
+        of = pa.array(np.repeat(np.arange(len(texts)), np.diff(ends)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in ROW] + [pa.array(first), pa.array(strings, pa.binary()), pa.array(lo), pa.array(lo + count.astype(np.int32))], names=[*ROW, "first", "block", "lo", "hi"])
 
 
 class SuffixFamily:
@@ -245,21 +248,22 @@ def _stripped(batches: Iterator, length: int, keep: bool):
 
 
 def repeated_blocks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """(doc_id, first, lo, mask): bit t of mask says that the window at first - lo + t occurs more than once."""
+    """ROW, first, lo, mask for docs(ROW, text): bit t of mask says that the window at first - lo + t of the row's text occurs more than once."""
     spark = docs.sparkSession
-    listed = cut(docs.mapInArrow(lambda b: _listed(b, length, gram, span), "doc_id long, first long, count int, core long, hash long"), "blocks")
+    listed = cut(docs.mapInArrow(lambda b: _listed(b, length, gram, span), ROW_TYPES + ", first long, count int, core long, hash long"), "blocks")
     often = listed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    hits = listed.join(often, "hash", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("first", "count", "core")).alias("at"))
+    # of rows that are copies of each other, each block is listed once
+    hits = listed.join(often, "hash", "left_semi").groupBy(ROW).agg(F.collect_set(F.struct("first", "count", "core")).alias("at"))
     hits = cut(hits, "hits")
-    some = among(docs, hits.select("doc_id"), "doc_id").join(hits, "doc_id")
-    found = some.mapInArrow(lambda b: _cut_out(b, length, span), "doc_id long, first long, block binary, lo int, hi int")
+    some = among(docs, hits.select(ROW), ROW).join(hits, ROW)
+    found = some.mapInArrow(lambda b: _cut_out(b, length, span), ROW_TYPES + ", first long, block binary, lo int, hi int")
     found = cut(found, "found")
     distinct = cut(found.groupBy("block", "lo", "hi").agg(F.count("*").alias("weight")), "distinct")
     core = F.substring("block", span, 16)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil_div(distinct.count(), FAMILY))
     dealt = distinct.withColumn("core", core).repartition(tasks, "core").sortWithinPartitions("core").drop("core")
     masks = cut(dealt.mapInArrow(lambda b: _families(b, length, span), "block binary, lo int, hi int, mask long"), "masks")
-    return found.join(masks, ["block", "lo", "hi"]).where("mask <> 0").select("doc_id", "first", "lo", "mask")
+    return found.join(masks, ["block", "lo", "hi"]).where("mask <> 0").select(*ROW, "first", "lo", "mask")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, span: int = SPAN, keep: bool = True) -> DataFrame:
@@ -268,16 +272,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, span
 
     A byte goes if it lies in a string of length bytes that starts at another place too, in the same document or
     any other; strings are judged on the input and never cross documents. Null texts count as empty; texts
-    shorter than length lose nothing. doc_id is a key: rows that repeat an id are treated as copies, each
-    with its own row. Rows without an id are kept whole and match nothing. Other columns are ignored.
+    shorter than length lose nothing. Every row is a document of its own and counts: rows that repeat an id, with the same
+    text or another, and rows without an id too. Other columns are ignored.
     """
     if not gram <= length - span + 1 or span > 64:
         raise ValueError("gram must fit into the core, and span into 64 bits")
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = repeated_blocks(docs.where("doc_id is not null"), length, gram, span)
-    runs = cut(runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "lo", "mask")).alias("runs")), "runs")
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64(F.lit(1), "text")).alias("row_id"), F.xxhash64("text").alias("row_text"))
+    runs = repeated_blocks(docs.select(*ROW, "text"), length, gram, span)
+    runs = cut(runs.groupBy(ROW).agg(F.collect_set(F.struct("first", "lo", "mask")).alias("runs")), "runs")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    with_runs = among(docs, runs.select("doc_id"), "doc_id").join(runs, "doc_id")
-    rest = among(docs, runs.select("doc_id"), "doc_id", "left_anti").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    with_runs = among(docs, runs.select(ROW), ROW).join(runs, ROW)
+    rest = among(docs, runs.select(ROW), ROW, "left_anti").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
     return with_runs.unionByName(rest).mapInArrow(lambda b: _stripped(b, length, keep), schema)

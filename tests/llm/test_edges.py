@@ -2,9 +2,11 @@
 
 import base64
 import gzip
+import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
@@ -193,7 +195,26 @@ def test_suffix_repeated_and_null_ids(spark):
     long = " ".join(str(i * i) for i in range(200))
     docs = spark.createDataFrame([(1, long, 0), (1, long, 0), (2, "x " + long, 0), (None, long, 0), (3, None, 0)], "doc_id long, text string, first int")
     got = sorted((r.doc_id or 0, r.n_removed) for r in suffix.remove_repeats(docs, length=100, gram=20, span=16).collect())
-    assert got == [(0, 0), (1, len(long)), (1, len(long)), (2, len(long)), (3, 0)]
+    assert got == [(0, len(long)), (1, len(long)), (1, len(long)), (2, len(long)), (3, 0)]
+
+
+def test_suffix_ids_with_several_texts(spark):
+    """Rows that repeat an id with other texts, shorter and longer, and rows without an id are documents of their own."""
+    rng = random.Random(8)
+    word = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    long, other = word(450), word(90)
+    rows = [(1, long), (1, long[:450] + "x"), (2, long), (2, other), (2, other + " " + word(40)), (None, other[50:]), (None, word(80)), (None, long[900:1500]), (None, long[900:1500]), (4, word(200)), (4, None), (4, "")]
+    where = Counter(t[a : a + 400] for _, t in rows if t for a in range(len(t) - 399))
+    want = []
+    for i, t in rows:
+        gone = set()
+        for a in range(len(t or "") - 399):
+            if where[t[a : a + 400]] > 1:
+                gone |= set(range(a, a + 400))
+        kept = "".join(c for p, c in enumerate(t or "") if p not in gone)
+        want.append((i or 0, len(t or ""), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
 
 
 def test_minhash_bucket_of_several_components(spark):
