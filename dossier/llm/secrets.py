@@ -5,6 +5,7 @@ from __future__ import annotations
 import binascii
 import bisect
 import bz2
+import contextlib
 import functools
 import hashlib
 import itertools
@@ -29,8 +30,14 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 #: Escapes of an escape's own sign, more than once: %25..., &#38;#38;... and \\x5cx5c... are peeled at once, not level by level.
 _NESTED = re.compile(r"%(?:25){2,}(?=[0-9A-Fa-f]{2})|&(?:#38;|#[xX]26;){2,}(?=#)|\\(?:x5[cC]|u005[cC]){2,}(?=[xu])")
-#: Bytes of decompressed data that are read at a time, and of the part before that are read again with them.
-WINDOW, OVERLAP = 1 << 20, 1 << 16
+#: Bytes of decompressed data that are read at a time; a window grows to the end of the tokens and streams that are open where it ends, up
+#: to HELD bytes. Only what is open for longer is parted, with OVERLAP bytes of the part before.
+WINDOW, HELD, OVERLAP = 1 << 20, 32 << 20, 1 << 16
+#: Bytes that a decompressor gets at first, as most likenesses break at once, and at most.
+FIRST, CHUNK = 64, 1 << 16
+#: Streams that are broken or cut may hide others: their bytes are read again from each mark within, REREAD times the layer's size in all.
+#: After that, marks within what a stream has read are passed over.
+REREAD = 8
 _LETTER = "[A-Za-z0-9+/_-]"
 _BASE64 = re.compile(_LETTER + r"{16,}={0,2}")
 _BREAK = re.compile(rf"(?<={_LETTER})[ \t]*\r?\n[ \t]*(?={_LETTER})")
@@ -78,11 +85,15 @@ class _Layer:
 def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with every escape of a pattern decoded, character by character."""
     text, starts, ends, at = [], array("q"), array("q"), 0
+    flat = isinstance(layer.starts, int)
     for m in pattern.finditer(layer.text):
         got = decode(m)
         if got is None:
             continue
         text.append(layer.text[at : m.start()]), text.append(got)
+        if flat:
+            at = m.end()
+            continue
         for i in range(at, m.start()):
             a, b = layer.span(i, i + 1)
             starts.append(a), ends.append(b)
@@ -93,6 +104,8 @@ def _escaped(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     if not at:
         return None
     text.append(layer.text[at:])
+    if flat:
+        return _Layer("".join(text), layer.starts, layer.ends)
     for i in range(at, len(layer.text)):
         a, b = layer.span(i, i + 1)
         starts.append(a), ends.append(b)
@@ -117,86 +130,152 @@ def _character(m: re.Match) -> str | None:
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
-def _decompressor(data: bytes):
-    """What inflates gzip, zlib, bzip2 or xz data; None for other data."""
-    if data[:2] == b"\x1f\x8b":
-        return zlib.decompressobj(31)
-    if data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0:
-        return zlib.decompressobj(15)
-    if data[:3] == b"BZh":
-        return bz2.BZ2Decompressor()
-    if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor()
-    return None
+class _Marks:
+    """Where compressed data may start in a layer's bytes. Headers are read here, so that most likenesses need no decompressor."""
+
+    def __init__(self, data: bytes):
+        self.data, self.zero = data, (0, -1)
+
+    def _past_zero(self, at: int) -> int:
+        """The place after the next zero byte, 0 if there is none; a search isn't made twice."""
+        asked, found = self.zero
+        if not asked <= at <= found and not (found == len(self.data) and at >= asked):
+            found = self.data.find(b"\0", at)
+            self.zero = at, found = at, found if found >= 0 else len(self.data)
+        return found + 1 if found < len(self.data) else 0
+
+    def _block(self, at: int) -> bool:
+        """Whether a deflate block may start here."""
+        kind = self.data[at] >> 1 & 3 if at < len(self.data) else 3
+        stored = self.data[at + 1 : at + 5]
+        return kind in (1, 2) or (kind == 0 and all(p ^ q == 255 for p, q in zip(stored[:2], stored[2:], strict=False)))
+
+    def decompressor(self, at: int):
+        """What inflates the gzip, zlib, bzip2 or xz data that starts at a place; None for other data."""
+        head = self.data[at : at + 12]
+        if head[:3] == b"\x1f\x8b\x08" and len(head) > 10 and not head[3] & 0xE0:
+            body = at + 10
+            if head[3] & 4:
+                body += 2 + int.from_bytes(self.data[body : body + 2], "little")
+            for flag in (8, 16):
+                if head[3] & flag and not (body := self._past_zero(body)):
+                    return None
+            return zlib.decompressobj(31) if self._block(body + (head[3] & 2)) else None
+        if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0 and not head[1] & 0x20:
+            return zlib.decompressobj(15) if self._block(at + 2) else None
+        if head[:3] == b"BZh" and head[4:10] in (b"1AY&SY", b"\x17rE8P\x90"):
+            return bz2.BZ2Decompressor()
+        return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
+
+    def inflated(self, at: int) -> Iterator[tuple[bytes, int, str]]:
+        """(content, place up to which data has been read, state) of the members that start at a place, one after another. The state is
+        more, done at a member's end, or broken; what comes before a broken place counts."""
+        data = memoryview(self.data)
+        while (d := self.decompressor(at)) is not None:
+            start, size, before = at, FIRST, 0
+            while not d.eof and at < len(data):
+                part, saved, told = data[at : at + size], d.copy() if hasattr(d, "copy") else None, 0
+                at, size = at + len(part), min(CHUNK, 8 * size)
+                try:
+                    for got in _fed(d, part):
+                        told += len(got)
+                        yield got, at, "more"
+                except _BROKEN:
+                    slow = _slowly(saved, part, told) if saved else _slowly(self.decompressor(start), data[start:at], before + told)
+                    yield from ((got, at, "broken") for got in slow)
+                    yield b"", at, "broken"
+                    return
+                before += told
+                yield b"", at, "more"
+            if not d.eof:
+                return
+            at -= len(d.unused_data)
+            yield b"", at, "done"
 
 
 _BROKEN = (zlib.error, OSError, lzma.LZMAError, EOFError)
 
 
-def _inflated(data: bytes, step: int = 0) -> Iterator[tuple[bytes, int]]:
-    """(content, bytes read) of the members of compressed data, one after another, WINDOW of content at a time; what comes before a
-    broken place counts: data that breaks is read again, a few bytes at a time."""
-    at, done = 0, 0
-    window = max(WINDOW, 2 * len(data))  # so a compressed stream inside lies in one window
-    while (d := _decompressor(data[at : at + 6])) is not None:
-        told = 0
-        for step in (0, 32):
-            d, skip = _decompressor(data[at : at + 6]), told
-            try:
-                for got in _fed(d, data[at:], window, step):
-                    new = got[skip:]
-                    skip = max(0, skip - len(got))
-                    told += len(new)
-                    if new:
-                        yield new, len(data)
-                break
-            except _BROKEN:
-                if step:
-                    return
-        done += told
-        if not d.eof:
-            return
-        at = len(data) - len(d.unused_data)
-        yield b"", at
-
-
-def _fed(d, data: bytes, window: int, step: int) -> Iterator[bytes]:
-    """The content that a decompressor gives for data, window bytes at a time; data is given in steps, or at once."""
-    for i in range(0, len(data), step or len(data)):
-        part = data[i : i + step] if step else data
-        yield d.decompress(part, window)
-        while not d.eof and (d.unconsumed_tail if hasattr(d, "unconsumed_tail") else not d.needs_input):
-            yield d.decompress(d.unconsumed_tail if hasattr(d, "unconsumed_tail") else b"", window)
-        if d.eof:
+def _fed(d, part) -> Iterator[bytes]:
+    """The content that a decompressor gives for a part of its data, WINDOW bytes at a time."""
+    while True:
+        got = d.decompress(part, WINDOW)
+        if got:
+            yield got
+        part = getattr(d, "unconsumed_tail", b"")
+        if d.eof or getattr(d, "needs_input", not part and len(got) < WINDOW):
             return
 
 
+def _slowly(d, data, told: int) -> Iterator[bytes]:
+    """The content up to the place where data breaks, beyond told bytes of it that are known."""
+    with contextlib.suppress(*_BROKEN):
+        for i in range(0, len(data), 16):
+            for got in _fed(d, data[i : i + 16]):
+                if len(got) > told:
+                    yield got[told:]
+                told = max(0, told - len(got))
+
+
+_BLANKS = re.compile(rb"(?<![\r\n \t])[ \t]+(?=[^\r\n \t])")
+_OTHER = re.compile(rb"[^A-Za-z0-9+/_=%\\&#;\r\n \t-]")
+
+
+def _open(data: bytes) -> int:
+    """Where what is still open at the end of data starts: a run of escapes or base64, over line ends too, or a compressed stream."""
+    at = len(data)
+    while at and _OTHER.search(data, max(0, at - 4096), at) is None:
+        at = max(0, at - 4096)
+    low = max(0, at - 4096)
+    for m in _OTHER.finditer(data, low, at):
+        low = m.end()
+    at = max([low, *(m.end() for m in _BLANKS.finditer(data, low))])
+    marks, look, spent = _Marks(data), 0, 0
+    while (m := _MAGIC.search(data, look, at)) is not None:
+        end, state = m.start(), "broken"
+        for _, end, state in marks.inflated(m.start()):
+            pass
+        if state == "more":
+            return m.start()
+        spent += end - m.start()
+        look = max(m.start() + 1, end if state == "done" or spent > REREAD * len(data) + WINDOW else 0)
+    return at
+
+
+def _windows(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Contents as windows: each ends where the next one begins, or further; what is open at its end comes whole in the next."""
+    held, fresh, most = b"", False, WINDOW
+    for part in parts:
+        held, fresh = held + part, fresh or bool(part)
+        if len(held) >= most:
+            yield held
+            start = min(_open(held), len(held) - min(len(held), OVERLAP))
+            held, fresh = held[start if len(held) - start <= HELD else len(held) - OVERLAP :], False
+            most = max(WINDOW, 2 * len(held))
+    if fresh:
+        yield held
+
+
 def _streams(layer: _Layer) -> Iterator[_Layer]:
-    """The contents of compressed data anywhere in a layer, each mapped to the place of its data; long ones as windows that overlap."""
-    data, at = _bytes(layer.text), 0
+    """The contents of compressed data anywhere in a layer, each mapped to the place of its data."""
+    data, at, spent = _bytes(layer.text), 0, 0
+    marks = _Marks(data)
     while (m := _MAGIC.search(data, at)) is not None:
-        before, some, n, held = b"", False, 0, []
-        a = len(_text(data[: m.start()]))
-        for got, n in _inflated(data[m.start() :]):
-            some = some or bool(got)
-            inner = before + got
-            if got and len(inner) < WINDOW:
-                before = inner
-                continue
-            if inner and _HINT.search(inner):
-                held.append(inner)
-            if len(held) > 4:
-                # the end isn't known yet; what is read so far needn't wait for it
-                yield _Layer(_text(held.pop(0)), *layer.span(a, len(layer.text)))
-            before = inner[-OVERLAP:] if len(inner) > OVERLAP else inner
-        if before and (not held or before != held[-1][-OVERLAP:]) and _HINT.search(before):
-            held.append(before)
-        if held:
-            span = layer.span(a, max(a + 1, min(len(layer.text), a + len(_text(data[m.start() : m.start() + n])))))
-            for inner in held:
-                yield _Layer(_text(inner), *span)
+        first, some, end, state = [], 0, m.start(), "broken"
+        for got, end, state in marks.inflated(m.start()):
+            some += len(got)
+            if some <= WINDOW:
+                first.append(got)
+        spent += end - m.start()
+        if some:
+            a = len(_text(data[: m.start()])) if layer.starts is None or not isinstance(layer.starts, int) else 0
+            span = layer.span(a, max(a + 1, min(len(layer.text), a + len(_text(data[m.start() : end])))))
+            # longer contents are inflated once more now that their end is known, and aren't held whole
+            for inner in [b"".join(first)] if some <= WINDOW else _windows(got for got, _, _ in marks.inflated(m.start())):
+                if _HINT.search(inner):
+                    yield _Layer(_text(inner), *span)
         # broken or cut data may be a chance likeness with a true stream behind it
-        at = m.start() + n if some and n < len(data) - m.start() else m.start() + 1
+        at = max(m.start() + 1, end if state == "done" or spent > REREAD * len(data) + WINDOW else 0)
 
 
 def _phases(run: str) -> list[tuple[int, bytes]]:
@@ -211,14 +290,15 @@ def _phases(run: str) -> list[tuple[int, bytes]]:
     return out
 
 
-def _plain(data: bytes) -> bool:
-    """Whether bytes are text, or compressed data from their start."""
-    if _decompressor(data[:6]) is not None:
-        return any(got for got, _ in _inflated(data))
-    try:
-        return all(c >= " " or c in "\t\n\r" for c in data.decode())
-    except UnicodeDecodeError:
-        return False
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\udc80-\udcff]")
+
+
+def _last_odd(data: bytes) -> int:
+    """The place after the last byte that isn't text."""
+    text, at = _text(data), 0
+    for m in _CONTROL.finditer(text):
+        at = m.end()
+    return len(_bytes(text[:at]))
 
 
 def _tokens(run: str) -> list[tuple[int, str]]:
@@ -226,12 +306,14 @@ def _tokens(run: str) -> list[tuple[int, str]]:
     text or compressed data; else a layer stands for the whole run."""
     out = []
     for p, data in _phases(run):
+        odd, marks = _last_odd(data), _Marks(data)
         for a in [0] * (p == 0) + [x.start() for x in _AFTER.finditer(run) if x.start() % 4 == p]:
-            rest = data[(a - p) // 4 * 3 :]
-            if _plain(rest):
-                out.append((a, _text(rest)))
+            at = (a - p) // 4 * 3
+            whole = any(got for got, _, _ in marks.inflated(at)) if _MAGIC.match(data, at) else at >= odd and data[at : at + 1] and not 0x80 <= data[at] < 0xC0
+            if whole:
+                out.append((a, _text(data[at:])))
                 if p or a:
-                    out.append((0, _text(data[: (a - p) // 4 * 3])))
+                    out.append((0, _text(data[:at])))
                 break
         else:
             out.append((0, _text(data)))
@@ -262,6 +344,9 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
         spans = [layer.span(*x) for x in lines]
         ends = list(itertools.accumulate(b - a for a, b in lines))
         for p, data in _phases("".join(layer.text[a:b] for a, b in lines)):
+            if isinstance(layer.starts, int):
+                yield _Layer(_text(data), layer.starts, layer.ends)
+                continue
             text, at, first, last = _text(data), 0, array("q"), array("q")
             for c in text:
                 n = len(_bytes(c))

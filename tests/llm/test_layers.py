@@ -4,6 +4,8 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
+import time
 from urllib.parse import quote
 
 import pytest
@@ -92,3 +94,36 @@ def test_warc_query_reads_record_bytes(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(warc, "_header", lambda w=wrong: F.regexp_replace(header, *w))
         with pytest.raises(Exception, match="Content-Length|match its header"):
             QUERIES["op8_warc"](spark, str(tmp_path)).collect()
+
+
+def words(n, seed=3):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n // 7)).encode()
+
+
+@pytest.mark.parametrize("before", [100, 700_000, 900_000, 1_040_000, 2_100_000])
+@pytest.mark.parametrize("kind", ["token", "wrapped", "raw"])
+def test_tokens_over_window_borders(before, kind):
+    """Nested tokens and streams that lie over the border of a window of decompressed data are read whole, wherever the border is."""
+    inner = gzip.compress(random.Random(1).randbytes(320_000) + f" token={KEY}".encode(), mtime=0)
+    token = base64.b64encode(inner)
+    part = {"token": token, "wrapped": b"\n".join(token[i : i + 76] for i in range(0, len(token), 76)), "raw": b"\x00" + inner}[kind]
+    text = "see " + b64(gzip.compress(words(before) + b" : " + part + b" : " + words(300_000), mtime=0))
+    assert [s for s in secrets.spans(text)[1] if s[0] == "access"] == [("access", 4, len(text))]
+
+
+@pytest.mark.parametrize("data", [b"\x1f\x8b\x08" * 350_000, b"x\x9c" * 500_000, b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03" + (b"\x00\x0a\x00\xf5\xff" + b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03") * 60_000, b"BZh91AY&SY" * 100_000, bytes(random.Random(4).randbytes(1_000_000))], ids=["gzip", "zlib", "stored", "bzip2", "random"])
+def test_marks_take_linear_time(data):
+    """A megabyte of marks of compressed data is passed over quickly; a key behind it is found."""
+    start = time.process_time()
+    found = secrets.spans(b64(data) + " " + KEY)[1]
+    assert ("access", len(b64(data)) + 1, len(b64(data)) + 1 + len(KEY)) in found
+    assert time.process_time() - start < 15
+
+
+def test_broken_streams_keep_what_comes_before():
+    for squeeze in (lambda x: gzip.compress(x, mtime=0), bz2.compress, lzma.compress):
+        good = squeeze(SECRET + words(3000))
+        cut, long = squeeze(SECRET + words(900_000)), squeeze(words(400_000) + SECRET + words(500_000))
+        for data in (good + b"tail that is no stream", cut[: len(cut) // 2] if squeeze is not bz2.compress else good, long):
+            assert ("access", 0, len(b64(data))) in secrets.spans(b64(data))[1]
