@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dossier.llm import minhash, mixing, packing, secrets, toxicity
 from dossier.llm.common import among, dropped, shared_dir
@@ -17,8 +18,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id. Rows that repeat a doc_id are one
-    document and stay together; texts without words and rows without an id stay. An empty table gives no rows."""
+    """One document of each group of near duplicates (five words, 0.8): the one with the smallest id. Rows that repeat a doc_id with the same
+    text are one document and stay together; with other texts they are documents of their own, behind all others in a group. Texts without
+    words and rows without an id stay. An empty table gives no rows."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    # ids with several texts get another id for each, above all that there are
+    several = docs.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("doc_id is not null and lo <> hi").select("doc_id")
+    if several.isEmpty():
+        return _first_of_groups(docs)
+    most = docs.agg(F.max("doc_id")).first()[0]
+    shared = [c for c in docs.columns if c != "doc_id"]
+    apart = among(docs, several, "doc_id").select(F.struct("doc_id", *shared).alias("row"), "text", (F.lit(most) + 1 + F.pmod(F.xxhash64("doc_id", "text"), F.lit((2**63 - 2 - max(0, most)) // 2))).alias("doc_id"))
+    rest = among(docs, several, "doc_id", "left_anti").select(F.struct("doc_id", *shared).alias("row"), "text", "doc_id")
+    return _first_of_groups(rest.unionByName(apart)).select("row.*").select(docs.columns)
+
+
+def _first_of_groups(docs: DataFrame) -> DataFrame:
     found = minhash.near_duplicates(docs, k=5, percent=80)
     return among(docs, found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
 
