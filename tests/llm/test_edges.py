@@ -251,3 +251,14 @@ def test_stage_edges(spark, sf, name):
     else:
         assert sum(r.n_words for r in got.collect()) == 4 + 4 + 2 + 30_000 + 1
     assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rng = random.Random(12)
+    w, other, near = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    rows = [(2, w), (5, w), (5, other), (7, other), (8, near), (8, near), (None, w), (9, None), (9, "")]
+    docs = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, row string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id or 0, r.text) for r in got.collect()), key=repr)
+    assert kept == sorted([(2, w), (7, other), (8, near), (8, near), (0, w), (9, None), (9, "")], key=repr)
