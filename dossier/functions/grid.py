@@ -24,9 +24,9 @@ def shape(asked: int, held: int, tasks: int, group: int = GROUP) -> tuple[int, i
     return groups, max(1, min(held, -(-tasks * CELLS // groups)))
 
 
-def met(asked: DataFrame, held: DataFrame, groups: int, parts: int) -> DataFrame:
-    """Every block of asked (with a column group) beside every block of held (with part). A block of asked is copied to the parts, and
+def met(asked: DataFrame, held: DataFrame, groups: int, parts: int, by: list[str] | None = None) -> DataFrame:
+    """Every block of asked (with a column group) beside every block of held (with part), or those with equal values of by. A block of asked is copied to the parts, and
     one of held to the groups; each cell of the grid is a key of its own, so no key grows with the tables."""
     left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = held.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return left.join(right, ["group", "part"]).drop("group", "part")
+    return left.join(right, ["group", "part", *(by or [])]).drop("group", "part")

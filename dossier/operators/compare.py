@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks, fuzzy
 from ..functions import text as T
-from . import joins
+from ..functions.tables import written
+from . import graph, joins
 
 # fixed values
 COMPARABLE = (
@@ -34,6 +35,17 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.90, by: str | None
     return near.select("a", "b", "similarity", F.inline(F.array(grade(F.col("similarity")))))
 
 
+def similar_classes(vectors: DataFrame, threshold: float = 0.90, by: str | None = None) -> DataFrame:
+    """vec_id, n_links, class of each of vectors: how many vectors are similar, and the smallest one that is reached over such links (itself, without
+    any). No pairs are made, so groups of thousands of copies do."""
+    found = written(blocks.alike_links(vectors, threshold, by), "links")
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    reached = graph.components(found.select(F.col("vec_id").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "vec_id")
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+    both = ids.join(counts, "vec_id", "left").join(reached, "vec_id", "left")
+    return both.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("class"))
+
+
 def canonical(field, strict: bool = False) -> Column:
     """The comparable name of a field; null for others.
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import checkpoint_dir
 from . import joins
 
 # fixed values: colours of node types, and what fields of a document say about it
@@ -23,17 +22,6 @@ TIMES = ("issue_date", "date_of_birth", "effective_date", "upload_timestamp", "c
 INGESTED = {"officer": "handled_by", "department": "issued_by"}
 
 
-def checkpoint_dir(spark) -> str:
-    """The folder of spark.checkpoint.dir, or the one that is set; one of its own only in local mode, as machines don't share theirs."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="dossier-"))
-    return context.getCheckpointDir()
-
-
 def _kept(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     checkpoint_dir(df.sparkSession)
