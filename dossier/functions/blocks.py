@@ -175,6 +175,7 @@ def survivors(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarra
     rows, cols, done = np.arange(len(x)), np.arange(len(y)), np.zeros((len(x), len(y)))
     rest = lambda v: np.sqrt(np.maximum(0, np.cumsum((v * v)[:, ::-1], axis=1)[:, ::-1]))
     rx, ry = (np.c_[rest(v), np.zeros(len(v))] for v in (x, y))
+    live = np.full(done.shape, threshold <= 0)
     for at in range(0, dim, SLICE):
         end = min(dim, at + SLICE)
         done = done + x[rows, at:end] @ y[cols, at:end].T
