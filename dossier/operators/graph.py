@@ -99,9 +99,28 @@ def neighbourhood(edges: DataFrame, centres: DataFrame, depth: int = 2) -> DataF
     return found
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFrame:
-    """start, end, path (nodes joined by '>'), hops: directed paths from starts without a repeated node."""
+def simple_paths(edges: DataFrame, starts: DataFrame, hops: int = 3, pairs: DataFrame | None = None) -> DataFrame:
+    """start, end, path (nodes joined by '>'), hops: directed paths from starts without a repeated node; with pairs(start, end), those of the pairs.
+
+    Then a path only goes on to nodes from which its end can still be reached in the steps that are left: distances to the ends are labelled
+    first, so ways that lead nowhere aren't followed.
+    """
     step = edges.select("src", "dst").where("src <> dst").distinct()
+    if pairs is not None:
+        near = pairs.select("end", F.col("end").alias("node")).distinct().withColumn("left", F.lit(0))
+        level = near
+        for h in range(1, hops):
+            level = level.join(step.toDF("before", "node"), "node").select("end", F.col("before").alias("node"), F.lit(h).alias("left")).distinct()
+            near = near.unionAll(level)
+        near = _kept(near.groupBy("end", F.col("node").alias("next")).agg(F.min("left").alias("left")))
+        asked = pairs.join(starts.select(F.col("id").alias("start")), "start", "left_semi").select("start", "end").distinct()
+        level, out = asked.select("end", F.array("start").alias("nodes")), None
+        for h in range(1, hops + 1):
+            here = level.withColumn("at", F.element_at("nodes", -1)).where(F.col("at") != F.col("end")).join(step.toDF("at", "next"), "at").where(~F.array_contains("nodes", F.col("next")))
+            level = _kept(here.join(near.where(F.col("left") <= hops - h), ["end", "next"]).select("end", F.concat("nodes", F.array("next")).alias("nodes")))
+            rows = level.where(F.element_at("nodes", -1) == F.col("end")).select(F.element_at("nodes", 1).alias("start"), "end", F.array_join("nodes", ">").alias("path"), F.lit(h).alias("hops"))
+            out = rows if out is None else out.unionAll(rows)
+        return out
     level = starts.select(F.array("id").alias("nodes"))
     out = None
     for h in range(1, hops + 1):
@@ -139,12 +158,27 @@ def upsert(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy(F.lower("name").alias("key"), "type").agg(F.count("*").alias("freq"), F.max("confidence").alias("confidence"), F.max_by("metadata", F.struct("at", "metadata")).alias("metadata"))
 
 
+#: Edges at a node that meet in one key; the edges of a larger node are dealt to several keys on both sides.
+SPLIT = 1000
+
+
+def two_steps(first: DataFrame, second: DataFrame, split: int = SPLIT) -> DataFrame:
+    """x, y: every edge of first beside every edge of second that starts where it ends, but for ways back to the start, as structs. A hub's
+    edges in and out are dealt to groups of about split, and each pair of groups is a key, so no task makes all ways through a hub."""
+    parts = lambda df, end, name: df.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count("*") / split).cast("int").alias(name))
+    sizes = parts(first, "dst", "in").join(parts(second, "src", "out"), "node")
+    x = first.select(F.col("dst").alias("node"), F.struct(*first.columns).alias("x")).join(sizes, "node")
+    y = second.select(F.col("src").alias("node"), F.struct(*second.columns).alias("y")).join(sizes, "node")
+    x = x.select("node", "x", F.pmod(F.xxhash64("x.src"), F.col("in")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("j"))
+    y = y.select("node", "y", F.pmod(F.xxhash64("y.dst"), F.col("out")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("in") - 1)).alias("i"))
+    return x.join(y, ["node", "i", "j"]).where("x.src <> y.dst").select("x", "y")
+
+
 def inferred(edges: DataFrame, transitive: str = "is_a", inverse: dict[str, str] | None = None) -> DataFrame:
     """New edges: one transitive step (confidences multiplied, times .9) and inverses (times .95), each with its best confidence; no edge that exists."""
     inverse = {"part_of": "has_part", "uses": "used_by"} if inverse is None else inverse
-    typed = edges.where(F.col("type") == transitive)
-    x, y = typed.alias("x"), typed.alias("y")
-    two = x.join(y, F.col("x.dst") == F.col("y.src")).where("x.src <> y.dst").select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.lit(transitive).alias("type"), (F.col("x.confidence") * F.col("y.confidence") * 0.9).alias("confidence"))
+    typed = edges.where(F.col("type") == transitive).select("src", "dst", "confidence")
+    two = two_steps(typed, typed).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.lit(transitive).alias("type"), (F.col("x.confidence") * F.col("y.confidence") * 0.9).alias("confidence"))
     pairs = F.create_map(*[F.lit(v) for kv in inverse.items() for v in kv])
     back = edges.where(F.col("type").isin(list(inverse))).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.element_at(pairs, F.col("type")).alias("type"), (F.col("confidence") * 0.95).alias("confidence"))
     best = two.unionByName(back).groupBy("src", "dst", "type").agg(F.round(F.max("confidence"), 6).alias("confidence"))
@@ -153,8 +187,8 @@ def inferred(edges: DataFrame, transitive: str = "is_a", inverse: dict[str, str]
 
 def suggestions(edges: DataFrame) -> DataFrame:
     """src, dst, score: second neighbours that aren't neighbours; the product of the confidences, the best of the ways."""
-    x, y = edges.alias("x"), edges.alias("y")
-    two = x.join(y, F.col("x.dst") == F.col("y.src")).where("x.src <> y.dst").select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), (F.col("x.confidence") * F.col("y.confidence")).alias("score"))
+    slim = edges.select("src", "dst", "confidence")
+    two = two_steps(slim, slim).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), (F.col("x.confidence") * F.col("y.confidence")).alias("score"))
     return two.groupBy("src", "dst").agg(F.round(F.least(F.max("score"), F.lit(1.0)), 6).alias("score")).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
@@ -292,8 +326,8 @@ def key_relations(concepts: DataFrame, edges: DataFrame, n: int = 15) -> DataFra
     type and confidence; the surest, then the shortest. concepts are few: the best of a document."""
     ranked = concepts.select("id", "rank")
     one = edges.select("src", "dst", "type", "confidence", F.lit(1).alias("hops"))
-    x, y = edges.alias("x"), edges.alias("y")
-    two = x.join(y, F.col("x.dst") == F.col("y.src")).where("x.src <> y.dst").select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.col("x.type").alias("type"), F.col("x.confidence").alias("confidence"), F.lit(2).alias("hops"))
+    slim = edges.select("src", "dst", "type", "confidence")
+    two = two_steps(slim, slim).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.col("x.type").alias("type"), F.col("x.confidence").alias("confidence"), F.lit(2).alias("hops"))
     ways = one.unionAll(two).join(ranked.toDF("src", "ra"), "src", "left_semi").join(ranked.toDF("dst", "rb"), "dst", "left_semi")
     both = ways.join(ranked.toDF("src", "ra"), "src").join(ranked.toDF("dst", "rb"), "dst").where("ra < rb")
     best = both.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(F.struct("hops", (-F.col("confidence")).alias("c"), "type")).alias("w"))

@@ -12,22 +12,37 @@ def _micros(ts) -> F.Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+#: A time slice of a user's events is this many trailing intervals long.
+SLICES = 16
+
+
+def sliced(events: DataFrame, seconds: int) -> DataFrame:
+    """events with us, slice and own: each event in its slice of time, and once more (own false) in the next one if it lies in the last seconds
+    before it. So trailing intervals of seconds lie whole within (user_id, slice), and a user's events spread over many tasks."""
+    width, step = seconds * MICRO, SLICES * seconds * MICRO
+    timed = events.withColumn("us", _micros("ts"))
+    at = F.floor(F.col("us") / step)
+    near = (at + 1) * step - F.col("us") < width
+    return timed.withColumn("in_", F.explode(F.when(near, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("own", F.col("in_") == at).withColumnRenamed("in_", "slice")
+
+
 def failures_in_window(events: DataFrame, failed: str, success: str, seconds: int = 300, least: int = 5) -> DataFrame:
     """event_id, user_id, failures: failures with at least least of a user's in the last seconds (strictly less), none before the last success;
-    of equal times the smaller event_id comes first."""
-    mine = events.where(F.col("event_type").isin(failed, success)).withColumn("us", _micros("ts"))
-    so_far = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of equal times the smaller event_id comes first. Only successes within the interval matter, so slices of time are counted apart."""
+    mine = sliced(events.where(F.col("event_type").isin(failed, success)), seconds)
+    so_far = Window.partitionBy("user_id", "slice").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = mine.withColumn("run", F.count_if(F.col("event_type") == success).over(so_far)).where(F.col("event_type") == failed)
-    near = Window.partitionBy("user_id", "run").orderBy("us").rangeBetween(-(seconds * MICRO - 1), 0)
-    later = Window.partitionBy("user_id", "run", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
-    return run.withColumn("failures", F.count("*").over(near) - F.count("*").over(later)).where(F.col("failures") >= least).select("event_id", "user_id", "failures")
+    near = Window.partitionBy("user_id", "slice", "run").orderBy("us").rangeBetween(-(seconds * MICRO - 1), 0)
+    later = Window.partitionBy("user_id", "slice", "run", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    counted = run.withColumn("failures", F.count("*").over(near) - F.count("*").over(later)).where("own")
+    return counted.where(F.col("failures") >= least).select("event_id", "user_id", "failures")
 
 
 def access_rate(events: DataFrame, seconds: int = 60, most: int = 30, early: int = 8, late: int = 20) -> DataFrame:
     """event_id, recent, score, action: over most accesses in seconds .4, hours before early or after late (UTC) .15; under .3 allow, under .6 monitor, else block."""
-    near = Window.partitionBy("user_id").orderBy("us").rangeBetween(-(seconds * MICRO - 1), 0)
-    later = Window.partitionBy("user_id", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
-    counted = events.withColumn("us", _micros("ts")).withColumn("recent", F.count("*").over(near) - F.count("*").over(later))
+    near = Window.partitionBy("user_id", "slice").orderBy("us").rangeBetween(-(seconds * MICRO - 1), 0)
+    later = Window.partitionBy("user_id", "slice", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    counted = sliced(events, seconds).withColumn("recent", F.count("*").over(near) - F.count("*").over(later)).where("own")
     hour = F.hour(F.col("ts"))
     score = F.when(F.col("recent") > most, 0.4).otherwise(0.0) + F.when((hour < early) | (hour > late), 0.15).otherwise(0.0)
     scored = counted.withColumn("score", F.round(score, 2))

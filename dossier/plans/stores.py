@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.tables import checkpoint_dir
-from ..operators import compare, paths, proximity
+from ..operators import compare, paths, proximity, questions, workflows
 from ..registry import query
-from ..sources.store import GraphStore, VectorStore
+from ..sources.store import GraphStore, Numbers, VectorStore
 
 _COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 
@@ -106,3 +106,68 @@ r(node, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r
 SELECT node AS vec_id, (SELECT count(*) FROM l WHERE a = node) AS n_links, min(other) AS class FROM r GROUP BY node""")
 def near_dup_classes(t, spark):
     return compare.similar_classes(t("embeddings"), 0.38)
+
+
+@query("SELECT o_orderkey, CAST(month(o_orderdate) AS INTEGER) AS month, row_number() OVER (PARTITION BY month(o_orderdate) ORDER BY o_orderkey % 3, o_orderkey) AS number FROM orders")
+def continued_numbers(t, spark):
+    """Orders are numbered by month in three batches; the second one is assigned twice."""
+    orders = t("orders").select("o_orderkey", F.month("o_orderdate").alias("month"))
+    store, out = Numbers(spark, _folder(spark, "numbers")), None
+    for number in (0, 1, 1, 2):
+        given = store.assign(orders.where(F.col("o_orderkey") % 3 == number), "month", "o_orderkey", number)
+        out = given if out is None else out.unionByName(given) if number != 1 or given.inputFiles() != last else out
+        last = given.inputFiles()
+    return out
+
+
+_WORKFLOWS = {"F": ("Filled", ("Af", "Rf"), ("Nf",)), "O": ("Open", ("No",), ()), "T": ("Two", ("Af", "No"), ("Rf",))}
+
+
+@query("""WITH c AS (SELECT o_orderkey AS case_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'T' ELSE o_orderstatus END AS workflow, list(DISTINCT l_returnflag || lower(l_linestatus)) AS have FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+r AS (SELECT 'F' AS workflow, 'Filled' AS name, ['Af', 'Rf'] AS need, ['Nf'] AS more UNION ALL SELECT 'O', 'Open', ['No'], []::VARCHAR[] UNION ALL SELECT 'T', 'Two', ['Af', 'No'], ['Rf']),
+b AS (SELECT c.*, name, need, more, list_filter(need, lambda k: NOT list_contains(have, k)) AS lack FROM c LEFT JOIN r USING (workflow))
+SELECT case_id, workflow, name, CASE WHEN need IS NULL THEN 'ERROR' WHEN len(lack) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status,
+CASE WHEN need IS NULL THEN 'Unknown workflow: ' || workflow WHEN len(lack) > 0 THEN 'APPLICATION INCOMPLETE — Missing: ' || array_to_string(lack, ', ') ELSE 'APPLICATION COMPLETE — All required documents present' END AS message,
+CASE WHEN need IS NULL THEN 0.0 ELSE round(100.0 * (len(need) - len(lack)) / len(need), 1) END::DOUBLE AS completeness,
+CASE WHEN need IS NULL THEN 0 ELSE len(need) END AS total_required, CASE WHEN need IS NULL THEN 0 ELSE len(need) - len(lack) END AS present_required, coalesce(array_to_string(lack, ', '), '') AS missing,
+CASE WHEN need IS NULL THEN 'ERROR: Workflow configuration not found' ELSE 'DOCUMENT CHECKLIST' || chr(10) || repeat('=', 50) || chr(10) || chr(10) || 'Required Documents:' || array_to_string(list_transform(need, lambda k: chr(10) || '  ' || CASE WHEN list_contains(have, k) THEN '✓' ELSE '✗' END || ' ' || k), '')
+|| chr(10) || chr(10) || 'Optional Documents:' || coalesce(array_to_string(list_transform(more, lambda k: chr(10) || '  ' || CASE WHEN list_contains(have, k) THEN '✓' ELSE '○' END || ' ' || k), ''), '') END AS checklist FROM b""")
+def workflow_checks(t, spark):
+    """Orders as cases and the states of their line items as documents; the rules go through a file. Orders in part have no workflow."""
+    path = _folder(spark, "workflows")
+    workflows.save(workflows.with_workflow(workflows.rules(spark), workflows.rules(spark, _WORKFLOWS)), path)
+    status = F.when(F.col("o_orderpriority").startswith("1"), "T").otherwise(F.col("o_orderstatus"))
+    rows = t("orders").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    cases = rows.select(F.col("o_orderkey").alias("case_id"), status.alias("workflow"), F.concat(F.lit(" "), F.lower("l_returnflag"), "l_linestatus").alias("kind"))
+    return workflows.checked(cases, workflows.load(spark, path))
+
+
+def _people(t):
+    """Customers and suppliers in nations in regions, as vertices and edges."""
+    part = lambda table, p, id_, name, of: (t(table).select(F.concat(F.lit(p), id_).alias("id"), F.col(name).alias("name")), t(table).select(F.concat(F.lit(p), id_).alias("src"), F.concat(F.lit(of[0]), of[1]).alias("dst"), F.lit(of[2]).alias("type")))
+    made = [part("customer", "c", "c_custkey", "c_name", ("n", "c_nationkey", "home_nation")), part("supplier", "s", "s_suppkey", "s_name", ("n", "s_nationkey", "nation")), part("nation", "n", "n_nationkey", "n_name", ("r", "n_regionkey", "region"))]
+    vertices = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    edges = made[0][1].union(made[1][1]).union(made[2][1])
+    for v, _ in made:
+        vertices = vertices.union(v)
+    return vertices, edges
+
+
+@query("""WITH c AS (SELECT *, c_custkey % 5 AS form FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT 'c' || c_custkey AS query_id, 'relation' AS kind, 'n' || c_nationkey AS id, n_name AS name, 'home_nation' AS relation, NULL::VARCHAR AS path FROM c WHERE form = 0
+UNION ALL SELECT 'c' || c_custkey, 'entity', 'n' || c_nationkey, n_name, 'home_nation', NULL FROM c WHERE form IN (1, 2)
+UNION ALL SELECT 'c' || c_custkey, 'path', 'r' || r_regionkey, r_name, NULL, 'c' || c_custkey || '>n' || c_nationkey || '>r' || r_regionkey FROM c WHERE form = 3
+UNION ALL SELECT 'n' || n_nationkey, 'relation', 'r' || r_regionkey, r_name, 'region', NULL FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 's' || s_suppkey, 'path', 'n' || s_nationkey, n_name, NULL, 's' || s_suppkey || '>n' || s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def graph_questions(t, spark):
+    """A question about every customer, nation and supplier, in the forms that are known, and some that no form fits."""
+    vertices, edges = _people(t)
+    home = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    form = F.col("c_custkey") % 5
+    text = F.when(form == 0, F.concat(F.lit("What is the nation of "), "c_name", F.lit("?"))).when(form == 1, F.concat(F.lit("Who is "), "c_name", F.lit("?"))).when(form == 2, F.concat(F.lit("Tell me about "), "c_name", F.lit(".")))
+    text = text.when(form == 3, F.concat(F.lit("How are "), "c_name", F.lit(" and "), "r_name", F.lit(" connected?"))).otherwise(F.concat(F.lit("Greetings to "), "c_name"))
+    asked = home.select(F.concat(F.lit("c"), "c_custkey").alias("query_id"), text.alias("question"))
+    asked = asked.union(t("nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("Which region has "), "n_name", F.lit("?"))))
+    near = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    asked = asked.union(near.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("what is the relationship between "), "s_name", F.lit(" and "), "n_name", F.lit("?"))))
+    return questions.answers(questions.plans(asked, vertices), vertices, edges)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks
-from ..operators import search
+from ..functions.tables import checkpoint_dir
+from ..operators import search, windows
 
 
 class Manifest:
@@ -123,6 +124,39 @@ class Buckets:
         return True
 
 
+class Numbers:
+    """Numbers that go on from batch to batch: high-water marks per type in a table, and the numbers of each batch as they were given."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.manifest = spark, Manifest(spark, path)
+
+    def _schema(self, rows: DataFrame) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", number long"
+
+    def assign(self, batch: DataFrame, by: str, order: str, number: int) -> DataFrame:
+        """batch with number: in each type (column by) on from the type's mark, in the order of a column. A batch whose number was assigned before
+        gets its old numbers. Rows are dealt by range, so a large type spreads over many tasks."""
+        seen = self.manifest.version()
+        state = self.manifest.read(seen)
+        schema = self._schema(batch)
+        for e in state["entries"]:
+            if e.get("batch") == number:
+                return self.spark.read.schema(schema).parquet(e["folder"])
+        kind = f"`{by}` {batch.schema[by].dataType.simpleString()}, mark long"
+        marks = self.spark.createDataFrame([], kind)
+        for e in state["entries"]:
+            marks = self.spark.read.schema(kind).parquet(e["folder"]) if "marks" in e else marks
+        checkpoint_dir(self.spark)
+        rows = windows.numbered(batch, by, order).join(marks, by, "left").withColumn("number", F.col("number") + F.coalesce("mark", F.lit(0))).drop("mark")
+        folder, new = self.manifest.folder(), self.manifest.folder()
+        rows.select(*batch.columns, F.col("number").cast("long").alias("number")).write.parquet(folder)
+        given = self.spark.read.schema(schema).parquet(folder)
+        given.select(by, F.col("number").alias("mark")).unionByName(marks).groupBy(by).agg(F.max("mark").alias("mark")).write.parquet(new)
+        entries = [e for e in state["entries"] if "marks" not in e] + [{"folder": folder, "batch": number}, {"folder": new, "marks": True}]
+        self.manifest.commit(state | {"entries": entries}, seen)
+        return given
+
+
 class GraphStore:
     """A stored knowledge graph: entities by lower-case name and type, relations by ends and type; events of a batch are merged into both."""
 
