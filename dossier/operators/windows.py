@@ -89,13 +89,14 @@ def newest(rows: DataFrame, order: str, tie: str, n: int = 10_000) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """rows with number, from 1 in each group by order. Rows are dealt by range, so that a large group spreads over many tasks;
+    """rows with number, from 1 in each group (null is one) by order. Rows are dealt by range, so that a large group spreads over many tasks;
     each part counts its own, and the counts of the parts before are added. Needs a checkpoint folder (the parts must stay)."""
     dealt = rows.repartitionByRange(F.col(by), F.col(order)).withColumn("part_", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy(by, "part_").agg(F.count("*").alias("n_"))
-    before = counts.select(by, "part_", (F.sum("n_").over(Window.partitionBy(by).orderBy("part_")) - F.col("n_")).alias("before_"))
+    before = counts.select(F.col(by).alias("by_"), F.col("part_").alias("of_"), (F.sum("n_").over(Window.partitionBy(by).orderBy("part_")) - F.col("n_")).alias("before_"))
     nth = F.row_number().over(Window.partitionBy(by, "part_").orderBy(order))
-    return dealt.withColumn("nth_", nth).join(before, [by, "part_"]).withColumn("number", F.col("nth_") + F.col("before_")).drop("part_", "nth_", "before_")
+    both = dealt.withColumn("nth_", nth).join(before, (F.col("part_") == F.col("of_")) & F.col(by).eqNullSafe(F.col("by_")))
+    return both.withColumn("number", F.col("nth_") + F.col("before_")).drop("part_", "nth_", "before_", "by_", "of_")
 
 
 def context(turns: DataFrame, by: str, order: str, most: int = 3000) -> DataFrame:

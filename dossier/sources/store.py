@@ -147,7 +147,7 @@ class Numbers:
         for e in state["entries"]:
             marks = self.spark.read.schema(kind).parquet(e["folder"]) if "marks" in e else marks
         checkpoint_dir(self.spark)
-        rows = windows.numbered(batch, by, order).join(marks, by, "left").withColumn("number", F.col("number") + F.coalesce("mark", F.lit(0))).drop("mark")
+        rows = windows.numbered(batch, by, order).join(marks.withColumnRenamed(by, "by_"), F.col(by).eqNullSafe(F.col("by_")), "left").withColumn("number", F.col("number") + F.coalesce("mark", F.lit(0)))
         folder, new = self.manifest.folder(), self.manifest.folder()
         rows.select(*batch.columns, F.col("number").cast("long").alias("number")).write.parquet(folder)
         given = self.spark.read.schema(schema).parquet(folder)
