@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,71 +95,89 @@ REGISTRIES: dict[str, tuple[Rule, ...]] = {
 OTHER = "driving_school"
 
 
-def _any(low: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | low.contains(w)
-    return out
+#: Everything that rules ask a text for, looked for once.
+_ALL_WORDS = tuple(sorted({w for ws in (MARKERS, SIGNATURES, AUTHORITIES, CASES, *WORDS.values(), *(x for rules in REGISTRIES.values() for r in rules for x in (r.words, r.fallback, r.only_if))) for w in ws}))
+_PATTERNS = {r.name: re.compile(r.pattern, re.ASCII) for rules in REGISTRIES.values() for r in rules if r.pattern}
+_DAY, _SERIAL, _ENDS = re.compile(DAY, re.ASCII), re.compile(SERIAL), re.compile(r"^\s+|\s+$", re.ASCII)
 
 
-def _count(low: Column, words: tuple[str, ...]) -> Column:
-    return sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+def _any(words: tuple[str, ...]) -> Column:
+    """Whether one of words is among those that a text holds."""
+    return F.arrays_overlap("present", F.array(*map(F.lit, words)))
 
 
-def _step(place: int, name: str, status: Column, confidence: Column) -> Column:
-    """A step of the report; null without a status."""
-    return F.when(status.isNotNull(), F.struct(F.lit(place).alias("step_order"), F.lit(name).alias("step_name"), status.alias("status"), confidence.cast("double").alias("confidence")))
+def _count(words: tuple[str, ...]) -> Column:
+    return F.size(F.array_intersect("present", F.array(*map(F.lit, words))))
 
 
-def department(document_type, low) -> Column:
+def _department(document_type: str, low: str) -> str:
     """The department by the document's type, else by the first of the ordered words in the text (in lower case), else general."""
-    out = F.lit("general")
-    for name, words in reversed(WORDS.items()):
-        out = F.when(_any(low, words), name).otherwise(out)
-    known = F.create_map(*[F.lit(x) for kv in DEPARTMENTS.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, F.lower(document_type)), out)
+    return DEPARTMENTS.get(document_type.lower()) or next((name for name, words in WORDS.items() if any(w in low for w in words)), "general")
+
+
+@functools.cache
+def _letter(c: str) -> bool:
+    """Whether a character counts as text: a letter or a space."""
+    return c in " \t\n\r\x0b\x0c" or unicodedata.category(c)[0] == "L"
+
+
+def looked_at(docs: DataFrame) -> DataFrame:
+    """docs(document_id, text, document_type, class_confidence, serial_number, qr_data, file_hash) with what rules ask for instead of the text: its
+    department, number of words, share of letters and spaces, whether it is long enough (full), holds a day and a serial number (2 if it is the
+    document's own), the words of rules that are present, and the names of the rules of its registry whose pattern hits. Texts are read once."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    slim = docs.select("document_id", F.col("class_confidence").cast("double").alias("class_confidence"), *map(plain, ("document_type", "serial_number", "qr_data", "file_hash", "text")))
+    kept = ["document_id", "class_confidence", "document_type", "serial_number", "qr_data", "file_hash"]
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = {c: [] for c in ("department", "words", "share", "full", "day", "serial", "present", "hits")}
+            for text, kind, serial in zip(*(batch.column(c).to_pylist() for c in ("text", "document_type", "serial_number")), strict=True):
+                low = text.lower()
+                of = _department(kind, low)
+                rows["department"].append(of)
+                rows["words"].append(len(text.encode().split()))
+                rows["share"].append(sum(n for c, n in Counter(text).items() if _letter(c)) / max(1, len(text)))
+                rows["full"].append(len(_ENDS.sub("", text)) > 20)
+                rows["day"].append(_DAY.search(text) is not None)
+                rows["serial"].append(2 if serial and serial in text else int(_SERIAL.search(text) is not None))
+                rows["present"].append([w for w in _ALL_WORDS if w in low])
+                rows["hits"].append([r.name for r in REGISTRIES.get(of, REGISTRIES[OTHER]) if r.pattern and _PATTERNS[r.name].search(text)])
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=[*kept, *rows])
+
+    schema = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in kept)
+    return slim.mapInArrow(read, schema + ", department string, words int, share double, full boolean, day boolean, serial int, present array<string>, hits array<string>")
+
+
+def _step(place: int, name: str, status: Column, confidence: Column) -> Column:
+    """A step of the report; null without a status."""
+    return F.when(status.isNotNull(), F.struct(F.lit(place).alias("step_order"), F.lit(name).alias("step_name"), status.alias("status"), confidence.cast("double").alias("confidence")))
 
 
-def registry_steps(text, low, rules: tuple[Rule, ...]) -> list[Column]:
-    """The steps of one registry, all at place 8, of a text and its lower case; a rule without an outcome gives null."""
+def registry_steps(rules: tuple[Rule, ...]) -> list[Column]:
+    """The steps of one registry, all at place 8, over looked_at's columns; a rule without an outcome gives null."""
     out = []
     for r in rules:
-        hit = text.rlike(r.pattern) if r.pattern else _any(low, r.words)
+        hit = F.array_contains("hits", r.name) if r.pattern else _any(r.words)
         status, confidence = F.when(hit, "PASSED"), F.when(hit, r.passed)
         if r.weak:
-            status, confidence = status.when(_any(low, r.fallback), r.weak[0]), confidence.when(_any(low, r.fallback), r.weak[1])
+            status, confidence = status.when(_any(r.fallback), r.weak[0]), confidence.when(_any(r.fallback), r.weak[1])
         if r.rest:
             status, confidence = status.otherwise(r.rest[0]), confidence.otherwise(r.rest[1])
         if r.only_if:
-            status = F.when(_any(low, r.only_if), status)
+            status = F.when(_any(r.only_if), status)
         out.append(_step(8, f"[Registry] {r.name}", status, confidence))
     return out
 
 
-def verification_steps(docs: DataFrame) -> DataFrame:
-    """document_id, department, step_order, step_name, status, confidence: the steps 1 to 10 of each of docs(document_id, text,
-    document_type, class_confidence, serial_number, qr_data, file_hash), long form.
-
-    Null texts count as empty, a null class_confidence as .5. All rules are expressions, so documents are checked where they lie.
-    The duplicate step passes whenever a hash is given; exact_duplicates compares hashes.
-    """
-    plain = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    # the lower-case text is a column of its own, so that it is made once and not in each rule
-    docs = docs.select("document_id", "class_confidence", *map(plain, ("text", "document_type", "serial_number", "qr_data", "file_hash"))).withColumn("low", F.lower("text"))
-    t, low, held = F.col("text"), F.col("low"), F.col("class_confidence")
-    # what several rules ask for is a column too
-    docs = docs.select(
-        "*",
-        F.size(F.array_remove(F.split(t, r"\s+"), "")).alias("words"),
-        (F.length(F.regexp_replace(t, r"[^\p{L}\s]", "")) / F.greatest(F.length(t), F.lit(1))).alias("share"),
-        F.least(_count(low, MARKERS) * 0.15 + F.when(t.rlike(DAY), 0.2).otherwise(0.0) + F.when(_any(low, SIGNATURES), 0.2).otherwise(0.0), F.lit(1.0)).alias("template"),
-        _count(low, AUTHORITIES).alias("heads"),
-        _any(low, CASES).alias("case_"),
-        F.when((F.col("serial_number") != "") & F.contains(t, F.col("serial_number")), 2).when(t.rlike(SERIAL), 1).otherwise(0).alias("serial"),
-        department(F.col("document_type"), low).alias("department"),
-    )
-    words, share, template, found, case, serial = map(F.col, ("words", "share", "template", "heads", "case_", "serial"))
-    content = F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) > 20
+def _steps(docs: DataFrame) -> DataFrame:
+    """document_id, department, steps (an array of structs) of each of docs."""
+    seen = looked_at(docs).withColumn("template", F.least(_count(MARKERS) * 0.15 + F.when(F.col("day"), 0.2).otherwise(0.0) + F.when(_any(SIGNATURES), 0.2).otherwise(0.0), F.lit(1.0)))
+    words, share, template, serial, content, held = map(F.col, ("words", "share", "template", "serial", "full", "class_confidence"))
+    found, case = _count(AUTHORITIES), _any(CASES)
     good = (words >= 10) & (share > 0.6)
     typed = ~F.col("document_type").isin("", "other")
     qr = F.col("qr_data")
@@ -172,13 +194,30 @@ def verification_steps(docs: DataFrame) -> DataFrame:
         _step(9, "Ongoing Case Check", F.when(case, "WARNING").otherwise("PASSED"), F.when(case, 0.6).otherwise(0.8)),
         _step(10, "Duplicate Document Check", F.when(hashed, "PASSED").otherwise("SKIPPED"), F.when(hashed, 0.9).otherwise(0.0)),
     ]
-    registry = F.array(*registry_steps(t, low, REGISTRIES[OTHER]))
+    registry = F.array(*registry_steps(REGISTRIES[OTHER]))
     for name, rules in REGISTRIES.items():
         if name != OTHER:
-            registry = F.when(F.col("department") == name, F.array(*registry_steps(t, low, rules))).otherwise(registry)
-    asked = docs.withColumn("department", department(F.col("document_type"), low))
-    every = F.filter(F.concat(F.array(*general), registry), lambda s: s.isNotNull())
-    return asked.select("document_id", "department", F.inline(every))
+            registry = F.when(F.col("department") == name, F.array(*registry_steps(rules))).otherwise(registry)
+    return seen.select("document_id", "department", F.filter(F.concat(F.array(*general), registry), lambda s: s.isNotNull()).alias("steps"))
+
+
+def verification_steps(docs: DataFrame) -> DataFrame:
+    """document_id, department, step_order, step_name, status, confidence: the steps 1 to 10 of each of docs(document_id, text,
+    document_type, class_confidence, serial_number, qr_data, file_hash), long form.
+
+    Null texts count as empty, a null class_confidence as .5. Texts are read once, and documents are checked where they lie.
+    The duplicate step passes whenever a hash is given; exact_duplicates compares hashes.
+    """
+    return _steps(docs).select("document_id", "department", F.inline("steps"))
+
+
+def verification_results(docs: DataFrame) -> DataFrame:
+    """What verified() gives for the steps of docs, a row for each document: its steps are summed up in its own row, so nothing is shuffled."""
+    done = lambda s: s["status"] != "SKIPPED"
+    n = lambda name: F.size(F.filter("steps", lambda s: s["status"] == name)).cast("long")
+    sure = F.aggregate(F.filter("steps", done), F.lit(0.0), lambda a, s: a + s["confidence"])
+    sums = _steps(docs).select("document_id", F.size(F.filter("steps", done)).cast("long").alias("n"), n("PASSED").alias("p"), n("FAILED").alias("f"), n("WARNING").alias("w"), n("SKIPPED").alias("skipped"), sure.alias("sure"))
+    return _graded(sums, 0.2, 0.5)
 
 
 def verified(steps: DataFrame, green: float = 0.2, yellow: float = 0.5) -> DataFrame:
@@ -187,6 +226,10 @@ def verified(steps: DataFrame, green: float = 0.2, yellow: float = 0.5) -> DataF
     done, status = F.col("status") != "SKIPPED", F.col("status")
     n = lambda name: F.count_if(status == name)
     sums = steps.groupBy("document_id").agg(F.count_if(done).alias("n"), n("PASSED").alias("p"), n("FAILED").alias("f"), n("WARNING").alias("w"), n("SKIPPED").alias("skipped"), F.coalesce(F.sum(F.when(done, F.col("confidence"))), F.lit(0.0)).alias("sure"))
+    return _graded(sums, green, yellow)
+
+
+def _graded(sums: DataFrame, green: float, yellow: float) -> DataFrame:
     raw = (0.6 * F.col("f") + 0.2 * F.col("w")) / F.col("n") + 0.2 * (1 - F.col("sure") / F.col("n"))
     scored = sums.withColumn("fraud_score", F.when(F.col("n") == 0, 0.5).otherwise(F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4)))
     fraud = F.col("fraud_score")

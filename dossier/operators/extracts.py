@@ -84,8 +84,12 @@ STATED = (
     ("creates", rf"{SUBJECT} generates {OBJECT}"), ("uses", rf"{SUBJECT} uses {OBJECT}"), ("uses", rf"{SUBJECT} utilizes {OBJECT}"), ("uses", rf"{SUBJECT} leverages {OBJECT}"),
 )
 _FORMS = tuple((kind, re.compile(p)) for kind, p in FORMS)
-_STATED = tuple((kind, re.compile(p), re.compile(p.removeprefix(SUBJECT).removesuffix(LOW).removesuffix(OBJECT))) for kind, p in STATED)
-_LETTERS, _CAPITAL = re.compile(r"[A-Za-z\s]+"), re.compile("[A-Z][a-z]")
+#: Relation, where its verb may start (verbs may share a space), and verb and object.
+_STATED = tuple((kind, re.compile(f"(?={p.removeprefix(SUBJECT).removesuffix(LOW).removesuffix(OBJECT)})"), re.compile(p.removeprefix(SUBJECT))) for kind, p in STATED)
+_LETTERS, _CAPITAL = re.compile(r"[A-Za-z\s]+"), re.compile(r"[A-Z][a-z]+(?=\s)")
+_CHAIN, _POINT = re.compile("(?:/[^/]++)++"), re.compile(r"(?<=[^/])\.[a-zA-Z0-9]+")
+_MAIL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
+_MAIL_RUN, _MAIL_END = re.compile("[A-Za-z0-9._%+@-]*[A-Za-z0-9._%+@|-]*"), re.compile(r"@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b")
 _PEOPLE = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Z][a-zA-Z.\s]{{2,40}}?)(?:\s*[,\n\r]|\s+(?:S/o|D/o|W/o|son|daughter|age|aged|resident))", re.IGNORECASE) for label in PERSON_LABELS)
 _PLACES = tuple(re.compile(rf"(?:{label})\s*[:-]\s*([A-Za-z][A-Za-z\s,.-]{{2,60}}?)(?:\s*[;\n\r]|,\s*(?:Pin|PIN|Dist|State|Ph))", re.IGNORECASE) for label in PLACE_LABELS)
 # what a text must hold for the patterns above to find anything: most texts are passed over by these alone
@@ -260,27 +264,53 @@ def summaries(found: DataFrame) -> DataFrame:
     return held.select("doc_id", "items", "confidence", F.concat_ws("\n", *lines).alias("summary"))
 
 
+def _paths(text: str) -> list[str]:
+    """The hits of FilePath: of each chain of parts after slashes, up to the last point within a part that letters or digits follow."""
+    out = []
+    for chain in _CHAIN.finditer(text):
+        if (points := [m.end() for m in _POINT.finditer(chain[0])]):
+            out.append(chain[0][: points[-1]])
+    return out
+
+
+def _mails(text: str, pattern: re.Pattern) -> list[str]:
+    """The hits of Email, in the runs of its characters alone that hold the end of one."""
+    out, at = [], 0
+    while (at := text.find("@", at)) >= 0:
+        low = at
+        while low and text[low - 1] in _MAIL_CHARACTERS:
+            low -= 1
+        high = _MAIL_RUN.match(text, at).end()
+        if _MAIL_END.search(text, at, high + 1):
+            out += pattern.findall(text, low, high + 1)
+        at = high
+    return out
+
+
 def formal(text: str) -> list[tuple[str, str, float]]:
     """(name, type, confidence): addresses, paths and versions by their form (.8), phrases of technology and concepts in any case (.7); each name of a
     type once."""
     words = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
-    shown = [(m, kind, 0.8) for kind, p in _FORMS for m in p.findall(text)]
+    hits = {"FilePath": lambda p: _paths(text), "Email": lambda p: _mails(text, p)}
+    shown = [(m, kind, 0.8) for kind, p in _FORMS for m in (hits[kind](p) if kind in hits else p.findall(text))]
     return list(dict.fromkeys(shown + [(p, kind, 0.7) for kind, ps in PHRASES.items() for p in ps if f" {p} " in words]))
 
 
 def stated(text: str) -> list[tuple[str, str, str, float]]:
     """(subject, relation, object, confidence) that sentences of STATED's forms say, each once in any case.
 
-    A sentence's words lie in one run of letters and spaces, so runs without a verb are passed over, and so is what follows a run's last one.
+    A sentence's words lie in one run of letters and spaces. Subjects take all words that they can, so a run says a relation once: from its first
+    capital word to the last verb behind which an object stands.
     """
     found = {}
     for run in _LETTERS.findall(text):
-        for kind, pattern, verb in _STATED:
-            at, last = 0, max((m.start() for m in verb.finditer(run)), default=-1)
-            while at <= last and _CAPITAL.search(run, at, last) and (m := pattern.search(run, at)):
-                key = (m[1].lower(), kind, m[2].lower())
-                found[key] = min(found.get(key, (m[1], kind, m[2])), (m[1], kind, m[2]))
-                at = m.end()
+        for kind, verb, whole in _STATED:
+            places = [m.start() for m in verb.finditer(run) if m.start() and not run[m.start() - 1].isspace()]
+            last = next(((at, m) for at in reversed(places) if (m := whole.match(run, at))), None)
+            if last and (start := _CAPITAL.search(run, 0, last[0] + 1)):
+                subject, object_ = run[start.start() : last[0]], last[1][1]
+                key = (subject.lower(), kind, object_.lower())
+                found[key] = min(found.get(key, (subject, kind, object_)), (subject, kind, object_))
     return [(*x, 0.7) for x in found.values()]
 
 

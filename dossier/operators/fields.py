@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,8 +75,6 @@ UNIVERSAL: dict[str, str] = {
     "court": r"(?:in\s+the\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Court|Tribunal|Commission|Board))",
     "organization": r"\b([A-Z][A-Za-z\s&]+(?:Ltd|Limited|Pvt|Corporation|Corp|Inc|LLP|Authority|Board|Council)\.?)\b",
 }
-#: Of the patterns that try long runs of words, what a text must hold at all for them to hit.
-NEEDED = {"court": r"(?i)court|tribunal|commission|board", "organization": r"(?i)(?:Ltd|Limited|Pvt|Corporation|Corp|Inc|LLP|Authority|Board|Council)(?![A-Za-z])"}
 LABEL_LINE = r"(?m)^([A-Za-z][A-Za-z0-9 _/]{1,40}?)\s*[:-]\s*(.{2,120}?)(?:\s*$)"
 NOISE = ("the", "and", "or", "of", "to", "in", "a", "an", "is", "it", "this", "that", "for", "on", "at", "by", "with", "from")
 #: What the locker and the graph look for.
@@ -86,41 +88,126 @@ GRAPH = {
     "address": ("Location", r"Address\s*[:-]\s*(.{10,80}?)(?=\s*(?:Gender|Phone|Date|Issue|Valid|$))"),
     "gender": ("Attribute", r"Gender\s*[:-]\s*(Male|Female|Other)"),
 }
-#: What is read of a text.
-MOST = 4000
+#: Patterns that try a long run of characters from each of its words: marked by a part of theirs, with the characters of a run and what a run
+#: must hold. Only such runs are searched, so that long texts take linear time.
+RUNS = (
+    ("(?:Ltd|Limited", r"[A-Za-z\s&]+", r"(?:Ltd|Limited|Pvt|Corporation|Corp|Inc|LLP|Authority|Board|Council|Department|Ministry|University|Ins\w*tute|Commission)\b"),
+    ("(?:Court|Tribunal", r"[A-Za-z\s]+", r"\s(?:Court|Tribunal|Commission|Board)"),
+    ("(?:nagar|colony", r"[A-Za-z0-9\s,]+", r"(?:nagar|colony|street|road|lane|avenue)\s*,"),
+    (MAIL, r"[A-Za-z0-9._%+@-]+", "@"),
+)
 
 
-def cleaned(value) -> Column:
+def cleaned(value: str) -> str:
     """A hit with its spaces squeezed, without commas and points at its end."""
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(value, r"\s+", " ")), "[,.]+$", ""))
-
-
-def first_hit(text, patterns: tuple[str, ...]) -> Column:
-    """The cleaned hit of the first pattern that has one of two characters or more, any case, line by line; null where none has."""
-    hits = F.transform(F.array(*[F.regexp_extract(text, f"(?im){p}", 1) for p in patterns]), lambda h: cleaned(h))
-    return F.try_element_at(F.filter(hits, lambda h: F.length(h) > 1), F.lit(1))
-
-
-def schema_fields(docs: DataFrame, schemas: DataFrame, patterns: dict[str, tuple[str, ...]] | None = None, most_rules: int = 10_000) -> DataFrame:
-    """doc_id, field, value, confidence, type, required: a row for each field that schemas(document_type, field, type, required)
-    names for a document's type; .9 for a hit, 0 and a null value without one. The first MOST characters are read.
-
-    Only the patterns of the fields at hand are run. The schemas are broadcast if they are most_rules rows at most.
+    return re.sub("[,.]+$", "", re.sub(r"\s+", " ", value.strip(" "), flags=re.ASCII).strip(" ")).strip(" ")
+
+
+@functools.cache
+def finder(pattern: str, flags: int = re.IGNORECASE | re.MULTILINE) -> Callable[[str], str]:
+    """The function that gives the first hit of a pattern's first group in a text, in any case, '' without one."""
+    whole = re.compile(pattern, flags | re.ASCII)
+    first = lambda m: (m[1] or "") if m else ""
+    kind = next((r for r in RUNS if r[0] in pattern), None)
+    if kind is None or (kind[0] == MAIL and not pattern.startswith(r"\b")):
+        return lambda text: first(whole.search(text))
+    run, needed = re.compile(kind[1], re.ASCII), re.compile(kind[2], flags | re.ASCII)
+
+    def found(text: str) -> str:
+        at = 0
+        while (need := needed.search(text, at)) is not None:
+            # the run around what is needed: its start is looked for backwards, piece by piece
+            low = need.start()
+            while low > at:
+                piece = max(at, low - 512)
+                tail = re.search(f"(?:{kind[1]})$", text[piece:low], re.ASCII)
+                if tail is None:
+                    break
+                low = piece + tail.start()
+                if tail.start():
+                    break
+            high = (m := run.match(text, need.start())) and m.end() or need.end()
+            hit = whole.search(text, low, min(len(text), max(high, need.end()) + 2))
+            if hit:
+                return hit[1] or ""
+            at = max(high, need.end())
+        return ""
+
+    return found
+
+
+def first_hit(text: str, patterns: tuple[str, ...]) -> str | None:
+    """The cleaned hit of the first pattern that has one of two characters or more; None where none has."""
+    for p in patterns:
+        if len(value := cleaned(finder(p)(text))) > 1:
+            return value
+    return None
+
+
+def _labelled(text: str, title_: str | None) -> list[tuple[str, str]]:
+    """(field, value) without a schema."""
+    lines = {}
+    for k, v in re.findall(LABEL_LINE, text, re.ASCII):
+        field = re.sub("[^a-z0-9_]", "", re.sub(r"[\s/]+", "_", k.strip(" ").lower(), flags=re.ASCII))
+        value = re.sub("[.,;]+$", "", v.strip(" "))
+        if field and len(value) >= 2:
+            lines.pop(field, None)
+            lines[field] = value
+    rest = [(name, finder(p, re.IGNORECASE)(text).strip(" ")) for name, p in UNIVERSAL.items() if name not in lines]
+    if "document_title" not in lines:
+        rest.append(("document_title", title_ or ""))
+    return [(k, v) for k, v in [*lines.items(), *rest] if k not in NOISE and len(k) > 1 and len(v) > 1]
+
+
+def _extracted(docs: DataFrame, rules: dict[str, list] | None, labels: bool, patterns: dict, most: int | None) -> DataFrame:
+    """doc_id, own, field, value, type, required of each document, found in its own row: texts neither move nor repeat."""
+    slim = docs.select("doc_id", F.col("document_type") if rules is not None else F.lit("").alias("document_type"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = slim.withColumn("text", F.substring("text", 1, most)) if most else slim
+    slim = slim.withColumn("title_", title(F.col("text")))
+    item = "array<struct<own: boolean, field: string, value: string, type: string, required: boolean>>"
+
+    def read(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("own", pa.bool_()), ("field", pa.string()), ("value", pa.string()), ("type", pa.string()), ("required", pa.bool_())]))
+        for batch in batches:
+            out = []
+            for of, text, title_ in zip(*(batch.column(c).to_pylist() for c in ("document_type", "text", "title_")), strict=True):
+                rows = [(True, field, first_hit(text, patterns.get(field, ())), type_, required) for field, type_, required in (rules or {}).get(of, ())]
+                known = {r[1] for r in rows if r[2] is not None}
+                if labels:
+                    rows += [(False, k, v, None, False) for k, v in _labelled(text, title_) if k not in known]
+                out.append([dict(zip(("own", "field", "value", "type", "required"), r, strict=True)) for r in rows])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "fields"])
+
+    return slim.mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fields {item}").select("doc_id", F.inline("fields"))
+
+
+def _rules(schemas: DataFrame, most: int) -> dict[str, list]:
+    """The rows of schemas by document type; most rows at most."""
+    held = schemas.select("document_type", "field", "type", "required").limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} rows of schemas")
+    out: dict[str, list] = {}
+    for r in held:
+        out.setdefault(r.document_type, []).append((r.field, r.type, r.required))
+    return out
+
+
+def schema_fields(docs: DataFrame, schemas: DataFrame, patterns: dict[str, tuple[str, ...]] | None = None, most_rules: int = 10_000, most: int | None = None) -> DataFrame:
+    """doc_id, field, value, confidence, type, required: a row for each field that schemas(document_type, field, type, required; most_rules at most)
+    names for a document's type; .9 for a hit, 0 and a null value without one. Whole texts are read, or the first most characters.
+
+    Only the patterns of the fields at hand are run.
     """
-    patterns = PATTERNS if patterns is None else patterns
-    rules = F.broadcast(schemas) if schemas.limit(most_rules + 1).count() <= most_rules else schemas
-    both = docs.select("doc_id", "document_type", F.substring(F.coalesce("text", F.lit("")), 1, MOST).alias("t")).join(rules, "document_type")
-    value = F.lit(None).cast("string")
-    for field, these in patterns.items():
-        value = F.when(F.col("field") == field, first_hit(F.col("t"), these)).otherwise(value)
-    found = both.select("doc_id", "field", value.alias("value"), "type", "required")
+    found = _extracted(docs, _rules(schemas, most_rules), False, PATTERNS if patterns is None else patterns, most)
     return found.select("doc_id", "field", "value", F.when(F.col("value").isNotNull(), 0.9).otherwise(0.0).alias("confidence"), "type", "required")
 
 
 def title(text) -> Column:
     """The first of eight lines that looks like a heading: 5 to 90 characters, no ':' or '=', four letters or more, most of them
     capitals or each word with one; null where none does."""
-    lines = F.transform(F.slice(F.split(text, "\r\n|\r|\n"), 1, 8), lambda x: F.regexp_replace(x, r"^[ \t.:-]+|[ \t.:-]+$", ""))
+    lines = F.transform(F.slice(F.split(text, "\r\n|\r|\n", 9), 1, 8), lambda x: F.regexp_replace(x, r"^[ \t.:-]+|[ \t.:-]+$", ""))
     letters = lambda x: F.regexp_replace(x, "[^A-Za-z]", "")
     capitals = lambda x: F.try_divide(F.length(F.regexp_replace(x, "[^A-Z]", "")), F.length(letters(x))) > 0.6
     titled = lambda x: ~x.rlike("(^|[^A-Za-z])[a-z]") & ~x.rlike("[A-Za-z][A-Z]")
@@ -128,34 +215,19 @@ def title(text) -> Column:
     return F.try_element_at(F.filter(lines, good), F.lit(1))
 
 
-def label_fields(docs: DataFrame) -> DataFrame:
+def label_fields(docs: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, field, value without a schema: 'Label: value' lines (the last of a label counts; labels in snake case), then the
-    UNIVERSAL patterns and a title for names that no line has. Values have two characters or more."""
-    t = F.substring(F.coalesce("text", F.lit("")), 1, MOST)
-    read = docs.select("doc_id", t.alias("t"))
-    lines = F.arrays_zip(F.regexp_extract_all("t", F.lit(LABEL_LINE), F.lit(1)).alias("k"), F.regexp_extract_all("t", F.lit(LABEL_LINE), F.lit(2)).alias("v"))
-    key = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[\s/]+", "_"), "[^a-z0-9_]", "")
-    pairs = F.transform(lines, lambda p: F.struct(key(p["k"]).alias("field"), F.regexp_replace(F.trim(p["v"]), "[.,;]+$", "").alias("value")))
-    good = F.filter(pairs, lambda p: (F.length("" if p is None else p["value"]) >= 2) & (F.length(p["field"]) > 0))
-    last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["field"] == p["field"]))
-    hit = lambda name, p: F.trim(F.regexp_extract("t", f"(?i){p}", 1))
-    some = lambda name, p: F.when(F.col("t").rlike(NEEDED[name]), hit(name, p)).otherwise("") if name in NEEDED else hit(name, p)
-    rest = [F.struct(F.lit(name).alias("field"), some(name, p).alias("value")) for name, p in UNIVERSAL.items()]
-    rest.append(F.struct(F.lit("document_title").alias("field"), F.coalesce(title(F.col("t")), F.lit("")).alias("value")))
-    both = read.select("doc_id", last.alias("lines"), F.array(*rest).alias("rest"))
-    names = F.transform("lines", lambda p: p["field"])
-    every = F.concat("lines", F.filter("rest", lambda p: ~F.array_contains(names, p["field"])))
-    kept = F.filter(every, lambda p: ~p["field"].isin(*NOISE) & (F.length(p["field"]) > 1) & (F.length(p["value"]) > 1))
-    return both.select("doc_id", F.inline(kept))
-
-
-def extracted_fields(docs: DataFrame, schemas: DataFrame) -> DataFrame:
-    """doc_id, field, value, confidence, type, required: the schema's fields, and from label_fields those that it didn't find
+    UNIVERSAL patterns and a title for names that no line has. Values have two characters or more. Whole texts are read, or the first most
+    characters."""
+    return _extracted(docs, None, True, {}, most).select("doc_id", "field", "value")
+
+
+def extracted_fields(docs: DataFrame, schemas: DataFrame, most_rules: int = 10_000, most: int | None = None) -> DataFrame:
+    """doc_id, field, value, confidence, type, required: the schema's fields, and those of label_fields that it didn't find
     (.85, with a guessed type, not required)."""
-    labelled = label_fields(docs).select("doc_id", "field", "value", F.lit(0.85).alias("confidence"), T.field_type(F.col("field")).alias("type"), F.lit(False).alias("required"), F.lit(False).alias("own"))
-    both = schema_fields(docs, schemas).withColumn("own", F.lit(True)).unionByName(labelled)
-    found = F.max(F.col("own") & F.col("value").isNotNull()).over(Window.partitionBy("doc_id", "field"))
-    return both.withColumn("found", found).where("own or not found").drop("own", "found")
+    found = _extracted(docs, _rules(schemas, most_rules), True, PATTERNS, most)
+    sure = F.when(~F.col("own"), 0.85).when(F.col("value").isNotNull(), 0.9).otherwise(0.0)
+    return found.select("doc_id", "field", "value", sure.alias("confidence"), F.when(F.col("own"), F.col("type")).otherwise(T.field_type(F.col("field"))).alias("type"), "required")
 
 
 def locker_metadata(text) -> Column:

@@ -93,7 +93,7 @@ FEW, MANY = 1000, 100_000
 
 
 def mentions(docs: DataFrame, names: DataFrame, few: int = FEW, many: int = MANY) -> DataFrame:
-    """doc_id, name: names of a dictionary that a text contains, in any case, each once per document. Null texts contain none.
+    """doc_id, name: names of a dictionary that a text contains, in any case, each once per document. Null texts contain none. doc_id may be of any type.
 
     Texts are read where they lie: a small dictionary is a filtered array in the plan; of a larger one each task holds an automaton of many
     names at most, and the texts are read once for each such part.
@@ -108,9 +108,10 @@ def mentions(docs: DataFrame, names: DataFrame, few: int = FEW, many: int = MANY
         return docs.select("doc_id", F.explode(F.filter(held, lambda n: low.contains(n["low"]))).alias("n")).select("doc_id", "n.name").distinct()
     parts = -(-known.count() // many)
     dealt = known.withColumn("low", F.lower("name")).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)))
-    slim, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")), None
+    slim, out = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), None
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string"
     for i in range(parts):
-        part = slim.mapInArrow(_spotter([(r.low, r.name) for r in dealt.where(F.col("part") == i).select("low", "name").collect()]), "doc_id long, name string")
+        part = slim.mapInArrow(_spotter([(r.low, r.name) for r in dealt.where(F.col("part") == i).select("low", "name").collect()]), schema)
         out = part if out is None else out.unionAll(part)
     return out.distinct()
 
@@ -128,11 +129,11 @@ def _spotter(names: list[tuple[str, str]]):
         words.make_automaton()
         for batch in batches:
             ids, found = [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, t in enumerate(batch.column("text").to_pylist()):
                 hits = sorted({n for _, held in words.iter(t) for n in held})
                 ids += [i] * len(hits)
                 found += hits
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "name"])
 
     return spotted
 

@@ -44,12 +44,12 @@ def _hit(patterns) -> str:
 _DOCS = f"docs AS ({duck(FORMS)} UNION ALL SELECT doc_id, 'Other', text FROM documents)"
 _ASKED = [f for f in fields.PATTERNS if f"'{f}'" in SCHEMAS]
 _VALUE = "CASE field " + " ".join(f"WHEN '{f}' THEN {_hit(fields.PATTERNS[f])}" for f in _ASKED) + " END"
-_SCHEMA_FIELDS = f"""{_DOCS}, b AS (SELECT doc_id, field, type, required, substr(coalesce(text, ''), 1, 4000) AS t FROM docs JOIN ({SCHEMAS}) USING (document_type)),
+_SCHEMA_FIELDS = f"""{_DOCS}, b AS (SELECT doc_id, field, type, required, coalesce(text, '') AS t FROM docs JOIN ({SCHEMAS}) USING (document_type)),
 sf AS (SELECT doc_id, field, {_VALUE} AS value, type, required FROM b)"""
 _KEY = r"regexp_replace(regexp_replace(lower(trim(k)), '[\s/]+', '_', 'g'), '[^a-z0-9_]', '', 'g')"
 _REST = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS field, trim(regexp_extract(t, '(?i){_quoted(p)}', 1)) AS value FROM r" for name, p in fields.UNIVERSAL.items())
 _NOISE = ", ".join(f"'{w}'" for w in fields.NOISE)
-_LABEL_FIELDS = rf"""r AS (SELECT doc_id, substr(coalesce(text, ''), 1, 4000) AS t FROM docs),
+_LABEL_FIELDS = rf"""r AS (SELECT doc_id, coalesce(text, '') AS t FROM docs),
 lines AS (SELECT doc_id, unnest(regexp_extract_all(t, '{fields.LABEL_LINE}', 1)) AS k, unnest(regexp_extract_all(t, '{fields.LABEL_LINE}', 2)) AS v, unnest(range(1, len(regexp_extract_all(t, '{fields.LABEL_LINE}', 1)) + 1)) AS i FROM r),
 pairs AS (SELECT doc_id, {_KEY} AS field, regexp_replace(trim(v), '[.,;]+$', '') AS value, i FROM lines),
 own AS (SELECT doc_id, field, max_by(value, i) AS value FROM pairs WHERE length(value) >= 2 AND field <> '' GROUP BY 1, 2),
@@ -79,6 +79,17 @@ def extracted_fields(t, spark):
     return fields.extracted_fields(_docs(t, spark), spark.sql(SCHEMAS)).where("field <> 'document_title'")
 
 
+# titles and patterns that look ahead are beyond SQL's patterns; tests compare them with plain readings
+@query()
+def document_titles(t, spark):
+    return fields.label_fields(_docs(t, spark)).where("field = 'document_title'")
+
+
+@query()
+def graph_fields_ahead(t, spark):
+    return fields.graph_fields(_docs(t, spark)).where(~F.col("field").isin(list(_PLAIN_GRAPH)))
+
+
 _LOCKER = ", ".join(f"array_to_string(list_transform(regexp_extract_all(trim(coalesce(text, '')), '{p}', 1)[1:{n}], lambda x: trim(x)), ';') AS {name}" for name, (p, n) in fields.LOCKER.items())
 
 

@@ -91,7 +91,7 @@ h AS (SELECT *, CASE WHEN failed > 0 OR fraud_score > 0.5 THEN 'RED' WHEN warnin
 
 @query(f"WITH {_STEPS}, {_SCORE} SELECT *, badge = 'YELLOW' AS needs_review FROM h")
 def verification_results(t, spark):
-    return checks.verified(checks.verification_steps(_requests(t, spark)))
+    return checks.verification_results(_requests(t, spark))
 
 
 @query(f"""WITH {_STEPS}, w AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY step_order, step_name) AS r, count(*) OVER (PARTITION BY document_id) AS n FROM s WHERE status = 'WARNING')
@@ -102,7 +102,7 @@ def review_reasons(t, spark):
 
 @query(f"WITH {_STEPS} SELECT department, count(*) AS n FROM d GROUP BY 1")
 def department_detection(t, spark):
-    rows = _requests(t, spark).select(checks.department(F.coalesce("document_type", F.lit("")), F.lower(F.coalesce("text", F.lit("")))).alias("department"))
+    rows = checks.looked_at(_requests(t, spark)).select("department")
     return rows.groupBy("department").agg(F.count("*").alias("n"))
 
 

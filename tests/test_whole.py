@@ -1,11 +1,16 @@
 """Operators do the whole of their job, where other tests are unlikely to look."""
 
 import random
+import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier import queries as _  # noqa: F401
-from dossier.operators import joins, search
+from dossier.functions import chunks
+from dossier.operators import checks, extracts, fields, graph, joins, search
+from dossier.plans import verification
 from dossier.registry import QUERIES
 
 
@@ -76,3 +81,91 @@ def test_fuzzy_prefixes_hold_rare_characters(spark, monkeypatch):
     # the space, which all names hold, makes no candidates: nearly all pairs would meet
     monkeypatch.setattr(fuzzy, "indel_ratio", lambda a, b: F.lit(100.0))
     assert joins.fuzzy_pairs(table).count() < len(names) * (len(names) - 1) / 2 * 0.8
+
+
+@pytest.mark.parametrize("pattern", [fields.PATTERNS["issuing_authority"][3], fields.UNIVERSAL["organization"], fields.UNIVERSAL["court"], fields.UNIVERSAL["email"], fields.PATTERNS["email"][1], fields.PATTERNS["applicant_address"][1]])
+def test_runs_give_the_plain_hit(pattern):
+    """What is searched in runs alone is what a plain search finds, and a megabyte without a hit takes little time."""
+    rng = random.Random(7)
+    pieces = ["Ab", "in the", "Court", "court", "Board", "Ltd", "Ltd.", "Pvt", "x@y.org", "a.b@c", "@", "12 Oak", "street", ", Ulm 400001", ",", ".", "\n", " ", "Ltdx", "7", "Institute", "&"]
+    plain, found = re.compile(pattern, re.I | re.M | re.A), fields.finder(pattern)
+    for _ in range(2500):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randrange(1, 14)))
+        assert found(text) == ((plain.search(text) or [None, ""])[1] or ""), text
+    start = time.process_time()
+    for text in ("Abc def " * 125_000, "a.b." * 250_000, "1" * 300_000, "Court" * 200_000, "12 road " * 125_000):
+        found(text)
+    assert time.process_time() - start < 10
+
+
+def test_fields_of_whole_texts(spark):
+    """Hits behind the first thousands of characters count, and a document's rows stay its own."""
+    far = "x. " * 40_000 + "\nFull Name: Asha Rao Age 40\nGenre: Tale\nmail a@b.org\n"
+    docs = spark.createDataFrame([("k", "T", far), ("k", "T", "HEAD OF ALL\nGenre: Ode\n"), (None, "U", None)], "doc_id string, document_type string, text string")
+    rules = spark.createDataFrame([("T", "full_name", "string", True), ("T", "gender", "string", False)], "document_type string, field string, type string, required boolean")
+    got = [(r.doc_id, r.field, r.value, r.confidence, r.type) for r in fields.extracted_fields(docs, rules).collect()]
+    want = [("k", "document_title", "HEAD OF ALL", 0.85, "string"), ("k", "email", "a@b.org", 0.85, "email"), ("k", "full_name", "Asha Rao Age", 0.9, "string"), ("k", "full_name", None, 0.0, "string"), ("k", "gender", None, 0.0, "string"), ("k", "gender", None, 0.0, "string"), ("k", "genre", "Ode", 0.85, "string"), ("k", "genre", "Tale", 0.85, "string")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    plan = fields.extracted_fields(docs, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    short = {r.field for r in fields.extracted_fields(docs.where("text like 'x%'"), rules, most=4000).where("value is not null").collect()}
+    assert short == set()
+
+
+def test_forms_are_the_plain_hits():
+    rng = random.Random(5)
+    pieces = ["/", "/a", "/b.c", ".", ".x1", "//", " ", "x@y.org", "a.b@c", "@", "http://q", "v1.2", "é", "\n", "z@y.o|rg", "@k.com"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 10)))
+        want = {(m, kind, 0.8) for kind, p in extracts.FORMS for m in re.findall(p, text)}
+        assert {x for x in extracts.formal(text) if x[2] == 0.8} == want, text
+
+
+def test_stated_is_what_the_patterns_say():
+    rng = random.Random(6)
+    pieces = ["Abc", "ABc", "aBc", "abc", "Uses", "uses", "is", "a", "an", "are", "part of", "has", "1", ".", "\n", "belongs to", "creates"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) + rng.choice([" ", " ", "  ", ""]) for _ in range(rng.randrange(2, 12)))
+        want = {}
+        for run in re.findall(r"[A-Za-z\s]+", text):
+            for kind, p in extracts.STATED:
+                for m in re.finditer(p, run):
+                    key = (m[1].lower(), kind, m[2].lower())
+                    want[key] = min(want.get(key, (m[1], kind, m[2])), (m[1], kind, m[2]))
+        assert {x[:3] for x in extracts.stated(text)} == set(want.values()), text
+
+
+def test_megabytes_take_linear_time():
+    start = time.process_time()
+    for text in ("/a" * 500_000, "/a." * 300_000, "a.b." * 250_000 + "@", "@a" * 500_000, "/" * 1_000_000):
+        extracts.formal(text)
+    for text in ("Abc " * 250_000 + "uses 1", "Abc is a " * 110_000, "uses " * 200_000):
+        extracts.stated(text)
+    assert time.process_time() - start < 15
+    start = time.process_time()
+    assert len(chunks.by_characters("word " * 200_000)) > 1000
+    assert time.process_time() - start < 2
+
+
+def test_verification_in_one_row(spark, sf):
+    docs = verification._requests(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"), spark)
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes]).collect())
+    assert rows(checks.verification_results(docs)) == rows(checks.verified(checks.verification_steps(docs)))
+    assert "Exchange" not in checks.verification_results(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mentions_of_any_dictionary(spark):
+    """The same rows from a dictionary that is an expression and from one that is an automaton, for ids of any type."""
+    texts = [("a-1", "Name 7 met name 12 and name 1003"), ("b", None), (None, "name 7"), ("c", "nothing")]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    numbers = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")
+    for most in (1000, 1001):
+        names = spark.createDataFrame([(f"name {i}",) for i in range(most)], "name string")
+        want = {("a-1", n) for n in ("name 1", "name 10", "name 100", "name 12", "name 7")} | {(None, "name 7")}
+        assert {tuple(r) for r in joins.mentions(docs, names).collect()} == want
+        assert {(r.doc_id, r.name) for r in joins.mentions(numbers, names).collect()} == {(0 if i else 2, n) for i, n in want}
+        vertices = names.select(F.concat(F.lit("v"), "name").alias("id"), "name")
+        asked = spark.createDataFrame([(f"AME {i}",) for i in range(most)], "asked string")
+        found = {r.asked: r.id for r in graph.lookup(vertices, asked).collect()}
+        assert len(found) == most and found["AME 12"] == "vname 12"
+    assert extracts.entity_relevance(docs, spark.createDataFrame([(f"name {i}",) for i in range(1100)], "name string")).where("doc_id = 'a-1'").count() == 6
