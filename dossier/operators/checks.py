@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.needs import Page
+
 DAY = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}"
 # fixed values: words and patterns of the general steps
 MARKERS = ("government of india", "भारत सरकार", "republic of india", "state government", "hereby certif", "authorized signatory", "official seal", "emblem", "notarized")
@@ -115,6 +117,16 @@ def _department(document_type: str, low: str) -> str:
     return DEPARTMENTS.get(document_type.lower()) or next((name for name, words in WORDS.items() if any(w in low for w in words)), "general")
 
 
+#: ASCII characters that don't count as text.
+_OTHERS = bytes(c for c in range(128) if not chr(c).isalpha() and chr(c) not in " \t\n\r\x0b\x0c")
+
+
+def _share(text: str) -> float:
+    """The share of letters and spaces."""
+    n = len(text.encode().translate(None, _OTHERS)) if text.isascii() else sum(n for c, n in Counter(text).items() if _letter(c))
+    return n / max(1, len(text))
+
+
 @functools.cache
 def _letter(c: str) -> bool:
     """Whether a character counts as text: a letter or a space."""
@@ -135,16 +147,17 @@ def looked_at(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = {c: [] for c in ("department", "words", "share", "full", "day", "serial", "present", "hits")}
             for text, kind, serial in zip(*(batch.column(c).to_pylist() for c in ("text", "document_type", "serial_number")), strict=True):
-                low = text.lower()
+                page = Page(text)
+                low = page.low
                 of = _department(kind, low)
                 rows["department"].append(of)
                 rows["words"].append(len(text.encode().split()))
-                rows["share"].append(sum(n for c, n in Counter(text).items() if _letter(c)) / max(1, len(text)))
+                rows["share"].append(_share(text))
                 rows["full"].append(len(_ENDS.sub("", text)) > 20)
-                rows["day"].append(_DAY.search(text) is not None)
+                rows["day"].append(page.digit and _DAY.search(text) is not None)
                 rows["serial"].append(2 if serial and serial in text else int(_SERIAL.search(text) is not None))
                 rows["present"].append([w for w in _ALL_WORDS if w in low])
-                rows["hits"].append([r.name for r in REGISTRIES.get(of, REGISTRIES[OTHER]) if r.pattern and _PATTERNS[r.name].search(text)])
+                rows["hits"].append([r.name for r in REGISTRIES.get(of, REGISTRIES[OTHER]) if r.pattern and page.may_hit(r.pattern) and _PATTERNS[r.name].search(text)])
             kinds = (pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=[*kept, *rows])
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.needs import Page
 
 DATE = r"([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4})"
 NAME = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2})"
@@ -136,24 +137,24 @@ def finder(pattern: str, flags: int = re.IGNORECASE | re.MULTILINE) -> Callable[
     return found
 
 
-def first_hit(text: str, patterns: tuple[str, ...]) -> str | None:
+def first_hit(page: Page, patterns: tuple[str, ...]) -> str | None:
     """The cleaned hit of the first pattern that has one of two characters or more; None where none has."""
     for p in patterns:
-        if len(value := cleaned(finder(p)(text))) > 1:
+        if page.may_hit(p) and len(value := cleaned(finder(p)(page.text))) > 1:
             return value
     return None
 
 
-def _labelled(text: str, title_: str | None) -> list[tuple[str, str]]:
+def _labelled(page: Page, title_: str | None) -> list[tuple[str, str]]:
     """(field, value) without a schema."""
     lines = {}
-    for k, v in re.findall(LABEL_LINE, text, re.ASCII):
+    for k, v in re.findall(LABEL_LINE, page.text, re.ASCII):
         field = re.sub("[^a-z0-9_]", "", re.sub(r"[\s/]+", "_", k.strip(" ").lower(), flags=re.ASCII))
         value = re.sub("[.,;]+$", "", v.strip(" "))
         if field and len(value) >= 2:
             lines.pop(field, None)
             lines[field] = value
-    rest = [(name, finder(p, re.IGNORECASE)(text).strip(" ")) for name, p in UNIVERSAL.items() if name not in lines]
+    rest = [(name, finder(p, re.IGNORECASE)(page.text).strip(" ")) for name, p in UNIVERSAL.items() if name not in lines and page.may_hit(p)]
     if "document_title" not in lines:
         rest.append(("document_title", title_ or ""))
     return [(k, v) for k, v in [*lines.items(), *rest] if k not in NOISE and len(k) > 1 and len(v) > 1]
@@ -173,10 +174,11 @@ def _extracted(docs: DataFrame, rules: dict[str, list] | None, labels: bool, pat
         for batch in batches:
             out = []
             for of, text, title_ in zip(*(batch.column(c).to_pylist() for c in ("document_type", "text", "title_")), strict=True):
-                rows = [(True, field, first_hit(text, patterns.get(field, ())), type_, required) for field, type_, required in (rules or {}).get(of, ())]
+                page = Page(text)
+                rows = [(True, field, first_hit(page, patterns.get(field, ())), type_, required) for field, type_, required in (rules or {}).get(of, ())]
                 known = {r[1] for r in rows if r[2] is not None}
                 if labels:
-                    rows += [(False, k, v, None, False) for k, v in _labelled(text, title_) if k not in known]
+                    rows += [(False, k, v, None, False) for k, v in _labelled(page, title_) if k not in known]
                 out.append([dict(zip(("own", "field", "value", "type", "required"), r, strict=True)) for r in rows])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "fields"])
 

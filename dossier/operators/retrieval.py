@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from . import filters, joins, search
 from .search import top
 
@@ -40,8 +41,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, semantic: DataFrame, k: int = 5,
     """query_id, doc_id, score, rank: keyword hits of 2k documents and semantic(query_id, doc_id, score) together, each side over its largest
     score of the query; then the filter on docs.metadata, then k. Documents of one text are one result, with the smallest id; queries
     without semantic results have none."""
-    same = docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")).agg(F.min("doc_id").alias("one"))
-    of = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")).join(same, "text").select("doc_id", "one")
+    hashed = written(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")), "digests")
+    of = hashed.join(hashed.groupBy("text").agg(F.min("doc_id").alias("one")), "text").select("doc_id", "one")
     single = lambda df: df.join(of, "doc_id").groupBy("query_id", "one").agg(F.max("score").alias("score")).select("query_id", F.col("one").alias("text"), "score")
     asked = queries.join(semantic.select("query_id").distinct(), "query_id", "left_semi")
     words = search.bm25(docs, asked, 2 * k)

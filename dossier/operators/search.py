@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks, text
+from ..functions.tables import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Terms of all queries together that the driver may hold.
@@ -30,10 +31,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> D
     number of rows) and leaves k documents per query, so a frequent word meets no posting list and the only shuffle is that of
     k rows per query and task. More queries take more passes.
     """
-    words = docs.select("doc_id", text.tokens(F.col("text")).alias("words"))
-    n, mean_length = words.agg(F.count("*"), F.avg(F.size("words"))).first()
-    frequency = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = frequency.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    # one pass counts documents, words and each word's documents; the row without a term has the sums
+    counts = slim.select("text").mapInArrow(_counted, "term string, df long, n long, words long").groupBy("term")
+    counts = written(counts.agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("words").alias("words")), "counts")
+    sums = counts.where("term is null").first()
+    n, mean_length = (sums.n, sums.words / sums.n) if sums else (0, 0.0)
+    raw = counts.where("term is not null").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     passes = max(1, -(-asked.select("query_id").distinct().count() // most))
     # one look at the vocabulary gives the mean over all terms and the asked ones' weights: a bounded number of queries has bounded terms
@@ -47,7 +51,6 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> D
     idf = F.when(F.col("raw") < 0, FLOOR * F.lit(mean)).otherwise(F.col("raw"))
     weighed = asked.join(held, "term").select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
     weighed = weighed.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     scored = None
     for i in range(passes):
         rows = weighed.where(F.col("pass") == i).select("query_id", "term", "weight").collect()
@@ -59,6 +62,28 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> D
     return top(scored, "query_id", [F.desc("score"), F.col("doc_id")], k)
 
 
+def _counted(batches, most: int = 500_000):
+    """(term, df, n, words): how many of a task's documents hold a term, and with a null term the numbers of its documents and their words."""
+    import pyarrow as pa
+
+    def out(counts: Counter, n: int, words: int):
+        terms = [None, *(t.decode() for t in counts)]
+        zeros = [0] * len(counts)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(x, pa.int64()) for x in ([0, *counts.values()], [n, *zeros], [words, *zeros]))], names=["term", "df", "n", "words"])
+
+    held, n, words = Counter(), 0, 0
+    for batch in batches:
+        for t in batch.column("text").cast(pa.large_binary()).to_pylist():
+            parts = t.split()
+            n, words = n + 1, words + len(parts)
+            held.update(set(parts))
+            if len(held) > most:
+                yield out(held, n, words)
+                held, n, words = Counter(), 0, 0
+    if n:
+        yield out(held, n, words)
+
+
 def _scorer(rows: list, mean_length: float, k: int, most_pairs: int = 2_000_000):
     """The function that scores a partition's documents for a block of queries and keeps k of each."""
     ids = sorted({r.query_id for r in rows})

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extracts, retrieval
+from ..operators import extracts, retrieval, search
 from ..registry import duck, query
 
 TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-#: Keyword scores as bm25_topk's SQL has them, of 2k documents, and vector scores of the rows with embeddings.
+#: Keyword scores as bm25_topk's SQL has them, of 2k documents, and cosines of the 2k nearest vectors; a query is the text and vector of one id.
 _HYBRID = f"""words AS (SELECT doc_id, {TOKENS} AS w FROM documents), size AS (SELECT doc_id, len(w) AS dl FROM words), total AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM size),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY ALL), raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, total GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 4 = 0), sem AS (SELECT q.query_id, vec_id AS doc_id, 1 / (1 + abs(vec_id - 7.0 * q.query_id)) AS score FROM q JOIN embeddings ON vec_id IN (SELECT doc_id FROM documents) WHERE abs(vec_id - 7 * q.query_id) <= 6),
+q AS (SELECT vec_id AS query_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
+sem AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) <= 10),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS}) AS term FROM q WHERE query_id IN (SELECT query_id FROM sem)) GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY ALL),
 kw AS (SELECT query_id, doc_id, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
@@ -23,11 +24,8 @@ f AS (SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.doc_id, k.
 
 
 def _semantic(t):
-    asked = t("benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    near = F.abs(F.col("vec_id") - 7 * F.col("query_id"))
-    # a stand-in for a model's scores: rows whose ids lie near a query's
-    rows = t("embeddings").select("vec_id").join(t("documents").select(F.col("doc_id").alias("vec_id")), "vec_id").join(asked.select("query_id"), near <= 6)
-    return asked, rows.select("query_id", F.col("vec_id").alias("doc_id"), (1 / (1 + near)).alias("score"))
+    asked = t("documents").where("doc_id % 100 = 0").join(t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return asked, search.cosine_top_k(t("embeddings"), 10).select("query_id", F.col("vec_id").alias("doc_id"), "score")
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 5")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier import queries as _  # noqa: F401
-from dossier.functions import chunks
+from dossier.functions import chunks, needs
 from dossier.operators import checks, extracts, fields, graph, joins, search
 from dossier.plans import verification
 from dossier.registry import QUERIES
@@ -169,3 +169,18 @@ def test_mentions_of_any_dictionary(spark):
         found = {r.asked: r.id for r in graph.lookup(vertices, asked).collect()}
         assert len(found) == most and found["AME 12"] == "vname 12"
     assert extracts.entity_relevance(docs, spark.createDataFrame([(f"name {i}",) for i in range(1100)], "name string")).where("doc_id = 'a-1'").count() == 6
+
+
+def test_patterns_need_what_is_said():
+    """A text in which a pattern hits holds what the pattern needs."""
+    rng = random.Random(9)
+    every = [p for ps in fields.PATTERNS.values() for p in ps] + list(fields.UNIVERSAL.values()) + [r.pattern for rules in checks.REGISTRIES.values() for r in rules if r.pattern]
+    assert sum(bool(needs.needs(p)[0]) or needs.needs(p)[1] for p in every) > 0.9 * len(every)
+    pieces = ["Full Name: Asha Rao 4", "DOB: 1/2/1990", "ref no: AB/1234", "serial no: MH001234", "a@b.org", "+91 9876543210", "Rs. 5", "₹7", "HIGH Court", "Oak Ltd", "roll 12345", "date 01-02-2020", "Survey no 12/3", "OWNER: Bo Li", "file no: AB-12345", "s/o Vi Pal", "dept: Roads A", "ABCDE1234F"]
+    for _ in range(600):
+        text = " ".join(rng.choice(pieces) for _ in range(3))
+        text = text.upper() if rng.random() < 0.2 else text
+        page = needs.Page(text)
+        for p in every:
+            if re.search(p, text, re.I | re.M | re.A):
+                assert page.may_hit(p), (p, text)
