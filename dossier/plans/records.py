@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import records
-from ..registry import duck, query
+from ..registry import duck, query, rows
 
 
 @query("SELECT count(*) AS n FROM documents WHERE lang = 'de' AND doc_id % 7 <> 0")
@@ -16,8 +16,8 @@ def active_count(t, spark):
 
 @query("SELECT event_id FROM events WHERE (event_type ILIKE '%CLI%' OR props ILIKE '%CLI%') AND CAST(user_id AS VARCHAR) ILIKE '%1%' AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-20'")
 def text_search_range(t, spark):
-    rows = t("events").withColumn("serial_number", F.col("user_id").cast("string"))
-    return records.text_search(rows, "CLI", ["event_type", "props"], "1", "ts", F.lit("2024-01-03").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id")
+    held = t("events").withColumn("serial_number", F.col("user_id").cast("string"))
+    return records.text_search(held, "CLI", ["event_type", "props"], "1", "ts", F.lit("2024-01-03").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE user_id = 7 AND event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 1")
@@ -41,8 +41,8 @@ def marked_read(t, spark):
 
 @query("WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS date, user_id FROM events WHERE event_type IN ('click', 'view') AND user_id IN (1, 2, 3)), f AS (SELECT * FROM e WHERE date >= '2024-01-02' AND date <= '2024-01-25') SELECT count(*) AS total, min(date) AS earliest, max(date) AS latest, CASE WHEN count(*) >= 2 THEN CAST(date_diff('day', CAST(min(date) AS DATE), CAST(max(date) AS DATE)) AS INTEGER) END AS span FROM f")
 def filtered_timeline(t, spark):
-    rows = t("events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("user_id").alias("document_id"))
-    return records.timeline_summary(records.timeline_filtered(rows, ["click", "view"], "2024-01-02", "2024-01-25", [1, 2, 3]))
+    held = t("events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("user_id").alias("document_id"))
+    return records.timeline_summary(records.timeline_filtered(held, ["click", "view"], "2024-01-02", "2024-01-25", [1, 2, 3]))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE source END AS source, CASE WHEN doc_id % 4 = 0 THEN '2026-01-01' ELSE 'old' END AS updated_at FROM documents")
@@ -52,13 +52,15 @@ def updated_rows(t, spark):
 
 
 DELETIONS = "SELECT * FROM (VALUES (1, 'd1', 'pending'), (2, 'd2', 'pending'), (3, 'd3', 'rejected'), (4, 'd4', 'pending')) AS t(request_id, document_id, status)"
+DELETIONS += """ UNION ALL SELECT 100 + o_orderkey, 'o' || o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'rejected' ELSE 'pending' END FROM orders"""
 DECISIONS = "SELECT * FROM (VALUES (1, 'approved'), (2, 'rejected'), (3, 'approved'), (4, 'odd')) AS t(request_id, decision)"
+DECISIONS += """ UNION ALL SELECT 100 + o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'odd' END FROM orders WHERE o_orderstatus <> 'P'"""
 
 
 @query(f"WITH r AS (SELECT document_id, CASE WHEN status = 'pending' AND decision IN ('approved', 'rejected') THEN decision ELSE status END AS status FROM ({DELETIONS}) LEFT JOIN ({DECISIONS}) USING (request_id)) SELECT document_id, CASE WHEN status = 'approved' THEN 'deleted' ELSE 'active' END AS lifecycle, status FROM r")
 def deletion_requests(t, spark):
-    done = records.decided(spark.sql(DELETIONS), spark.sql(DECISIONS))
-    docs = spark.sql(DELETIONS).select("document_id", F.lit("active").alias("lifecycle"))
+    done = records.decided(rows(t, spark, DELETIONS), rows(t, spark, DECISIONS))
+    docs = rows(t, spark, DELETIONS).select("document_id", F.lit("active").alias("lifecycle"))
     return records.soft_deleted(docs, done).join(done.select("document_id", "status"), "document_id")
 
 
@@ -69,11 +71,12 @@ def next_versions(t, spark):
 
 
 TRACKED = "SELECT * FROM (VALUES ('a1', 1, 1, 'submitted', '', 'Roads'), ('a1', 2, 2, 'verification', 'Otto', ''), ('a1', 3, 3, 'rejected', '', CAST(NULL AS STRING)), ('a2', 1, 4, 'delivered', '', ''), ('a3', 5, 6, 'on_hold', 'Nila', 'Water'), ('a3', 5, 5, 'printed', 'Bo', 'Land')) AS t(application_id, moment, event_id, stage, officer, department)"
+TRACKED += """ UNION ALL SELECT 'u' || user_id, event_id, 1000 + event_id, CASE event_type WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'verification' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'delivered' ELSE 'printed' END, CASE WHEN event_id % 3 = 0 THEN 'Otto' ELSE '' END, CASE WHEN event_id % 2 = 0 THEN 'Roads' ELSE '' END FROM events"""
 
 
 @query(f"""WITH e AS ({duck(TRACKED)}) SELECT application_id, max_by(stage, (moment, event_id)) AS stage, max_by(officer, (moment, event_id)) FILTER (officer <> '') AS officer, max_by(department, (moment, event_id)) FILTER (department <> '') AS department, count(*) AS n_events FROM e GROUP BY 1""")
 def stage_changes(t, spark):
-    return records.stage_changes(spark.sql(TRACKED).withColumnRenamed("moment", "at"))
+    return records.stage_changes(rows(t, spark, TRACKED).withColumnRenamed("moment", "at"))
 
 
 _HOURS = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in records.STAGE_HOURS.items()) + " ELSE 0 END"
@@ -81,10 +84,11 @@ _HOURS = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in records.STA
 
 @query(f"SELECT event_id, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_hours(240 - {_HOURS}) AS VARCHAR) AS eta FROM ({duck(TRACKED)})")
 def stage_eta(t, spark):
-    return spark.sql(TRACKED).select("event_id", records.eta(F.col("stage"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).cast("string").alias("eta"))
+    return rows(t, spark, TRACKED).select("event_id", records.eta(F.col("stage"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).cast("string").alias("eta"))
 
 
 NOTIFIED = "SELECT * FROM (VALUES ('a1', 'u1', 'submitted', 'Permit', ''), ('a2', 'u2', 'issuing_authority', 'Deed', ''), ('a3', 'u1', 'rejected', 'Pass', 'blurred'), ('a4', 'u3', 'on_hold', 'x', ''), ('a5', '', 'delivered', 'x', ''), ('a6', 'u4', 'generated', CAST(NULL AS STRING), '')) AS t(application_id, user_id, stage, document, reason)"
+NOTIFIED += """ UNION ALL SELECT 'e' || event_id, 'u' || user_id, CASE event_type WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'issuing_authority' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'on_hold' ELSE 'generated' END, 'Form ' || event_id, CASE WHEN event_id % 2 = 0 THEN 'blurred' ELSE '' END FROM events"""
 
 
 _NOTICE = "CASE stage " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in records.STAGE_NOTICE.items()) + " END"
@@ -95,41 +99,46 @@ _TITLED = "array_to_string(list_transform(string_split(replace({0}, '_', ' '), '
 @query(f"""WITH n AS (SELECT *, {_NOTICE} AS type FROM ({duck(NOTIFIED)}) WHERE coalesce(user_id, '') <> ''), m AS (SELECT *, {_SAYS} AS says FROM n WHERE type IS NOT NULL)
 SELECT application_id, user_id, type, {_TITLED.format('type')} AS title, replace(replace(replace(says, '%1$s', coalesce(document, '')), '%2$s', coalesce(reason, '')), '%3$s', {_TITLED.format('stage')}) AS message FROM m""")
 def stage_notices(t, spark):
-    return records.notices(spark.sql(NOTIFIED))
+    return records.notices(rows(t, spark, NOTIFIED))
 
 
 REVIEWS = "SELECT * FROM (VALUES (1, 'c1', 'PENDING', 'HIGH'), (2, 'c1', 'PENDING', 'LOW'), (3, 'c1', 'PENDING', 'HIGH'), (4, 'c2', 'PENDING', 'MEDIUM'), (5, 'c2', 'PENDING', 'LOW')) AS t(review_id, case_id, status, priority)"
+REVIEWS += """ UNION ALL SELECT 100 + o_orderkey, 'c' || o_custkey, 'PENDING', CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'HIGH' WHEN '2' THEN 'HIGH' WHEN '3' THEN 'MEDIUM' ELSE 'LOW' END FROM orders"""
 OUTCOMES = "SELECT * FROM (VALUES (2, 'APPROVED', 'r1', CAST(NULL AS STRING)), (3, 'CORRECTED', 'r2', 'Asha'), (4, 'REJECTED', 'r1', CAST(NULL AS STRING))) AS t(review_id, decision, reviewer, corrected_value)"
+OUTCOMES += """ UNION ALL SELECT 100 + o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'CORRECTED' END, 'r' || (o_orderkey % 4), CASE WHEN o_orderkey % 3 = 2 THEN 'x' || o_orderkey END FROM orders WHERE o_orderstatus = 'F'"""
 _REVIEWED = f"r AS (SELECT i.*, decision, reviewer, corrected_value, CASE WHEN decision IS NULL THEN i.status ELSE 'REVIEWED' END AS state FROM ({REVIEWS}) i LEFT JOIN ({duck(OUTCOMES)}) USING (review_id))"
 
 
 @query(f"WITH {_REVIEWED} SELECT review_id, case_id, state AS status, priority, decision, reviewer, corrected_value FROM r")
 def reviewed_items(t, spark):
-    return records.reviewed(spark.sql(REVIEWS), spark.sql(OUTCOMES))
+    return records.reviewed(rows(t, spark, REVIEWS), rows(t, spark, OUTCOMES))
 
 
 @query(f"""WITH {_REVIEWED} SELECT case_id, count(*) AS total, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'PENDING' AND priority = 'HIGH') AS high, count(*) FILTER (state = 'PENDING' AND priority = 'MEDIUM') AS medium, count(*) FILTER (state = 'PENDING' AND priority = 'LOW') AS low,
   count(*) FILTER (decision = 'APPROVED') AS approved, count(*) FILTER (decision = 'REJECTED') AS rejected, count(*) FILTER (decision = 'CORRECTED') AS corrected, round(count(*) FILTER (state = 'REVIEWED') / count(*), 4) AS rate FROM r GROUP BY 1""")
 def review_statistics(t, spark):
-    return records.review_statistics(records.reviewed(spark.sql(REVIEWS), spark.sql(OUTCOMES)))
+    return records.review_statistics(records.reviewed(rows(t, spark, REVIEWS), rows(t, spark, OUTCOMES)))
 
 
 UNSURE = "SELECT * FROM (VALUES ('c1', 'd1', 'name', 0.6999), ('c1', 'd1', 'dob', 0.7), ('c1', 'd2', 'fee', 0.9), ('c2', 'd3', 'x', 1.0)) AS t(case_id, document_id, field, confidence)"
+UNSURE += """ UNION ALL SELECT 'o' || l_orderkey, 'l' || l_linenumber, l_returnflag, 1 - 4 * l_discount FROM lineitem"""
 FOUND = "SELECT * FROM (VALUES ('c1', 'd1', 'name', 'MAJOR'), ('c2', 'd4', 'dob', 'MINOR'), ('c2', 'd4', 'city', 'MODERATE')) AS t(case_id, doc_a, field, severity)"
+FOUND += """ UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'total', CASE o_orderkey % 3 WHEN 0 THEN 'MAJOR' WHEN 1 THEN 'MINOR' ELSE 'MODERATE' END FROM orders"""
 
 
 @query(f"""WITH u AS (SELECT case_id, document_id, 'FIELD_EXTRACTION' AS item_type, field AS name, CAST(confidence AS DOUBLE) AS confidence FROM ({UNSURE}) WHERE confidence < 1 UNION ALL SELECT case_id, doc_a, 'INCONSISTENCY', field, CASE severity WHEN 'MINOR' THEN 0.85 WHEN 'MAJOR' THEN 0.4 ELSE 0.65 END FROM ({FOUND}))
 SELECT *, CASE WHEN confidence < 0.7 THEN 'HIGH' WHEN confidence < 0.9 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM u""")
 def review_routing(t, spark):
-    return records.routed(spark.sql(UNSURE), spark.sql(FOUND))
+    return records.routed(rows(t, spark, UNSURE), rows(t, spark, FOUND))
 
 
 BUNDLES = "SELECT * FROM (VALUES ('c1', 1, 'd1', 'add'), ('c1', 2, 'd1', 'add'), ('c1', 3, 'd2', 'add'), ('c1', 4, 'd2', 'remove'), ('c2', 1, 'd3', 'add'), ('c2', 2, 'd3', 'remove')) AS t(case_id, moment, document_id, action)"
+BUNDLES += """ UNION ALL SELECT 'c' || o_custkey, l_orderkey * 10 + l_linenumber, 'd' || (l_partkey % 5), CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 'remove' ELSE 'add' END FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
 
 
 @query(f"WITH l AS (SELECT case_id, document_id, max_by(action, moment) AS action FROM ({BUNDLES}) GROUP BY 1, 2) SELECT case_id, coalesce(string_agg(document_id, ',' ORDER BY document_id) FILTER (action = 'add'), '') AS documents FROM l GROUP BY 1")
 def case_bundles(t, spark):
-    return records.bundles(spark.sql(BUNDLES).withColumnRenamed("moment", "at")).select("case_id", F.array_join("documents", ",").alias("documents"))
+    return records.bundles(rows(t, spark, BUNDLES).withColumnRenamed("moment", "at")).select("case_id", F.array_join("documents", ",").alias("documents"))
 
 
 RULES = r"""SELECT document_type, name, label, type, required, max_length, pattern, CASE WHEN options = '' THEN CAST(NULL AS ARRAY<STRING>) ELSE split(options, ',') END AS options FROM (VALUES ('pass', 'name', 'Name', 'text', true, 10, CAST(NULL AS STRING), ''), ('pass', 'dob', 'Birth', 'date', true, CAST(NULL AS INT), CAST(NULL AS STRING), ''), ('pass', 'fee', 'Fee', 'number', false, CAST(NULL AS INT), CAST(NULL AS STRING), ''), ('pass', 'sex', 'Sex', 'enum', true, CAST(NULL AS INT), CAST(NULL AS STRING), 'M,F'), ('pass', 'pin', 'Pin', 'text', false, CAST(NULL AS INT), '[0-9]{6}', ''))
@@ -146,23 +155,27 @@ def template_validation(t, spark):
 
 
 ISSUED = "SELECT * FROM (VALUES ('n1', 'u1', 'income_certificate', 'complete', false, 'signed'), ('n2', 'u1', 'passport', 'complete', false, 'signed'), ('n3', 'u2', 'birth_certificate', 'complete', true, 'unsigned'), ('n4', 'u3', 'land_record', 'generating', false, 'unsigned')) AS t(document_number, applicant, document_type, status, revoked, signature)"
+ISSUED += """ UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'passport' WHEN '2' THEN 'income_certificate' ELSE 'land_record' END, CASE o_orderstatus WHEN 'F' THEN 'complete' ELSE 'generating' END, o_orderkey % 6 = 0, CASE WHEN o_orderkey % 4 = 0 THEN 'unsigned' ELSE 'signed' END FROM orders"""
 ASKED = "SELECT * FROM (VALUES ('q1', 'u1', 'income_certificate'), ('q2', 'u1', 'passport'), ('q3', 'u2', 'birth_certificate'), ('q4', 'u3', 'land_record'), ('q5', 'u1', 'birth_certificate')) AS t(request_id, applicant, document_type)"
+ASKED += """ UNION ALL SELECT 'r' || c_custkey, 'c' || c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'passport' WHEN 1 THEN 'income_certificate' ELSE 'land_record' END FROM customer"""
 _BLOCKED = f"EXISTS (SELECT 1 FROM ({ISSUED}) i WHERE i.applicant = q.applicant AND i.document_type = q.document_type AND status = 'complete' AND NOT revoked AND i.document_type NOT IN ('passport', 'driving_license'))"
 
 
 @query(f"SELECT request_id, {_BLOCKED} AS blocked FROM ({ASKED}) q")
 def issuance_blocks(t, spark):
-    return records.blocked(spark.sql(ASKED), spark.sql(ISSUED))
+    return records.blocked(rows(t, spark, ASKED), rows(t, spark, ISSUED))
 
 
 FAULTS = "SELECT * FROM (VALUES ('q3', 'b is bad'), ('q3', 'a is bad'), ('q5', CAST(NULL AS STRING))) AS t(request_id, error)"
-LACKING = "SELECT request_id, split(missing, ',') AS missing FROM (VALUES ('q2', 'photo,proof'), ('q3', 'photo')) AS t(request_id, missing)"
+FAULTS += """ UNION ALL SELECT 'r' || c_custkey, 'balance ' || c_nationkey || ' is bad' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'r' || c_custkey, 'a is bad' FROM customer WHERE c_acctbal < -500"""
+LACKING = "SELECT * FROM (VALUES ('q2', 'photo,proof'), ('q3', 'photo')) AS t(request_id, missing) UNION ALL SELECT 'r' || c_custkey, c_mktsegment || ',photo' FROM customer WHERE c_custkey % 7 = 0"
 
 
-@query(f"""SELECT request_id, CASE WHEN reason IS NULL THEN 'complete' ELSE 'rejected' END AS status, reason FROM (SELECT request_id, CASE request_id WHEN 'q3' THEN 'a is bad; b is bad' WHEN 'q2' THEN 'Missing supporting documents: photo, proof' ELSE CASE WHEN {_BLOCKED} THEN 'An active ' || document_type || ' already exists' END END AS reason FROM ({ASKED}) q)""")
+@query(f"""SELECT request_id, CASE WHEN reason IS NULL THEN 'complete' ELSE 'rejected' END AS status, reason FROM (SELECT q.request_id, coalesce(f.errors, 'Missing supporting documents: ' || replace(l.missing, ',', ', '), CASE WHEN {_BLOCKED} THEN 'An active ' || document_type || ' already exists' END) AS reason FROM ({ASKED}) q
+LEFT JOIN (SELECT request_id, string_agg(error, '; ' ORDER BY error) AS errors FROM ({duck(FAULTS)}) GROUP BY 1) f ON f.request_id = q.request_id LEFT JOIN ({LACKING}) l ON l.request_id = q.request_id)""")
 def request_states(t, spark):
-    asked = spark.sql(ASKED)
-    return records.request_states(asked, spark.sql(FAULTS), records.blocked(asked, spark.sql(ISSUED)), spark.sql(LACKING))
+    asked = rows(t, spark, ASKED)
+    return records.request_states(asked, rows(t, spark, FAULTS), records.blocked(asked, rows(t, spark, ISSUED)), rows(t, spark, LACKING).select("request_id", F.split("missing", ",").alias("missing")))
 
 
 @query("SELECT o_orderkey AS request_id, 'IND-' || upper(substr(o_orderpriority, 1, 2)) || '-2026-' || lpad(CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS VARCHAR), 6, '0') AS document_number FROM orders")
@@ -170,8 +183,8 @@ def document_numbers(t, spark):
     from ..operators import graph
 
     graph.checkpoint_dir(spark)
-    rows = t("orders").select(F.col("o_orderpriority").alias("document_type"), F.col("o_orderkey").alias("request_id"))
-    return records.document_numbers(rows, 2026).select("request_id", "document_number")
+    held = t("orders").select(F.col("o_orderpriority").alias("document_type"), F.col("o_orderkey").alias("request_id"))
+    return records.document_numbers(held, 2026).select("request_id", "document_number")
 
 
 NAMED = "SELECT user, map_filter(map('full_name', f, 'given_names', g, 'surname', s, 'child_name', c, 'owner_name', o), (k, v) -> v IS NOT NULL) AS values, years FROM (VALUES ('u1', 'Asha Rao', 'x', 'y', CAST(NULL AS STRING), CAST(NULL AS STRING), 10), ('u2', '', 'Bo', 'Chan', 'z', 'w', 0), ('u3', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'Kid', 'w', CAST(NULL AS INT)), ('u4', CAST(NULL AS STRING), ' ', CAST(NULL AS STRING), CAST(NULL AS STRING), 'Own', 1), ('u5', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 5)) AS t(user, f, g, s, c, o, years)"
@@ -186,32 +199,38 @@ def applicant_names(t, spark):
 
 
 REVOKE = "SELECT * FROM (VALUES ('n2', 'lost')) AS t(document_number, reason)"
+REVOKE += """ UNION ALL SELECT 'o' || o_orderkey, 'lost' FROM orders WHERE o_orderkey % 10 = 1"""
 
 
-@query(f"SELECT document_number, CASE WHEN document_number = 'n2' THEN 'revoked' ELSE status END AS status, revoked OR document_number = 'n2' AS revoked FROM ({ISSUED})")
+@query(f"SELECT document_number, CASE WHEN r.reason IS NOT NULL THEN 'revoked' ELSE status END AS status, revoked OR r.reason IS NOT NULL AS revoked FROM ({ISSUED}) LEFT JOIN ({REVOKE}) r USING (document_number)")
 def revoked_documents(t, spark):
-    return records.revoked(spark.sql(ISSUED), spark.sql(REVOKE)).select("document_number", "status", "revoked")
+    return records.revoked(rows(t, spark, ISSUED), rows(t, spark, REVOKE)).select("document_number", "status", "revoked")
 
 
-@query(f"SELECT n.document_number, status IS NOT NULL AS found, coalesce(status = 'complete' AND NOT revoked, false) AS valid, coalesce(signature = 'signed', false) AS signed FROM (SELECT unnest(['n1', 'n3', 'n4', 'n9']) AS document_number) n LEFT JOIN ({ISSUED}) USING (document_number)")
+CHECKED = "SELECT * FROM (VALUES ('n1'), ('n3'), ('n4'), ('n9')) AS t(document_number) UNION ALL SELECT 'o' || c_custkey FROM customer"
+
+
+@query(f"SELECT n.document_number, status IS NOT NULL AS found, coalesce(status = 'complete' AND NOT revoked, false) AS valid, coalesce(signature = 'signed', false) AS signed FROM ({CHECKED}) n LEFT JOIN ({ISSUED}) USING (document_number)")
 def number_check(t, spark):
-    return records.number_check(spark.sql("SELECT explode(array('n1', 'n3', 'n4', 'n9')) AS document_number"), spark.sql(ISSUED))
+    return records.number_check(rows(t, spark, CHECKED), rows(t, spark, ISSUED))
 
 
 CODES = "SELECT otp_id, user_id, otp_hash, verified, CAST(expires AS TIMESTAMP) AS expires_at, CAST(created AS TIMESTAMP) AS created_at, attempts FROM (VALUES ('o1', 'u1', 'h1', false, '2024-01-02 00:00:00', '2024-01-01 00:00:00', 0), ('o2', 'u1', 'h2', false, '2024-01-02 00:00:00', '2024-01-01 00:05:00', 2), ('o3', 'u2', 'h3', true, '2024-01-02 00:00:00', '2024-01-01 00:00:00', 0), ('o4', 'u2', 'h4', false, '2023-12-31 00:00:00', '2023-12-30 00:00:00', 0), ('o5', 'u3', 'h5', false, '2024-01-02 00:00:00', '2024-01-01 00:00:00', 3)) AS t(otp_id, user_id, otp_hash, verified, expires, created, attempts)"
+CODES += """ UNION ALL SELECT 'e' || event_id, 'u' || user_id, 'h' || event_id, event_type = 'signup', CAST(ts AS TIMESTAMP), CAST(ts AS TIMESTAMP) - INTERVAL '1' DAY, event_id % 5 FROM events"""
 TRIES = "SELECT * FROM (VALUES (1, 'o1', 'h1'), (2, 'o2', 'bad'), (3, 'o3', 'h3'), (4, 'o4', 'h4'), (5, 'o5', 'h5'), (6, 'o9', 'h')) AS t(attempt_id, otp_id, hash)"
+TRIES += """ UNION ALL SELECT 100 + event_id, 'e' || event_id, CASE WHEN event_id % 4 = 0 THEN 'bad' ELSE 'h' || event_id END FROM events"""
 NOW = "2024-01-01 12:00:00"
 
 
 @query(f"SELECT user_id, max_by(otp_id, (created_at, otp_id)) AS otp_id FROM ({CODES}) WHERE NOT verified AND expires_at > TIMESTAMP '{NOW}' GROUP BY 1")
 def latest_otp(t, spark):
-    return records.latest_otp(spark.sql(CODES), NOW)
+    return records.latest_otp(rows(t, spark, CODES), NOW)
 
 
 @query(f"""SELECT attempt_id, CASE WHEN otp_hash IS NULL THEN 'not_found' WHEN verified THEN 'used' WHEN TIMESTAMP '{NOW}' > expires_at THEN 'expired' WHEN attempts >= 3 THEN 'locked' WHEN hash <> otp_hash THEN 'invalid' ELSE 'ok' END AS outcome,
   CASE WHEN otp_hash IS NOT NULL AND NOT verified AND TIMESTAMP '{NOW}' <= expires_at AND attempts < 3 AND hash <> otp_hash THEN 2 - attempts END AS remaining FROM ({TRIES}) LEFT JOIN ({CODES}) USING (otp_id)""")
 def otp_outcomes(t, spark):
-    return records.otp_outcomes(spark.sql(TRIES), spark.sql(CODES), NOW)
+    return records.otp_outcomes(rows(t, spark, TRIES), rows(t, spark, CODES), NOW)
 
 
 @query("SELECT c_custkey, CASE WHEN length(p) <= 4 THEN '****' ELSE repeat('X', length(p) - 4) || right(p, 4) END AS masked FROM (SELECT c_custkey, CAST(c_custkey * 7919 AS VARCHAR) AS p FROM customer)")
@@ -221,8 +240,8 @@ def masked_phones(t, spark):
 
 @query(f"SELECT event_id FROM events WHERE event_id % 5 <> 0 AND ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-10 00:00:00' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 11 = 0)")
 def active_sessions(t, spark):
-    rows = t("events").select("event_id", F.col("user_id").alias("token_id"), (F.col("event_id") % 5 == 0).alias("revoked"), (F.col("ts") + F.expr("interval 1 day")).alias("expires_at"))
-    return records.active_sessions(rows, "2024-01-10 00:00:00", t("events").where("event_type = 'error' and event_id % 11 = 0").select(F.col("user_id").alias("token_id"))).select("event_id")
+    held = t("events").select("event_id", F.col("user_id").alias("token_id"), (F.col("event_id") % 5 == 0).alias("revoked"), (F.col("ts") + F.expr("interval 1 day")).alias("expires_at"))
+    return records.active_sessions(held, "2024-01-10 00:00:00", t("events").where("event_type = 'error' and event_id % 11 = 0").select(F.col("user_id").alias("token_id"))).select("event_id")
 
 
 @query("""WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events WHERE event_type IN ('error', 'signup')),
@@ -237,14 +256,18 @@ def devices(t, spark):
     return records.devices(t("events").select("user_id", F.col("event_type").alias("agent"), ip.alias("ip"), F.lit("en").alias("language"), "ts", "event_id"))
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type, CAST(sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 1)) AS BIGINT) AS k, count(*) FILTER (json_extract_string(props, '$.absent') IS NULL) AS lacking FROM events GROUP BY user_id, event_type")
 def json_keys(t, spark):
-    """JSON text read as a map, and a default for what it lacks."""
-    rows = t("events").select("user_id", "event_type", F.coalesce(F.try_element_at(F.from_json("props", "map<string,string>"), F.lit("none")), F.lit("1")).cast("int").alias("one"))
-    return rows.groupBy("user_id", "event_type").agg(F.sum("one").alias("n"))
+    """JSON text read as a map, with a default for what it lacks."""
+    value = lambda k: F.try_element_at(F.from_json("props", "map<string,string>"), F.lit(k))
+    held = t("events").select("user_id", "event_type", F.coalesce(value("k").cast("long"), F.lit(1)).alias("k"), value("absent").isNull().alias("lacks"))
+    return held.groupBy("user_id", "event_type").agg(F.sum("k").alias("k"), F.count_if("lacks").alias("lacking"))
+
+
+_ADDRESS = "(event_id % 223) || '.' || (user_id % 256) || '.' || (event_id % 7) || '.' || (event_id % 250)"
 
 
-@query("SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN '10.1' ELSE '10.1.2' END AS net FROM events")
+@query(f"WITH a AS (SELECT event_id, user_id, string_split({_ADDRESS}, '.') AS p FROM events) SELECT event_id, user_id, array_to_string(p[1:CASE WHEN user_id % 2 = 0 THEN 2 ELSE 3 END], '.') AS net FROM a")
 def subnets(t, spark):
-    ip = F.concat(F.lit("10.1.2."), (F.col("event_id") % 250).cast("string"))
+    ip = F.concat_ws(".", *[(F.col(c) % n).cast("string") for c, n in (("event_id", 223), ("user_id", 256), ("event_id", 7), ("event_id", 250))])
     return t("events").select("event_id", "user_id", F.when(F.col("user_id") % 2 == 0, text.subnet(ip, 2)).otherwise(text.subnet(ip)).alias("net"))

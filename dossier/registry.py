@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
@@ -24,6 +26,13 @@ def query(sql: str | None = None):
     return add
 
 
+def rows(t, spark: SparkSession, sql: str) -> DataFrame:
+    """The rows of SQL that reads tables by their plain names, as DuckDB does, through t."""
+    names = {m[1] for m in re.finditer(r"(?:FROM|JOIN) (customer|orders|lineitem|supplier|part|nation|region|events|documents)\b", sql)}
+    named = re.sub(r"(FROM|JOIN) (" + "|".join(sorted(names)) + r")\b", r"\1 {\2}", sql) if names else sql
+    return spark.sql(named, **{n: t(n) for n in names})
+
+
 def duck(sql: str) -> str:
     """Literal rows as DuckDB writes their types."""
     return sql.replace("STRING", "VARCHAR")
