@@ -7,33 +7,47 @@ from pyspark.sql import functions as F
 from .functions import chunks, text
 from .operators import extracts, filters, graph, joins, scores, search, windows
 from .plans import comparison, extraction, graphs, records, retrieval, stores, verification  # noqa: F401  register their queries
-from .registry import duck as _lit
+from .registry import duck as _lit, rows
 from .registry import query
 
 
 #: Literal rows, as both engines read them.
 LISTS = "SELECT * FROM (VALUES (1, 's', 'alpha', 0.9), (1, 's', 'beta', 0.6), (1, 's', 'gamma', 0.3), (1, 'w', 'beta', 4.0), (1, 'w', 'delta', 8.0), (2, 'w', 'alpha', 1.5), (2, 's', 'omega', 0.2)) AS t(query_id, side, text, score)"
+LISTS += """ UNION ALL SELECT 100 + o_custkey, 's', 'd' || (o_orderkey % 37), max(o_totalprice) / 1000000 FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey, o_orderkey % 37 UNION ALL SELECT 100 + o_custkey, 'w', 'd' || (o_orderkey % 37), count(*) FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey, o_orderkey % 37"""
 SOURCES = "SELECT * FROM (VALUES (1, 0.9, 0.5, '2025-12-01', true), (2, 0.4, 1.0, '01/06/2024', false), (3, 0.7, 0.2, 'unknown', true), (4, 0.7, 0.2, '2026-01-01', false)) AS t(source_id, similarity, authority, dated, verified)"
+SOURCES += """ UNION ALL SELECT 100 + o_orderkey, (o_orderkey % 100) / 100.0, (o_custkey % 10) / 10.0, '' || CAST(o_orderdate AS DATE), o_orderkey % 2 = 0 FROM orders"""
 RULES = "SELECT * FROM (VALUES ('invoice', 0, 'amount'), ('invoice', 0, 'due'), ('invoice', 0, 'tax'), ('licence', 1, 'driver'), ('licence', 1, 'vehicle'), ('record', 2, 'birth'), ('record', 2, 'tax')) AS t(category, place, keyword)"
 NOTICES = "SELECT * FROM (VALUES (-1, 'Case No. AB/12/2024: the fee of Rs. 1,500 is due by March 5, 2024 or 2024-04-01.'), (-2, 'FIR No: 77/2023, heard on 7 May 2023; Ref No. XY-1234.')) AS t(doc_id, text)"
 LETTERS = "SELECT * FROM (VALUES (1, 'The AMOUNT is due with tax'), (2, 'A driver of a vehicle'), (3, 'Only tax here'), (4, 'nothing fits'), (5, ''), (6, CAST(NULL AS STRING)), (7, 'Vehicle and birth')) AS t(doc_id, text)"
+LETTERS += """ UNION ALL SELECT 100 + doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' tax' WHEN 1 THEN ' driver' WHEN 2 THEN ' birth and tax' ELSE '' END FROM documents"""
 STEPS = "SELECT * FROM (VALUES ('a', 'PASSED', 0.9), ('a', 'PASSED', 1.0), ('b', 'PASSED', 0.8), ('b', 'WARNING', 0.6), ('b', 'SKIPPED', 0.0), ('c', 'FAILED', 0.2), ('c', 'PASSED', 0.9), ('d', 'SKIPPED', 0.5), ('e', 'PASSED', 0.0), ('e', 'PASSED', 0.001)) AS t(document_id, status, confidence)"
+STEPS += """ UNION ALL SELECT 'o' || l_orderkey, CASE l_returnflag WHEN 'A' THEN 'PASSED' WHEN 'N' THEN CASE WHEN l_linestatus = 'O' THEN 'WARNING' ELSE 'SKIPPED' END ELSE 'FAILED' END, 0.613717 + l_linenumber * 0.0313139 FROM lineitem"""
 ISSUES = "SELECT * FROM (VALUES (1, 'MAJOR'), (1, 'minor'), (2, 'MODERATE'), (2, 'MODERATE'), (3, 'MINOR'), (4, 'odd'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR'), (5, 'MAJOR')) AS t(case_id, severity)"
+ISSUES += """ UNION ALL SELECT 100 + l_orderkey, CASE l_returnflag WHEN 'A' THEN 'MAJOR' WHEN 'N' THEN 'minor' ELSE 'MODERATE' END FROM lineitem WHERE l_linestatus = 'F'"""
 ITEMS = "SELECT * FROM (VALUES (1, 0.6999, '2026-01-02'), (2, 0.7, '2026-01-01'), (3, 0.8999, '2026-01-03'), (4, 0.9, '2026-01-01'), (5, 1.0, '2026-01-01'), (6, 0.1, '2026-01-01')) AS t(item_id, confidence, created_at)"
+ITEMS += """ UNION ALL SELECT 100 + event_id, (event_id % 101) / 100.0, '2024-01-' || (10 + event_id % 20) FROM events"""
 LINKS = "SELECT * FROM (VALUES ('a', 'b', 'is_a', 0.9), ('b', 'c', 'is_a', 0.8), ('c', 'd', 'is_a', 1.0), ('a', 'c', 'part_of', 0.5), ('d', 'a', 'uses', 0.4), ('e', 'e', 'is_a', 1.0), ('b', 'd', 'is_a', 0.7)) AS t(src, dst, type, confidence)"
+LINKS += """ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'is_a', 0.5 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'is_a', 0.9 FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'part_of', 0.7 FROM supplier"""
 VERSIONS = "SELECT * FROM (VALUES (1, 'name', 'Ann'), (1, 'city', 'Ulm'), (1, 'zip', CAST(NULL AS STRING)), (2, 'name', 'Anne'), (2, 'zip', CAST(NULL AS STRING)), (2, 'phone', '12')) AS t(version, field, value)"
+VERSIONS += """ UNION ALL SELECT 1, 'o' || o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 2, 'o' || o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END FROM orders WHERE o_orderkey % 4 <> 0"""
 PEOPLE = "SELECT * FROM (VALUES (1, '  dr. anna   lee', '+49 (170) 123-45678', ' Main  STREET 5 ', '31/12/2024', 'DOB'), (2, 'Mr Bo Chan', '12345', 'x', '2024-02-30', 'Mobile'), (3, 'eva', '0049 170 1234567', 'A b', '2024-02-29', 'Fee paid'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), '5.1.2024', 'Full Name')) AS t(id, name, phone, address, dated, field)"
+PEOPLE += """ UNION ALL SELECT 100 + c_custkey, 'Mr  ' || lower(c_mktsegment) || ' lee', '0049-' || (1000000000 + c_custkey * 7919), '  Oak  STREET ' || c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN '2024-02-' || (10 + c_custkey % 19) ELSE '' || (10 + c_custkey % 19) || '/11/2023' END, CASE c_custkey % 3 WHEN 0 THEN 'DOB' WHEN 1 THEN 'Mobile' ELSE 'Fee paid' END FROM customer"""
 QUESTIONS = "SELECT * FROM (VALUES (1, 'When is the deadline?'), (2, 'How much is the fee?'), (3, 'Who are the witnesses?'), (4, 'Where was it?'), (5, 'Give me a summary'), (6, 'Hello'), (7, 'What is the due date of the fee?'), (8, 'Is it genuine?'), (9, 'Which department?'), (10, 'Any pending case?'), (11, 'The date of birth?')) AS t(id, question)"
 INPUTS = "SELECT * FROM (VALUES (1, '1 UNION  SELECT x from y'), (2, 'plain words'), (3, '<SCRIPT>alert'), (4, '%2E%2e/etc'), (5, CAST(NULL AS STRING)), (6, 'selected from'), (7, 'javascript:run'), (8, 'onFocus =x'), (9, '<embed x'), (10, 'drop the table')) AS t(id, value)"
 USERS = "SELECT * FROM (VALUES (1, 'clerk', 'read'), (2, 'clerk', 'delete'), (3, 'admin', 'delete'), (4, 'guest', 'read')) AS t(user_id, role, permission)"
+USERS += """ UNION ALL SELECT 100 + c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'clerk' WHEN 1 THEN 'admin' ELSE 'guest' END, CASE WHEN c_nationkey % 2 = 0 THEN 'read' ELSE 'delete' END FROM customer"""
 GRANTS = "SELECT * FROM (VALUES ('clerk', 'read'), ('admin', 'read'), ('admin', 'delete'), ('admin', 'delete')) AS t(role, permission)"
 HASHES = "SELECT * FROM (VALUES (1, 0), (2, 255), (3, 511), (4, 4294967295), (5, 0), (6, -1), (7, -256), (8, 281474976710656), (9, 4294967280)) AS t(id, hash)"
 PASSAGES = "SELECT * FROM (VALUES (1, 0, 'The fee is 20'), (1, 1, 'Signed by ANNA Lee'), (1, 2, 'anna lee again'), (2, 0, 'Nothing'), (2, 1, 'More')) AS t(doc_id, chunk, text)"
+PASSAGES += """ UNION ALL SELECT 1000000 + o_custkey, o_orderkey, 'Order ' || o_orderkey || ' is ' || o_orderpriority FROM orders"""
 NAMES = "SELECT * FROM (VALUES ('License'), ('copyright'), ('secret'), ('Password')) AS t(name)"
 VALUES = "SELECT * FROM (VALUES (1, 'Anna Lee'), (1, '20'), (2, 'absent')) AS t(doc_id, value)"
+VALUES += """ UNION ALL SELECT 1000000 + c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'LOW' ELSE 'none of it' END FROM customer"""
 
 CONSENTS = "SELECT * FROM (VALUES (1, 'a', 'share', 'grant', 10), (2, 'a', 'share', 'revoke', 20), (3, 'a', 'store', 'grant', 5), (4, 'b', 'share', 'revoke', 7), (5, 'b', 'share', 'grant', 7), (6, 'c', 'store', CAST(NULL AS STRING), 1)) AS t(record_id, user_id, type, action, decided)"
+CONSENTS += """ UNION ALL SELECT 100 + event_id, 'u' || user_id, CASE WHEN event_id % 2 = 0 THEN 'share' ELSE 'store' END, CASE event_type WHEN 'click' THEN 'grant' WHEN 'view' THEN 'revoke' END, event_id % 1000 FROM events"""
 COSINES = "SELECT * FROM (VALUES (1, 0.7499), (2, 0.75), (3, 0.8999), (4, 0.90), (5, 0.9799), (6, 0.98), (7, CAST(NULL AS DOUBLE))) AS t(id, cosine)"
+COSINES += """ UNION ALL SELECT 100 + l_orderkey * 10 + l_linenumber, 0.7 + 3 * l_discount FROM lineitem"""
 
 
 TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -73,15 +87,15 @@ WITH l AS ({LISTS}), m AS (SELECT query_id, side, text, CAST(score AS DOUBLE) /
 f AS (SELECT query_id, text, round(0.7 * coalesce(sum(x) FILTER (side = 's'), 0) + 0.3 * coalesce(sum(x) FILTER (side = 'w'), 0), 6) AS score FROM m GROUP BY ALL)
 SELECT query_id, text, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text) AS INTEGER) AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_fusion(t, spark):
-    rows = spark.sql(LISTS)
-    return search.fused(rows.where("side = 's'"), rows.where("side = 'w'"))
+    held = rows(t, spark, LISTS)
+    return search.fused(held.where("side = 's'"), held.where("side = 'w'"))
 
 
 @query(f"""
 WITH s AS ({SOURCES}), d AS (SELECT *, coalesce(try_strptime(dated, '%Y-%m-%d'), try_strptime(dated, '%d/%m/%Y')) AS seen FROM s)
 SELECT source_id, round(0.4 * CAST(similarity AS DOUBLE) + 0.25 * CAST(authority AS DOUBLE) + 0.2 * coalesce(exp(-date_diff('day', CAST(seen AS DATE), DATE '2026-01-01') / 365.0), 0.5) + 0.15 * CASE WHEN verified THEN 1.0 ELSE 0.8 END, 4) AS score FROM d""")
 def source_ranking(t, spark):
-    return search.ranked_sources(spark.sql(SOURCES), "2026-01-01").select("source_id", "score")
+    return search.ranked_sources(rows(t, spark, SOURCES), "2026-01-01").select("source_id", "score")
 
 
 @query(f"""
@@ -90,7 +104,7 @@ h AS (SELECT doc_id, category, place, count(*) / any_value(n) AS share FROM l JO
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, place) = 1)
 SELECT l.doc_id, coalesce(category, 'other') AS category, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE coalesce(least(round(2 * share, 6), 1), 0.1) END::DOUBLE AS confidence FROM l LEFT JOIN b USING (doc_id)""")
 def keyword_class(t, spark):
-    return search.keyword_classes(spark.sql(LETTERS), spark.sql(RULES))
+    return search.keyword_classes(rows(t, spark, LETTERS), spark.sql(RULES))
 
 
 @query()
@@ -135,8 +149,8 @@ SELECT coalesce(a.field, b.field) AS field, a.value AS old, b.value AS new,
   CASE WHEN a.field IS NULL THEN 'ADDED' WHEN b.field IS NULL THEN 'REMOVED' WHEN a.value IS NOT DISTINCT FROM b.value THEN 'SAME' ELSE 'MODIFIED' END AS change
 FROM a FULL JOIN b ON a.field = b.field""")
 def field_diff(t, spark):
-    rows = spark.sql(VERSIONS)
-    return joins.field_diff(rows.where("version = 1"), rows.where("version = 2"))
+    held = rows(t, spark, VERSIONS)
+    return joins.field_diff(held.where("version = 1"), held.where("version = 2"))
 
 
 KINDS = ["click", "error", "purchase", "refund", "signup"]
@@ -154,7 +168,7 @@ def missing_requirements(t, spark):
 WITH c AS ({PASSAGES}), v AS ({VALUES}), b AS (SELECT v.doc_id, value, chunk, contains(lower(text), lower(value)) AS hit FROM v JOIN c USING (doc_id))
 SELECT doc_id, value, chunk, CAST(CASE WHEN hit THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY hit DESC, chunk) = 1""")
 def evidence_lookup(t, spark):
-    return joins.evidence(spark.sql(VALUES), spark.sql(PASSAGES))
+    return joins.evidence(rows(t, spark, VALUES), rows(t, spark, PASSAGES))
 
 
 @query(f"SELECT DISTINCT doc_id, name FROM documents JOIN ({NAMES}) ON contains(lower(text), lower(name))")
@@ -305,7 +319,7 @@ WITH l AS (SELECT DISTINCT src, dst FROM ({LINKS}) WHERE src <> dst), p AS (
   UNION ALL SELECT x.src, z.dst, [x.src, x.dst, y.dst, z.dst], 3 FROM l x JOIN l y ON x.dst = y.src JOIN l z ON y.dst = z.src WHERE y.dst <> x.src AND z.dst NOT IN (x.src, x.dst))
 SELECT s AS "start", e AS "end", array_to_string(nodes, '>') AS path, CAST(hops AS INTEGER) AS hops FROM p""")
 def paths_3hop(t, spark):
-    links = spark.sql(LINKS)
+    links = rows(t, spark, LINKS)
     return graph.simple_paths(links, links.select(F.col("src").alias("id")).distinct())
 
 
@@ -322,14 +336,14 @@ WITH l AS (SELECT src, dst, type, CAST(confidence AS DOUBLE) AS c FROM ({LINKS})
   UNION ALL SELECT dst, src, CASE type WHEN 'part_of' THEN 'has_part' ELSE 'used_by' END, c * 0.95 FROM l WHERE type IN ('part_of', 'uses'))
 SELECT src, dst, type, round(max(c), 6) AS confidence FROM n WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.src = n.src AND l.dst = n.dst AND l.type = n.type) GROUP BY ALL""")
 def transitive_inference(t, spark):
-    return graph.inferred(spark.sql(LINKS).withColumn("confidence", F.col("confidence").cast("double")))
+    return graph.inferred(rows(t, spark, LINKS).withColumn("confidence", F.col("confidence").cast("double")))
 
 
 @query(f"""
 WITH l AS (SELECT src, dst, CAST(confidence AS DOUBLE) AS c FROM ({LINKS}))
 SELECT x.src, y.dst, round(least(max(x.c * y.c), 1), 6) AS score FROM l x JOIN l y ON x.dst = y.src WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM l WHERE l.src = x.src AND l.dst = y.dst) GROUP BY ALL""")
 def link_suggestions(t, spark):
-    return graph.suggestions(spark.sql(LINKS).withColumn("confidence", F.col("confidence").cast("double")))
+    return graph.suggestions(rows(t, spark, LINKS).withColumn("confidence", F.col("confidence").cast("double")))
 
 
 def _all_edges(t):
@@ -413,20 +427,20 @@ a AS (SELECT document_id, count(*) FILTER (status <> 'SKIPPED') AS n, count(*) F
 b AS (SELECT *, CASE WHEN n = 0 THEN 0.5 ELSE round(least(greatest(0.6 * failed / n + 0.2 * warnings / n + 0.2 * (1 - m), 0), 1), 4) END::DOUBLE AS fraud_score FROM a)
 SELECT document_id, fraud_score, CASE WHEN failed > 0 OR fraud_score > 0.5 THEN 'RED' WHEN warnings > 0 OR fraud_score > 0.2 THEN 'YELLOW' ELSE 'GREEN' END AS badge, round(coalesce(m, 0), 4) AS confidence, passed, failed, warnings FROM b""")
 def verification_score(t, spark):
-    return scores.verification(spark.sql(STEPS))
+    return scores.verification(rows(t, spark, STEPS))
 
 
 @query(f"""
 WITH i AS ({ISSUES}) SELECT case_id, 100.0::DOUBLE - least(100, sum(CASE upper(severity) WHEN 'MINOR' THEN 3 WHEN 'MAJOR' THEN 15 ELSE 8 END))::DOUBLE AS consistency FROM i GROUP BY 1""")
 def consistency_score(t, spark):
-    return scores.consistency(spark.sql(ISSUES))
+    return scores.consistency(rows(t, spark, ISSUES))
 
 
 @query(f"""
 WITH c AS (SELECT case_id, count(*) FILTER (upper(severity) = 'MAJOR') AS major, count(*) FILTER (upper(severity) = 'MODERATE') AS moderate, count(*) FILTER (upper(severity) = 'MINOR') AS minor FROM ({ISSUES}) GROUP BY 1)
 SELECT *, CASE WHEN major > 0 THEN 'MAJOR_ISSUES' WHEN moderate > 0 THEN 'REVIEW_REQUIRED' WHEN minor > 0 THEN 'MINOR_VARIATIONS' ELSE 'CONSISTENT' END AS status FROM c""")
 def severity_report(t, spark):
-    return scores.severity_report(spark.sql(ISSUES))
+    return scores.severity_report(rows(t, spark, ISSUES))
 
 
 @query("""
@@ -441,7 +455,7 @@ def readiness_score(t, spark):
 
 @query(f"SELECT item_id, CASE WHEN confidence < 0.7 THEN 'HIGH' WHEN confidence < 0.9 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM ({ITEMS}) WHERE confidence < 1")
 def pending_reviews(t, spark):
-    return scores.review_queue(spark.sql(ITEMS)).select("item_id", "priority")
+    return scores.review_queue(rows(t, spark, ITEMS)).select("item_id", "priority")
 
 
 @query("""
@@ -478,13 +492,13 @@ _HOSTILE = "(?i)" + "|".join(filters.HOSTILE)
 WITH i AS ({_lit(INPUTS)}) SELECT 'input' AS kind, CAST(id AS BIGINT) AS id, coalesce(regexp_matches(value, '{_HOSTILE}'), false) AS hostile FROM i
 UNION ALL SELECT 'page', page_id, coalesce(regexp_matches(html, '{_HOSTILE}'), false) FROM pages""")
 def malicious_input(t, spark):
-    rows = spark.sql(INPUTS).select(F.lit("input").alias("kind"), F.col("id").cast("long").alias("id"), "value").unionAll(t("pages").select(F.lit("page").alias("kind"), "page_id", "html"))
-    return rows.select("kind", "id", filters.hostile(F.col("value")).alias("hostile"))
+    held = spark.sql(INPUTS).select(F.lit("input").alias("kind"), F.col("id").cast("long").alias("id"), "value").unionAll(t("pages").select(F.lit("page").alias("kind"), "page_id", "html"))
+    return held.select("kind", "id", filters.hostile(F.col("value")).alias("hostile"))
 
 
 @query(f"SELECT user_id, EXISTS (SELECT 1 FROM ({GRANTS}) g WHERE g.role = u.role AND g.permission = u.permission) AS allowed FROM ({USERS}) u")
 def permission_check(t, spark):
-    return filters.permitted(spark.sql(USERS), spark.sql(GRANTS)).select("user_id", "allowed")
+    return filters.permitted(rows(t, spark, USERS), spark.sql(GRANTS)).select("user_id", "allowed")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -525,8 +539,8 @@ _INTENTS = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(question)), '{p}'
 @query(f"SELECT 'question' AS kind, CAST(id AS BIGINT) AS id, {_INTENTS} AS intent FROM ({QUESTIONS}) UNION ALL SELECT role, conv_id * 1000 + turn, {_INTENTS} FROM (SELECT *, text AS question FROM conversations)")
 def intent_class(t, spark):
     turns = t("conversations").select(F.col("role").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"))
-    rows = spark.sql(QUESTIONS).select(F.lit("question").alias("kind"), F.col("id").cast("long").alias("id"), "question").unionAll(turns)
-    return rows.select("kind", "id", text.intent(F.col("question")).alias("intent"))
+    held = spark.sql(QUESTIONS).select(F.lit("question").alias("kind"), F.col("id").cast("long").alias("id"), "question").unionAll(turns)
+    return held.select("kind", "id", text.intent(F.col("question")).alias("intent"))
 
 
 _TITLE = r"(?i)\b(Mr|Mrs|Ms|Dr|Prof|Sir|Madam)\.?\b"
@@ -540,7 +554,7 @@ SELECT id, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone, trim(re
   {_ALIASES} AS field, {_TYPES} AS type, array_to_string(list_transform(string_split(bare, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM p""")
 def normalisers(t, spark):
     c = F.col
-    return spark.sql(PEOPLE).select("id", text.normal_phone(c("phone")).alias("phone"), text.normal_address(c("address")).alias("address"), text.parsed_date(c("dated")).alias("dated"), text.alias(c("field")).alias("field"), text.field_type(c("field")).alias("type"), text.normal_name(c("name")).alias("name"))
+    return rows(t, spark, PEOPLE).select("id", text.normal_phone(c("phone")).alias("phone"), text.normal_address(c("address")).alias("address"), text.parsed_date(c("dated")).alias("dated"), text.alias(c("field")).alias("field"), text.field_type(c("field")).alias("type"), text.normal_name(c("name")).alias("name"))
 
 
 @query("SELECT doc_id, i AS chunk, substr(text, i * 1000 + 1, 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000) AS BIGINT))) AS i FROM documents)")
@@ -576,9 +590,9 @@ def sequence_numbers(t, spark):
 
 @query(f"SELECT id, CASE WHEN cosine >= 0.98 THEN 'EXACT' WHEN cosine >= 0.90 THEN 'LIKELY' WHEN cosine IS NOT NULL THEN 'POSSIBLE' END AS label FROM ({_lit(COSINES)})")
 def duplicate_labels(t, spark):
-    return spark.sql(COSINES).select("id", scores.duplicate_label(F.col("cosine")).alias("label"))
+    return rows(t, spark, COSINES).select("id", scores.duplicate_label(F.col("cosine")).alias("label"))
 
 
 @query(f"SELECT user_id, type, coalesce(action = 'grant', false) AS granted FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY decided DESC, record_id DESC) AS r FROM ({_lit(CONSENTS)})) WHERE r = 1")
 def consent_ledger(t, spark):
-    return scores.consents(spark.sql(CONSENTS))
+    return scores.consents(rows(t, spark, CONSENTS))

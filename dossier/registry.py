@@ -29,7 +29,9 @@ def query(sql: str | None = None):
 def rows(t, spark: SparkSession, sql: str) -> DataFrame:
     """The rows of SQL that reads tables by their plain names, as DuckDB does, through t."""
     names = {m[1] for m in re.finditer(r"(?:FROM|JOIN) (customer|orders|lineitem|supplier|part|nation|region|events|documents)\b", sql)}
-    named = re.sub(r"(FROM|JOIN) (" + "|".join(sorted(names)) + r")\b", r"\1 {\2}", sql) if names else sql
+    if not names:
+        return spark.sql(sql)
+    named = re.sub(r"(FROM|JOIN) (" + "|".join(sorted(names)) + r")\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(named, **{n: t(n) for n in names})
 
 
