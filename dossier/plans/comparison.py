@@ -12,9 +12,9 @@ FIELDS = """SELECT * FROM (VALUES ('c1', 'd1', 'dob', '01/02/1990'), ('c1', 'd2'
 ('c1', 'd1', 'full_name', 'Asha Rao'), ('c1', 'd2', 'full_name', 'asha rao'), ('c1', 'd3', 'full_name', 'Asha Raoo'), ('c1', 'd4', 'name', 'Bo Chan'), ('c2', 'd5', 'full_name', 'Eva'), ('c2', 'd7', 'full_name', 'Otto Lindberg'), ('c2', 'd6', 'full_name', ' '), ('c2', 'd6', 'colour', 'red'), ('c2', 'd5', 'colour', 'blue'), ('c2', 'd7', 'colour', 'Not found'), ('c2', 'd7', 'email', CAST(NULL AS STRING))) AS t(case_id, document_id, field, value)"""
 D_FIELDS = FIELDS + """ UNION ALL SELECT 'k' || o_custkey, 'o' || o_orderkey, 'phone', o_orderpriority FROM orders UNION ALL SELECT 'k' || o_custkey, 'o' || o_orderkey, 'document_number', o_orderstatus || o_orderpriority FROM orders"""
 OLD = "SELECT * FROM (VALUES (1, 'Full Name', 'Asha Rao'), (1, 'City', 'Ulm'), (1, 'Fee', '100'), (1, 'Note', 'N/A'), (2, 'a', 'same'), (2, 'b', 'same')) AS t(pair_id, field, value)"
-OLD += """ UNION ALL SELECT 100 + c_custkey, 'Customer Name', c_name FROM customer UNION ALL SELECT 100 + c_custkey, 'Segment', c_mktsegment FROM customer"""
+D_OLD = OLD + """ UNION ALL SELECT 100 + c_custkey, 'Customer Name', c_name FROM customer UNION ALL SELECT 100 + c_custkey, 'Segment', c_mktsegment FROM customer"""
 NEW = "SELECT * FROM (VALUES (1, 'full_name', 'Asha Raos'), (1, 'fee', '100'), (1, 'zip', '12'), (2, 'A', 'SAME'), (2, 'b', 'same')) AS t(pair_id, field, value)"
-NEW += """ UNION ALL SELECT 100 + c_custkey, 'customer_name', c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' jr' END FROM customer UNION ALL SELECT 100 + c_custkey, 'nation', '' || c_nationkey FROM customer WHERE c_custkey % 2 = 0"""
+D_NEW = NEW + """ UNION ALL SELECT 100 + c_custkey, 'customer_name', c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' jr' END FROM customer UNION ALL SELECT 100 + c_custkey, 'nation', '' || c_nationkey FROM customer WHERE c_custkey % 2 = 0"""
 PEOPLE = "SELECT * FROM (VALUES ('d1', 'Mira Sen'), ('d1', 'Otto Lind'), ('d2', 'mira sen'), ('d2', 'Otto Lindt'), ('d3', 'Mira Senn'), ('d4', 'Hari Lal'), ('d5', 'Hari Lal'), ('d5', CAST(NULL AS STRING))) AS t(document_id, name)"
 NUMBERS = "SELECT * FROM (VALUES ('d4', 'ab/1'), ('d5', 'AB/1'), ('d1', 'X/2'), ('d5', 'AB/1')) AS t(document_id, value)"
 METADATA = "SELECT * FROM (VALUES ('d1', 'address', 'Oak 1'), ('d2', 'address', 'Elm 2'), ('d1', 'father_name', 'Sen'), ('d2', 'father_name', 'Sen'), ('d4', 'serial_number', '7'), ('d5', 'serial_number', ''), ('d1', 'other', '1'), ('d2', 'other', '2')) AS t(document_id, field, value)"
@@ -79,13 +79,13 @@ def customer_inconsistencies(t, spark):
 
 @query()
 def graded_diff(t, spark):
-    return compare.graded_diff(rows(t, spark, OLD), rows(t, spark, NEW))
+    return compare.graded_diff(rows(t, spark, D_OLD), rows(t, spark, D_NEW))
 
 
 @query()
 def comparison_verdicts(t, spark):
     content = rows(t, spark, "SELECT * FROM (VALUES (1, 0.9D), (2, 0.86D)) AS t(pair_id, content_similarity) UNION ALL SELECT 100 + c_custkey, c_nationkey / 25.0 FROM customer")
-    return compare.verdicts(compare.graded_diff(rows(t, spark, OLD), rows(t, spark, NEW)), content)
+    return compare.verdicts(compare.graded_diff(rows(t, spark, D_OLD), rows(t, spark, D_NEW)), content)
 
 
 CHANGES = "SELECT * FROM (VALUES (1, 'name', 'Ann'), (1, 'city', 'Ulm'), (1, 'zip', '1'), (2, 'name', 'Anne'), (2, 'phone', '12'), (2, 'fax', '3')) AS t(version, field, value)"

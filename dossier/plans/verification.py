@@ -103,7 +103,7 @@ def review_reasons(t, spark):
 @query(f"WITH {_STEPS} SELECT department, count(*) AS n FROM d GROUP BY 1")
 def department_detection(t, spark):
     held = checks.looked_at(_requests(t, spark)).select("department")
-    return rows.groupBy("department").agg(F.count("*").alias("n"))
+    return held.groupBy("department").agg(F.count("*").alias("n"))
 
 
 FIELDS = "SELECT * FROM (VALUES ('c1', 'd1', 'full_name', 'Asha Rao', 0.9), ('c1', 'd1', 'plaintiff_name', 'Asha Rao', 0.8), ('c1', 'd2', 'Defendant', 'Bo Chan', 0.95), ('c1', 'd2', 'judge_name', 'Otto Lind', 0.7), ('c2', 'd3', 'full_name', CAST(NULL AS STRING), 0.4), ('c2', 'd3', 'advocate', 'Nila Das', 0.71), ('c2', 'd4', 'advocate', 'Ada Fox', 1.0), ('c3', 'd5', 'x', CAST(NULL AS STRING), 0.1), ('c1', 'd2', 'full_name', 'Asha Rao', 0.6)) AS t(case_id, document_id, field, value, confidence)"
