@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from dossier import queries as _  # noqa: F401
 from dossier.registry import QUERIES
 
-HEADLINE = "bm25_topk hybrid_search vector_cosine_topk vector_l2_topk exact_dup_groups fuzzy_name_pairs shared_values field_conflicts missing_requirements brute_force access_rate novelty hash_chain_verify latest_version context_build connected_components subgraph_2hop entity_upsert readiness_score verification_results extracted_fields named_entities mention_join preprocess_text contact_extract text_quality character_chunks sentence_chunks sequence_numbers".split()
+HEADLINE = "bm25_topk hybrid_search vector_cosine_topk vector_l2_topk vector_graph_topk comparison_report graph_questions workflow_checks exact_dup_groups fuzzy_name_pairs shared_values field_conflicts missing_requirements brute_force access_rate novelty hash_chain_verify latest_version context_build connected_components subgraph_2hop entity_upsert readiness_score verification_results extracted_fields named_entities mention_join preprocess_text contact_extract text_quality character_chunks sentence_chunks sequence_numbers".split()
 
 
 def main() -> None:

@@ -24,3 +24,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/dossier-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as shuffles have, if it lies in fewer: only small tables do, so few rows move. df is read from files or is cheap."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
