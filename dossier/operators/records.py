@@ -211,17 +211,18 @@ def bundles(changes: DataFrame) -> DataFrame:
 
 
 def flattened(templates: DataFrame) -> DataFrame:
-    """document_type, section, name, label, type, required, max_length, pattern, options: a row per field of templates(document_type,
-    sections array<struct<name, fields array<struct<...>>>>)."""
+    """document_type, section, name, label, type, required, max_length, pattern, options, default: a row per field of templates(document_type,
+    sections array<struct<name, fields array<struct<...>>>>); a field without a label has its name, without a type it is text, and it is
+    required unless it says otherwise."""
     sections = templates.select("document_type", F.explode("sections").alias("s"))
     rows = sections.select("document_type", F.coalesce("s.name", F.lit("General")).alias("section"), F.explode("s.fields").alias("f"))
-    return rows.select("document_type", "section", "f.name", F.coalesce("f.label", "f.name").alias("label"), F.coalesce("f.type", F.lit("text")).alias("type"), F.coalesce("f.required", F.lit(True)).alias("required"), "f.max_length", "f.pattern", "f.options")
+    return rows.select("document_type", "section", "f.name", F.coalesce("f.label", "f.name").alias("label"), F.coalesce("f.type", F.lit("text")).alias("type"), F.coalesce("f.required", F.lit(True)).alias("required"), "f.max_length", "f.pattern", "f.options", "f.default")
 
 
 def validated(submitted: DataFrame, rules: DataFrame) -> DataFrame:
     """request_id, name, value, error: a row per rule(document_type, name, label, type, required, max_length, pattern, options) of each
-    request in submitted(request_id, document_type, values map). Values are trimmed, dates become ISO, numbers lose commas;
-    error is null for a good value, and value null for a bad one."""
+    request in submitted(request_id, document_type, values map). Values are trimmed, dates become ISO, numbers lose commas; a blank value of a
+    field that isn't required becomes the rule's default, if there is one; error is null for a good value, and value null for a bad one."""
     rows = submitted.join(rules, "document_type")
     given = F.try_element_at("values", F.col("name"))
     bare = F.trim(given)
@@ -236,12 +237,12 @@ def validated(submitted: DataFrame, rules: DataFrame) -> DataFrame:
     error = (
         F.when(blank, F.when(F.col("required"), F.concat(quoted, F.lit(" is required."))))
         .when(text & (F.length(bare) > F.col("max_length")), F.concat(quoted, F.lit(" exceeds max length of "), F.col("max_length").cast("string"), F.lit(" characters.")))
-        .when(text & F.col("pattern").isNotNull() & ~whole, F.concat(quoted, F.lit(" format is invalid.")))
+        .when(text & F.col("pattern").isNotNull() & ~whole, F.concat(quoted, F.lit(" format is invalid (expected pattern: "), "pattern", F.lit(").")))
         .when((F.col("type") == "date") & ~iso & ~slashed, F.concat(quoted, F.lit(" must be a date in YYYY-MM-DD or DD/MM/YYYY format.")))
         .when((F.col("type") == "number") & number.isNull(), F.concat(quoted, F.lit(" must be a number.")))
         .when((F.col("type") == "enum") & ~F.coalesce(F.array_contains("options", given), F.lit(False)), F.concat(quoted, F.lit(" must be one of: "), F.array_join("options", ", "), F.lit(".")))
     )
-    value = F.when(blank, None).when(text, bare).when((F.col("type") == "date") & slashed, day).when(F.col("type") == "date", bare).when(F.col("type") == "number", number.cast("string")).otherwise(given)
+    value = F.when(blank, F.col("default") if "default" in rules.columns else F.lit(None)).when(text, bare).when((F.col("type") == "date") & slashed, day).when(F.col("type") == "date", bare).when(F.col("type") == "number", number.cast("string")).otherwise(given)
     return rows.select("request_id", "name", error.alias("error"), value.alias("v")).select("request_id", "name", F.when(F.col("error").isNull(), F.col("v")).alias("value"), "error")
 
 

@@ -141,17 +141,39 @@ def case_bundles(t, spark):
     return records.bundles(rows(t, spark, BUNDLES).withColumnRenamed("moment", "at")).select("case_id", F.array_join("documents", ",").alias("documents"))
 
 
-RULES = r"""SELECT document_type, name, label, type, required, max_length, pattern, CASE WHEN options = '' THEN CAST(NULL AS ARRAY<STRING>) ELSE split(options, ',') END AS options FROM (VALUES ('pass', 'name', 'Name', 'text', true, 10, CAST(NULL AS STRING), ''), ('pass', 'dob', 'Birth', 'date', true, CAST(NULL AS INT), CAST(NULL AS STRING), ''), ('pass', 'fee', 'Fee', 'number', false, CAST(NULL AS INT), CAST(NULL AS STRING), ''), ('pass', 'sex', 'Sex', 'enum', true, CAST(NULL AS INT), CAST(NULL AS STRING), 'M,F'), ('pass', 'pin', 'Pin', 'text', false, CAST(NULL AS INT), '[0-9]{6}', ''))
-AS t(document_type, name, label, type, required, max_length, pattern, options)"""
-SUBMITTED = """SELECT request_id, document_type, map_filter(map('name', n, 'dob', d, 'fee', f, 'sex', s, 'pin', p), (k, v) -> v IS NOT NULL) AS values FROM (VALUES ('q1', 'pass', ' Asha ', '1/2/1990', '1,200.5', 'F', '400001'), ('q2', 'pass', 'Much too long a name', '1990-02-01', 'many', 'X', '4000012'), ('q3', 'pass', ' ', 'soon', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)))
-AS t(request_id, document_type, n, d, f, s, p)"""
-
-
-@query("""SELECT * FROM (VALUES ('q1', 'name', 'Asha', NULL), ('q1', 'dob', '1990-02-01', NULL), ('q1', 'fee', '1200.5', NULL), ('q1', 'sex', 'F', NULL), ('q1', 'pin', '400001', NULL),
-('q2', 'name', NULL, '''Name'' exceeds max length of 10 characters.'), ('q2', 'dob', '1990-02-01', NULL), ('q2', 'fee', NULL, '''Fee'' must be a number.'), ('q2', 'sex', NULL, '''Sex'' must be one of: M, F.'), ('q2', 'pin', NULL, '''Pin'' format is invalid.'),
-('q3', 'name', NULL, '''Name'' is required.'), ('q3', 'dob', NULL, '''Birth'' must be a date in YYYY-MM-DD or DD/MM/YYYY format.'), ('q3', 'fee', NULL, NULL), ('q3', 'sex', NULL, '''Sex'' is required.'), ('q3', 'pin', NULL, NULL)) AS t(request_id, name, value, error)""")
+TEMPLATE = [
+    ("pass", [("Person", [("name", "Name", None, None, 10, None, None, None), ("dob", "Birth", "date", True, None, None, None, None), ("sex", "Sex", "enum", True, None, None, ["M", "F"], None)]), (None, [("fee", "Fee", "number", False, None, None, None, "0"), ("pin", None, "text", False, None, "[0-9]{6}", None, None)])])
+]
+_TEMPLATE = "document_type string, sections array<struct<name string, fields array<struct<name string, label string, type string, required boolean, max_length int, pattern string, options array<string>, default string>>>>"
+SUBMITTED = """SELECT * FROM (VALUES ('q1', ' Asha ', '1/2/1990', '1,200.5', 'F', '400001'), ('q2', 'Much too long a name', '1990-02-01', 'many', 'X', '4000012'), ('q3', ' ', 'soon', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING))) AS t(request_id, n, d, f, s, p)
+UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END, CASE c_custkey % 4 WHEN 0 THEN '1990-01-0' || (1 + c_custkey % 9) WHEN 1 THEN (1 + c_custkey % 28) || '/' || (1 + c_custkey % 12) || '/1985' WHEN 2 THEN 'soon' ELSE ' ' END,
+CASE c_custkey % 3 WHEN 0 THEN '1,' || (100 + c_nationkey) WHEN 1 THEN 'many' END, CASE c_nationkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'X' END, CASE WHEN c_custkey % 5 > 0 THEN '' || (390000 + c_custkey) ELSE '12' END FROM customer"""
+_BLANK = "coalesce(length(trim({0})) = 0, true)"
+_FIELDS = (
+    ("name", f"CASE WHEN {_BLANK.format('n')} THEN '''Name'' is required.' WHEN length(trim(n)) > 10 THEN '''Name'' exceeds max length of 10 characters.' END", "trim(n)"),
+    ("dob", f"CASE WHEN {_BLANK.format('d')} THEN '''Birth'' is required.' WHEN NOT regexp_full_match(trim(d), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN '''Birth'' must be a date in YYYY-MM-DD or DD/MM/YYYY format.' END", "CASE WHEN contains(d, '/') THEN string_split(trim(d), '/')[3] || '-' || lpad(string_split(trim(d), '/')[2], 2, '0') || '-' || lpad(string_split(trim(d), '/')[1], 2, '0') ELSE trim(d) END"),
+    ("sex", f"CASE WHEN {_BLANK.format('s')} THEN '''Sex'' is required.' WHEN s NOT IN ('M', 'F') THEN '''Sex'' must be one of: M, F.' END", "s"),
+    ("fee", f"CASE WHEN NOT {_BLANK.format('f')} AND TRY_CAST(replace(f, ',', '') AS DOUBLE) IS NULL THEN '''Fee'' must be a number.' END", f"CASE WHEN {_BLANK.format('f')} THEN '0' ELSE CAST(TRY_CAST(replace(f, ',', '') AS DOUBLE) AS VARCHAR) END"),
+    ("pin", f"CASE WHEN NOT {_BLANK.format('p')} AND NOT regexp_full_match(trim(p), '[0-9]{{6}}') THEN '''pin'' format is invalid (expected pattern: [0-9]{{6}}).' END", f"CASE WHEN NOT {_BLANK.format('p')} THEN trim(p) END"),
+)
+
+
+@query(f"WITH q AS ({duck(SUBMITTED)}), f AS (" + " UNION ALL ".join(f"SELECT request_id, '{name}' AS name, {error} AS error, {value} AS v FROM q" for name, error, value in _FIELDS) + ") SELECT request_id, name, CASE WHEN error IS NULL THEN v END AS value, error FROM f")
 def template_validation(t, spark):
-    return records.validated(spark.sql(SUBMITTED), spark.sql(RULES))
+    pairs = F.create_map(*[x for k, c in (("name", "n"), ("dob", "d"), ("fee", "f"), ("sex", "s"), ("pin", "p")) for x in (F.lit(k), F.col(c))])
+    given = rows(t, spark, SUBMITTED).select("request_id", F.lit("pass").alias("document_type"), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("values"))
+    return records.validated(given, records.flattened(spark.createDataFrame(TEMPLATE, _TEMPLATE)))
+
+
+@query("""SELECT * FROM (VALUES ('pass', 'Person', 'name', 'Name', 'text', true, ''), ('pass', 'Person', 'dob', 'Birth', 'date', true, ''), ('pass', 'Person', 'sex', 'Sex', 'enum', true, 'M,F'), ('pass', 'General', 'fee', 'Fee', 'number', false, ''), ('pass', 'General', 'pin', 'pin', 'text', false, '')) AS t(document_type, section, name, label, type, required, options)
+UNION ALL SELECT DISTINCT 'b' || p_brand, 'Part', p_type, p_type, 'text', true, '' FROM part""")
+def template_fields(t, spark):
+    """A fixed template, and one for each brand with a field for each type of its parts."""
+    none = lambda kind: F.lit(None).cast(kind)
+    field = F.struct(F.col("p_type").alias("name"), none("string").alias("label"), none("string").alias("type"), none("boolean").alias("required"), none("int").alias("max_length"), none("string").alias("pattern"), none("array<string>").alias("options"), none("string").alias("default"))
+    brands = t("part").groupBy(F.concat(F.lit("b"), "p_brand").alias("document_type")).agg(F.collect_set(field).alias("fields"))
+    every = spark.createDataFrame(TEMPLATE, _TEMPLATE).union(brands.select("document_type", F.array(F.struct(F.lit("Part").alias("name"), "fields"))))
+    return records.flattened(every).select("document_type", "section", "name", "label", "type", "required", F.coalesce(F.array_join("options", ","), F.lit("")).alias("options"))
 
 
 ISSUED = "SELECT * FROM (VALUES ('n1', 'u1', 'income_certificate', 'complete', false, 'signed'), ('n2', 'u1', 'passport', 'complete', false, 'signed'), ('n3', 'u2', 'birth_certificate', 'complete', true, 'unsigned'), ('n4', 'u3', 'land_record', 'generating', false, 'unsigned')) AS t(document_number, applicant, document_type, status, revoked, signature)"
