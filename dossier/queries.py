@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import chunks, text
 from .operators import extracts, filters, graph, joins, scores, search, windows
-from .plans import comparison, extraction, graphs, records, retrieval, stores, verification  # noqa: F401  register their queries
+from .plans import comparison, extraction, graphs, others, records, retrieval, stores, verification  # noqa: F401  register their queries
 from .registry import duck as _lit, rows
 from .registry import query
 
