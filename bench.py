@@ -17,7 +17,10 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # starts the JVM's and Python's workers, so that the first query isn't charged for them
     spark.range(1000).selectExpr("sum(id)").collect()
+    spark.range(1000).repartition(int(cpus)).mapInArrow(lambda batches: batches, "id long").count()
+    spark.range(1000).repartition(int(cpus)).mapInPandas(lambda batches: batches, "id long").count()
     took = {}
     for name in HEADLINE:
         start = time.perf_counter()
