@@ -29,7 +29,8 @@ def all_shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3, most:
     the end, and a node keeps its first most ways only, as a path's first ways go on over the first ways of its next node. Pairs with
     equal or null ends and pairs that are too far apart give no row; repeated pairs and edges count once.
     """
-    step = edges.select("src", "dst").where("src <> dst").distinct()
+    # every level reads the edges, so they are made once
+    step = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     asked = written(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
     forth = _labels(step, asked.select(F.col("src").alias("root")), (hops + 1) // 2)
     back = _labels(step.toDF("dst", "src"), asked.select(F.col("dst").alias("root")), hops // 2)
