@@ -163,8 +163,7 @@ def block_pairs(blocks: DataFrame, tasks: int) -> DataFrame:
     left = side("x", F.sequence("group", F.lit(groups - 1).cast("long"))).toDF("dim", "g", "lo", "hi", *[f"x_{c}" for c in blocks.columns if c not in ("dim", "g")])
     right = side("y", F.sequence(F.lit(0).cast("long"), "group")).toDF("dim", "g", "hi", "lo", *[f"y_{c}" for c in blocks.columns if c not in ("dim", "g")])
     key = ["lo", "hi", "dim", "g"]
-    # a number of partitions that is asked for stays: small tables would be joined in one task else
-    met = left.repartition(tasks, *key).join(right.repartition(tasks, *key), key)
+    met = grid.shuffled(left, right, key, tasks)
     return met.where("lo < hi or x_block <= y_block").drop("lo", "hi")
 
 

@@ -256,10 +256,10 @@ def mined(vectors: DataFrame, positives: int = 5, negatives: int = 5, every: int
     low = F.ceil(F.col("positive_score").cast("decimal(38,0)") * percent / 100).cast("long")
     bound_of = first.where("positive_score >= 0").groupBy(F.col("anchor_id").alias("vec_id")).agg(F.map_from_entries(F.collect_list(F.struct("nth", F.struct(low.alias("low"), F.col("positive_score").alias("high"))))).alias("of"))
     places = F.sequence(F.lit(1), F.lit(positives))
-    sought = anchors.join(bound_of, "vec_id")
+    sought = anchors.hint("merge").join(bound_of, "vec_id")
     sought = sought.withColumn("low", F.transform(places, lambda i: F.coalesce(F.try_element_at("of", i)["low"], F.lit(-(LEAST + 1)))))
     sought = sought.withColumn("high", F.transform(places, lambda i: F.coalesce(F.try_element_at("of", i)["high"], F.lit(-1).cast("long")))).drop("of")
     last = looked_for(sought, negatives, False, positives)
     last = last.select("anchor_id", (F.col("window") + 1).alias("nth"), F.col("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return last.join(first, ["anchor_id", "nth"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return last.hint("merge").join(first, ["anchor_id", "nth"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import shuffled
 from .common import ceil_div, cut, lean, partitions
 
 #: Nodes (slices of the dimensions); rows of a packed vector block, of the first block of a part, and of a packed query block.
@@ -149,9 +150,9 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     blocks = cut(blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(tasks))), "blocks")
     queries = good.where(F.col("vec_id") % every == 0).repartition(ceil_div(ceil_div(n, every), QUERIES), "vec_id").mapInPandas(lambda b: _packed(b, width, QUERIES), packed)
     queries = cut(queries.drop("head").toDF("q_ids", "q_matrix").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))), "queries")
-    pairs = queries.join(blocks.where("head"), "part")
+    pairs = shuffled(queries, blocks.where("head"), ["part"], tasks)
     floors = pairs.select("q_ids", "q_matrix", "ids", "matrix").mapInPandas(lambda b: _floors(b, width, k, exact), "q_ids binary, totals binary")
     floors = cut(floors.groupBy("q_ids").applyInPandas(lambda key, g: _cutoffs(key, g, k), "q_ids binary, floor binary"), "floors")
-    found = queries.join(floors, "q_ids").join(blocks, "part").select("q_ids", "q_matrix", "floor", "ids", "matrix").mapInPandas(lambda b: _resolved(b, width, k, exact), "query_id long, vec_id long, score long")
+    found = shuffled(queries.hint("merge").join(floors, "q_ids"), blocks, ["part"], tasks).select("q_ids", "q_matrix", "floor", "ids", "matrix").mapInPandas(lambda b: _resolved(b, width, k, exact), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,3 +18,21 @@ def test_document_numbers_over_six_digits(spark, tmp_path):
     cur = con.execute(f"SELECT * FROM ({ORACLE_SQL['document_numbers']}) WHERE request_id > 999997")
     want = plain_rows([d[0] for d in cur.description], cur.fetchall())
     assert plain_rows(got.columns, got.collect()) == want and len(want) == 6
+
+
+def _no_broadcast(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_blocks_are_not_broadcast(spark, sf):
+    """Blocks of vectors are many times larger in memory than compressed: none goes through the driver, small as its files may be."""
+    from dossier.functions import grid
+    from dossier.llm import negatives, topk
+
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    _no_broadcast(topk.exact_top_k(vectors))
+    _no_broadcast(negatives.mined(vectors))
+    blocks = spark.range(4).select((F.col("id") % 2).cast("int").alias("group"), (F.col("id") % 2).cast("int").alias("part"), F.lit(b"x").alias("matrix"))
+    _no_broadcast(grid.met(blocks.drop("part"), blocks.select("part", F.col("matrix").alias("other")), 2, 2))
