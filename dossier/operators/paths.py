@@ -8,65 +8,49 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 
 
-def _labels(step: DataFrame, roots: DataFrame, levels: int) -> list[DataFrame]:
-    """(root, node, d) of each level from 0: nodes that are first reached over d steps(src, dst)."""
-    level = written(roots.select("root", F.col("root").alias("node")).distinct(), "labels")
-    out, seen = [level], level
-    for _ in range(levels):
-        level = level.join(step, level.node == step.src).select("root", F.col("dst").alias("node")).distinct()
-        level = written(level.join(seen, ["root", "node"], "left_anti"), "labels")
-        out.append(level)
-        seen = seen.unionAll(level)
-    return [x.withColumn("d", F.lit(i)) for i, x in enumerate(out)]
+def _first(roots: DataFrame) -> list[DataFrame]:
+    return [written(roots.select("root", F.col("root").alias("node"), F.array("root").alias("nodes")).distinct(), "ways")]
+
+
+def _further(levels: list[DataFrame], step: DataFrame, roots: DataFrame, most: int, forth: bool) -> None:
+    """Add the next level, (root, node, nodes): for the roots that still ask, nodes that are first reached over that many steps(src, dst), with
+    the first most of their shortest ways, in the order of the way's nodes from the path's start on."""
+    seen = levels[0].select("root", "node")
+    for x in levels[1:]:
+        seen = seen.unionAll(x.select("root", "node").distinct())
+    nodes = F.concat("nodes", F.array("dst")) if forth else F.concat(F.array("dst"), "nodes")
+    level = levels[-1].join(roots.distinct(), "root", "left_semi")
+    level = level.join(step, level.node == step.src).select("root", F.col("dst").alias("node"), nodes.alias("nodes"))
+    level = level.withColumn("nth", F.row_number().over(Window.partitionBy("root", "node").orderBy("nodes"))).where(F.col("nth") <= most).drop("nth")
+    levels.append(written(level.join(seen, ["root", "node"], "left_anti"), "ways"))
 
 
 def all_shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 3, most: int = 10) -> DataFrame:
     """start, end, hops, nth, path (nodes joined by '>'): the shortest directed paths of at most hops steps of edges(src, dst) for each of
     pairs(src, dst), the first most of them in the order of their nodes.
 
-    Distances are labelled from both ends at once, level by level, each end half of the way; the labels of a pair meet in the middle. From
-    there the nodes on shortest paths are marked towards both ends, which gives a graph of predecessors; paths are then put together from
-    the end, and a node keeps its first most ways only, as a path's first ways go on over the first ways of its next node. Pairs with
-    equal or null ends and pairs that are too far apart give no row; repeated pairs and edges count once.
+    Each end is searched level by level in turn, for the pairs that are left, half of the way, and a node keeps its first most ways from that end only: of a path among the
+    first ones, either half is among the first ways between its middle and its end. For each number of hops in turn the pairs that are
+    left look for nodes that lie half way from both ends; a shortest path has exactly one. Nothing is followed for pairs but these nodes,
+    so a hub's edges aren't tried once more for every pair that goes over it. Pairs with equal or null ends and pairs that are too far
+    apart give no row; repeated pairs and edges count once.
     """
     # every level reads the edges, so they are made once
     step = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    asked = written(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
-    forth = _labels(step, asked.select(F.col("src").alias("root")), (hops + 1) // 2)
-    back = _labels(step.toDF("dst", "src"), asked.select(F.col("dst").alias("root")), hops // 2)
-    ahead, behind = forth[0], back[0]
-    for x in forth[1:]:
-        ahead = ahead.unionAll(x)
-    for x in back[1:]:
-        behind = behind.unionAll(x)
-    # the sum of both labels is least where the ends' searches meet on a shortest path
-    met = asked.join(ahead.toDF("src", "node", "df"), "src").join(behind.toDF("dst", "node", "db"), ["dst", "node"])
-    met = met.withColumn("hops", F.min(F.col("df") + F.col("db")).over(Window.partitionBy("src", "dst")))
-    met = written(met.where("df + db = hops").select("src", "dst", "hops", "node", "df"), "met")
-
-    # what lies on a shortest path: from the middle to the start over falling labels of the start, and to the end over those of the end
-    on = met.select("src", "dst", "hops", "node", F.col("df").alias("at")).distinct()
-    marked = on
-    for _ in range(len(forth) - 1):
-        on = on.join(step.select(F.col("src").alias("before"), F.col("dst").alias("node")), "node").select("src", "dst", "hops", F.col("before").alias("node"), (F.col("at") - 1).alias("at"))
-        on = on.join(ahead.toDF("src", "node", "at"), ["src", "node", "at"], "left_semi").distinct()
-        marked = marked.unionByName(on)
-    on = met.select("src", "dst", "hops", "node", F.col("df").alias("at")).distinct()
-    for _ in range(len(back) - 1):
-        on = on.join(step.select(F.col("src").alias("node"), F.col("dst").alias("after")), "node").select("src", "dst", "hops", F.col("after").alias("node"), (F.col("at") + 1).alias("at"), (F.col("hops") - F.col("at") - 1).alias("left"))
-        on = on.join(behind.toDF("dst", "node", "left"), ["dst", "node", "left"], "left_semi").drop("left").distinct()
-        marked = marked.unionByName(on)
-    marked = written(marked.distinct(), "marked")
-
-    ways = marked.where("at = hops").select("src", "dst", "hops", "node", "at", F.array("node").alias("nodes"))
-    order = Window.partitionBy("src", "dst", "node").orderBy("nodes")
+    left = written(pairs.select("src", "dst").where("src <> dst").distinct(), "pairs")
+    forth, back = _first(left.select(F.col("src").alias("root"))), _first(left.select(F.col("dst").alias("root")))
+    order = Window.partitionBy("start", "end").orderBy("nodes")
     out = None
-    for _ in range(hops):
-        ahead_ = ways.select("src", "dst", "hops", F.col("node").alias("next"), (F.col("at") - 1).alias("at"), "nodes")
-        here = marked.join(step.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").join(ahead_, ["src", "dst", "hops", "next", "at"])
-        here = here.select("src", "dst", "hops", "node", "at", F.concat(F.array("node"), "nodes").alias("nodes"))
-        ways = written(here.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth"), "ways")
-        done = ways.where("at = 0").select(F.col("src").alias("start"), F.col("dst").alias("end"), "hops", "nodes")
-        out = done if out is None else out.unionAll(done)
-    nth = F.row_number().over(Window.partitionBy("start", "end").orderBy("nodes"))
-    return out.select("start", "end", F.col("hops").cast("int").alias("hops"), nth.cast("int").alias("nth"), F.array_join("nodes", ">").alias("path"))
+    for h in range(1, hops + 1):
+        if h % 2:
+            _further(forth, step, left.select(F.col("src").alias("root")), most, True)
+        else:
+            _further(back, step.toDF("dst", "src"), left.select(F.col("dst").alias("root")), most, False)
+        ahead, behind = forth[h - h // 2].toDF("src", "node", "nodes"), back[h // 2].toDF("dst", "node", "rest")
+        met = left.join(behind, "dst").join(ahead, ["src", "node"])
+        nodes = F.concat("nodes", F.slice("rest", 2, hops))
+        found = met.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.lit(h).alias("hops"), nodes.alias("nodes"))
+        found = written(found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most), "paths")
+        out = found if out is None else out.unionAll(found)
+        left = written(left.join(found.select(F.col("start").alias("src"), F.col("end").alias("dst")), ["src", "dst"], "left_anti"), "pairs")
+    return out.select("start", "end", "hops", "nth", F.array_join("nodes", ">").alias("path"))

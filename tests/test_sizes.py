@@ -20,12 +20,6 @@ def test_document_numbers_over_six_digits(spark, tmp_path):
     assert plain_rows(got.columns, got.collect()) == want and len(want) == 6
 
 
-def _no_broadcast(df):
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
-
-
 def test_blocks_are_not_broadcast(spark, sf):
     """Blocks of vectors are many times larger in memory than compressed: none goes through the driver, small as its files may be."""
     from dossier.functions import grid
@@ -36,3 +30,16 @@ def test_blocks_are_not_broadcast(spark, sf):
     _no_broadcast(negatives.mined(vectors))
     blocks = spark.range(4).select((F.col("id") % 2).cast("int").alias("group"), (F.col("id") % 2).cast("int").alias("part"), F.lit(b"x").alias("matrix"))
     _no_broadcast(grid.met(blocks.drop("part"), blocks.select("part", F.col("matrix").alias("other")), 2, 2))
+
+
+def test_shortest_paths_over_a_hub(spark):
+    """Ways over a hub aren't tried for every pair with every end: 10,000 pairs over one node."""
+    from dossier.operators import paths
+
+    n = 10_000
+    i = spark.range(n).select(F.col("id").cast("string").alias("i"))
+    edges = i.select(F.concat(F.lit("a"), "i").alias("src"), F.lit("h").alias("dst")).unionAll(i.select(F.lit("h"), F.concat(F.lit("b"), "i")))
+    began = time.time()
+    got = paths.all_shortest_paths(edges, i.select(F.concat(F.lit("a"), "i").alias("src"), F.concat(F.lit("b"), "i").alias("dst")))
+    assert got.where("hops = 2 and nth = 1 and path = concat(start, '>h>', end) and substr(start, 2) = substr(end, 2)").count() == got.count() == n
+    assert time.time() - began < 90
