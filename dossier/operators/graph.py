@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import checkpoint_dir
+from ..functions.tables import checkpoint_dir, written
 from . import joins
 
 # fixed values: colours of node types, and what fields of a document say about it
@@ -322,15 +322,33 @@ def shared_entities(mentions: DataFrame) -> DataFrame:
 
 def key_relations(concepts: DataFrame, edges: DataFrame, n: int = 15) -> DataFrame:
     """a, b, type, confidence, hops for pairs a < b by rank of concepts(id, rank): the shortest way of two edges at most from a to b, its first edge's
-    type and confidence; the surest, then the shortest. concepts are few: the best of a document."""
+    type and confidence; the surest, then the shortest. A null confidence comes last.
+
+    Ways of two edges are ordered by their first edge's confidence and start, and so the first edges are gone through in that order, in
+    batches that grow, until n pairs are found: no later one can precede them.
+    """
     ranked = concepts.select("id", "rank")
-    one = edges.select("src", "dst", "type", "confidence", F.lit(1).alias("hops"))
-    slim = edges.select("src", "dst", "type", "confidence")
-    two = two_steps(slim, slim).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"), F.col("x.type").alias("type"), F.col("x.confidence").alias("confidence"), F.lit(2).alias("hops"))
-    ways = one.unionAll(two).join(ranked.toDF("src", "ra"), "src", "left_semi").join(ranked.toDF("dst", "rb"), "dst", "left_semi")
-    both = ways.join(ranked.toDF("src", "ra"), "src").join(ranked.toDF("dst", "rb"), "dst").where("ra < rb")
-    best = both.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(F.struct("hops", (-F.col("confidence")).alias("c"), "type")).alias("w"))
-    return best.select("a", "b", "w.type", (-F.col("w.c")).alias("confidence"), "w.hops").orderBy(F.desc("confidence"), "hops", "a", "b").limit(n)
+    step = written(edges.select("src", "dst", "type", F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c")), "links")
+    last = written(step.select(F.col("src").alias("via"), F.col("dst").alias("b")).distinct().join(ranked.toDF("b", "rb"), "b"), "links")
+    first = step.join(ranked.toDF("src", "ra"), "src").select(F.col("src").alias("a"), "ra", F.col("dst").alias("via"), "type", "c")
+    direct = first.join(ranked.toDF("via", "rb"), "via").where("ra < rb").groupBy("a", F.col("via").alias("b")).agg(F.min(F.struct("c", "type")).alias("w"))
+    direct = written(direct.select("a", "b", "w.c", "w.type", F.lit(1).alias("hops")), "pairs")
+    first = written(first.join(last.select("via").distinct(), "via", "left_semi"), "links")
+    groups = written(first.select("c", "a").distinct(), "groups")
+    order, found, size = ["c", "hops", "a", "b"], None, max(64, n)
+    while (batch := written(groups.orderBy("c", "a").limit(size), "batch")).count():
+        ways = first.join(batch, ["c", "a"]).join(last, "via").where("ra < rb and a <> b").groupBy("a", "b").agg(F.min(F.struct("c", "type")).alias("w"))
+        ways = ways.select("a", "b", "w.c", "w.type", F.lit(2).alias("hops")).join(direct.select("a", "b"), ["a", "b"], "left_anti")
+        # an earlier batch has a pair's surer way
+        ways = ways if found is None else found.unionAll(ways.join(found.select("a", "b"), ["a", "b"], "left_anti"))
+        found = written(ways.orderBy(*order).limit(n), "pairs")
+        if found.count() >= n:
+            break
+        end = batch.orderBy(F.desc("c"), F.desc("a")).first()
+        groups = groups.where((F.col("c") > end.c) | ((F.col("c") == end.c) & (F.col("a") > end.a)))
+        size *= 16
+    best = direct if found is None else direct.unionAll(found)
+    return best.orderBy(*order).limit(n).select("a", "b", "type", F.when(F.col("c") < float("inf"), -F.col("c")).alias("confidence"), "hops")
 
 
 def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:

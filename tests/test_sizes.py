@@ -20,6 +20,12 @@ def test_document_numbers_over_six_digits(spark, tmp_path):
     assert plain_rows(got.columns, got.collect()) == want and len(want) == 6
 
 
+def _no_broadcast(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_blocks_are_not_broadcast(spark, sf):
     """Blocks of vectors are many times larger in memory than compressed: none goes through the driver, small as its files may be."""
     from dossier.functions import grid
@@ -43,3 +49,33 @@ def test_shortest_paths_over_a_hub(spark):
     got = paths.all_shortest_paths(edges, i.select(F.concat(F.lit("a"), "i").alias("src"), F.concat(F.lit("b"), "i").alias("dst")))
     assert got.where("hops = 2 and nth = 1 and path = concat(start, '>h>', end) and substr(start, 2) = substr(end, 2)").count() == got.count() == n
     assert time.time() - began < 90
+
+
+def test_key_relations(spark):
+    """Against plain Python where batches of first edges go on, and over a hub with 400 million ways."""
+    import random
+
+    from dossier.operators import graph
+
+    rng = random.Random(5)
+    edges = list({(f"v{rng.randrange(150)}", f"v{rng.randrange(150)}", rng.choice("xy"), rng.choice((0.5, 0.9, None))) for _ in range(260)})
+    for least in (0, 120):
+        # falling ranks of starts leave few pairs, so many batches are looked through
+        rank = {f"v{i}": (500 - i if i < least else i) for i in range(150)}
+        sure = lambda c: float("inf") if c is None else -c
+        best = {}
+        ways = [(a, b, 1, sure(c), t) for a, b, t, c in edges] + [(a, b, 2, sure(c), t) for a, m, t, c in edges for k, b, _, _ in edges if m == k and a != b]
+        for a, b, hops, c, t in ways:
+            if rank[a] < rank[b]:
+                best[a, b] = min(best.get((a, b), (9,)), (hops, c, t))
+        want = sorted((c, hops, a, b, t) for (a, b), (hops, c, t) in best.items())
+        for n in (15, 2000):
+            got = graph.key_relations(spark.createDataFrame(list(rank.items()), "id string, rank long"), spark.createDataFrame(edges, "src string, dst string, type string, confidence double"), n).collect()
+            assert [(sure(r.confidence), r.hops, r.a, r.b, r.type) for r in got] == want[:n]
+    i = spark.range(20_000).select("id", F.lpad(F.col("id").cast("string"), 6, "0").alias("i"))
+    hub = i.select(F.concat(F.lit("a"), "i").alias("src"), F.lit("h").alias("dst")).unionAll(i.select(F.lit("h"), F.concat(F.lit("b"), "i")))
+    ranks = i.select(F.concat(F.lit("a"), "i").alias("id"), F.col("id").alias("rank")).unionAll(i.select(F.concat(F.lit("b"), "i"), F.col("id") + 20_000))
+    began = time.time()
+    got = graph.key_relations(ranks, hub.select("src", "dst", F.lit("t").alias("type"), F.lit(0.5).alias("confidence")))
+    assert [(r.a, r.b) for r in got.collect()] == [("a000000", f"b{k:06}") for k in range(15)]
+    assert time.time() - began < 60
