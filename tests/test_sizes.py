@@ -79,3 +79,36 @@ def test_key_relations(spark):
     got = graph.key_relations(ranks, hub.select("src", "dst", F.lit("t").alias("type"), F.lit(0.5).alias("confidence")))
     assert [(r.a, r.b) for r in got.collect()] == [("a000000", f"b{k:06}") for k in range(15)]
     assert time.time() - began < 60
+
+
+def test_neighbourhood(spark, monkeypatch):
+    """Against plain Python with leaves, a node of its own and lists in parts; and the 36 million pairs of a star's leaves."""
+    import random
+
+    from dossier.operators import graph
+
+    rng = random.Random(6)
+    edges = [(f"v{rng.randrange(60)}", f"v{rng.randrange(60)}") for _ in range(70)] + [("hub", f"l{i}") for i in range(20)] + [("hub", "v1"), ("v2", None)]
+    near: dict[str, set] = {}
+    for a, b in edges:
+        if b and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    centres = [f"v{i}" for i in range(60)] + ["l1", "l1", "hub", "alone"]
+    for split, depth in ((1000, 1), (1000, 2), (4, 2), (4, 3)):
+        monkeypatch.setattr(graph, "SPLIT", split)
+        want = set()
+        for c in centres:
+            seen, level = {c: 0}, {c}
+            for h in range(1, depth + 1):
+                level = {y for x in level for y in near.get(x, ())} - set(seen)
+                seen |= dict.fromkeys(level, h)
+            want |= {(c, x, h) for x, h in seen.items()}
+        got = graph.neighbourhood(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(c,) for c in centres], "id string"), depth).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    monkeypatch.undo()
+    i = spark.range(6_000).select(F.concat(F.lit("s"), "id").alias("id"))
+    found = graph.neighbourhood(i.select(F.col("id").alias("src"), F.lit("n").alias("dst")), i, 2)
+    # no shuffle over the outcome
+    assert found.count() == 6_000 * 6_001
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
