@@ -112,3 +112,9 @@ def test_neighbourhood(spark, monkeypatch):
     # no shuffle over the outcome
     assert found.count() == 6_000 * 6_001
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_priorities_meet_as_values(spark, sf):
+    """A join of the rows before they are distinct would gather each value's rows in one task."""
+    plan = QUERIES["shared_priorities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Join" not in plan
