@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blocks, text
-from ..functions.tables import spread, written
+from ..functions.tables import lean, spread, written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Terms of all queries together that the driver may hold.
@@ -31,6 +31,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> D
     number of rows) and leaves k documents per query, so a frequent word meets no posting list and the only shuffle is that of
     k rows per query and task. More queries take more passes.
     """
+    lean(docs.sparkSession)
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")))
     # one pass counts documents, words and each word's documents; the row without a term has the sums
     counts = slim.select("text").mapInArrow(_counted, "term string, df long, n long, words long").groupBy("term")

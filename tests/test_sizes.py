@@ -118,3 +118,17 @@ def test_shared_priorities_meet_as_values(spark, sf):
     """A join of the rows before they are distinct would gather each value's rows in one task."""
     plan = QUERIES["shared_priorities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "Join" not in plan
+
+
+def test_batches_and_blocks_are_small(spark, sf):
+    """Functions over whole texts and packed blocks get 2 MB at a time; vectors of single precision travel as such, others whole."""
+    from dossier.functions import blocks
+
+    for name in ("character_chunks", "sentence_chunks", "bm25_topk", "vector_cosine_topk"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        QUERIES[name](spark, sf)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 2 << 20
+    for x, size in ((0.5, 4), (0.1, 8)):
+        rows = spark.createDataFrame([(i, [x, float(i), -1.0]) for i in range(3)], "vec_id long, embedding array<double>")
+        r = blocks.packed(blocks.usable(rows), 1).first()
+        assert len(r.matrix) == 9 * size and blocks._read(r.ids, r.matrix, r.dim)[1].tolist() == [[x, float(i), -1.0] for i in blocks._read(r.ids, r.matrix, r.dim)[0]]
