@@ -84,8 +84,8 @@ STATED = (
     ("creates", rf"{SUBJECT} generates {OBJECT}"), ("uses", rf"{SUBJECT} uses {OBJECT}"), ("uses", rf"{SUBJECT} utilizes {OBJECT}"), ("uses", rf"{SUBJECT} leverages {OBJECT}"),
 )
 _FORMS = tuple((kind, re.compile(p)) for kind, p in FORMS)
-#: Relation, where its verb may start (verbs may share a space), and verb and object.
-_STATED = tuple((kind, re.compile(f"(?={p.removeprefix(SUBJECT).removesuffix(LOW).removesuffix(OBJECT)})"), re.compile(p.removeprefix(SUBJECT))) for kind, p in STATED)
+#: Relation, where its verb may start (verbs may share a space), verb and object, and the letters with which the verb starts.
+_STATED = tuple((kind, re.compile(f"(?={p.removeprefix(SUBJECT).removesuffix(LOW).removesuffix(OBJECT)})"), re.compile(p.removeprefix(SUBJECT)), re.match("[a-z ]+", p.removeprefix(SUBJECT))[0]) for kind, p in STATED)
 _LETTERS, _CAPITAL = re.compile(r"[A-Za-z\s]+"), re.compile(r"[A-Z][a-z]+(?=\s)")
 _CHAIN, _POINT = re.compile("(?:/[^/]++)++"), re.compile(r"(?<=[^/])\.[a-zA-Z0-9]+")
 _MAIL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
@@ -300,11 +300,14 @@ def stated(text: str) -> list[tuple[str, str, str, float]]:
     """(subject, relation, object, confidence) that sentences of STATED's forms say, each once in any case.
 
     A sentence's words lie in one run of letters and spaces. Subjects take all words that they can, so a run says a relation once: from its first
-    capital word to the last verb behind which an object stands.
+    capital word to the last verb behind which an object stands. Verbs are tried only in texts and runs that hold their letters.
     """
     found = {}
-    for run in _LETTERS.findall(text):
-        for kind, verb, whole in _STATED:
+    held = [x for x in _STATED if x[3] in text]
+    for run in _LETTERS.findall(text) if held else ():
+        for kind, verb, whole, head in held:
+            if head not in run:
+                continue
             places = [m.start() for m in verb.finditer(run) if m.start() and not run[m.start() - 1].isspace()]
             last = next(((at, m) for at in reversed(places) if (m := whole.match(run, at))), None)
             if last and (start := _CAPITAL.search(run, 0, last[0] + 1)):
