@@ -73,7 +73,7 @@ FIELD_EVENTS = {
     "invoice_date": "Invoice", "due_date": "Due Date", "contract_date": "Contract Signing", "effective_date": "Effective Date", "receipt_date": "Receipt", "event_date": "Event", "application_date": "Application", "date": "Date",
 }
 DAY = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}"
-TOLD = (rf"(?:on|dated)\s+(?P<day>{DAY})\s*[,;]?\s*(?P<what>.{{10,80}})", rf"(?P<what>.{{10,60}})\s+(?:on|dated)\s+(?P<day>{DAY})")
+TOLD = (rf"(?:on|dated)\s+(?P<day>{DAY})\s*(?:[,;]\s*)?(?P<what>.{{10,80}})", rf"(?P<what>.{{10,60}})\s+(?:on|dated)\s+(?P<day>{DAY})")
 # fixed values: names that a text's form shows, phrases of a field, and sentences that state a relation
 SUBJECT, OBJECT, LOW = r"([A-Z][a-z]+(?:\s+[A-Za-z]+)*)", r"([A-Za-z]+(?:\s+[A-Za-z]+)*)", r"([a-z]+(?:\s+[a-z]+)*)"
 FORMS = (("URL", r"https?://[^\s]+"), ("Email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), ("FilePath", r"(?:/[^/]+)+\.[a-zA-Z0-9]+"), ("Version", r"\b[0-9]+\.[0-9]+(?:\.[0-9]+)?(?:-[a-zA-Z0-9]+)?\b"))
@@ -83,6 +83,8 @@ STATED = (
     ("has_property", rf"{SUBJECT} has {LOW}"), ("has_property", rf"{SUBJECT} contains {LOW}"), ("creates", rf"{SUBJECT} creates {OBJECT}"), ("creates", rf"{SUBJECT} produces {OBJECT}"),
     ("creates", rf"{SUBJECT} generates {OBJECT}"), ("uses", rf"{SUBJECT} uses {OBJECT}"), ("uses", rf"{SUBJECT} utilizes {OBJECT}"), ("uses", rf"{SUBJECT} leverages {OBJECT}"),
 )
+_TOLD = tuple(re.compile(p, re.IGNORECASE) for p in TOLD)
+_SHORT_DAY, _SAID = re.compile("[0-9][/.-][0-9]{1,2}[/.-][0-9]"), re.compile(rf"(?<=\s)(?:on|dated)\s+{DAY}", re.IGNORECASE)
 _FORMS = tuple((kind, re.compile(p)) for kind, p in FORMS)
 #: Relation, where its verb may start (verbs may share a space), verb and object, and the letters with which the verb starts.
 _STATED = tuple((kind, re.compile(f"(?={p.removeprefix(SUBJECT).removesuffix(LOW).removesuffix(OBJECT)})"), re.compile(p.removeprefix(SUBJECT)), re.match("[a-z ]+", p.removeprefix(SUBJECT))[0]) for kind, p in STATED)
@@ -189,6 +191,27 @@ def event_type(text: str) -> str:
     return next((kind for kind, words in EVENTS if any(w in low for w in words)), "other")
 
 
+def _told(text: str) -> Iterator[re.Match]:
+    """The hits of TOLD. What stands before a day is looked for near each 'on' or 'dated' of one alone: its hits start at most 60 characters
+    before the space between."""
+    if not _SHORT_DAY.search(text):
+        return
+    after, before = _TOLD
+    yield from after.finditer(text)
+    at = 0
+    for said in _SAID.finditer(text):
+        space = said.start()
+        while space and text[space - 1].isspace():
+            space -= 1
+        at = max(at, space - 60)
+        while at < said.start() - 10:
+            if m := before.match(text, at):
+                yield m
+                at = m.end()
+            else:
+                at += 1
+
+
 def timeline(text: str) -> list[tuple[str, str, str, float, int]]:
     """(date, event type, description, confidence, position): each date with the 120 characters around it, the sentence that holds it as its
     description; then 'on' and 'dated' phrases of dates that weren't seen. Positions of phrases are their starts."""
@@ -199,11 +222,10 @@ def timeline(text: str) -> list[tuple[str, str, str, float, int]]:
         kind = event_type(around)
         told = next((s.strip() for s in re.split(r"[.!?]\s+", around) if value in s and len(s.strip()) > 15), None)
         out.append((value, kind, told or f"{kind.title()} on {value}", confidence, at))
-    for p in TOLD:
-        for m in re.finditer(p, text, re.IGNORECASE):
-            if m["day"] not in seen:
-                seen.add(m["day"])
-                out.append((m["day"], event_type(m["what"]), m["what"].strip().rstrip(".,;:"), 0.75, m.start()))
+    for m in _told(text):
+        if m["day"] not in seen:
+            seen.add(m["day"])
+            out.append((m["day"], event_type(m["what"]), m["what"].strip().rstrip(".,;:"), 0.75, m.start()))
     return out
 
 

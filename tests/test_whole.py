@@ -193,3 +193,19 @@ def test_stated_relations_pass_over_runs_without_verbs():
     start = time.process_time()
     assert extracts.stated("Some Words stand in a short run of letters, more of them follow here. " * 60_000) == []
     assert time.process_time() - start < 2
+
+
+def test_told_days_are_looked_for_near_their_words():
+    """The phrases are those of a plain search for both patterns; megabytes with few days take little time."""
+    rng = random.Random(9)
+    pieces = ["on ", "ON\n", " dated ", " on", "1.2.2024", " 1.2.24", "01/02/2024 ", " ", "\n", " " * 12, "abcdefghij", "filed", ", ", ";", ". ", "words of it"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 22)))
+        plain = [(m["day"], m["what"], m.start()) for p in extracts.TOLD for m in re.finditer(p, text, re.IGNORECASE)]
+        assert [(m["day"], m["what"], m.start()) for m in extracts._told(text)] == plain, text
+    far = "It was signed in the office on 5/7/23, as told. " + "Words that tell nothing at all go on and on. " * 60_000
+    start = time.process_time()
+    assert [m["what"] for m in extracts._told(far)] == ["as told. Words that tell nothing at all go on and on. Words that tell nothing at", "It was signed in the office"]
+    assert not list(extracts._told("dated 5/7/23" + "\n" * 1_000_000))
+    assert time.process_time() - start < 3
+    assert [x[:2] for x in extracts.timeline(far)] == [("5/7/23", "other")]
