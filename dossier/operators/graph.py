@@ -21,6 +21,9 @@ FIELD_VERTICES = {
 TIMES = ("issue_date", "date_of_birth", "effective_date", "upload_timestamp", "created_at", "filing_date")
 INGESTED = {"officer": "handled_by", "department": "issued_by"}
 
+#: Roots of forests that are broadcast; more are joined by shuffle.
+MOST_ROOTS = 200_000
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
@@ -35,7 +38,59 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node reachable. Smallest labels spread and jump; every round is checkpointed."""
+    """node, component: the smallest node reachable. Edges may repeat; loops and null ends go.
+
+    Tasks first replace their edges by forests, where they lie, and a node's roots meet: it keeps the smallest, which is joined to the others.
+    Only roots need rounds of smallest labels then; a node that is nobody's root takes its own one's. Ids are text or integers.
+    """
+    kind = edges.select("src").unionAll(edges.select("dst")).schema[0].dataType
+    some = edges.where("src <> dst").select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
+    stars = some.mapInArrow(_forest, f"src {kind.simpleString()}, dst {kind.simpleString()}")
+    stars = written(stars.groupBy("src").agg(F.min("dst").alias("dst"), F.collect_set("dst").alias("all")), "stars")
+    roots = _kept(stars.select(F.explode("all").alias("root")).distinct())
+    # more roots are joined by shuffle
+    small = F.broadcast if roots.count() <= MOST_ROOTS else lambda df: df
+    joined = stars.where("size(all) > 1").select(F.explode("all").alias("src"), "dst").where("src <> dst")
+    labels = _labels(joined.unionAll(stars.join(small(roots), stars.src == roots.root, "left_semi").select("src", "dst")))
+    of = _kept(roots.join(labels, roots.root == labels.node, "left").select("root", F.coalesce("component", "root").alias("component")))
+    leaves = stars.join(small(roots), stars.src == roots.root, "left_anti")
+    return _kept(leaves.join(small(of), leaves.dst == of.root).select(F.col("src").alias("node"), "component").unionAll(of.select(F.col("root").alias("node"), "component")))
+
+
+def _forest(batches, most: int = 1_000_000):
+    """(src, dst): each node of a task's edges with the smallest that they join to it, which is its root; after most nodes it starts afresh."""
+    import pyarrow as pa
+
+    up: dict = {}
+
+    def root(x):
+        while (y := up[x]) != x:
+            up[x] = x = up[y]
+        return x
+
+    def stars(kind):
+        rows = [(x, root(x)) for x, y in up.items() if x != y]
+        for i in range(0, len(rows), 100_000):
+            part = rows[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], kind), pa.array([r[1] for r in part], kind)], names=["src", "dst"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("src").type
+        for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+            a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            if a < b:
+                up[b] = a
+            elif b < a:
+                up[a] = b
+        if len(up) > most:
+            yield from stars(kind)
+            up.clear()
+    yield from stars(kind)
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """node, component by rounds: smallest labels spread and jump; every round is checkpointed."""
     both = _kept(undirected(edges))
     labels = _kept(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")))
     while True:

@@ -346,8 +346,13 @@ def link_suggestions(t, spark):
     return graph.suggestions(rows(t, spark, LINKS).withColumn("confidence", F.col("confidence").cast("double")))
 
 
+def _all_links(t):
+    """Edges as often as they occur."""
+    return t("lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+
+
 def _all_edges(t):
-    return t("lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    return _all_links(t).distinct()
 
 
 _ALL_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
@@ -356,7 +361,7 @@ _ALL_EDGES = "edges AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partke
 # recursion over the whole table is too slow in SQL, so these two have none
 @query()
 def connected_components_all(t, spark):
-    return graph.components(_all_edges(t))
+    return graph.components(_all_links(t))
 
 
 @query()

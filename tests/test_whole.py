@@ -209,3 +209,31 @@ def test_told_days_are_looked_for_near_their_words():
     assert not list(extracts._told("dated 5/7/23" + "\n" * 1_000_000))
     assert time.process_time() - start < 3
     assert [x[:2] for x in extracts.timeline(far)] == [("5/7/23", "other")]
+
+
+@pytest.mark.parametrize("most, roots", [(1_000_000, 200_000), (5, 0)])
+def test_components_from_forests(spark, monkeypatch, most, roots):
+    """However small the parts are from which forests are made; repeated edges, loops and null ends don't matter. Rounds are for roots alone."""
+    rng = random.Random(11)
+    pairs = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(260)] + [(f"w{i}", f"w{i + 1}") for i in range(60)] + [("hub", f"h{i}") for i in range(200)]
+    pairs += pairs[:50] + [("x", "x"), (None, "n1"), ("n2", None)]
+    rng.shuffle(pairs)
+    up = {}
+    for a, b in pairs:
+        if a and b and a != b:
+            joined = up.setdefault(a, {a}) | up.setdefault(b, {b})
+            up.update(dict.fromkeys(joined, joined))
+    monkeypatch.setattr(graph, "_forest", lambda batches, f=graph._forest: f(batches, most))
+    monkeypatch.setattr(graph, "MOST_ROOTS", roots)
+    seen, plain = [], graph._labels
+    monkeypatch.setattr(graph, "_labels", lambda df: seen.append(df.count()) or plain(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        edges = spark.createDataFrame(pairs, "src string, dst string").repartition(4)
+        got = {r.node: r.component for r in graph.components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {n: min(group) for n, group in up.items()}
+    assert seen[0] < len(pairs) / (2 if roots else 1)
+    numbers = spark.createDataFrame([(3, 20), (20, 100), (7, 8)], "src int, dst long")
+    assert sorted(map(tuple, graph.components(numbers).collect())) == [(3, 3), (7, 7), (8, 7), (20, 3), (100, 3)]
