@@ -237,3 +237,13 @@ def test_components_from_forests(spark, monkeypatch, most, roots):
     assert seen[0] < len(pairs) / (2 if roots else 1)
     numbers = spark.createDataFrame([(3, 20), (20, 100), (7, 8)], "src int, dst long")
     assert sorted(map(tuple, graph.components(numbers).collect())) == [(3, 3), (7, 7), (8, 7), (20, 3), (100, 3)]
+
+
+def test_clusters_get_links_unshuffled(spark, tmp_path, monkeypatch):
+    """Links go to the forests as they lie; the edges are counted once each, however often they occur."""
+    items = [(s, p) for s, p in [(1, 1), (1, 2), (2, 2), (5, 9)] for _ in range(3)]
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    given, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda df: given.append(df) or plain(df))
+    assert [tuple(r) for r in QUERIES["clusters_all"](spark, str(tmp_path)).collect()] == [("p1", 4, 3, 0.25)]
+    assert "Exchange" not in given[0]._jdf.queryExecution().executedPlan().toString()
