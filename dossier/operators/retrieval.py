@@ -42,15 +42,18 @@ def hybrid(docs: DataFrame, queries: DataFrame, semantic: DataFrame, k: int = 5,
     score of the query; then the filter on docs.metadata, then k. Documents of one text are one result, with the smallest id; queries
     without semantic results have none."""
     hashed = written(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text")), "digests")
-    of = hashed.join(hashed.groupBy("text").agg(F.min("doc_id").alias("one")), "text").select("doc_id", "one")
-    single = lambda df: df.join(of, "doc_id").groupBy("query_id", "one").agg(F.max("score").alias("score")).select("query_id", F.col("one").alias("text"), "score")
+    # joined by shuffle: what Spark broadcasts passes through the driver, and digests take more there than in files
+    of = written(hashed.hint("merge").join(hashed.groupBy("text").agg(F.min("doc_id").alias("one")), "text").select("doc_id", "one"), "ones")
+    single = lambda df: df.hint("merge").join(of, "doc_id").groupBy("query_id", "one").agg(F.max("score").alias("score")).select("query_id", F.col("one").alias("text"), "score")
+    # it is read twice
+    semantic = written(semantic, "semantic")
     asked = queries.join(semantic.select("query_id").distinct(), "query_id", "left_semi")
     words = search.bm25(docs, asked, 2 * k)
     if wanted is None:
         return search.fused(single(semantic), single(words), weights, k).select("query_id", F.col("text").alias("doc_id"), "score", "rank")
     both = search.fused(single(semantic), single(words), weights, 1 << 30).drop("rank")
     kept = filters.metadata_filter(docs, wanted).select(F.col("doc_id").alias("text"))
-    return top(both.join(kept, "text", "left_semi"), "query_id", [F.desc("score"), F.col("text")], k).select("query_id", F.col("text").alias("doc_id"), "score", "rank")
+    return top(both.hint("merge").join(kept, "text", "left_semi"), "query_id", [F.desc("score"), F.col("text")], k).select("query_id", F.col("text").alias("doc_id"), "score", "rank")
 
 
 def expanded(queries: DataFrame, vertices: DataFrame, edges: DataFrame, most: int = 5, least: float = 0.6, order: str = "weight") -> DataFrame:

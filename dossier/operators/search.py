@@ -12,8 +12,8 @@ from ..functions import blocks, text
 from ..functions.tables import lean, spread, written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Terms of all queries together that the driver may hold.
-TERMS = 200_000
+#: Weights of queries' words that a task holds.
+WEIGHTS = 1_000_000
 
 
 def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
@@ -21,15 +21,16 @@ def top(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = WEIGHTS) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents with a score over 0 for each of queries(query_id, query).
 
     Okapi weights with k1 1.5 and b 0.75; a negative inverse frequency becomes a quarter of the mean over all terms. Counts
     cover all documents. Query words count as often as they occur. Null texts are empty. doc_id and query_id are integers.
 
-    Documents are scored where they lie: a task holds the weights of a block of queries (most queries at a time, a bounded
-    number of rows) and leaves k documents per query, so a frequent word meets no posting list and the only shuffle is that of
-    k rows per query and task. More queries take more passes.
+    Queries with their weights are dealt to groups (of most weights in the mean) and documents to parts; both meet in the cells of
+    a grid, one for each task, which holds its queries and has its documents pass by. A document is copied to the groups, a
+    query to the parts. A cell leaves k documents per query, so a frequent word meets no posting list, and of queries, words
+    and weights none passes through the driver.
     """
     lean(docs.sparkSession)
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")))
@@ -39,27 +40,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = 512) -> D
     sums = counts.where("term is null").first()
     n, mean_length = (sums.n, sums.words / sums.n) if sums else (0, 0.0)
     raw = counts.where("term is not null").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    passes = max(1, -(-asked.select("query_id").distinct().count() // most))
-    # one look at the vocabulary gives the mean over all terms and the asked ones' weights: a bounded number of queries has bounded terms
-    terms = asked.select("term").distinct()
-    if terms.count() <= TERMS:
-        own = F.collect_list(F.when(F.col("mine"), F.struct("term", "raw")))
-        found = raw.join(F.broadcast(terms.withColumn("mine", F.lit(True))), "term", "left").agg(F.avg("raw").alias("mean"), own.alias("own")).first()
-        mean, held = found.mean, docs.sparkSession.createDataFrame([(r.term, r.raw) for r in found.own], "term string, raw double")
-    else:
-        mean, held = raw.agg(F.avg("raw")).first()[0], raw
+    mean = raw.agg(F.avg("raw")).first()[0]
     idf = F.when(F.col("raw") < 0, FLOOR * F.lit(mean)).otherwise(F.col("raw"))
-    weighed = asked.join(held, "term").select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
-    weighed = weighed.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
-    scored = None
-    for i in range(passes):
-        rows = weighed.where(F.col("pass") == i).select("query_id", "term", "weight").collect()
-        if rows:
-            part = slim.mapInArrow(_scorer(rows, mean_length, k), "query_id long, doc_id long, score double")
-            scored = part if scored is None else scored.unionAll(part)
-    if scored is None:
-        scored = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(text.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # a hint, as a broadcast of the words would pass through the driver
+    weighed = asked.hint("merge").join(raw, "term").select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"))
+    weighed = written(weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("weights")), "weights")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-(weighed.agg(F.sum(F.size("weights"))).first()[0] or 0) // most))
+    parts = max(1, -(-tasks // groups))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = (F.col("group") * parts + F.col("part")).cast("int").alias("cell")
+    left = weighed.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups))).withColumn("part", each(parts)).select(cell, F.col("query_id").alias("id"), "weights", F.lit(None).cast("string").alias("text"))
+    # a document without an id is counted, but can't be a hit
+    right = slim.where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).withColumn("group", each(groups))
+    right = right.select(cell, F.col("doc_id").alias("id"), F.lit(None).cast(weighed.schema["weights"].dataType).alias("weights"), "text")
+    # queries first: they have no text
+    cells = left.unionAll(right).repartitionById(groups * parts, "cell").sortWithinPartitions("cell", F.col("text").isNotNull())
+    scored = cells.mapInArrow(lambda b: _scored(b, mean_length, k), "query_id long, doc_id long, score double")
     return top(scored, "query_id", [F.desc("score"), F.col("doc_id")], k)
 
 
@@ -85,51 +83,90 @@ def _counted(batches, most: int = 500_000):
         yield out(held, n, words)
 
 
-def _scorer(rows: list, mean_length: float, k: int, most_pairs: int = 2_000_000):
-    """The function that scores a partition's documents for a block of queries and keeps k of each."""
-    ids = sorted({r.query_id for r in rows})
-    place = {q: i for i, q in enumerate(ids)}
-    terms: dict[bytes, int] = {}
-    rows = sorted(((terms.setdefault(r.term.encode(), len(terms)), place[r.query_id], r.weight) for r in rows), key=lambda r: r[:2])
-    of, at, weight = (np.array(c) for c in zip(*rows, strict=True))
-    start = np.searchsorted(of, np.arange(len(terms) + 1))
+def _scored(batches, mean_length: float, k: int):
+    """(query_id, doc_id, score): of each cell's documents the k best for each of its queries, which come before them."""
+    import pyarrow as pa
 
-    def better(query, doc, score):
+    last, rows, scorer = None, [], None
+    for batch in batches:
+        cell, ids = batch.column("cell").to_numpy(), batch.column("id")
+        asked, texts = batch.column("text").is_null().to_numpy(zero_copy_only=False), batch.column("text").cast(pa.large_binary())
+        ends = np.flatnonzero((np.diff(cell) != 0) | (asked[1:] != asked[:-1])) + 1
+        for i, j in zip([0, *ends], [*ends, len(cell)], strict=True):
+            if cell[i] != last:
+                if scorer:
+                    yield scorer.out()
+                last, rows, scorer = cell[i], [], None
+            if asked[i]:
+                rows += zip(ids[i:j].to_pylist(), _lists(batch.column("weights")[i:j]), strict=True)
+            elif rows or scorer:
+                scorer = scorer or _Scorer(rows, mean_length, k)
+                rows = []
+                scorer.add(ids[i:j].to_numpy(), texts[i:j].to_pylist())
+    if scorer:
+        yield scorer.out()
+
+
+def _lists(weights) -> list:
+    """(terms, weights) of each row of an Arrow array of lists of both."""
+    import pyarrow as pa
+
+    flat, at = weights.flatten(), np.r_[0, np.cumsum(weights.value_lengths().to_numpy())]
+    terms, values = flat.field("term").cast(pa.large_binary()).to_pylist(), flat.field("weight").to_numpy()
+    return [(terms[i:j], values[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+class _Scorer:
+    """Scores documents for the queries of a cell and keeps k of each."""
+
+    def __init__(self, rows: list, mean_length: float, k: int, most_pairs: int = 1_000_000, most_cells: int = 2_000_000):
+        self.ids, self.mean_length, self.k, self.most_pairs, self.most_cells = [q for q, _ in rows], mean_length, k, most_pairs, most_cells
+        self.terms: dict[bytes, int] = {}
+        of = np.array([self.terms.setdefault(t, len(self.terms)) for _, (terms, _) in rows for t in terms], np.int64)
+        order = np.argsort(of, kind="stable")
+        self.at = np.repeat(np.arange(len(rows)), [len(x) for _, (x, _) in rows])[order]
+        self.weight = np.concatenate([x for _, (_, x) in rows])[order]
+        self.start = np.searchsorted(of[order], np.arange(len(self.terms) + 1))
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        #: The score below which a document isn't among the k best of a query.
+        self.least = np.zeros(len(rows))
+
+    def add(self, docs: np.ndarray, texts: list[bytes]):
+        terms, start, pending, pairs, first = self.terms, self.start.tolist(), [], 0, 0
+        for i, t in enumerate(texts):
+            words = t.split()
+            counts = Counter(w for w in words if w in terms)
+            pending.append((len(words), [(terms[w], c) for w, c in counts.items()]))
+            pairs += sum(start[x + 1] - start[x] for x, _ in pending[-1][1])
+            if pairs > self.most_pairs or len(pending) * len(self.ids) > self.most_cells or i == len(texts) - 1:
+                hits = np.array([(d, x, c) for d, (_, found) in enumerate(pending) for x, c in found], np.int64).reshape(-1, 3)
+                new = self._scores(docs[first : i + 1], np.array([n for n, _ in pending], float), *hits.T)
+                self._keep(*(np.concatenate(x) for x in zip(self.held, new, strict=True)))
+                pending, pairs, first = [], 0, i + 1
+
+    def _scores(self, docs, lengths, doc, term, tf):
+        part = tf / (tf + K1 * (1 - B + B * lengths[doc] / self.mean_length))
+        start, n = self.start, len(self.ids)
+        count = start[term + 1] - start[term]
+        take = np.repeat(start[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        total = np.bincount(np.repeat(doc, count) * n + self.at[take], np.repeat(part, count) * self.weight[take], len(docs) * n)
+        total = np.round(total, 6).reshape(len(docs), n)
+        doc, query = np.nonzero((total > 0) & (total >= self.least))
+        return query, docs[doc], total[doc, query]
+
+    def _keep(self, query, doc, score):
         """The k best of each query, ties to the smaller document."""
         order = np.lexsort((doc, -score, query))
         query, doc, score = query[order], doc[order], score[order]
         nth = np.arange(len(query)) - np.searchsorted(query, query, "left")
-        return tuple(x[nth < k] for x in (query, doc, score))
-
-    def scores(docs, lengths, doc, term, tf):
-        part = tf / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
-        count = start[term + 1] - start[term]
-        take = np.repeat(start[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        total = np.bincount(np.repeat(doc, count) * len(ids) + at[take], np.repeat(part, count) * weight[take], len(docs) * len(ids))
-        total = np.round(total, 6)
-        hit = np.flatnonzero(total > 0)
-        return hit % len(ids), docs[hit // len(ids)], total[hit]
+        self.held = tuple(x[nth < self.k] for x in (query, doc, score))
+        self.least[query[nth == self.k - 1]] = score[nth == self.k - 1]
 
-    def scored(batches):
+    def out(self):
         import pyarrow as pa
 
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for batch in batches:
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            pending, pairs, first = [], 0, 0
-            for i, t in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                words = t.split()
-                counts = Counter(w for w in words if w in terms)
-                pending.append((len(words), [(terms[w], c) for w, c in counts.items()]))
-                pairs += sum(start[x + 1] - start[x] for x, _ in pending[-1][1])
-                if pairs > most_pairs or i == len(docs) - 1:
-                    hits = np.array([(d, x, c) for d, (_, found) in enumerate(pending) for x, c in found], np.int64).reshape(-1, 3)
-                    new = scores(docs[first : i + 1], np.array([n for n, _ in pending], float), *hits.T)
-                    held = better(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-                    pending, pairs, first = [], 0, i + 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "doc_id", "score"])
-
-    return scored
+        query, doc, score = self.held
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()).take(pa.array(query)), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
 
 
 def cosine_top_k(vectors_: DataFrame, k: int = 5, every: int = 100, same_label: bool = False) -> DataFrame:

@@ -132,3 +132,45 @@ def test_batches_and_blocks_are_small(spark, sf):
         rows = spark.createDataFrame([(i, [x, float(i), -1.0]) for i in range(3)], "vec_id long, embedding array<double>")
         r = blocks.packed(blocks.usable(rows), 1).first()
         assert len(r.matrix) == 9 * size and blocks._read(r.ids, r.matrix, r.dim)[1].tolist() == [[x, float(i), -1.0] for i in blocks._read(r.ids, r.matrix, r.dim)[0]]
+
+
+def test_keyword_search_sends_nothing_to_the_driver(spark, monkeypatch):
+    """Against plain Python, over cells of a grid with more than one group of queries: what reaches the driver doesn't grow with queries or documents."""
+    import math
+    import random
+    from collections import Counter
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from dossier.operators import retrieval, search
+
+    rng = random.Random(9)
+    some = [f"w{i}" for i in range(60)]
+    draw = lambda n: " ".join(rng.choice(some[: rng.choice((5, 60))]) for _ in range(n))
+    docs = [(i, draw(rng.randrange(60))) for i in range(400)] + [(400, None), (401, "all W1 only"), (402, "all w1 only"), (None, "w1 w1 rare")]
+    asked = [(i, draw(rng.randrange(1, 30))) for i in range(150)] + [(150, "RARE of all"), (151, None), (152, "nowhere"), (-3, "w1 w1\tw2"), (None, "w3 only")]
+    words = [(d, (t or "").lower().split()) for d, t in docs]
+    df = Counter(w for _, x in words for w in set(x))
+    raw = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    mean, length = sum(raw.values()) / len(raw), sum(len(x) for _, x in words) / len(docs)
+    idf = {w: 0.25 * mean if x < 0 else x for w, x in raw.items()}
+    want = set()
+    for q, t in asked:
+        times, found = Counter((t or "").lower().split()), []
+        for d, x in words:
+            tf = Counter(x)
+            score = round(sum(n * idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(x) / length)) for w, n in times.items() if w in tf), 6)
+            if score > 0 and d is not None:
+                found.append((-score, d))
+        want |= {(q, d, round(-s, 5), r) for r, (s, d) in enumerate(sorted(found)[:7], 1)}
+    table, queries = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    met, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: met.append(collect(self)) or met[-1])
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    for most in (300, search.WEIGHTS):
+        hits = search.bm25(table, queries, 7, most)
+        assert len(met) <= 4 and all(len(x) <= 1 and "own" not in x[0] for x in met)
+        assert {(r.query_id, r.doc_id, round(r.score, 5), r.rank) for r in hits.collect()} == want
+        met.clear()
+    semantic = spark.range(100).select(F.col("id").alias("query_id"), (F.col("id") + 1).alias("doc_id"), F.lit(0.5).alias("score"))
+    _no_broadcast(retrieval.hybrid(table.withColumn("metadata", F.create_map(F.lit("lang"), F.lit("en"))), queries, semantic, wanted={"lang": "en"}))
