@@ -33,9 +33,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, most: int = WEIGHTS)
     and weights none passes through the driver.
     """
     lean(docs.sparkSession)
-    slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     # one pass counts documents, words and each word's documents; the row without a term has the sums
-    counts = slim.select("text").mapInArrow(_counted, "term string, df long, n long, words long").groupBy("term")
+    counts = spread(slim.select("text")).mapInArrow(_counted, "term string, df long, n long, words long").groupBy("term")
     counts = written(counts.agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("words").alias("words")), "counts")
     sums = counts.where("term is null").first()
     n, mean_length = (sums.n, sums.words / sums.n) if sums else (0, 0.0)
