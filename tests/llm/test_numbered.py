@@ -294,3 +294,27 @@ def test_suffix_family():
         assert all(2 * len(b[0]) <= len(a[0]) for a, b in zip(family.levels, family.levels[1:]))
     where = Counter(s[t : t + 6] for s in strings for t in range(9))
     assert family.seen == [sum(1 << t for t in range(9) if where[s[t : t + 6]] > 1) for s in strings]
+
+
+def test_suffix_parts_the_rows_of_a_frequent_core(spark, monkeypatch):
+    plans, write = {}, suffix.cut
+
+    def cut(df, name):
+        if name == "hits":
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(suffix, "cut", cut)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512b", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512b", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    rows = [(i, "y" * 3000 + prose(200 + i, 9), "a") for i in range(16)]
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs_of(spark, rows).repartition(4)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == removed(rows, 400)
+    assert "skew=true" in plans["hits"]
