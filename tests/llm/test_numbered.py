@@ -318,3 +318,22 @@ def test_suffix_parts_the_rows_of_a_frequent_core(spark, monkeypatch):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == removed(rows, 400)
     assert "skew=true" in plans["hits"]
+
+
+@pytest.mark.parametrize("options", [{"length": 40, "gram": 8, "span": 15}, {"length": 400, "gram": 48, "span": 64}])
+def test_suffix_parts_a_crowded_core(spark, monkeypatch, options):
+    n, span, written, write = options["length"], options["span"], {}, suffix.cut
+    shared = prose(9, n)
+
+    def cut(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(suffix, "cut", cut)
+    monkeypatch.setattr(suffix, "CROWD", 8)
+    rows = [(i, prose(300 + i, 60) + shared[i % 3 : n + 20 + i % 5] + prose(400 + i, 60), "a") for i in range(40)]
+    rows += [(i, prose(300 + i, 60) + shared[:n] + prose(400 + i % 3, 60), "a") for i in range(40, 60)] + [(60, shared[:n], "a"), (61, rows[0][1], "a")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs_of(spark, rows), **options).collect()}
+    assert got == removed(rows, n)
+    keys = Counter(bytes(r.block[span - 1 : span + 15]) if len(r.block) == 2 * span + 14 else bytes(r.block[1 : span + 15]) for r in written["masks"].collect())
+    assert any(len(k) > 16 for k in keys) and max(m for k, m in keys.items() if len(k) == 16) <= 8
