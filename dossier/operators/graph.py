@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grid
 from ..functions.tables import checkpoint_dir, written
 from . import joins
 
@@ -168,11 +169,8 @@ def _around(both: DataFrame, lists: DataFrame, keys: int, centres: DataFrame, de
     dealt = written(centres.join(degree, centres.id == degree.src, "left").select("id", "via", F.coalesce("n", F.lit(0)).alias("n")), "centres")
     leaves, others, out = dealt.where("n = 1").select(F.col("id").alias("centre"), "via"), dealt.where("n <> 1").select("id"), None
     if not leaves.isEmpty():
-        tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         around = written(_around(both, lists, keys, leaves.select(F.col("via").alias("id")).distinct(), depth - 1), "around")
-        around = around.select(F.col("centre").alias("via"), "node", "hops", F.pmod(F.xxhash64("node"), F.lit(tasks)).alias("part"))
-        met = leaves.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)).cast("array<bigint>"))).join(around, ["via", "part"])
-        out = met.where("node <> centre").select("centre", "node", (F.col("hops") + 1).alias("hops"))
+        out = _shared(leaves, around.select(F.col("centre").alias("via"), "node", (F.col("hops") + 1).alias("hops")))
         out = out.unionAll(leaves.select("centre", F.col("centre").alias("node"), F.lit(0).alias("hops")))
         if others.isEmpty():
             return out
@@ -192,6 +190,22 @@ def _around(both: DataFrame, lists: DataFrame, keys: int, centres: DataFrame, de
     return last if out is None else out.unionAll(last)
 
 
+def _shared(leaves: DataFrame, around: DataFrame) -> DataFrame:
+    """centre, node, hops: every centre of leaves(centre, via) beside every other node of around(via, node, hops). Both sides are packed to lists of
+    about SPLIT ids, and each pair of lists is a key of its own, so what is shuffled is small beside the outcome and nothing is broadcast."""
+
+    def packed(df: DataFrame, by: list[str], id_: str, part: str) -> tuple[DataFrame, int]:
+        most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+        parts = -(-most // SPLIT)
+        return written(df.groupBy(*by, F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int").alias(part)).agg(F.collect_list(id_).alias(id_)), "packed"), parts
+
+    (left, ours), (right, theirs) = packed(leaves, ["via"], "centre", "ours"), packed(around, ["via", "hops"], "node", "theirs")
+    left = left.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+    right = right.withColumn("ours", F.explode(F.sequence(F.lit(0), F.lit(ours - 1))))
+    met = grid.shuffled(left, right, ["via", "ours", "theirs"]).select("hops", "node", F.explode("centre").alias("centre"))
+    return met.select("centre", F.explode("node").alias("node"), "hops").where("node <> centre")
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, hops: int = 3, pairs: DataFrame | None = None) -> DataFrame:
     """start, end, path (nodes joined by '>'), hops: directed paths from starts without a repeated node; with pairs(start, end), those of the pairs.
 

@@ -114,6 +114,17 @@ def test_neighbourhood(spark, monkeypatch):
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_neighbourhood_of_leaves_broadcasts_nothing(spark):
+    """A star's leaves, copied for every task, were small by their file's size and large by their rows: a broadcast of them filled the driver."""
+    from dossier.operators import graph
+
+    i = spark.range(2_500).select(F.concat(F.lit("s"), "id").alias("id"))
+    found = graph.neighbourhood(i.select(F.col("id").alias("src"), F.lit("n").alias("dst")), i.where("id <> 's7'"), 2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.groupBy("centre").agg(F.count("*").alias("n"), F.countDistinct("node").alias("nodes"), F.sum("hops").alias("hops")).collect()
+    assert len(rows) == 2_499 and {(r.n, r.nodes, r.hops) for r in rows} == {(2_501, 2_501, 1 + 2 * 2_499)}
+
+
 def test_shared_priorities_meet_as_values(spark, sf):
     """A join of the rows before they are distinct would gather each value's rows in one task."""
     plan = QUERIES["shared_priorities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
