@@ -1,5 +1,6 @@
 """What only shows over large or skewed tables."""
 
+import random
 import time
 
 import duckdb
@@ -125,6 +126,57 @@ def test_neighbourhood_of_leaves_broadcasts_nothing(spark):
     assert len(rows) == 2_499 and {(r.n, r.nodes, r.hops) for r in rows} == {(2_501, 2_501, 1 + 2 * 2_499)}
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_neighbourhood_sends_lists_to_groups(spark):
+    """A list that went to each of its 30 centres was shuffled 30 times; now it is once for each group of centres."""
+    from dossier.operators import graph
+
+    rng = random.Random(9)
+    edges = sorted({(f"s{rng.randrange(600)}", f"p{rng.randrange(2000)}") for _ in range(60_000)})
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "src string, dst string").coalesce(4)
+    began = shuffled_bytes(spark)
+    found = graph.neighbourhood(table, table.select(F.col("src").alias("id")).distinct(), 2).groupBy("hops").count().collect()
+    sent = shuffled_bytes(spark) - began
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    ends = {a for a, _ in edges}
+    second = sum(len(set().union(*(near[b] for b in near[a])) - {a}) for a in ends)
+    assert {r.hops: r["count"] for r in found} == {0: len(ends), 1: len(edges), 2: second}
+    assert sent < 100 * len(edges), sent
+
+
+def test_neighbourhood_in_pieces():
+    """Cells that lie in several batches, and centres whose ways are looked through in several pieces."""
+    import json
+
+    import pyarrow as pa
+
+    from dossier.operators import graph
+
+    rng = random.Random(10)
+    rows = [(g, key, rng.choice((1, 2, 3)), rng.sample("abcdef", rng.randrange(4)), rng.sample("abcdefghij", rng.randrange(5))) for g in range(3) for key in range(2) for _ in range(12)]
+    want = {}
+    for g, key, hops, centres, nodes in rows:
+        for c in centres:
+            for n in nodes:
+                if n != c:
+                    want[g, key, c, n] = min(hops, want.get((g, key, c, n), 9))
+    names = ["g", "key", "hops", "centres", "nodes"]
+    for most in (1, 7, 1000):
+        parts = [rows[i : i + 5] for i in range(0, len(rows), 5)]
+        batches = [pa.RecordBatch.from_pydict({n: pa.array([json.dumps(r[i]) if i > 2 else r[i] for r in part], pa.string() if i > 2 else pa.int32()) for i, n in enumerate(names)}) for part in [*parts[:3], [], *parts[3:]]]
+        got = [tuple(r.values()) for b in graph._nearest(iter(batches), most) for r in b.to_pylist()]
+        assert sorted(got) == sorted((*k, h) for k, h in want.items())
+
+
 def test_shared_priorities_meet_as_values(spark, sf):
     """A join of the rows before they are distinct would gather each value's rows in one task."""
     plan = QUERIES["shared_priorities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
