@@ -28,10 +28,13 @@ def usable(rows: DataFrame, by: str | None = None) -> DataFrame:
     return slim.where("vec_id is not null and v is not null and g is not null").where(F.forall("v", lambda x: x.isNotNull())).withColumn("dim", F.size("v"))
 
 
-def packed(slim: DataFrame, tasks: int, most: int = ROWS, near: np.ndarray | None = None) -> DataFrame:
+def packed(slim: DataFrame, tasks: int, most: int = ROWS, near: np.ndarray | None = None, apart: bool = False) -> DataFrame:
     """PACKED: blocks of at most most vectors of one length and group, dealt to tasks by a hash of the id; with near, unit pivots,
-    by the pivot that is nearest, so that the vectors of a block are near each other: all within radius (an angle) of its centre."""
-    if near is None:
+    by the pivot that is nearest, so that the vectors of a block are near each other: all within radius (an angle) of its centre. With apart, groups are
+    dealt by ranges, so that there are few blocks that aren't full: one for each group and task at most, not for each of both."""
+    if near is None and apart:
+        dealt = slim.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}).repartitionByRange(tasks, "g", "dim", F.xxhash64("vec_id"))
+    elif near is None:
         dealt = slim.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}).repartition(tasks, F.pmod(F.xxhash64("vec_id"), F.lit(64 * tasks)))
     else:
         dealt = slim.mapInPandas(lambda b: _celled(b, near), slim.select("vec_id", "v", "g", "dim").schema.simpleString()[7:-1].replace(":", " ") + ", cell int, far double").repartitionByRange(tasks, "g", "dim", "cell", "far", "vec_id")
@@ -127,28 +130,32 @@ def _tasks(df: DataFrame) -> int:
 
 
 def best(queries: DataFrame, rows: DataFrame, score: Callable, k: int, by: str | None = None) -> DataFrame:
-    """query_id, vec_id, score: for each query the k best of each block of rows (and what lies within a millionth of them), its own row
-    left out; with by, of equal values alone. Queries are dealt to blocks by hash, and blocks of queries and of rows meet in the cells of
-    a grid, so neither side is in one task as a whole."""
+    """query_id, vec_id, score: for each query the k best of the rows (and some more, all that lie within a millionth of them among these), its own row
+    left out; with by, of equal values alone. Queries and rows are dealt to blocks of one value, and those of a value meet in the cells of a
+    grid, so neither side is in one task as a whole, and no block goes where it meets nothing."""
     tasks = _tasks(rows)
-    asked, held = usable(queries, by), written(usable(rows, by), "vectors")
-    blocks = -(-held.count() // ROWS)
-    asked = written(packed(asked, max(1, min(tasks, -(-asked.count() // QUERIES))), QUERIES), "queries")
-    groups, parts = grid.shape(asked.count(), blocks, tasks)
-    held = written(grid.numbered(packed(held, max(1, min(tasks, blocks))), "part", parts), "blocks")
-    asked = written(grid.numbered(asked.select("dim", "g", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "group", groups), "queries")
+    asked, held = written(usable(queries, by), "asked"), written(usable(rows, by), "vectors")
+    few = lambda slim, most: max(1, min(tasks, -(-slim.count() // most)))
+    held = grid.placed(packed(held, few(held, ROWS), apart=by is not None).select("dim", "g", "ids", "matrix"), "blocks")
+    asked = packed(asked, few(asked, QUERIES), QUERIES, apart=by is not None)
+    asked = grid.placed(asked.select("dim", "g", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "queries")
 
     def scored(batches: Iterator[pd.DataFrame]):
+        same, least = None, None
         for batch in batches:
             for dim, a, p, b, q in zip(*(batch[c] for c in ("dim", "q_ids", "q_matrix", "ids", "matrix")), strict=True):
                 (qi, x), (vi, y) = _read(a, p, dim), _read(b, q, dim)
+                if same != (a, p):
+                    # the blocks that a block of queries meets follow each other: what one of them leaves, the next ones must reach
+                    same, least = (a, p), np.full(len(qi), -np.inf)
                 s = score(x, y)
                 s[qi[:, None] == vi[None, :]] = -np.inf
-                least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                if s.shape[1] >= k:
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
                 r, c = np.nonzero((s >= least[:, None] - 1e-6) & (s > -np.inf))
                 yield pd.DataFrame({"query_id": qi[r], "vec_id": vi[c], "score": s[r, c]})
 
-    pairs = grid.met(asked, held, groups, parts, ["dim", "g"]).select("dim", "q_ids", "q_matrix", "ids", "matrix")
+    pairs = grid.met_alike(asked, held, ["dim", "g"], tasks).select("dim", "q_ids", "q_matrix", "ids", "matrix")
     return pairs.mapInPandas(scored, "query_id long, vec_id long, score double")
 
 

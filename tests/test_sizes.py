@@ -4,6 +4,8 @@ import random
 import time
 
 import duckdb
+import numpy as np
+import pytest
 from oracle import rows as plain_rows
 from pyspark.sql import functions as F
 
@@ -177,6 +179,46 @@ def test_neighbourhood_in_pieces():
         assert sorted(got) == sorted((*k, h) for k, h in want.items())
 
 
+def test_blocks_go_where_they_meet_something(spark):
+    """Blocks of rows were copied for every 16 blocks of queries, most of them of other values: with the cells of an index for every query more."""
+    from dossier.functions import blocks
+
+    values, n, dim = 200, 8_000, 32
+    x = np.random.default_rng(11).normal(size=(n, dim))
+    table = spark.createDataFrame([(i, v.tolist(), i % values) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    began = shuffled_bytes(spark)
+    found = blocks.best(table.where("vec_id % 4 = 0"), table, blocks.cosines, 3, "label").select("query_id", "vec_id").collect()
+    sent = shuffled_bytes(spark) - began
+    assert sent < 4 * 8 * n * dim, sent
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, n, 400):
+        others = [i for i in range(q % values, n, values) if i != q]
+        want = sorted(others, key=lambda i: -(u[i] @ u[q]))[:3]
+        assert set(want) <= {r.vec_id for r in found if r.query_id == q} <= set(others)
+
+
+@pytest.mark.parametrize("by", [None, "label"])
+def test_best_over_blocks_with_ties(spark, monkeypatch, by):
+    """What a block leaves bounds the next ones: against brute force with equal scores, short groups, zero vectors and two lengths."""
+    from dossier.functions import blocks
+    from dossier.operators import search
+
+    monkeypatch.setattr(blocks, "ROWS", 16), monkeypatch.setattr(blocks, "QUERIES", 8)
+    rng = random.Random(12)
+    rows = [(i, [float(rng.randrange(3)) for _ in range(3 if i % 9 else 2)], None if i % 31 == 0 else min(rng.randrange(6), 3)) for i in range(400)] + [(1000, [1.0, 1.0, 0.0], 7), (1002, None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = blocks.best(table.where("vec_id % 2 = 0"), table, blocks.cosines, 5, by)
+    got = {}
+    for r in search.top(found.select("query_id", "vec_id", F.round("score", 6).alias("score")), "query_id", [F.desc("score"), F.col("vec_id")], 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    for q, v, label in rows:
+        if q % 2 == 0:
+            like = [(i, w) for i, w, other in rows if i != q and v and w and len(w) == len(v) and (by is None or (label is not None and other == label))]
+            scores = {i: round(float(np.dot(v, w) / ((np.linalg.norm(v) * np.linalg.norm(w)) or 1)), 6) for i, w in like}
+            want = sorted(scores, key=lambda i: (-scores[i], i))[:5]
+            assert [got.get(q, {})[k] for k in sorted(got.get(q, {}))] == want
+
+
 def test_shared_priorities_meet_as_values(spark, sf):
     """A join of the rows before they are distinct would gather each value's rows in one task."""
     plan = QUERIES["shared_priorities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
