@@ -173,9 +173,10 @@ def block_pairs(blocks: DataFrame, tasks: int) -> DataFrame:
 
     left = side("x", F.sequence("group", F.lit(groups - 1).cast("long"))).toDF("dim", "g", "lo", "hi", *[f"x_{c}" for c in blocks.columns if c not in ("dim", "g")])
     right = side("y", F.sequence(F.lit(0).cast("long"), "group")).toDF("dim", "g", "hi", "lo", *[f"y_{c}" for c in blocks.columns if c not in ("dim", "g")])
-    key = ["lo", "hi", "dim", "g"]
-    met = grid.shuffled(left, right, key, tasks)
-    return met.where("lo < hi or x_block <= y_block").drop("lo", "hi")
+    # one key: Spark takes columns with a single known value out of a join, and would shuffle once more by the others, into fewer tasks
+    cell = F.concat_ws(",", "lo", "hi", "dim", "g").alias("cell")
+    met = grid.shuffled(left.select("*", cell), right.select(cell, *[c for c in right.columns if c.startswith("y_")]), ["cell"], tasks)
+    return met.where("lo < hi or x_block <= y_block").drop("cell", "lo", "hi")
 
 
 def survivors(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
